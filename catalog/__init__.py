@@ -1,0 +1,6 @@
+"""The registered queries."""
+
+from catalog import scalars  # noqa: F401
+from catalog.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -296,7 +296,10 @@ def gate_finish_reason(answers: DataFrame, raw: str = "raw") -> DataFrame:
     return answers.withColumn("error", error)
 
 
-@F.udtf(returnType="pos: int, idx: string, stamp: string, text: string")
+@F.udtf(returnType=T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("idx", T.StringType()),
+    T.StructField("stamp", T.StringType()), T.StructField("text", T.StringType()),
+]))
 class SrtBlocks:
     """SQL table function over one document: ``SELECT * FROM parse_srt(content)``."""
 

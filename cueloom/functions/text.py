@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace as Python's str.split() sees it.
 SPACE = r"[\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -72,7 +73,7 @@ def clean_line(c: Column | str) -> Column:
 def split_sentences(c: Column | str) -> Column:
     """Sentences with their punctuation; a dot inside a number does not end one."""
     marked = F.regexp_replace(squeeze(c), rf"({TERMINAL})(?=\s|\z)", f"$1{_CUT}")
-    return F.filter(F.transform(F.split(marked, _CUT), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, _CUT), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def has_terminal(c: Column | str) -> Column:
@@ -99,7 +100,7 @@ def norm_ocr(c: Column | str) -> Column:
     return F.regexp_replace(solid, r"\A[，。！？,.?!;；:：]+|[，。！？,.?!;；:：]+\z", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, which has no native counterpart."""
     return pd.Series(

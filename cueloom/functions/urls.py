@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueloom.functions.text import SPACE, _col, strip
 
@@ -123,7 +124,7 @@ def is_public_ipv4(c: Column | str) -> Column:
     return F.when(number.isNotNull(), ~closed)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_public_other(c: pd.Series) -> pd.Series:
     def check(text):
         try:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueloom.functions.text import SPACE, _col, strip
 
@@ -198,7 +199,11 @@ def package_key(batch: Column, item: Column, source_hash: Column, video_hash: Co
     return F.concat(F.lit("dysrt_"), F.substring(F.sha2(joined, 256), 1, 24))
 
 
-_LAYOUT = "struct<lines:array<string>,font_size:int,width:double,height:double,overflow:boolean>"
+_LAYOUT = T.StructType([
+    T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("font_size", T.IntegerType()),
+    T.StructField("width", T.DoubleType()), T.StructField("height", T.DoubleType()),
+    T.StructField("overflow", T.BooleanType()),
+])
 
 
 @F.pandas_udf(_LAYOUT)

@@ -92,7 +92,12 @@ video struct<cover:{_URLS},play_addr:struct<uri:string,url_list:array<string>>>,
 statistics struct<admire_count:bigint,digg_count:bigint,comment_count:bigint,collect_count:bigint,share_count:bigint>,
 text_extra array<struct<hashtag_name:string>>
 """
-PAGE_SCHEMA = f"aweme_list array<struct<{', '.join(f.simpleString() for f in T.StructType.fromDDL(WORK_SCHEMA).fields)}>>, page int"
+def page_schema() -> T.StructType:
+    return T.StructType([
+        T.StructField("aweme_list", T.ArrayType(T.StructType.fromDDL(WORK_SCHEMA))),
+        T.StructField("page", T.IntegerType()),
+    ])
+
 
 
 def works_of_pages(pages: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def works_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
-    return works_of_pages(spark.read.schema(PAGE_SCHEMA).json(path, multiLine=True))
+    return works_of_pages(spark.read.schema(page_schema()).json(path, multiLine=True))
 
 
 def read_json_config(spark: SparkSession, path: str, schema: str, default: DataFrame | None = None) -> DataFrame:
