@@ -119,6 +119,16 @@ def sql_round(x: str, digits: int) -> str:
     )
 
 
+def sql_quantile(value: str, q: float, where: str | None = None) -> str:
+    """Linear interpolation from the nearer end, as ``scan.quantiles`` does it."""
+    kept = f"list_sort(list(CAST({value} AS DOUBLE)){f' FILTER ({where})' if where else ''})"
+    at = f"((len({kept}) - 1) * {q}::DOUBLE)"
+    low, high = f"{kept}[CAST(floor({at}) AS BIGINT) + 1]", f"{kept}[CAST(ceil({at}) AS BIGINT) + 1]"
+    part = f"({at} - floor({at}))"
+    return (f"(CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part} "
+            f"ELSE {high} - ({high} - {low}) * (1 - {part}) END)")
+
+
 SQ = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"

@@ -8,6 +8,7 @@ from catalog.registry import PHRASES, SQ, STRIP, TERM, WORDS, big, query, scalar
 from cueloom.adapters import phrases_from_conversations, table
 from cueloom.functions import srt, text, urls, values
 from cueloom.operators import cues as C
+from cueloom.operators.scan import plan_layout, scan
 from cueloom.sources import readers
 
 ACCENTS = "[éèêëàâçñáíóúüöä]"
@@ -90,11 +91,11 @@ scalar(
 
 @query("str6_similarity")
 def _similarity(spark, sf_dir):
-    """Each spoken text against the benchmark text of the same number."""
-    turns = table(spark, sf_dir, "conversations").withColumn("item_id", F.col("conv_id") % 40)
-    both = turns.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other"), "item_id")
-    return both.select("conv_id", "turn", text.similarity("text", "other").alias("ratio"),
-                       text.same_text("text", "other").alias("same"))
+    """Every spoken phrase against the one after it."""
+    phrases = phrases_from_conversations(spark, sf_dir)
+    ahead = scan(phrases, plan_layout(phrases, ["track_id"], ["cue_id"]), {"following": ("next", F.col("text"))})
+    return ahead.select("track_id", "cue_id", text.similarity("text", "following").alias("ratio"),
+                        F.coalesce(text.same_text("text", "following"), F.lit(False)).alias("same"))
 
 
 _stem = (

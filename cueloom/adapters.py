@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.functions.text import words
 from cueloom.operators.scan import plan_layout, scan
 
 EPOCH_2024_US = 1_704_067_200_000_000
@@ -37,16 +36,13 @@ def cues_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrases_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track per conversation, a cue per four words of its whole text, in speaking order."""
-    w = words("text")
-    cut = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(WORDS_PER_CUE)),
-        lambda i: F.array_join(F.slice(w, i, WORDS_PER_CUE), " "),
-    )
-    spoken = table(spark, sf_dir, "conversations").where(F.size(w) > 0).select(
+    # Runs of up to four words, found in one pass over the text.
+    runs = F.regexp_extract_all("text", F.lit(rf"\S+(?:\s+\S+){{0,{WORDS_PER_CUE - 1}}}"), F.lit(0))
+    spoken = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("track_id"), "turn",
         F.when(F.col("role") == "user", "M1").otherwise("F1").alias("speaker"),
-        F.posexplode(cut).alias("pos", "text"),
-    )
+        F.posexplode(runs).alias("pos", "text"),
+    ).withColumn("text", F.regexp_replace("text", r"\s+", " "))
     length = F.size(F.split("text", " ")).cast("bigint") * 300
     gap = F.lit(40) + (F.col("pos") * 137 + F.col("turn") * 61) % 900
     rows = spoken.withColumn("pos", F.col("pos").cast("bigint")).withColumn("_len", length).withColumn("_gap", gap)

@@ -118,26 +118,35 @@ def tts_segments(docs: DataFrame) -> DataFrame:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _repair_stamp(c: Column) -> Column:
     """``MM:SS`` gets hours, dots become commas, hours and minutes two digits, millis three."""
-    text = F.translate(strip(c), ".", ",")
-    parts = F.split(text, ":")
-    padded = F.format_string(
-        "%02d:%02d:%s",
-        F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int"), F.get(parts, F.lit(2)),
-    )
-    numeric = F.get(parts, F.lit(0)).try_cast("int").isNotNull() & F.get(parts, F.lit(1)).try_cast("int").isNotNull()
-    full = (
-        F.when(F.size(parts) == 2, F.concat(F.lit("00:"), text))
-        .when((F.size(parts) == 3) & numeric, padded)
-        .otherwise(text)
-    )
-    front, back = F.substring_index(full, ",", 1), F.regexp_extract(full, r"\A[^,]*,(\d*)", 1)
-    return (
-        F.when(full.contains(","), F.concat(front, F.lit(","), F.rpad(F.left(back, F.lit(3)), 3, "0")))
-        .when(full.contains(":"), F.concat(full, F.lit(",000")))
-        .otherwise(full)
-    )
+
+    def hours(parts: Column) -> Column:
+        text = F.array_join(parts, ":")
+        first, second = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+        return (
+            F.when(F.size(parts) == 2, F.concat(F.lit("00:"), text))
+            .when(
+                (F.size(parts) == 3) & first.isNotNull() & second.isNotNull(),
+                F.format_string("%02d:%02d:%s", first, second, F.get(parts, F.lit(2))),
+            )
+            .otherwise(text)
+        )
+
+    def millis(full: Column) -> Column:
+        digits = F.rpad(F.left(F.regexp_extract(full, r"\A[^,]*,(\d*)", 1), F.lit(3)), 3, "0")
+        return (
+            F.when(full.contains(","), F.concat(F.substring_index(full, ",", 1), F.lit(","), digits))
+            .when(full.contains(":"), F.concat(full, F.lit(",000")))
+            .otherwise(full)
+        )
+
+    return _let(F.split(F.translate(strip(c), ".", ","), ":"), lambda parts: _let(hours(parts), millis))
 
 
 def repair_srt(c: Column | str) -> Column:
@@ -155,12 +164,16 @@ def repair_srt(c: Column | str) -> Column:
             ),
         ).otherwise(ln),
     )
-    heads = F.transform(
-        stamped,
-        lambda ln, i: ln.rlike(r"\A\d+\z") & F.coalesce(F.get(lines, i + 1).contains("-->"), F.lit(False)),
+    following = F.slice(stamped, 2, 100_000_000)
+    # A number line is one with a time line after it. Cutting there makes the new number the
+    # position of the piece.
+    marked = F.array_join(
+        F.zip_with(
+            stamped, following,
+            lambda ln, nxt: F.when(ln.rlike(r"\A\d+\z") & F.coalesce(nxt.contains("-->"), F.lit(False)), F.lit(_CUT)).otherwise(ln),
+        ),
+        "\n",
     )
-    # Cutting at the number lines makes the new number the position of the piece.
-    marked = F.array_join(F.zip_with(stamped, heads, lambda ln, h: F.when(h, F.lit(_CUT)).otherwise(ln)), "\n")
     pieces = F.transform(
         F.split(marked, _CUT), lambda p, i: F.when(i == 0, p).otherwise(F.concat(i.cast("string"), p))
     )
@@ -207,11 +220,11 @@ def parse_numbered(answers: DataFrame, batch_size: Column | int, raw: str = "raw
 
     lines = F.transform(F.split(F.coalesce(F.col(raw), F.lit("")), _LINE_BREAK), read)
     valid = F.filter(lines, lambda e: (e["offset"] >= 0) & (e["offset"] < size) & (e["text"] != ""))
-    # A speaker given on an earlier duplicate stays when the later one names none.
-    numbered = F.array_sort(F.array_distinct(F.transform(valid, lambda e: e["offset"])))
 
+    # The lines are a column of their own: inside a lambda an expression would be computed again
+    # for every element. A speaker given on an earlier duplicate stays when the later names none.
     def latest(offset: Column) -> Column:
-        same = F.filter(valid, lambda e: e["offset"] == offset)
+        same = F.filter("_valid", lambda e: e["offset"] == offset)
         spoken = F.filter(same, lambda e: e["tag"].isin("M1", "F1", "M2", "F2", "N"))
         return F.struct(
             offset.alias("offset"),
@@ -219,7 +232,8 @@ def parse_numbered(answers: DataFrame, batch_size: Column | int, raw: str = "raw
             F.try_element_at(spoken, F.lit(-1))["tag"].alias("speaker"),
         )
 
-    return answers.select(*keys, F.explode(F.transform(numbered, latest)).alias("e")).select(
+    numbered = F.array_sort(F.array_distinct(F.transform("_valid", lambda e: e["offset"])))
+    return answers.withColumn("_valid", valid).select(*keys, F.explode(F.transform(numbered, latest)).alias("e")).select(
         *keys, "e.offset", "e.text", "e.speaker"
     )
 
@@ -255,13 +269,13 @@ def parse_segmentation(answers: DataFrame, raw: str = "raw") -> DataFrame:
         )
 
     parsed = F.filter(F.transform(items, read), lambda e: (e["index"] > 0) & (F.size(e["segments"]) > 0))
-    numbers = F.array_sort(F.array_distinct(F.transform(parsed, lambda e: e["index"])))
+    numbers = F.array_sort(F.array_distinct(F.transform("_parsed", lambda e: e["index"])))
     last = F.transform(numbers, lambda n: F.struct(
         n.alias("index"),
-        F.try_element_at(F.filter(parsed, lambda e: e["index"] == n), F.lit(-1))["segments"].alias("segments"),
+        F.try_element_at(F.filter("_parsed", lambda e: e["index"] == n), F.lit(-1))["segments"].alias("segments"),
     ))
     error = F.when(body.isNull(), "no_json").when(items.isNull(), "no_items")
-    rows = answers.select(*keys, error.alias("error"), F.when(error.isNull(), last).alias("made"))
+    rows = answers.select(*keys, error.alias("error"), parsed.alias("_parsed")).select(*keys, "error", last.alias("made"))
     return rows.select(*keys, "error", F.explode_outer("made").alias("e")).select(*keys, "e.index", "e.segments", "error")
 
 
@@ -274,14 +288,17 @@ def parse_contact_sheet(answers: DataFrame, raw: str = "raw", expected: str = "e
     body = _outer(_unfenced(raw), "{", "}")
     frames = F.from_json(body, "struct<frames:array<struct<frame_id:string,text:string,kind:string>>>")["frames"]
     known = F.filter(frames, lambda f: F.array_contains(F.col(expected), f["frame_id"]))
-    ids = F.transform(known, lambda f: f["frame_id"])
+    ids = F.transform("_known", lambda f: f["frame_id"])
     missing = F.array_except(F.col(expected), ids)
     error = (
-        F.when(body.isNull(), "no_json").when(frames.isNull(), "no_frames")
+        F.when(~F.col("_json"), "no_json").when(F.col("_known").isNull(), "no_frames")
         .when(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_frame")
         .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(F.slice(missing, 1, 8), ", ")))
     )
-    rows = answers.select(*keys, error.alias("error"), F.when(error.isNull(), known).alias("made"))
+    read = answers.select(*keys, expected, body.isNotNull().alias("_json"), known.alias("_known"))
+    rows = read.select(*keys, error.alias("error"), "_known").select(
+        *keys, "error", F.when(F.col("error").isNull(), F.col("_known")).alias("made")
+    )
     kind = F.lower(F.coalesce(F.col("f.kind"), F.lit("none")))
     return rows.select(*keys, "error", F.explode_outer("made").alias("f")).select(
         *keys, "f.frame_id", F.coalesce(squeeze("f.text"), F.lit("")).alias("text"),

@@ -110,11 +110,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def same_text(expected: Column | str, observed: Column | str) -> Column:
-    """Fuzzy equality for recognised text; short strings must be closer."""
+    """Fuzzy equality for recognised text; short strings must be closer.
+
+    Equal strings and pairs whose lengths already rule a match out are decided natively; only
+    the others reach the similarity function.
+    """
     a, b = norm_for_match(expected), norm_for_match(observed)
     least = F.least(F.length(a), F.length(b))
     need = F.when(least <= 4, F.lit(0.90)).otherwise(F.lit(0.84))
-    return (least >= 2) & (similarity(a, b) >= need)
+    possible = (a != b) & (least * 2 / (F.length(a) + F.length(b)) >= need)
+    ratio = F.coalesce(similarity(F.when(possible & (least >= 2), a), b), F.lit(0.0))
+    return (least >= 2) & ((a == b) | (ratio >= need))
 
 
 def safe_stem(c: Column | str, length: int = 80, fallback: str = "video") -> Column:

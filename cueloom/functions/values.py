@@ -214,49 +214,53 @@ def _fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lines", "font_size", "width", "height", "overflow"])
 
 
-def _advance(char: str) -> float:
-    return 1.0 if "\u4e00" <= char <= "\u9fff" else 0.58
+def _han(text: str) -> int:
+    return sum("\u4e00" <= ch <= "\u9fff" for ch in text)
 
 
-def _break_lines(text: str, room: float, size: int) -> list[str]:
-    """Greedy lines no wider than ``room``; words wider than a line are cut, never dropped."""
+def _span(han: int, other: int, size: int) -> float:
+    return han * size + other * (size * 0.58)
 
-    def wide(piece: str) -> float:
-        return sum(size * _advance(ch) if _advance(ch) != 1.0 else size for ch in piece)
 
-    lines: list[str] = []
-    for paragraph in text.splitlines() or [""]:
-        line = ""
-        for word in paragraph.split():
+def _break_lines(paragraphs: list[list[tuple[str, int]]], room: float, size: int) -> list[tuple[str, float]]:
+    """Greedy lines no wider than ``room``; words wider than a line are cut, never dropped."""
+    lines: list[tuple[str, float]] = []
+    for words in paragraphs:
+        line, han = "", 0
+        for word, word_han in words:
             joined = f"{line} {word}" if line else word
-            if wide(joined) <= room:
-                line = joined
+            if _span(han + word_han, len(joined) - han - word_han, size) <= room:
+                line, han = joined, han + word_han
                 continue
             if line:
-                lines.append(line)
-            line = ""
+                lines.append((line, _span(han, len(line) - han, size)))
+            line, han = "", 0
+            if _span(word_han, len(word) - word_han, size) <= room:
+                line, han = word, word_han
+                continue
             for char in word:
-                if line and wide(line + char) > room:
-                    lines.append(line)
-                    line = ""
-                line += char
+                wide = _han(char)
+                if line and _span(han + wide, len(line) + 1 - han - wide, size) > room:
+                    lines.append((line, _span(han, len(line) - han, size)))
+                    line, han = "", 0
+                line, han = line + char, han + wide
         if line:
-            lines.append(line)
-    return lines or [""]
+            lines.append((line, _span(han, len(line) - han, size)))
+    return lines or [("", 0.0)]
 
 
 def _fit_one(text: str, width: int, height: int, largest: int, smallest: int):
     """Largest size at which at most four lines fit; the smallest one with a flag otherwise."""
     clean = unicodedata.normalize("NFC", (text or "").replace("\r", "").strip())
+    paragraphs = [[(w, _han(w)) for w in p.split()] for p in clean.splitlines()]
     room, tall = max(12, width - 12), max(8, height - 8)
     floor = min(largest, max(12, smallest))
     for size in range(largest, floor - 1, -1):
-        lines = _break_lines(clean, room, size)
-        span = max(sum(size if _advance(ch) == 1.0 else size * 0.58 for ch in line) for line in lines)
-        stack = len(lines) * size * 1.15
-        fits = len(lines) <= 4 and stack <= tall and span <= room
+        lines = _break_lines(paragraphs, room, size)
+        widest, stack = max(w for _line, w in lines), len(lines) * size * 1.15
+        fits = len(lines) <= 4 and stack <= tall and widest <= room
         if fits or size == floor:
-            return lines, size, float(span), stack, not fits
+            return [line for line, _w in lines], size, float(widest), stack, not fits
 
 
 def fit_layout(text: Column | str, width: Column, height: Column, largest: Column, smallest: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cueloom.functions.text import strip
 from cueloom.functions.values import py_round
@@ -42,15 +41,15 @@ def title_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
 def subtitle_region(boxes: DataFrame, tracks: DataFrame, width: int, height: int) -> DataFrame:
     """Band that holds a track's subtitles, from robust bounds of its boxes."""
     found = subtitle_boxes(boxes, width, height)
-    bounds = {"y0": ("_top", 0.5), "y1": ("_bottom", 0.5), "x1": ("_right", 0.85), "x0": ("_left", 0.15)}
-    counts = [F.count(F.lit(1)).alias("samples"), F.countDistinct("frame").alias("frames_with_text")]
-    whole = all(isinstance(boxes.schema[c].dataType, T.IntegralType) for c in bounds)
-    if whole:
-        # Whole pixels have at most as many values as the frame has rows or columns.
-        counts += [F.percentile(c, F.lit(q)).alias(n) for c, (n, q) in bounds.items()]
-    facts = found.groupBy(KEY).agg(*counts)
-    for column, (name, q) in ({} if whole else bounds).items():
-        facts = facts.join(quantiles(found, [KEY], column, {name: q}), KEY)
+    counts = found.groupBy(KEY).agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("frame").alias("frames_with_text"))
+    edges = found.select(KEY, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("edge"), F.col(c).cast("double").alias("v")) for c in ("x0", "y0", "x1", "y1")
+    ])).alias("e")).select(KEY, "e.edge", "e.v")
+    cuts = quantiles(edges, [KEY, "edge"], "v", {"middle": 0.5, "low": 0.15, "high": 0.85})
+    bounds = {"_top": ("y0", "middle"), "_bottom": ("y1", "middle"), "_right": ("x1", "high"), "_left": ("x0", "low")}
+    facts = cuts.groupBy(KEY).agg(*[
+        F.max(F.when(F.col("edge") == edge, F.col(point))).alias(name) for name, (edge, point) in bounds.items()
+    ]).join(counts, KEY)
     top, bottom = F.col("_top").cast("int"), F.col("_bottom").cast("int")
     pad = F.greatest(F.lit(8), ((bottom - top) * F.lit(0.22)).cast("int"))
     y0, y1 = F.greatest(F.lit(0), top - pad), F.least(F.lit(height), bottom + pad)

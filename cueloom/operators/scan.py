@@ -264,14 +264,12 @@ def islands(df: DataFrame, layout: Layout, starts: Column, name: str) -> DataFra
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key.
 
-    The built-in ``percentile`` holds all distinct values of a key in one task, so keys
-    with too many rows are answered by picking the ranks around each quantile instead.
+    Equal values are first counted, then the two ranks around each quantile are picked by a
+    running count. The built-in ``percentile`` would hold all distinct values of a key in one
+    task, and interpolates with other rounding.
     """
     rows = df.where(F.col(value).isNotNull())
     layout = plan_layout(rows, keys, [value])
-    if not layout.split:
-        return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in points.items()])
-    # Equal values are interchangeable, so ranks come from (value, count) pairs: small and tie-free.
     grouped = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = scan(grouped, layout, {"_below": ("sum_before", F.col("_n")), "_rows": ("sum_all", F.col("_n"))})
     picks = []
@@ -286,7 +284,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
         at = (F.col("_rows") - 1) * F.lit(float(q))
         part = at - F.floor(at)
         low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-        out.append(F.when(part == 0, low).otherwise(low * (1 - part) + high * part).alias(name))
+        # Interpolated from the nearer end, so that rounding does not depend on the direction.
+        out.append(F.when(part < 0.5, low + (high - low) * part).otherwise(high - (high - low) * (1 - part)).alias(name))
     return picked.select(*keys, *out)
 
 

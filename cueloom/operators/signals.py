@@ -176,10 +176,10 @@ def speech_onset(energies: DataFrame, window_s: float = 0.05) -> DataFrame:
 
 def paired_benchmark(runs: DataFrame) -> DataFrame:
     """Median seconds of both variants of a case, and their ratio."""
-    base, new = F.col("variant") == "baseline", F.col("variant") == "candidate"
-    medians = runs.groupBy("case").agg(
-        F.percentile(F.when(base, F.col("seconds")), F.lit(0.5)).alias("_a"),
-        F.percentile(F.when(new, F.col("seconds")), F.lit(0.5)).alias("_b"),
+    middle = quantiles(runs, ["case", "variant"], "seconds", {"m": 0.5})
+    medians = middle.groupBy("case").agg(
+        F.max(F.when(F.col("variant") == "baseline", F.col("m"))).alias("_a"),
+        F.max(F.when(F.col("variant") == "candidate", F.col("m"))).alias("_b"),
     )
     return medians.select(
         "case", py_round("_a", 6).alias("baseline_seconds"), py_round("_b", 6).alias("candidate_seconds"),
