@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from catalog import scalars, tracks  # noqa: F401
+from catalog import feeds, scalars, states, tracks  # noqa: F401
 from catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
