@@ -503,12 +503,13 @@ def _message_stream(spark, sf_dir):
     return X.append_all(read_messages(spark, base), "messages")
 
 
-@query("stm9_chunk_arrivals", """WITH g AS (SELECT DISTINCT l_orderkey AS session_id, CAST(l_linenumber + l_partkey % 4 - 1 AS BIGINT) AS i FROM lineitem)
-    SELECT session_id, count(*) AS received, 'complete' AS event FROM g WHERE i < 3 GROUP BY session_id HAVING count(*) = 3""")
+@query("stm9_chunk_arrivals", """WITH g AS (SELECT DISTINCT l_orderkey AS session_id, CAST(l_linenumber + l_partkey % 4 - 1 AS BIGINT) AS i FROM lineitem), m AS (SELECT max(l_shipdate) AS now FROM lineitem),
+    s AS (SELECT session_id, count(*) AS received FROM g WHERE i < 3 GROUP BY session_id), t AS (SELECT l_orderkey AS session_id, max(l_shipdate) AS seen FROM lineitem WHERE l_linenumber + l_partkey % 4 - 1 < 3 GROUP BY 1)
+    SELECT session_id, received, CASE WHEN received = 3 THEN 'complete' ELSE 'expired' END AS event FROM s JOIN t USING (session_id), m WHERE received = 3 OR epoch_us(now) - epoch_us(seen) > 7200000000""")
 def _arrivals(spark, sf_dir):
     rows = X.file_stream(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("chunk_index"), F.lit(1000).cast("bigint").alias("bytes"), F.lit(3).cast("bigint").alias("total_chunks"))
-    return X.append_all(X.chunk_arrivals(rows), "arrivals")
+        F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("chunk_index"), F.lit(3).cast("bigint").alias("total_chunks"), F.col("l_shipdate").alias("ts"))
+    return X.chunk_arrivals(rows)
 
 
 @query("stm10_delivery_timer", DELIVERY)

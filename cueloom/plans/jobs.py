@@ -17,6 +17,7 @@ from cueloom.operators.quality import (
     attach_speakers, emit_packages, publish_packages, quality_flags, resolve_voice, tts_requests,
 )
 from cueloom.operators.state import evict_jobs, expired_files
+from cueloom.session import checkpointed
 
 
 @dataclass
@@ -39,8 +40,9 @@ def fuse_corpus(
     contract is grouped by its own cues and takes ``fallback_lines`` (``track_id, group_no,
     text``; ``group_no`` is the first cue id), or its source text.
     """
-    parsed = parse_fusion(answers)
-    checked = coverage(parsed.where(F.col("error").isNull()).drop("error"), cues)
+    # Both are read several times below, so they are written once instead of derived again.
+    parsed = checkpointed(parse_fusion(answers))
+    checked = checkpointed(coverage(parsed.where(F.col("error").isNull()).drop("error"), cues))
     problems = coverage_errors(checked, cues).select(KEY, F.col("first_error").alias("_contract"))
     unusable = parsed.where(F.col("error").isNotNull()).select(KEY, F.col("error").alias("_answer")).distinct()
     asked = answers.select(KEY).distinct().withColumn("_asked", F.lit(True))
@@ -66,7 +68,7 @@ def fuse_corpus(
     own = own.withColumn("translation", F.coalesce("_line", "source_text")).select(
         *[F.transform("source_ids", lambda v: v.cast("bigint")).alias(c) if c == "source_ids" else F.col(c) for c in shape]
     )
-    display = merge_fragments(split_sentences_timed(fused.unionByName(own)))
+    display = checkpointed(merge_fragments(split_sentences_timed(fused.unionByName(own))))
     if segment_answers is not None:
         proposals = parse_segmentation(segment_answers).where(F.col("index").isNotNull()).select(KEY, "index", "segments")
         display = allocate_segments(display, proposals, lang)

@@ -9,10 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from cueloom.operators.cues import KEY
 from cueloom.operators.scan import islands, plan_layout, scan
@@ -20,8 +18,6 @@ from cueloom.operators.state import delivery_step, job_upsert, ledger_claim, led
 from cueloom.session import shared_dir
 from cueloom.sources.readers import decode_messages
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table file of a folder as a stream; zoneless times become timestamps."""
@@ -209,57 +205,51 @@ def read_receipts(messages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- uploads
 
 
-class ChunkArrivals(StatefulProcessor):
-    """Received chunk numbers per upload; tells completion once, and forgets idle uploads."""
-
-    TTL_MS = 7_200_000
-
-    def init(self, handle) -> None:
-        from pyspark.sql import types as T
-
-        self._handle = handle
-        self._got = handle.getMapState(
-            "got", T.StructType([T.StructField("i", T.LongType())]), T.StructType([T.StructField("b", T.LongType())])
-        )
-        self._done = handle.getValueState(
-            "done", T.StructType([T.StructField("n", T.LongType()), T.StructField("told", T.BooleanType())])
-        )
-
-    def handleInputRows(self, key, rows, timerValues):
-        count, told = self._done.get() if self._done.exists() else (0, False)
-        total = 0
-        for frame in rows:
-            for index, size, chunks in zip(frame["chunk_index"], frame["bytes"], frame["total_chunks"]):
-                total = int(chunks)
-                if 0 <= index < chunks and not self._got.containsKey((int(index),)):
-                    count += 1
-                    self._got.updateValue((int(index),), (int(size),))
-        if not told and total and count == total:
-            told = True
-            yield pd.DataFrame({"session_id": [key[0]], "received": [count], "event": ["complete"]})
-        self._done.update((count, told))
-        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.TTL_MS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        count, told = self._done.get() if self._done.exists() else (0, True)
-        self._got.clear()
-        self._done.clear()
-        if not told:
-            yield pd.DataFrame({"session_id": [key[0]], "received": [count], "event": ["expired"]})
-        else:
-            yield pd.DataFrame({"session_id": [], "received": [], "event": []})
-
-    def close(self) -> None:
-        pass
+RECEIPTS = "session_id bigint, chunk_index bigint, total_chunks bigint, seen bigint"
+UPLOAD_TTL_S = 7200
+_DONE = -1  # receipt number that marks a session already told to be complete
 
 
 def chunk_arrivals(chunks: DataFrame) -> DataFrame:
-    """Completion and expiry events of uploads from ``(session_id, chunk_index, bytes, total_chunks)``."""
-    chunks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return chunks.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=ChunkArrivals(), outputStructType="session_id bigint, received bigint, event string",
-        outputMode="Append", timeMode="ProcessingTime",
-    )
+    """Upload events from ``(session_id, chunk_index, total_chunks, ts)``: complete or expired, once each.
+
+    A receipt counts once however often it arrives. Receipts of open sessions are kept between
+    batches; a session idle for two hours of event time is dropped.
+    """
+    spark = chunks.sparkSession
+    base = run_folder(spark, "uploads")
+    spark.createDataFrame([], RECEIPTS).write.mode("overwrite").parquet(_state_path(base, 0))
+    out = f"{base}/events"
+    seen = {"last": 0}
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        old = batch.sparkSession.read.schema(RECEIPTS).parquet(_state_path(base, batch_id))
+        index = F.col("chunk_index")
+        new = batch.where((index >= 0) & (index < F.col("total_chunks"))).select(
+            "session_id", "chunk_index", "total_chunks", F.unix_seconds("ts").alias("seen"))
+        receipts = old.unionByName(new).groupBy("session_id", "chunk_index").agg(
+            F.max("total_chunks").alias("total_chunks"), F.max("seen").alias("seen"))
+        clock = batch.agg(F.max(F.unix_seconds("ts"))).first()[0] or 0
+        per_session = receipts.groupBy("session_id").agg(
+            F.count_if(index >= 0).alias("received"), F.max("total_chunks").alias("_total"),
+            F.max("seen").alias("_seen"), F.bool_or(index == _DONE).alias("_told"))
+        idle = F.lit(clock) - F.col("_seen") > UPLOAD_TTL_S
+        event = F.when(~F.col("_told") & (F.col("received") == F.col("_total")), "complete").when(~F.col("_told") & idle, "expired")
+        judged = per_session.withColumn("event", event).withColumn("_idle", idle)
+        judged.where(F.col("event").isNotNull()).select("session_id", "received", "event").write.mode("overwrite").parquet(
+            f"{out}/batch={batch_id}")
+        told = judged.where(~F.col("_idle") & ((F.col("event") == "complete") | F.col("_told"))).select(
+            "session_id", F.lit(_DONE).cast("bigint").alias("chunk_index"), F.col("_total").alias("total_chunks"), F.col("_seen").alias("seen"))
+        waiting = judged.where(~F.col("_idle") & F.col("event").isNull() & ~F.col("_told")).select("session_id")
+        receipts.join(waiting, "session_id", "left_semi").unionByName(told).write.mode("overwrite").parquet(
+            _state_path(base, batch_id + 1))
+        seen["last"] = batch_id + 1
+
+    each_batch(chunks, "uploads", handle, base)
+    events = "session_id bigint, received bigint, event string"
+    if not seen["last"]:
+        return spark.createDataFrame([], events)
+    return spark.read.schema(events).parquet(out)
 
 
 def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame) -> DataFrame:
