@@ -79,6 +79,7 @@ def main() -> None:
     spark = build_session()
     if args.hot:
         spark.conf.set("cueloom.hotRows", args.hot)
+        spark.conf.set("spark.sql.shuffle.partitions", "128")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = connect(sf_dir)
     bad = 0

@@ -194,8 +194,9 @@ def refine_boundaries(
     overlay = F.coalesce(overlay, F.lit(False))
     ms = F.lit(1000.0) / F.col("fps")
     sided = (
-        bounded.withColumn("_first", F.when(~overlay, F.col("_first")))
-        .withColumn("_last", F.when(~overlay, F.col("_last")))
+        bounded.withColumn("_overlay", overlay)
+        .withColumn("_first", F.when(~F.col("_overlay"), F.col("_first")))
+        .withColumn("_last", F.when(~F.col("_overlay"), F.col("_last")))
         .withColumn("_start", F.rint(F.col("_first") * ms).cast("bigint"))
         .withColumn("_end", F.rint((F.col("_last") + 1) * ms).cast("bigint"))
     )

@@ -249,7 +249,7 @@ def chunk_arrivals(chunks: DataFrame) -> DataFrame:
     events = "session_id bigint, received bigint, event string"
     if not seen["last"]:
         return spark.createDataFrame([], events)
-    return spark.read.schema(events).parquet(out)
+    return spark.read.schema(events).parquet(out).select("session_id", "received", "event")
 
 
 def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame) -> DataFrame:
