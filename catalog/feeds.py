@@ -365,12 +365,12 @@ def _options(spark, sf_dir):
     return B.validate_batch_options(rows).select("o_orderkey", "recursive", "region_mode", "x_ratio", F.array_join("errors", ",").alias("errors"))
 
 
-@query("val3_studio_options", """SELECT o_orderkey, o_orderstatus <> 'F' AS step_tts, o_orderstatus <> 'F' AND o_orderstatus <> 'P' AS step_burn_sub, CASE WHEN o_custkey % 6 = 0 THEN 700.0::DOUBLE ELSE 60.0::DOUBLE END AS margin,
+@query("val3_run_options", """SELECT o_orderkey, o_orderstatus <> 'F' AS step_tts, o_orderstatus <> 'F' AND o_orderstatus <> 'P' AS step_burn_sub, CASE WHEN o_custkey % 6 = 0 THEN 700.0::DOUBLE ELSE 60.0::DOUBLE END AS margin,
     array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'no_step' END, CASE WHEN o_custkey % 6 = 0 THEN 'bad_margin' END, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'video_needed' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders""")
-def _studio(spark, sf_dir):
+def _run_options(spark, sf_dir):
     steps = F.when(F.col("o_orderstatus") == "F", F.create_map(F.lit("tts"), F.lit("no"))).when(F.col("o_orderstatus") == "P", F.create_map(F.lit("tts"), F.lit("1")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", steps.alias("steps"), F.when(F.col("o_orderpriority") == "1-URGENT", "srt_only").alias("source_type"), F.when(F.col("o_custkey") % 6 == 0, 700).alias("margin"))
-    return B.validate_studio_options(rows).select("o_orderkey", "step_tts", "step_burn_sub", "margin", F.array_join("errors", ",").alias("errors"))
+    return B.validate_run_options(rows).select("o_orderkey", "step_tts", "step_burn_sub", "margin", F.array_join("errors", ",").alias("errors"))
 
 
 @query("val4_fill_defaults", "SELECT c_custkey, c_mktsegment AS vmode, 'edge' AS tts_engine, CAST(16 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n FROM customer")

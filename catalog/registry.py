@@ -17,7 +17,13 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Times of the tables carry no zone; the SQL side reads them as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.functions.text import SPACE, _col, strip
+from cueloom.functions.text import _col, strip
 
 # Accepted video suffixes and languages.
 VIDEO_SUFFIXES = [".mp4", ".mkv", ".avi", ".mov", ".webm", ".m4v"]
@@ -195,6 +195,7 @@ def identity_key(*parts: Column | str, length: int = 24) -> Column:
 
 
 def package_key(batch: Column, item: Column, source_hash: Column, video_hash: Column) -> Column:
+    # Fixed format: prefix, then 24 hex digits of the hash of the joined parts.
     joined = F.concat_ws("|", batch, item, source_hash, video_hash)
     return F.concat(F.lit("dysrt_"), F.substring(F.sha2(joined, 256), 1, 24))
 

@@ -78,8 +78,8 @@ def validate_batch_options(options: DataFrame) -> DataFrame:
     )
 
 
-# Studio choices with their allowed values, the default first.
-STUDIO_CHOICES = {
+# Choices of a run with their allowed values, the default first.
+RUN_CHOICES = {
     "source_type": ["upload", "url", "srt_only"],
     "target_lang": ["vi", "en", "id"],
     "sub_engine": ["hybrid", "gemini", "whisper"],
@@ -89,27 +89,27 @@ STUDIO_CHOICES = {
     "audio_mode": ["keep_original", "tts_only", "tts_ducking", "tts_ai_bgm", "tts_clean_bgm"],
     "align_mode": ["smart_sync", "strict_sub"],
 }
-STUDIO_STEPS = {"download": True, "extract_sub": True, "clean_video": False, "tts": True, "burn_sub": True}
+RUN_STEPS = {"download": True, "extract_sub": True, "clean_video": False, "tts": True, "burn_sub": True}
 VIDEO_STEPS = ["extract_sub", "clean_video", "burn_sub"]
-# Studio numbers as (default, lowest, highest, whole numbers only).
-STUDIO_NUMBERS = {"margin": (60, 0, 500, True), "max_speed": (1.45, 1, 3, False), "bgm_volume": (0.8, 0, 1.5, False)}
+# Numbers of a run as (default, lowest, highest, whole numbers only).
+RUN_NUMBERS = {"margin": (60, 0, 500, True), "max_speed": (1.45, 1, 3, False), "bgm_volume": (0.8, 0, 1.5, False)}
 
 
-def validate_studio_options(options: DataFrame) -> DataFrame:
-    """Studio settings of a run. A supplied step list is complete: omitted steps are off."""
+def validate_run_options(options: DataFrame) -> DataFrame:
+    """Settings of a single run. A supplied step list is complete: omitted steps are off."""
     columns, errors = {}, []
     steps = F.col("steps") if "steps" in options.columns else F.lit(None).cast("map<string,string>")
-    for name, default in STUDIO_STEPS.items():
+    for name, default in RUN_STEPS.items():
         columns[f"step_{name}"] = F.when(steps.isNull(), default).otherwise(parse_bool(F.try_element_at(steps, F.lit(name))))
     any_step = F.lit(False)
-    for name in STUDIO_STEPS:
+    for name in RUN_STEPS:
         any_step = any_step | columns[f"step_{name}"]
     errors.append(F.when(~any_step, "no_step"))
-    for name, allowed in STUDIO_CHOICES.items():
+    for name, allowed in RUN_CHOICES.items():
         value = F.coalesce(_given(options, name), F.lit(allowed[0]))
         columns[name] = value
         errors.append(F.when(~value.isin(allowed), f"bad_{name}"))
-    for name, (default, low, high, whole) in STUDIO_NUMBERS.items():
+    for name, (default, low, high, whole) in RUN_NUMBERS.items():
         raw = _given(options, name).cast("string")
         number = F.coalesce(raw, F.lit(str(default))).try_cast("double")
         bad = number.isNull() | F.isnan(number) | ~number.between(low, high)
