@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,8 +209,6 @@ def run_items(items: DataFrame, processor, schema: str) -> DataFrame:
     names = [f.name for f in extra.fields]
 
     def run(frames):
-        import pandas as pd
-
         for frame in frames:
             rows = []
             for record in frame.to_dict("records"):
@@ -235,8 +234,6 @@ def translate_batches(batched: DataFrame, translate, batch: str = "batch_no") ->
     requests = batched.groupBy(KEY, F.col(batch).cast("bigint").alias(batch)).agg(texts.alias("texts"))
 
     def run(frames):
-        import pandas as pd
-
         for frame in frames:
             rows = []
             for key, number, lines in zip(frame[KEY], frame[batch], frame["texts"]):
@@ -251,8 +248,6 @@ def translate_batches(batched: DataFrame, translate, batch: str = "batch_no") ->
 
 def recognise_frames(frames: DataFrame, recognizer, schema: str = "array<struct<text:string,confidence:double>>") -> DataFrame:
     """Read text off frame images with a user function over batches of binaries."""
-    import pandas as pd
-
     @F.pandas_udf(schema)
     def read(images: pd.Series) -> pd.Series:
         return images.map(recognizer)

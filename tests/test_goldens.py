@@ -256,3 +256,9 @@ def test_files_and_versions(spark, tmp_path):
     assert sinks.read_version(spark, base).count() == 1
     (tmp_path / "conf.json").write_text('[{"key": "a"}]')
     assert readers.read_json_config(spark, str(tmp_path / "conf.json"), "key string").count() == 1
+
+
+def test_recogniser_hook(spark):
+    frames = spark.createDataFrame([("t", 1, b"ab"), ("t", 2, b"")], "track_id string, frame_idx int, image binary")
+    out = P.recognise_frames(frames, lambda b: [{"text": b.decode(), "confidence": 0.5}] if b else [])
+    assert [tuple(r) for r in out.collect()] == [("t", 1, 0, "ab", 0.5)]
