@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import jaccard, licenses, secret_scan, sharding, warc
+from cueloom.llm import decontaminate, fingerprints, jaccard, licenses, secret_scan, sharding, warc
 from cueloom.llm.common import known, load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(load(spark, sf_dir, "documents"))
+
+
+@query("op2_benchmark_leaks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op9_parsed_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(load(spark, sf_dir, "documents"))
