@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, fingerprints, jaccard, licenses, secret_scan, sharding, warc
+from cueloom.llm import decontaminate, fingerprints, jaccard, licenses, packing, secret_scan, sharding, warc
 from cueloom.llm.common import known, load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_parsed_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+@query("op4_hilbert_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
