@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, fingerprints, jaccard, licenses, packing, quality, secret_scan, sharding, warc
+from cueloom.llm import decontaminate, fingerprints, jaccard, licenses, packing, quality, secret_scan, sharding, suffixes, warc
 from cueloom.llm.common import known, load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scored.filter("keep").select("doc_id", "p_quality", "p_toxic", "keep")
+
+
+@query("op6_suffix_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
