@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cueloom.session import shared_dir
 
@@ -37,3 +38,19 @@ def checked(df: DataFrame, row_bytes: int) -> DataFrame:
 def known(text: str = "text"):
     """A text column with null read as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def widened(df: DataFrame, **kinds: str) -> StructType:
+    """The table's schema with further columns."""
+    shape = StructType(list(df.schema.fields))
+    for name, kind in kinds.items():
+        shape = shape.add(name, kind)
+    return shape

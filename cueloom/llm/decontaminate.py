@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm import tokens
-from cueloom.llm.common import checked, known, staged
+from cueloom.llm.common import checked, known, staged, unused
 
 SHINGLE = 5
 LEAST = 0.8
@@ -233,7 +233,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radi
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose texts hold no benchmark item; rows without an id are judged by their text as well."""
-    keyed = docs.withColumn("__text", F.xxhash64(known()))
-    named = keyed.select(F.col("__text").alias("doc_id"), "text")
-    leaks = staged(find_leaks(named, benchmark).select(F.col("doc_id").alias("__text")).distinct(), "leaks")
-    return keyed.join(checked(leaks, 16), "__text", "left_anti").select(*docs.columns)
+    key = unused(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(known()))
+    named = keyed.select(F.col(key).alias("doc_id"), "text")
+    leaks = staged(find_leaks(named, benchmark).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return keyed.join(checked(leaks, 16), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

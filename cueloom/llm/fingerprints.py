@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm import tokens
-from cueloom.llm.common import checked, known, staged
+from cueloom.llm.common import known, unused, widened
 
 SLOTS = 64
 BUCKET_BYTES = 16 << 20
@@ -119,9 +119,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerpr
             values = written(fingerprint_texts(batch.column(batch.num_columns - 1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*batch.schema.names[:-1], name])
 
-    kept = [F.col(c) for c in docs.columns if c != name]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
-    return docs.select(*kept, known(text).alias("__text")).mapInArrow(run, f"{shape}, `{name}` string")
+    kept = docs.drop(name)
+    return kept.withColumn(unused(kept, "passage"), known(text)).mapInArrow(run, widened(kept, **{name: "string"}))
 
 
 def _edits(batches):

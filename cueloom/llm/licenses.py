@@ -53,6 +53,23 @@ def _bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _telling(grams: list[str], least: float, ratio: float) -> set[str]:
+    """Words of which every passage similar enough to a template has one.
+
+    Such a passage shares so many bigrams with the template that it can only miss a few; these words are in more than
+    that. Long words are taken first, as they are rarer in other texts.
+    """
+    n = len(grams)
+    missed = n - math.ceil(least * (n + n * ratio) / 2 - 1e-9)
+    words, covered = set(), set()
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(covered) > missed:
+            break
+        words.add(word)
+        covered |= {g for g in grams if word in g.split()}
+    return words
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The best licence of every document and how many of its passages carry one.
 
@@ -72,11 +89,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
         F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.array(*[F.lit(x) for x in g]).alias("grams")) for name, g in grams.items()
     ])
     plain = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n"), r"\n\n+", "\r")
+    words = sorted(set().union(*[_telling(g, least, ratio) for g in grams.values()]))
+    told = F.rlike("plain", F.lit(rf"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("plain", r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n"), r"\n\n+", "\r")
     # Blocks end in \r, lines in \n or \r; a unit's words are counted before its bigrams are built.
-    lines = F.split(clean, r"[\n\r]")
-    blocks = F.transform(F.split(clean, "\r"), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
-    whole = F.array(F.translate(clean, "\n\r", "  "))
+    lines = F.split("clean", r"[\n\r]")
+    blocks = F.transform(F.split("clean", "\r"), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+    whole = F.array(F.translate("clean", "\n\r", "  "))
     units = F.transform(F.array_distinct(F.concat(lines, blocks, whole)), lambda x: F.split(F.trim(x), " "))
     # Every distinct bigram needs a word more; repeated bigrams only lower the number, so only the lower bound cuts here.
     units = F.filter(units, lambda w: F.size(w) > fewest)
@@ -93,10 +112,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
             (2.0 * F.size(F.array_intersect(own, t["grams"])) / (n + t["n"])).alias("dice"), t["name"].alias("name")))
         return F.filter(scored, lambda s: s["dice"] >= least)
 
-    hits = F.transform(sized, best)
+    none = F.expr("CAST(array() AS array<array<struct<dice:double,name:string>>>)")
     top = F.aggregate(
-        F.flatten(F.col("hits")), F.expr("CAST(NULL AS struct<dice:double,name:string>)"),
+        F.flatten("hits"), F.expr("CAST(NULL AS struct<dice:double,name:string>)"),
         lambda a, b: F.when(a.isNull() | (b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["name"] < a["name"])), b).otherwise(a))
-    return docs.select(F.col(doc_id).alias("doc_id"), hits.alias("hits")).select(
+    # A text without a telling word has no passage that is similar enough, so only the others are taken apart.
+    scored = (
+        docs.select(F.col(doc_id).alias("doc_id"), plain.alias("plain"))
+        .select("doc_id", F.when(told, clean).alias("clean"))
+        .select("doc_id", F.when(F.col("clean").isNotNull(), F.transform(sized, best)).otherwise(none).alias("hits"))
+    )
+    return scored.select(
         "doc_id", top.alias("top"), F.size(F.filter("hits", lambda h: F.size(h) > 0)).cast("long").alias("n_passages"),
     ).select("doc_id", F.col("top.name").alias("license"), F.col("top.dice").alias("dice"), "n_passages")

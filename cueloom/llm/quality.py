@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm import tokens
-from cueloom.llm.common import checked, known, staged
+from cueloom.llm.common import checked, known, staged, unused, widened
 
 SAMPLE = 12_000
 SPACE = 1 << 18
@@ -125,12 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 3
     return Model(weights, bias, base)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, quality: str, toxic: str):
     def run(batches):
         for batch in batches:
             scores = model.logits(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores[:, 0]), pa.array(scores[:, 1])], names=[*batch.schema.names[:-1], "__quality", "__toxic"])
+                [*batch.columns[:-1], pa.array(scores[:, 0]), pa.array(scores[:, 1])], names=[*batch.schema.names[:-1], quality, toxic])
 
     return run
 
@@ -180,28 +180,35 @@ def site_priors(evidence: DataFrame) -> DataFrame:
     return staged(out.select("host", "path", "n", *[f"{h}_{x}" for h in HEADS for x in ("path", "all")]), "site-priors")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
-    """The table with p_quality, p_toxic and keep.
+def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> tuple[DataFrame, str, str]:
+    """The table with its chances of being good and of being toxic, and the names of these two columns.
 
     A document's own evidence is the logit of a classifier of its words and style. The prior of its site moves that
     logit: a site is a host and a path of it (here source and language), its prior the mean of the classifier's
-    chances over its documents, shrunk toward its host and the host toward the whole. keep: p_quality is ``least`` or
-    more and p_toxic below it.
+    chances over its documents, shrunk toward its host and the host toward the whole.
 
     Null texts count as empty; null hosts and paths are sites of their own; repeated rows are scored each, and null ids
-    as well. An empty table gives no rows. Columns whose names clash with the new ones are replaced by them.
+    as well. An empty table gives no rows. All columns stay, whatever their names.
     """
-    names = ("p_quality", "p_toxic", "keep")
-    own = docs.drop(*names)
     model = fit(docs, labels, sample)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    scored = own.withColumn("__text", known()).mapInArrow(_scorer(model), f"{shape}, __quality double, __toxic double")
-    evidence = own.select(F.col(host).alias("host"), F.col(path).alias("path"), known().alias("__text")).mapInArrow(
-        _scorer(model), "host string, path string, __quality double, __toxic double")
-    priors = site_priors(evidence.select("host", "path", *[_chance(F.col(f"__{h}")).alias(h) for h in HEADS]))
-    sites = checked(priors, 120).withColumnsRenamed({"host": "__host", "path": "__path"})
-    joined = scored.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left")
-    for h in HEADS:
-        moved = F.col(f"__{h}") + F.coalesce(_logit(F.col(f"{h}_path")) - _logit(F.col(f"{h}_all")), F.lit(0.0))
-        joined = joined.withColumn(f"p_{h}", _chance(moved))
-    return joined.withColumn("keep", (F.col("p_quality") >= least) & (F.col("p_toxic") < least)).select(*own.columns, *names)
+    names = {h: unused(docs, f"p_{h}") for h in HEADS}
+    logit = {h: unused(docs, f"logit_{h}") for h in HEADS}
+    passage, site_host, site_path = (unused(docs, x) for x in ("passage", "site_host", "site_path"))
+    rows = docs.withColumn(passage, known()).mapInArrow(
+        _scorer(model, logit["quality"], logit["toxic"]), widened(docs, **{logit[h]: "double" for h in HEADS}))
+    evidence = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), known().alias("passage")).mapInArrow(
+        _scorer(model, *HEADS), "host string, path string, quality double, toxic double")
+    priors = site_priors(evidence.select("host", "path", *[_chance(F.col(h)).alias(h) for h in HEADS]))
+    moves = {h: unused(docs, f"move_{h}") for h in HEADS}
+    sites = checked(priors.select(
+        F.col("host").alias(site_host), F.col("path").alias(site_path),
+        *[(_logit(F.col(f"{h}_path")) - _logit(F.col(f"{h}_all"))).alias(moves[h]) for h in HEADS]), 80)
+    joined = rows.join(sites, F.col(host).cast("string").eqNullSafe(F.col(site_host)) & F.col(path).cast("string").eqNullSafe(F.col(site_path)), "left")
+    chances = [_chance(F.col(logit[h]) + F.coalesce(moves[h], F.lit(0.0))).alias(names[h]) for h in HEADS]
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *chances), names["quality"], names["toxic"]
+
+
+def keepers(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows whose chance of being good is ``least`` or more and whose chance of being toxic is below it."""
+    rows, good, toxic = scored(docs, labels, **options)
+    return rows.filter((F.col(good) >= least) & (F.col(toxic) < least)).select(*[F.col(f"`{c}`") for c in docs.columns])

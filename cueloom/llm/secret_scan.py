@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import known, staged
+from cueloom.llm.common import checked, known, staged, unused
 
 
 @dataclass(frozen=True)
@@ -97,9 +97,10 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The table with every span found in ``text`` replaced by ``[kind]``; null texts stay null."""
+    blob, held = unused(docs, "blob"), unused(docs, "held")
     found, _ = scan_versions(docs.select("doc_id", "text"), rules=rules)
-    hits = staged(found.filter(F.size("spans") > 0).select("blob", "spans").distinct(), "secret-hits")
-    rows = docs.withColumn("__blob", F.unhex(F.sha2(known(), 256))).join(hits.withColumnsRenamed({"blob": "__blob", "spans": "__spans"}), "__blob", "left")
+    hits = staged(found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(held)).dropDuplicates([blob]), "secret-hits")
+    rows = docs.withColumn(blob, F.unhex(F.sha2(known(), 256))).join(checked(hits, 400), blob, "left")
     # Overlapping spans: the text between is copied from the furthest end reached so far.
     start = F.expr("named_struct('at', 0, 'out', '')")
 
@@ -110,5 +111,6 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             F.greatest(state["at"], span["end"]).alias("at"),
             F.when(fresh, F.concat(state["out"], gap, F.lit("["), span["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
-    return rows.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate(held, start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
+    text = F.when(F.col(held).isNotNull(), clean).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
