@@ -129,6 +129,17 @@ def _emitter(n: int, part: int, whole: int):
     return run
 
 
+def _lister(n: int):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, count, grams, rows in _sets(batch.column(1), n):
+                sizes = np.bincount(rows, minlength=count)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row + rows]), pa.array(grams.view(np.int64)), pa.array(sizes[rows])], ["node", "gram", "size"])
+
+    return run
+
+
 def _grams(text: str, n: int) -> frozenset:
     # Bytes are lowered in A-Z only and split at the six blanks of the contract.
     w = text.encode().lower().split()
@@ -190,7 +201,7 @@ def link_components(
     classes = live.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     shared = staged(classes.filter("copies > 1").select("digest", "node"), "jaccard-copies")
     member = sized.join(checked(shared, 64), "digest", "left").select(
-        "doc_id", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
+        "doc_id", "n_shingles", "digest", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node"))
     member = staged(member, "jaccard-members")
     copies = staged(member.filter("node <> doc_id").select("doc_id", "digest").distinct(), "jaccard-repeats")
     own = rows.filter("doc_id IS NOT NULL").withColumn("digest", digest).join(checked(copies, 64), ["doc_id", "digest"], "left_anti").select(
@@ -224,22 +235,34 @@ def link_components(
     ties = member.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(
         member.filter("node = doc_id AND n_shingles > 0").select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b").union(
         member.filter("node <> doc_id").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b"))
-    # Round one verifies every node of a key against the first one. Later rounds take more leaders, in the keys whose
-    # nodes are not in one component yet, until every pair of a key is verified or connected.
+    # First every node of a key is verified against the key's first one.
     first = kept.filter("rank = 1").select("key", F.col("node").alias("a"))
     links = staged(verified(kept.filter("rank > 1").join(first, "key").select("a", F.col("node").alias("b")).distinct()).union(ties), "jaccard-links")
-    led, more = 1, 8
-    while True:
-        labels = staged(components(links), "jaccard-labels")
-        told = kept.join(labels, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("label"))
-        open_keys = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("size")).filter(f"x <> y AND size > {led + 1}")
-        left = staged(told.join(open_keys.select("key"), "key", "left_semi"), "jaccard-open")
-        if left.isEmpty():
-            break
-        lead = left.filter(f"rank > {led} AND rank <= {led + more}").select("key", F.col("node").alias("a"), F.col("rank").alias("r"), F.col("label").alias("l"))
-        pairs = left.filter(f"rank > {led}").join(lead, "key").filter("rank > r AND label <> l").select("a", F.col("node").alias("b")).distinct()
-        links = staged(links.union(verified(pairs)), "jaccard-links")
-        led, more = led + more, more * 8
+    labels = staged(components(links), "jaccard-labels")
+    # Links still missing join two components that share a key. Of these nodes only such pairs are verified as share
+    # one of their rarest shingles: sets that link share one of the first size - least overlap + 1 in any common order.
+    told = kept.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    spread = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    open_nodes = staged(told.join(spread, "key", "left_semi").select("node", "label").distinct(), "jaccard-open")
+    grams = staged(
+        texts.join(checked(open_nodes.select("node"), 16), "node", "left_semi").select("node", "text").mapInArrow(_lister(n), "node long, gram long, size long"),
+        "jaccard-grams")
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rare = Window.partitionBy("node").orderBy("often", "gram")
+    front = (
+        grams.join(often, "gram").withColumn("turn", F.row_number().over(rare))
+        .filter(F.col("turn") <= F.expr(f"size - ((size * {part} + {whole - 1}) div {whole}) + 1")).filter("often > 1")
+    )
+    front = staged(front.join(checked(open_nodes, 24), "node").select("gram", "node", "label").distinct(), "jaccard-front")
+    # Pairs of one component need no test: the rows outside the largest component of a shingle meet all rows.
+    largest = front.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("gram").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("gram", "main")
+    front = front.join(largest, "gram").withColumn("minor", F.expr("label <> main"))
+    minor = front.filter("minor").select("gram", F.col("node").alias("a"), F.col("label").alias("own"))
+    pairs = front.join(minor, "gram").filter("label <> own AND (NOT minor OR a < node)").select("a", F.col("node").alias("b")).distinct()
+    more = staged(verified(pairs), "jaccard-links")
+    if not more.isEmpty():
+        labels = staged(components(links.union(more)), "jaccard-labels")
     return member.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
 
 
