@@ -46,9 +46,9 @@ def _newest(spark, sf_dir):
     return W.newest_works(works_from_orders(spark, sf_dir), 5).select("channel_id", "work_id", "rank")
 
 
-@query("srt2_oldest_first", with_(WORKS) + "SELECT work_id, create_time FROM works WHERE likes > 300000 ORDER BY create_time, work_id")
+@query("srt2_oldest_first", with_(WORKS) + "SELECT work_id, create_time FROM works ORDER BY create_time, work_id")
 def _oldest(spark, sf_dir):
-    return W.oldest_first(works_from_orders(spark, sf_dir).where("likes > 300000")).select("work_id", "create_time")
+    return W.oldest_first(works_from_orders(spark, sf_dir)).select("work_id", "create_time")
 
 
 @query("srt3_stable_paths", "SELECT url AS relative_path FROM pages ORDER BY lower(url), url")

@@ -442,7 +442,7 @@ def _layout(spark, sf_dir):
 
 
 def srt_docs(spark, sf_dir):
-    return C.to_srt(phrases_from_conversations(spark, sf_dir)).where(F.col("part") == 0).select("track_id", "content")
+    return C.to_srt(phrases_from_conversations(spark, sf_dir))
 
 
 TS = ("printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)")
@@ -451,34 +451,34 @@ STAMP = f"{TS.format('start_ms')} || ' --> ' || {TS.format('end_ms')}"
 
 @query("prs1_parse_srt", with_(PHRASES) + f"SELECT track_id, CAST(cue_id AS INTEGER) AS pos, CAST(cue_id AS VARCHAR) AS idx, {STAMP} AS stamp, text FROM cues")
 def _parse(spark, sf_dir):
-    return srt.parse_srt(srt_docs(spark, sf_dir))
+    return srt.parse_srt(srt_docs(spark, sf_dir)).drop("part")
 
 
 @query("prs4_cue_timings", with_(PHRASES) + "SELECT track_id, CAST(cue_id AS INTEGER) AS cue_id, start_ms, end_ms, text FROM cues")
 def _timings(spark, sf_dir):
-    return srt.cue_timings(srt_docs(spark, sf_dir))
+    return srt.cue_timings(srt_docs(spark, sf_dir)).drop("part")
 
 
 @query("prs5_tts_segments", with_(PHRASES) + """SELECT track_id, CAST(cue_id AS INTEGER) AS seg_no, CAST(cue_id AS INTEGER) AS index, start_ms, end_ms,
     end_ms - start_ms AS duration_ms, text, '[' || speaker || '] ' || text AS raw_text, speaker FROM cues""")
 def _segments(spark, sf_dir):
     cues = phrases_from_conversations(spark, sf_dir).withColumn("text", F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.col("text")))
-    return srt.tts_segments(C.to_srt(cues).where(F.col("part") == 0).select("track_id", "content"))
+    return srt.tts_segments(C.to_srt(cues)).drop("part")
 
 
-@query("prs6_repair_srt", with_(PHRASES) + f"""SELECT track_id, string_agg(cue_id || chr(10) || {STAMP} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_id) AS content
-    FROM cues GROUP BY track_id""")
+@query("prs6_repair_srt", with_(PHRASES) + f"""SELECT track_id, CAST((cue_id - 1) // 20000 AS INTEGER) AS part,
+    string_agg(cue_id || chr(10) || {STAMP} || chr(10) || text, chr(10) || chr(10) ORDER BY cue_id) AS content FROM cues GROUP BY ALL""")
 def _repair(spark, sf_dir):
     """Answers with fences, wrong numbers, dots and missing hours."""
     short = F.regexp_replace("content", r"(?m)^\d+$", "9")
     short = F.regexp_replace(short, r"00:(\d\d:\d\d),(\d\d\d)", "$1.$2")
-    docs = srt_docs(spark, sf_dir).select("track_id", F.concat(F.lit("```srt\n"), short, F.lit("\n```")).alias("raw"))
-    return docs.select("track_id", srt.repair_srt("raw").alias("content"))
+    docs = srt_docs(spark, sf_dir).select("track_id", "part", F.concat(F.lit("```srt\n"), short, F.lit("\n```")).alias("raw"))
+    return srt.repair_documents(docs)
 
 
 @query("prs7_count_segments", with_(PHRASES) + "SELECT track_id, CAST(count(*) AS INTEGER) AS segments FROM cues GROUP BY track_id")
 def _count(spark, sf_dir):
-    return srt_docs(spark, sf_dir).select("track_id", srt.count_segments("content").alias("segments"))
+    return srt_docs(spark, sf_dir).groupBy("track_id").agg(F.sum(srt.count_segments("content")).cast("int").alias("segments"))
 
 
 def numbered_answers(spark, sf_dir):

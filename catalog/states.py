@@ -210,12 +210,12 @@ def _patch(spark, sf_dir):
 
 
 @query("ups5_preset_upsert", """WITH u AS (SELECT 'p_' || p_partkey % 50 AS key, arg_max(left(p_name || p_partkey, 50), p_partkey) AS name, max(p_partkey) AS n FROM part WHERE p_partkey % 7 > 0 GROUP BY 1)
-    SELECT 'p_' || p_partkey AS key, coalesce(u.name, 'old') AS name, CAST(CASE WHEN u.key IS NULL THEN 0 ELSE 1 END AS INTEGER) AS extras FROM part LEFT JOIN u ON u.key = 'p_' || p_partkey WHERE p_partkey < 60""")
+    SELECT 'p_' || p_partkey AS key, coalesce(u.name, 'old') AS name, CAST(CASE WHEN u.key IS NULL THEN 0 ELSE 1 END AS INTEGER) AS extras FROM part LEFT JOIN u ON u.key = 'p_' || p_partkey""")
 def _presets(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     region = lambda w: F.struct(*[F.lit(v).alias(k) for k, v in (("x_ratio", 0.1), ("y_ratio", 0.2))], w.alias("w_ratio"), F.lit(0.3).alias("h_ratio"))
     good, wide = region(F.lit(0.5)), region(F.lit(0.95))
-    old = part.where("p_partkey < 60").select(F.concat(F.lit("p_"), F.col("p_partkey").cast("string")).alias("key"), F.lit("old").alias("name"), good.alias("sub_region"), F.slice(F.array(good), 1, 0).alias("extra_regions"))
+    old = part.select(F.concat(F.lit("p_"), F.col("p_partkey").cast("string")).alias("key"), F.lit("old").alias("name"), good.alias("sub_region"), F.slice(F.array(good), 1, 0).alias("extra_regions"))
     changes = part.select(F.concat(F.lit(" P "), (F.col("p_partkey") % 50).cast("string")).alias("key"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"),
                           F.when(F.col("p_partkey") % 7 > 0, good).otherwise(wide).alias("sub_region"), F.array(wide, good, good).alias("extra_regions"), F.col("p_partkey").alias("seq"))
     return S.preset_upsert(old, changes).select("key", "name", F.size("extra_regions").alias("extras"))
@@ -416,7 +416,11 @@ def _udtf(spark, sf_dir):
 
     register_udtf(spark)
     srt_docs(spark, sf_dir).createOrReplaceTempView("srt_docs")
-    return spark.sql("SELECT track_id, pos, text FROM srt_docs, LATERAL parse_srt(content)")
+    return spark.sql("""
+        SELECT track_id, CAST(pos + coalesce(before, 0) AS INT) AS pos, text
+        FROM srt_docs JOIN (
+          SELECT track_id, part, sum(count(*)) OVER (PARTITION BY track_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM srt_docs, LATERAL parse_srt(content) GROUP BY track_id, part) USING (track_id, part), LATERAL parse_srt(content)""")
 
 
 # ------------------------------------------------------------------------------ streams
@@ -430,9 +434,14 @@ def _monitor(spark, sf_dir):
     return X.append_all(X.monitor_stream(pages, NOW, 24 * 400).select("work_id", "channel_id"), "monitor")
 
 
+def zoned(rows):
+    """Times without a zone as timestamps."""
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
 @query("stm2_claim_stream", CLAIM_SQL)
 def _claim_stream(spark, sf_dir):
-    rows = X.file_stream(spark, sf_dir, "orders").where("o_orderkey % 600 % 2 = 0").select(
+    rows = X.sliced_stream(table(spark, sf_dir, "orders"), "o_orderkey").where("o_orderkey % 600 % 2 = 0").select(
         F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("work_id"), F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("source_url"), F.concat(F.lit("work "), F.col("o_orderpriority")).alias("source_json"))
     return X.claim_stream(rows, full_ledger(spark, sf_dir), F.lit(STAMP)).select(*CLAIM_COLUMNS)
 
@@ -479,14 +488,14 @@ def _tumbling(spark, sf_dir):
 def _run_stream(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("view", "click"), 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3)
     start = F.floor((F.unix_micros("ts") - F.lit(1_704_067_200_000_000)) / F.lit(60_000)).cast("bigint")
-    frames = X.file_stream(spark, sf_dir, "events").select(
+    frames = X.sliced_stream(zoned(table(spark, sf_dir, "events")), "event_id").select(
         F.col("user_id").alias("track_id"), F.col("event_id").alias("frame_no"), start.alias("t_ms"), kind.cast("bigint").alias("pattern_id"), (F.col("event_type") == "purchase").alias("known"))
     return X.run_confirm_stream(frames)
 
 
 @query("stm7_job_state_stream", with_(JOBS, LATEST) + "SELECT job_id, updated, status, progress, cancel FROM la")
 def _job_stream(spark, sf_dir):
-    log = X.file_stream(spark, sf_dir, "events").select(
+    log = X.sliced_stream(zoned(table(spark, sf_dir, "events")), "ts").select(
         F.col("user_id").alias("job_id"), F.unix_micros("ts").alias("updated"), "event_id", F.col("event_type").alias("status"), F.floor("value").cast("int").alias("progress"),
         (F.col("event_type") == "error").alias("cancel"), (F.col("event_type") == "signup").alias("reset"))
     start = spark.createDataFrame([], "job_id bigint, updated bigint, status string, progress int, cancel boolean")
@@ -504,10 +513,10 @@ def _message_stream(spark, sf_dir):
 
 
 @query("stm9_chunk_arrivals", """WITH g AS (SELECT DISTINCT l_orderkey AS session_id, CAST(l_linenumber + l_partkey % 4 - 1 AS BIGINT) AS i FROM lineitem), m AS (SELECT max(l_shipdate) AS now FROM lineitem),
-    s AS (SELECT session_id, count(*) AS received FROM g WHERE i < 3 GROUP BY session_id), t AS (SELECT l_orderkey AS session_id, max(l_shipdate) AS seen FROM lineitem WHERE l_linenumber + l_partkey % 4 - 1 < 3 GROUP BY 1)
+    s AS (SELECT session_id, count(*) AS received FROM g WHERE i < 3 GROUP BY session_id), t AS (SELECT l_orderkey AS session_id, min(l_shipdate) AS seen FROM lineitem WHERE l_linenumber + l_partkey % 4 - 1 < 3 GROUP BY 1)
     SELECT session_id, received, CASE WHEN received = 3 THEN 'complete' ELSE 'expired' END AS event FROM s JOIN t USING (session_id), m WHERE received = 3 OR epoch_us(now) - epoch_us(seen) > 7200000000""")
 def _arrivals(spark, sf_dir):
-    rows = X.file_stream(spark, sf_dir, "lineitem").select(
+    rows = X.sliced_stream(zoned(table(spark, sf_dir, "lineitem")), "l_orderkey").select(
         F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("chunk_index"), F.lit(3).cast("bigint").alias("total_chunks"), F.col("l_shipdate").alias("ts"))
     return X.chunk_arrivals(rows)
 

@@ -104,9 +104,9 @@ def _sets(spark, sf_dir):
     return sets.select("track_id", "part", F.array_join(F.transform("intervals", lambda x: F.concat_ws("-", x["s_ms"].cast("string"), x["e_ms"].cast("string"))), " ").alias("intervals"))
 
 
-# Views and clicks form one set, purchases the other.
+# Views and clicks form one set, all other events the other.
 _BASE = "WHERE text IN ('view', 'click')"
-_EXTRA = "WHERE text = 'purchase'"
+_EXTRA = "WHERE text NOT IN ('view', 'click')"
 
 
 @query("set1_union_intervals", with_(CUES, f"va AS (SELECT * FROM cues {_BASE})", f"pa AS (SELECT * FROM cues {_EXTRA})",
@@ -117,18 +117,18 @@ _EXTRA = "WHERE text = 'purchase'"
 def _union(spark, sf_dir):
     cues = cues_from_events(spark, sf_dir)
     a = I.merge_intervals(cues.where(F.col("text").isin("view", "click")))
-    b = I.merge_intervals(cues.where(F.col("text") == "purchase"), 500, 100, 150)
+    b = I.merge_intervals(cues.where(~F.col("text").isin("view", "click")), 500, 100, 150)
     return I.union_intervals(a, b)
 
 
 def frames_and_intervals(spark, sf_dir):
-    """Error events are frames, purchases make the intervals (some users have none)."""
+    """Purchases make the intervals (some users have none), all other events are frames."""
     cues = cues_from_events(spark, sf_dir)
-    frames = cues.where(F.col("text") == "error").select("track_id", F.col("cue_id").alias("frame_no"), F.col("start_ms").alias("t_ms"))
+    frames = cues.where(F.col("text") != "purchase").select("track_id", F.col("cue_id").alias("frame_no"), F.col("start_ms").alias("t_ms"))
     return frames, I.merge_intervals(cues.where((F.col("text") == "purchase") & (F.col("track_id") % 7 > 0)))
 
 
-FRAMES = f"""fr AS (SELECT track_id, cue_id AS frame_no, start_ms AS t_ms FROM cues WHERE text = 'error'),
+FRAMES = f"""fr AS (SELECT track_id, cue_id AS frame_no, start_ms AS t_ms FROM cues WHERE text <> 'purchase'),
 pu AS (SELECT * FROM cues WHERE text = 'purchase' AND track_id % 7 > 0),
 {merged_sql('pu', 1200, 150, 180, 'iv')}"""
 INSIDE = "EXISTS (SELECT 1 FROM iv WHERE iv.track_id = fr.track_id AND s_ms <= t_ms AND e_ms >= t_ms)"
@@ -406,7 +406,7 @@ def _ocr_states(spark, sf_dir):
 
 
 STITCH = with_(CUES, """loc AS (SELECT track_id, cue_id, start_ms // 60000 AS w, start_ms % 60000 AS s, start_ms % 60000 + (end_ms - start_ms) % 61000 + 1 AS e, text FROM cues),
-    pl AS (SELECT track_id, w * 1000000 + cue_id AS place, s + w * 60000 AS s, least(e + w * 60000, 40000000) AS e, text FROM loc),
+    pl AS (SELECT track_id, row(w, cue_id) AS place, s + w * 60000 AS s, least(e + w * 60000, 40000000) AS e, text FROM loc),
     o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY place) AS n FROM pl WHERE e > s),
     r AS (SELECT track_id, n, place AS first, s AS start_, e AS until, text AS t, place, e AS pe, text AS pt, false AS conflict, place AS lead_ FROM o WHERE n = 1
       UNION ALL
@@ -416,7 +416,7 @@ STITCH = with_(CUES, """loc AS (SELECT track_id, cue_id, start_ms // 60000 AS w,
         FROM r JOIN o ON o.track_id = r.track_id AND o.n = r.n + 1) x)""", recursive=True)
 
 
-@query("win15_stitch_windows", STITCH + """SELECT track_id, lead_ AS cue_first, conflict, max(CASE WHEN conflict THEN (SELECT s FROM o WHERE o.track_id = r.track_id AND o.n = r.n) ELSE start_ END) AS start_ms,
+@query("win15_stitch_windows", STITCH + """SELECT track_id, struct_extract(lead_, 1) AS window_first, struct_extract(lead_, 2) AS cue_first, conflict, max(CASE WHEN conflict THEN (SELECT s FROM o WHERE o.track_id = r.track_id AND o.n = r.n) ELSE start_ END) AS start_ms,
     max(pe) AS end_ms, arg_min(pt, place) AS text FROM r GROUP BY track_id, lead_, conflict""")
 def _stitch(spark, sf_dir):
     cues = cues_from_events(spark, sf_dir)
@@ -656,14 +656,14 @@ def _text_rows(spark, sf_dir):
 _shape = "CAST(y1 - y0 AS DOUBLE) AS h, (y0 + y1) / 2.0::DOUBLE AS cy, (x0 + x1) / 2.0::DOUBLE AS cx"
 
 
-@query("jn12_style_match", with_(BOXES, f"""ln AS (SELECT track_id, order_no AS obs_id, {_shape} FROM boxes WHERE score < 8), st AS (SELECT DISTINCT track_id, {_shape} FROM boxes WHERE score >= 8 AND track_id % 2 = 0),
+@query("jn12_style_match", with_(BOXES, f"""ln AS (SELECT track_id, order_no AS obs_id, {_shape} FROM boxes WHERE score < 8), st AS (SELECT DISTINCT track_id, {_shape} FROM boxes WHERE score >= 8),
     hit AS (SELECT l.*, EXISTS (SELECT 1 FROM st s WHERE s.track_id = l.track_id AND l.h BETWEEN s.h * 0.65::DOUBLE AND s.h * 1.45::DOUBLE AND abs(l.cy - s.cy) <= greatest(4.0, s.h * 0.5) AND abs(l.cx - s.cx) <= 20.0) AS ok FROM ln l)""") +
     "SELECT track_id, obs_id, count(*) AS lines, bool_and(ok) AS matches FROM hit GROUP BY ALL")
 def _style(spark, sf_dir):
     boxes = boxes_from_lineitem(spark, sf_dir)
     shape = [(F.col("y1") - F.col("y0")).cast("double").alias("h"), ((F.col("y0") + F.col("y1")) / F.lit(2.0)).alias("cy"), ((F.col("x0") + F.col("x1")) / F.lit(2.0)).alias("cx")]
     lines = boxes.where(F.col("score") < 8).select("track_id", F.col("order_no").alias("obs_id"), *shape)
-    styles = boxes.where((F.col("score") >= 8) & (F.col("track_id") % 2 == 0)).select("track_id", *shape)
+    styles = boxes.where(F.col("score") >= 8).select("track_id", *shape)
     return B.style_match(lines, styles, 80)
 
 
@@ -675,9 +675,15 @@ def _to_srt(spark, sf_dir):
     return C.to_srt(phrases_from_conversations(spark, sf_dir))
 
 
-@query("snk2_split_valid", with_(CUES.replace("FROM events", "FROM events WHERE event_type = 'purchase'"), CHECKED) + "SELECT track_id, count(*) AS cues FROM checked GROUP BY track_id HAVING sum(len(errors)) = 0")
+_KINDS = ["purchase", "view", "click", "signup", "error"]
+
+
+@query("snk2_split_valid", with_(CUES.replace("user_id AS track_id", f"user_id * 8 + list_position({_KINDS}, event_type) AS track_id"), CHECKED) + "SELECT track_id, count(*) AS cues FROM checked GROUP BY track_id HAVING sum(len(errors)) = 0")
 def _valid_only(spark, sf_dir):
-    good, _refused = sinks.split_valid(cues_from_events(spark, sf_dir).where("text = 'purchase'").withColumn("duration_ms", F.lit(40_000_000)), "duration_ms")
+    """Every kind of event of a user is a track of its own; most of these have no overlaps."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("text"))
+    cues = cues_from_events(spark, sf_dir).withColumn("track_id", F.col("track_id") * 8 + kind)
+    good, _refused = sinks.split_valid(cues.withColumn("duration_ms", F.lit(40_000_000)), "duration_ms")
     return good.groupBy("track_id").agg(F.count(F.lit(1)).alias("cues"))
 
 

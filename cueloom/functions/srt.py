@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,7 @@ def blocks(content: Column | str) -> Column:
             strip(F.get(lines, F.lit(1))).alias("stamp"),
             strip(
                 F.array_join(
-                    F.transform(F.slice(lines, 3, 1_000_000), lambda t: F.regexp_replace(t, r"\s+\z", "")), "\n"
+                    F.transform(F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))), lambda t: F.regexp_replace(t, r"\s+\z", "")), "\n"
                 )
             ).alias("text"),
         )
@@ -73,12 +73,40 @@ def _kept_order(entries: Column) -> Column:
     return F.transform(entries, lambda e, i: F.struct((i + 1).alias("index"), _timed(e).alias("t")))
 
 
+def _over_parts(rows: DataFrame, keys: list[str], numbers: list[str], counted: DataFrame) -> DataFrame:
+    """Numbers of rows of documents in several parts go on from part to part.
+
+    ``counted`` has the number of rows of every part as ``_rows``: one small row per part, so
+    that the rows themselves are not moved.
+    """
+    whole = [k for k in keys if k != "part"]
+    order = Window.partitionBy(*whole).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*keys, F.coalesce(F.sum("_rows").over(order), F.lit(0)).cast("int").alias("_before"))
+    return rows.join(starts, keys).select(*[(F.col(c) + F.col("_before")).alias(c) if c in numbers else F.col(c) for c in rows.columns])
+
+
 def parse_srt(docs: DataFrame) -> DataFrame:
-    """One row per block: ``(…, pos, idx, stamp, text)`` with ``pos`` from 1."""
+    """One row per block: ``(…, pos, idx, stamp, text)`` with ``pos`` from 1.
+
+    With a column ``part`` the parts of a document are read as one, in their order.
+    """
     keys = [c for c in docs.columns if c != "content"]
-    return docs.select(*keys, F.posexplode(blocks("content")).alias("pos", "b")).select(
+    rows = docs.select(*keys, F.posexplode(blocks("content")).alias("pos", "b")).select(
         *keys, (F.col("pos") + 1).alias("pos"), "b.idx", "b.stamp", "b.text"
     )
+    if "part" not in keys:
+        return rows
+    return _over_parts(rows, keys, ["pos"], docs.select(*keys, F.size(blocks("content")).alias("_rows")))
+
+
+def repair_documents(docs: DataFrame, raw: str = "raw") -> DataFrame:
+    """``raw`` of documents in parts repaired as ``content``, blocks numbered over all parts."""
+    keys = [c for c in docs.columns if c != raw]
+    whole = [k for k in keys if k != "part"]
+    order = Window.partitionBy(*whole).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    told = docs.select(*keys, F.regexp_count(F.coalesce(F.col(raw), F.lit("")), F.lit(r"(?m)^\s*\d+\s*\r?\n[^\r\n]*-->")).alias("_rows"))
+    starts = told.select(*keys, F.coalesce(F.sum("_rows").over(order), F.lit(0)).cast("int").alias("_before"))
+    return docs.join(starts, keys).select(*keys, repair_srt(raw, F.col("_before")).alias("content"))
 
 
 def cue_timings(docs: DataFrame) -> DataFrame:
@@ -92,13 +120,19 @@ def cue_timings(docs: DataFrame) -> DataFrame:
         ),
     )
     cues = F.filter(timed, lambda t: (t["end_ms"] > t["start_ms"]) & (t["text"] != ""))
-    return docs.select(*keys, F.posexplode(cues).alias("pos", "c")).select(
+    rows = docs.select(*keys, F.posexplode(cues).alias("pos", "c")).select(
         *keys, (F.col("pos") + 1).alias("cue_id"), "c.start_ms", "c.end_ms", "c.text"
     )
+    if "part" not in keys:
+        return rows
+    return _over_parts(rows, keys, ["cue_id"], docs.select(*keys, F.size(cues).alias("_rows")))
 
 
 def tts_segments(docs: DataFrame) -> DataFrame:
-    """Narration segments by start time; ``index`` is the block's place before drops."""
+    """Narration segments by start time; ``index`` is the block's place before drops.
+
+    Parts of a document follow each other in time, so their numbers do as well.
+    """
     keys = [c for c in docs.columns if c != "content"]
     seen = F.filter(_kept_order(blocks("content")), lambda e: e["t"]["end_ms"] > e["t"]["start_ms"])
     made = F.transform(
@@ -109,13 +143,18 @@ def tts_segments(docs: DataFrame) -> DataFrame:
         ),
     )
     ordered = F.array_sort(F.filter(made, lambda e: e["clean"]["text"] != ""))
-    return docs.select(*keys, F.posexplode(ordered).alias("pos", "s")).select(
+    rows = docs.select(*keys, F.posexplode(ordered).alias("pos", "s")).select(
         *keys,
         (F.col("pos") + 1).alias("seg_no"),
         "s.index", "s.start_ms", "s.end_ms",
         (F.col("s.end_ms") - F.col("s.start_ms")).alias("duration_ms"),
         F.col("s.clean.text").alias("text"), "s.raw_text", F.col("s.clean.speaker").alias("speaker"),
     )
+    if "part" not in keys:
+        return rows
+    counted = docs.select(*keys, F.size(ordered).alias("_rows"))
+    placed = _over_parts(rows, keys, ["seg_no"], counted)
+    return _over_parts(placed, keys, ["index"], docs.select(*keys, F.size(blocks("content")).alias("_rows")))
 
 
 def _let(value: Column, body) -> Column:
@@ -149,8 +188,9 @@ def _repair_stamp(c: Column) -> Column:
     return _let(F.split(F.translate(strip(c), ".", ","), ":"), lambda parts: _let(hours(parts), millis))
 
 
-def repair_srt(c: Column | str) -> Column:
-    """Subtitle text of a model answer: no fences, whole stamps, blocks renumbered."""
+def repair_srt(c: Column | str, before: Column | int = 0) -> Column:
+    """Subtitle text of a model answer: no fences, whole stamps, blocks renumbered after ``before`` others."""
+    told_before = F.lit(before) if isinstance(before, int) else before
     raw = F.coalesce(_col(c), F.lit(""))
     bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)\A\s*```(?:srt)?\s*", ""), r"\s*```\s*\z", "")
     lines = F.transform(F.split(strip(bare), _LINE_BREAK), strip)
@@ -164,7 +204,7 @@ def repair_srt(c: Column | str) -> Column:
             ),
         ).otherwise(ln),
     )
-    following = F.slice(stamped, 2, 100_000_000)
+    following = F.slice(stamped, 2, F.size(stamped))
     # A number line is one with a time line after it. Cutting there makes the new number the
     # position of the piece.
     marked = F.array_join(
@@ -175,7 +215,7 @@ def repair_srt(c: Column | str) -> Column:
         "\n",
     )
     pieces = F.transform(
-        F.split(marked, _CUT), lambda p, i: F.when(i == 0, p).otherwise(F.concat(i.cast("string"), p))
+        F.split(marked, _CUT), lambda p, i: F.when(i == 0, p).otherwise(F.concat((i + told_before).cast("string"), p))
     )
     built = strip(F.array_join(pieces, ""))
     return F.when((raw == "") | raw.contains(NO_SUBTITLES), F.lit("")).otherwise(built)

@@ -77,10 +77,16 @@ def ass_time_from_stamp(c: Column | str) -> Column:
     return F.when(F.length(dotted) > 10, F.left(dotted, F.length(dotted) - 1)).otherwise(dotted)
 
 
+NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
 def parse_bool(c: Column | str, default: bool = False) -> Column:
+    """Truth of a number (other than zero) or of a word; other words give the default."""
     word = F.lower(strip(_col(c).cast("string")))
+    number = F.typeof(_col(c)).isin(NUMBERS) | F.typeof(_col(c)).startswith("decimal")
     return (
-        F.when(word.isin(TRUE_WORDS), F.lit(True))
+        F.when(number & _col(c).isNotNull(), F.coalesce(_col(c).try_cast("double") != 0, F.lit(default)))
+        .when(word.isin(TRUE_WORDS), F.lit(True))
         .when(word.isin(FALSE_WORDS), F.lit(False))
         .otherwise(F.lit(default))
     )

@@ -72,12 +72,21 @@ class Layout:
         cuts = df.sparkSession.createDataFrame([(*k, c) for k, c in self.cuts.items()], schema)
         here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(self.order)])
         return (
-            df.join(F.broadcast(cuts), self.keys, "left")
+            null_safe_join(df, F.broadcast(cuts), self.keys, "left")
             .withColumn(BLOCK, F.coalesce(_cuts_not_after(F.col("_cuts"), here), F.lit(0)))
             .drop("_cuts")
         )
 
 
+def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which null is a value like others; the keys of ``df`` stay."""
+    named = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+    return df.join(named, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def _cuts_not_after(cuts: Column, value: Column) -> Column:
     """Binary search inside an expression, so long cut lists cost log2 steps per row."""
 
@@ -122,8 +131,7 @@ def plan_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Lay
     share = min(1.0, _SAMPLES_PER_BLOCK / block_rows)
     # The sample only places cuts; no result is computed from it.
     picked = (
-        df.select(*dict.fromkeys([*keys, *order]))
-        .join(F.broadcast(hot_keys), keys, "left_semi")
+        null_safe_join(df.select(*dict.fromkeys([*keys, *order])), F.broadcast(hot_keys), keys, "left_semi")
         .sample(fraction=share, seed=7)
         .collect()
     )
@@ -163,7 +171,7 @@ def scan(df: DataFrame, layout: Layout, specs: dict[str, Spec]) -> DataFrame:
                for name, (kind, value) in specs.items()]
     )
     carried = _carry(tagged, layout, specs)
-    joined = local.join(F.broadcast(carried), [*layout.keys, BLOCK], "left")
+    joined = null_safe_join(local, F.broadcast(carried), [*layout.keys, BLOCK], "left")
     kept = [F.col(c) for c in df.columns if c != BLOCK]
     return joined.select(*kept, *[_merged(kind, name).alias(name) for name, (kind, _v) in specs.items()])
 
@@ -211,7 +219,7 @@ def _carry(tagged: DataFrame, layout: Layout, specs: dict[str, Spec]) -> DataFra
     hot_schema = T.StructType([T.StructField(k, t) for k, t in zip(layout.keys, layout.key_types)])
     hot_keys = tagged.sparkSession.createDataFrame(list(layout.cuts), hot_schema)
     blocks = (
-        tagged.join(F.broadcast(hot_keys), layout.keys, "left_semi")
+        null_safe_join(tagged, F.broadcast(hot_keys), layout.keys, "left_semi")
         .groupBy(*layout.keys, BLOCK)
         .agg(*[agg.alias(f"_b_{name}") for name, agg in per_block.items()])
     )
@@ -364,9 +372,8 @@ def _settle(tagged: DataFrame, layout: Layout, inputs, step) -> dict[tuple, obje
     key_fields = [T.StructField(k, t) for k, t in zip(layout.keys, layout.key_types)]
     key_schema = T.StructType(key_fields)
     needed = list(dict.fromkeys([*layout.keys, BLOCK, *layout.order, *inputs]))
-    hot = tagged.select(*needed).join(
-        F.broadcast(spark.createDataFrame(list(layout.cuts), key_schema)), layout.keys, "left_semi"
-    )
+    hot = null_safe_join(
+        tagged.select(*needed), F.broadcast(spark.createDataFrame(list(layout.cuts), key_schema)), layout.keys, "left_semi")
     exit_schema = T.StructType([*key_fields, T.StructField(BLOCK, T.IntegerType()),
                                 T.StructField("_exit", T.BinaryType())])
     part = [*layout.keys, BLOCK]
@@ -377,7 +384,7 @@ def _settle(tagged: DataFrame, layout: Layout, inputs, step) -> dict[tuple, obje
         rows = hot
         if todo is not None:
             again = spark.createDataFrame(todo, T.StructType(exit_schema.fields[:-1]))
-            rows = hot.join(F.broadcast(again), part, "left_semi")
+            rows = null_safe_join(hot, F.broadcast(again), part, "left_semi")
         done = (
             rows.repartition(*part).sortWithinPartitions(*part, *layout.order)
             .mapInArrow(_exit_runner(layout.keys, inputs, step, entries), exit_schema)

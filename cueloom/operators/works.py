@@ -114,7 +114,8 @@ REPLIES_PER_PART = 1000
 def nest_replies(comments: DataFrame, part_rows: int = REPLIES_PER_PART) -> DataFrame:
     """Outer comments with their replies as an array.
 
-    A comment with very many replies gets several rows, numbered by ``part``.
+    A comment with very many replies gets several rows, numbered by ``part``; ``n_replies`` is the
+    number over all of them.
     """
     outer = comments.where(F.col("parent_cid").isNull()).select("aweme_id", "cid", "text")
     inner = comments.where(F.col("parent_cid").isNotNull()).select(
@@ -130,9 +131,10 @@ def nest_replies(comments: DataFrame, part_rows: int = REPLIES_PER_PART) -> Data
         ).alias("replies")
     )
     empty = F.array().cast("array<struct<cid:bigint,text:string>>")
-    return outer.join(nested, ["aweme_id", "cid"], "left").select(
+    totals = inner.groupBy("aweme_id", "cid").agg(F.count(F.lit(1)).cast("int").alias("_total"))
+    return outer.join(nested, ["aweme_id", "cid"], "left").join(totals, ["aweme_id", "cid"], "left").select(
         "aweme_id", "cid", "text", F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce(F.col("replies"), empty).alias("replies"), F.coalesce(F.size("replies"), F.lit(0)).alias("n_replies"),
+        F.coalesce(F.col("replies"), empty).alias("replies"), F.coalesce("_total", F.lit(0)).alias("n_replies"),
     )
 
 

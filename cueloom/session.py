@@ -37,12 +37,14 @@ def hot_rows(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Clusters name it in ``spark.checkpoint.dir``. Only a session without that
-    setting (tests, local runs) gets a folder of its own.
+    Clusters name it in ``spark.checkpoint.dir``. Only a local session without that
+    setting (tests, local runs) gets a folder of its own; elsewhere executors could not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -17,6 +17,7 @@ from cueloom.operators.scan import islands, plan_layout, scan
 from cueloom.operators.state import delivery_step, job_upsert, ledger_claim, ledger_mark
 from cueloom.session import shared_dir
 from cueloom.sources.readers import decode_messages
+from cueloom.sources.sinks import committed_versions
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,18 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ])
 
 
+def sliced_stream(rows: DataFrame, order: str, slices: int = 3, files: int = 8) -> DataFrame:
+    """A table as a stream of several batches: slices by ranges of ``order``, copied to the shared folder
+    one after the other. A slice is ``files`` files, and a batch reads as many."""
+    spark = rows.sparkSession
+    base = run_folder(spark, "slices")
+    cuts = [r for r in rows.agg(*[F.percentile_approx(order, i / slices, 1000).alias(f"c{i}") for i in range(1, slices)]).first()]
+    number = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for i in range(slices):
+        rows.where(F.coalesce(number, F.lit(0)) == i).repartition(files).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(base)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -59,21 +72,34 @@ def _state_path(base: str, batch_id: int) -> str:
     return f"{base}/state/v={batch_id:08d}"
 
 
-def fold_batches(stream: DataFrame, name: str, start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """Fold micro-batches into a state table: ``step(state, batch, batch_id) -> state``."""
+def _begin(spark: SparkSession, base: str, start: DataFrame) -> None:
+    """Write the first state of a folder; a folder that has one goes on from its last batch."""
+    if not committed_versions(spark, f"{base}/state"):
+        start.write.mode("overwrite").parquet(_state_path(base, 0))
+
+
+def _last(spark: SparkSession, base: str) -> int:
+    return max(committed_versions(spark, f"{base}/state"))
+
+
+def fold_batches(
+    stream: DataFrame, name: str, start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], base: str | None = None,
+) -> DataFrame:
+    """Fold micro-batches into a state table: ``step(state, batch, batch_id) -> state``.
+
+    With a ``base`` of the caller a later start goes on where the last one stopped.
+    """
     spark = stream.sparkSession
-    base = run_folder(spark, name)
-    start.write.mode("overwrite").parquet(_state_path(base, 0))
-    seen = {"last": 0}
+    base = base or run_folder(spark, name)
+    _begin(spark, base, start)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         state = session.read.schema(start.schema).parquet(_state_path(base, batch_id))
         step(state, batch, batch_id).select(*start.columns).write.mode("overwrite").parquet(_state_path(base, batch_id + 1))
-        seen["last"] = batch_id + 1
 
     each_batch(stream, name, handle, base)
-    return spark.read.schema(start.schema).parquet(_state_path(base, seen["last"]))
+    return spark.read.schema(start.schema).parquet(_state_path(base, _last(spark, base)))
 
 
 # ------------------------------------------------------------------------------ works
@@ -92,13 +118,13 @@ def monitor_stream(works: DataFrame, now: Column | int, hours: int = 72) -> Data
     )
 
 
-def claim_stream(works: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
+def claim_stream(works: DataFrame, ledger: DataFrame, now: Column, base: str | None = None) -> DataFrame:
     """Claim the works of every batch in the ledger; a work is claimed once whatever is retried."""
-    return fold_batches(works, "claims", ledger, lambda state, batch, _id: ledger_claim(state, batch, now))
+    return fold_batches(works, "claims", ledger, lambda state, batch, _id: ledger_claim(state, batch, now), base)
 
 
-def mark_stream(marks: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
-    return fold_batches(marks, "marks", ledger, lambda state, batch, _id: ledger_mark(state, batch, now))
+def mark_stream(marks: DataFrame, ledger: DataFrame, now: Column, base: str | None = None) -> DataFrame:
+    return fold_batches(marks, "marks", ledger, lambda state, batch, _id: ledger_mark(state, batch, now), base)
 
 
 # ---------------------------------------------------------------------------- windows
@@ -131,7 +157,7 @@ def tumbling_energy(samples: DataFrame, ts: str = "ts", length: str = "50 millis
 OPEN_RUNS = f"{KEY} bigint, pattern_id bigint, start_ms bigint, last_ms bigint, frames bigint, known boolean, has_unknown boolean"
 
 
-def run_confirm_stream(frames: DataFrame, frame_ms: int = 40) -> DataFrame:
+def run_confirm_stream(frames: DataFrame, frame_ms: int = 40, base: str | None = None) -> DataFrame:
     """Confirmed runs of a frame stream; the run still open per track is carried between batches.
 
     Frames arrive in order across batches. Within a batch the ordered scan of the table
@@ -139,10 +165,9 @@ def run_confirm_stream(frames: DataFrame, frame_ms: int = 40) -> DataFrame:
     the input are closed there.
     """
     spark = frames.sparkSession
-    base = run_folder(spark, "runs")
-    spark.createDataFrame([], OPEN_RUNS).write.mode("overwrite").parquet(_state_path(base, 0))
+    base = base or run_folder(spark, "runs")
+    _begin(spark, base, spark.createDataFrame([], OPEN_RUNS))
     out = f"{base}/closed"
-    seen = {"last": 0}
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         opened = batch.sparkSession.read.schema(OPEN_RUNS).parquet(_state_path(base, batch_id))
@@ -152,14 +177,14 @@ def run_confirm_stream(frames: DataFrame, frame_ms: int = 40) -> DataFrame:
         runs.where(~F.col("closed")).select(
             KEY, "pattern_id", "start_ms", "last_ms", "frames", "known", "has_unknown"
         ).write.mode("overwrite").parquet(_state_path(base, batch_id + 1))
-        seen["last"] = batch_id + 1
 
     each_batch(frames, "runs", handle, base)
-    rest = spark.read.schema(OPEN_RUNS).parquet(_state_path(base, seen["last"]))
+    last = _last(spark, base)
+    rest = spark.read.schema(OPEN_RUNS).parquet(_state_path(base, last))
     ended = rest.where(F.col("known") | (F.col("frames") >= 3)).select(
         KEY, "start_ms", (F.col("last_ms") + frame_ms).alias("end_ms"), "frames", "has_unknown"
     )
-    if not seen["last"]:
+    if not last:
         return ended
     closed = spark.read.parquet(out).select(KEY, "start_ms", "end_ms", "frames", "has_unknown")
     return closed.unionByName(ended)
@@ -187,9 +212,9 @@ def _runs_with_open(batch: DataFrame, opened: DataFrame, frame_ms: int) -> DataF
 # ------------------------------------------------------------------- jobs and messages
 
 
-def job_state_stream(log: DataFrame, data: list[str], order: list[str], start: DataFrame) -> DataFrame:
+def job_state_stream(log: DataFrame, data: list[str], order: list[str], start: DataFrame, base: str | None = None) -> DataFrame:
     """Latest snapshot per job with its sticky cancel, folded batch by batch."""
-    return fold_batches(log, "jobs", start, lambda state, batch, _id: job_upsert(state, batch, data, order))
+    return fold_batches(log, "jobs", start, lambda state, batch, _id: job_upsert(state, batch, data, order), base)
 
 
 def message_stream(frames: DataFrame) -> DataFrame:
@@ -207,56 +232,59 @@ def read_receipts(messages: DataFrame) -> DataFrame:
 
 RECEIPTS = "session_id bigint, chunk_index bigint, total_chunks bigint, seen bigint"
 UPLOAD_TTL_S = 7200
-_DONE = -1  # receipt number that marks a session already told to be complete
+# A session that was told keeps a mark this long, so that late receipts don't open it again.
+MARK_TTL_S = 30 * 86_400
+_TOLD, _CLOCK = -1, -2  # receipt numbers of that mark and of the time reached
 
 
-def chunk_arrivals(chunks: DataFrame) -> DataFrame:
+def chunk_arrivals(chunks: DataFrame, base: str | None = None) -> DataFrame:
     """Upload events from ``(session_id, chunk_index, total_chunks, ts)``: complete or expired, once each.
 
-    A receipt counts once however often it arrives. Receipts of open sessions are kept between
-    batches; a session idle for two hours of event time is dropped.
+    A receipt counts once however often it arrives. A session expires two hours of event time
+    after its first receipt. Event time never runs back: it is kept with the receipts of open
+    sessions and the marks of told ones.
     """
     spark = chunks.sparkSession
-    base = run_folder(spark, "uploads")
-    spark.createDataFrame([], RECEIPTS).write.mode("overwrite").parquet(_state_path(base, 0))
+    base = base or run_folder(spark, "uploads")
+    _begin(spark, base, spark.createDataFrame([], RECEIPTS))
     out = f"{base}/events"
-    seen = {"last": 0}
+    index = F.col("chunk_index")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         old = batch.sparkSession.read.schema(RECEIPTS).parquet(_state_path(base, batch_id))
-        index = F.col("chunk_index")
+        times = batch.select(F.unix_seconds("ts").alias("t")).unionByName(old.where(index == _CLOCK).select(F.col("seen").alias("t")))
+        clock = times.agg(F.max("t")).first()[0] or 0
         new = batch.where((index >= 0) & (index < F.col("total_chunks"))).select(
             "session_id", "chunk_index", "total_chunks", F.unix_seconds("ts").alias("seen"))
-        receipts = old.unionByName(new).groupBy("session_id", "chunk_index").agg(
-            F.max("total_chunks").alias("total_chunks"), F.max("seen").alias("seen"))
-        clock = batch.agg(F.max(F.unix_seconds("ts"))).first()[0] or 0
-        per_session = receipts.groupBy("session_id").agg(
+        receipts = old.where(index != _CLOCK).unionByName(new).groupBy("session_id", "chunk_index").agg(
+            F.max("total_chunks").alias("total_chunks"), F.min("seen").alias("seen"))
+        sessions = receipts.groupBy("session_id").agg(
             F.count_if(index >= 0).alias("received"), F.max("total_chunks").alias("_total"),
-            F.max("seen").alias("_seen"), F.bool_or(index == _DONE).alias("_told"))
-        idle = F.lit(clock) - F.col("_seen") > UPLOAD_TTL_S
-        event = F.when(~F.col("_told") & (F.col("received") == F.col("_total")), "complete").when(~F.col("_told") & idle, "expired")
-        judged = per_session.withColumn("event", event).withColumn("_idle", idle)
+            F.min("seen").alias("_since"), F.bool_or(index == _TOLD).alias("_told"))
+        age = F.lit(clock) - F.col("_since")
+        event = F.when(F.col("received") == F.col("_total"), "complete").when(age > UPLOAD_TTL_S, "expired")
+        judged = sessions.withColumn("event", F.when(~F.col("_told"), event)).withColumn("_age", age)
         judged.where(F.col("event").isNotNull()).select("session_id", "received", "event").write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}")
-        told = judged.where(~F.col("_idle") & ((F.col("event") == "complete") | F.col("_told"))).select(
-            "session_id", F.lit(_DONE).cast("bigint").alias("chunk_index"), F.col("_total").alias("total_chunks"), F.col("_seen").alias("seen"))
-        waiting = judged.where(~F.col("_idle") & F.col("event").isNull() & ~F.col("_told")).select("session_id")
-        receipts.join(waiting, "session_id", "left_semi").unionByName(told).write.mode("overwrite").parquet(
+        told = judged.where((F.col("event").isNotNull() | F.col("_told")) & (F.col("_age") <= MARK_TTL_S)).select(
+            "session_id", F.lit(_TOLD).cast("bigint").alias("chunk_index"), F.col("_total").alias("total_chunks"), F.col("_since").alias("seen"))
+        waiting = judged.where(F.col("event").isNull() & ~F.col("_told")).select("session_id")
+        time = batch.sparkSession.createDataFrame([(None, _CLOCK, None, clock)], RECEIPTS)
+        receipts.join(waiting, "session_id", "left_semi").unionByName(told).unionByName(time).write.mode("overwrite").parquet(
             _state_path(base, batch_id + 1))
-        seen["last"] = batch_id + 1
 
     each_batch(chunks, "uploads", handle, base)
     events = "session_id bigint, received bigint, event string"
-    if not seen["last"]:
+    if not _last(spark, base):
         return spark.createDataFrame([], events)
     return spark.read.schema(events).parquet(out).select("session_id", "received", "event")
 
 
-def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame) -> DataFrame:
+def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame, base: str | None = None) -> DataFrame:
     """A delivery round per tick of a clock stream (``now``): due jobs are tried, others wait."""
 
     def step(state: DataFrame, batch: DataFrame, _id: int) -> DataFrame:
         now = batch.agg(F.max("now")).first()[0]
         return state if now is None else delivery_step(state, results, files, int(now))
 
-    return fold_batches(ticks, "delivery", jobs, step)
+    return fold_batches(ticks, "delivery", jobs, step, base)
