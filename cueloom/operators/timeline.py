@@ -28,36 +28,42 @@ def schedule_timeline(
     """
     layout = layout or plan_layout(segments, [KEY], ["start_ms", "index"])
     strict = mode == "strict_sub"
+    start, end, raw = F.col("start_ms"), F.col("end_ms"), F.when(F.col("raw_ms") > 0, F.col("raw_ms"))
+    # All that doesn't depend on the narration before: how early a segment may start, and where its room ends.
+    early = F.lit(0) if strict or not borrow else F.greatest(F.lit(0), F.least(F.lit(BORROW_MS), raw - (end - start)))
+    ahead = scan(segments, layout, {"_next": ("next", start)})
+    limit = F.coalesce(F.col("_next") - margin_ms, end)
+    terms = ahead.withColumns({
+        "_raw": raw, "_lead": F.greatest(F.lit(0), start - F.coalesce(early, F.lit(0))).cast("bigint"),
+        "_limit": (F.least(limit, end) if strict else limit).cast("bigint"),
+    })
+
+    def played(length: int, room: int) -> int:
+        room = max(1, room)
+        return length if length - room <= SPEED_TOLERANCE_MS else math.ceil(length / min(length / room, max_speed))
 
     def step(cursor, row):
-        start, end, raw, following = row
-        if not raw or raw <= 0:
-            return cursor, (start, start, 1.0, 0, 0, "failed")
-        floor = 0 if cursor is None else cursor + margin_ms
-        begin = max(start, floor)
-        spare = raw - (end - start)
-        if not strict and borrow and spare > 0:
-            begin -= min(max(0, begin - floor), BORROW_MS, spare)
-        limit = end if following is None else following - margin_ms
-        if strict:
-            limit = min(limit, end)
-        room = max(1, limit - begin)
-        speed = 1.0 if raw - room <= SPEED_TOLERANCE_MS else min(raw / room, max_speed)
-        finish = begin + math.ceil(raw / speed)
-        spill = max(0, finish - limit)
-        overlap = 0 if cursor is None else max(0, cursor - begin)
-        status = "timing_overflow" if spill > OVERFLOW_TOLERANCE_MS else (
-            "speed_adjusted" if speed > 1 else "natural_fit")
-        return finish, (begin, finish, speed, overlap, spill, status)
-
-    ahead = scan(segments, layout, {"_next": ("next", F.col("start_ms"))})
-    placed = fold(
-        ahead, layout, ["start_ms", "end_ms", "raw_ms", "_next"], step,
-        [("actual_start_ms", "bigint"), ("actual_end_ms", "bigint"), ("speed", "double"),
-         ("overlap_ms", "bigint"), ("overflow_ms", "bigint"), ("status", "string")],
-        clustered=True,
+        lead, limit_ms, length = row
+        if length is None:
+            return cursor, (None, cursor)
+        begin = lead if cursor is None else max(lead, cursor + margin_ms)
+        return begin + played(length, limit_ms - begin), (begin, cursor)
+
+    placed = fold(terms, layout, ["_lead", "_limit", "_raw"], step, [("_begin", "bigint"), ("_cursor", "bigint")], clustered=True)
+    # Everything else follows from where a segment begins.
+    begin, room = F.col("_begin"), F.greatest(F.lit(1), F.col("_limit") - F.col("_begin"))
+    speed = F.when(begin.isNull() | (F.col("_raw") - room <= SPEED_TOLERANCE_MS), F.lit(1.0)).otherwise(
+        F.least(F.col("_raw") / room.cast("double"), F.lit(float(max_speed))))
+    shown = placed.withColumn("_speed", speed).withColumn(
+        "_finish", begin + F.ceil(F.col("_raw").cast("double") / F.col("_speed")))
+    spill = F.coalesce(F.greatest(F.lit(0), F.col("_finish") - F.col("_limit")), F.lit(0)).cast("bigint")
+    status = F.when(begin.isNull(), "failed").when(spill > OVERFLOW_TOLERANCE_MS, "timing_overflow").when(
+        F.col("_speed") > 1, "speed_adjusted").otherwise("natural_fit")
+    return shown.select(
+        *segments.columns, F.coalesce(begin, start).alias("actual_start_ms"), F.coalesce("_finish", start).cast("bigint").alias("actual_end_ms"),
+        F.coalesce(F.greatest(F.lit(0), F.col("_cursor") - begin), F.lit(0)).cast("bigint").alias("overlap_ms"),
+        spill.alias("overflow_ms"), status.alias("status"), py_round("_speed", 3).alias("speed_factor"),
     )
-    return placed.drop("_next").withColumn("speed_factor", py_round("speed", 3)).drop("speed")
 
 
 def placed_cues(placements: DataFrame) -> DataFrame:
