@@ -38,29 +38,25 @@ def _style(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, hashes: np.n
     return np.stack([np.minimum((m * 16).astype(np.int64), 15) + 16 * i for i, m in enumerate(measures)], axis=1)
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the distinct words and the style steps of every text."""
-    rows_out, out = [], []
+def features(column: pa.Array):
+    """(first row, number of rows, row, feature) of runs of texts: the distinct words and the style steps of each."""
     for row, data, offsets in tokens.text_chunks(column):
         hashes, rows, begins, ends = tokens.words(tokens.fold(data), offsets, tokens.LETTERS)
         style = _style(data, offsets, rows, hashes, begins, ends)
         n = len(offsets) - 1
         slot = (hashes % _U(SPACE)).astype(np.int64) + 16 * style.shape[1]
         pair = np.unique(rows * (SPACE + 1024) + slot)
-        rows_out += [np.repeat(np.arange(n), style.shape[1]) + row, pair // (SPACE + 1024) + row]
-        out += [style.ravel(), pair % (SPACE + 1024)]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows_out), np.concatenate(out)
+        yield row, n, np.concatenate([np.repeat(np.arange(n), style.shape[1]), pair // (SPACE + 1024)]), np.concatenate([style.ravel(), pair % (SPACE + 1024)])
 
 
 def _vectors(batches):
     for batch in batches:
-        rows, feats = features(batch.column(2))
+        parts = [(row + rows, feats.astype(np.int32)) for row, _, rows, feats in features(batch.column(2))]
+        rows, feats = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
         order = np.argsort(rows, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=batch.num_rows))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feats[order].astype(np.int32)))], ["quality", "toxic", "features"])
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feats[order]))], ["quality", "toxic", "features"])
 
 
 class Model:
@@ -70,8 +66,11 @@ class Model:
         self.weights, self.bias, self.base = weights, bias, base
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        rows, feats = features(column)
-        return np.stack([np.bincount(rows, weights=w[feats], minlength=len(column)) + b for w, b in zip(self.weights, self.bias, strict=True)], axis=1)
+        out = np.tile(self.bias, (len(column), 1))
+        for row, n, rows, feats in features(column):
+            for h, w in enumerate(self.weights):
+                out[row : row + n, h] += np.bincount(rows, weights=w[feats], minlength=n)
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 300, ridge: float = 0.1) -> Model:

@@ -124,7 +124,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_site_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, good, toxic = quality.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    rows, good, toxic = quality.scored(
+        load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), load(spark, sf_dir, "labels"))
     # The kept documents, so that both the rows and the flag tell the decision.
     return rows.select("doc_id", F.col(good).alias("p_quality"), F.col(toxic).alias("p_toxic")).withColumn(
         "keep", F.expr("p_quality >= 0.5 AND p_toxic < 0.5")).filter("keep")
