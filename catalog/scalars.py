@@ -89,13 +89,18 @@ scalar(
 )
 
 
-@query("str6_similarity")
+# One sign put into a phrase of n leaves n matches, one exchanged leaves n - 1: the ratios are known.
+@query("str6_similarity", with_(PHRASES) + r"""SELECT track_id, cue_id, 2.0::DOUBLE * length(text) / (2 * length(text) + 1) AS inserted,
+    2.0::DOUBLE * (length(text) - 1) / (2 * length(text)) AS exchanged, length(replace(lower(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')), 'ß', 'ss')) >= 5 AS same FROM cues""")
 def _similarity(spark, sf_dir):
-    """Every spoken phrase against the one after it."""
-    phrases = phrases_from_conversations(spark, sf_dir)
-    ahead = scan(phrases, plan_layout(phrases, ["track_id"], ["cue_id"]), {"following": ("next", F.col("text"))})
-    return ahead.select("track_id", "cue_id", text.similarity("text", "following").alias("ratio"),
-                        F.coalesce(text.same_text("text", "following"), F.lit(False)).alias("same"))
+    """Every spoken phrase against itself with one sign more, and with one exchanged."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    head = F.substr(F.col("text"), F.lit(1), third)
+    more = F.concat(head, F.lit("7"), F.substr(F.col("text"), third + 1))
+    other = F.concat(head, F.lit("7"), F.substr(F.col("text"), third + 2))
+    return phrases_from_conversations(spark, sf_dir).select(
+        "track_id", "cue_id", text.similarity("text", more).alias("inserted"), text.similarity("text", other).alias("exchanged"),
+        F.coalesce(text.same_text("text", more), F.lit(False)).alias("same"))
 
 
 _stem = (

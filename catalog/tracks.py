@@ -395,7 +395,13 @@ def _allocate(spark, sf_dir):
     return G.segmentation_counts(G.allocate_segments(display, proposals, "en"))
 
 
-@query("win14_merge_ocr_states")
+# Every state is told twice, the second time with one more sign; after normalising both are equal, so only equal
+# neighbours can join (other neighbours are far from the threshold).
+@query("win14_merge_ocr_states", with_(PHRASES, r"""st AS (SELECT *, regexp_replace(regexp_replace(text, '\s', '', 'g'), '^[，。！？,.?!;；:：]+|[，。！？,.?!;；:：]+$', '', 'g') AS t FROM cues),
+    lg AS (SELECT *, lag(cue_id) OVER w AS before, lag(t) OVER w AS pt, lag(end_ms) OVER w + 40 AS pe FROM st WINDOW w AS (PARTITION BY track_id ORDER BY cue_id)),
+    ok AS (SELECT *, coalesce(before % 11 > 0 AND pt = t AND start_ms <= pe + 250, false) AS joins FROM lg WHERE cue_id % 11 > 0 AND t <> ''),
+    gr AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY cue_id ROWS UNBOUNDED PRECEDING) AS g FROM ok)""") +
+    """SELECT track_id, min(cue_id) * 2 AS cue_first, min(start_ms) AS start_ms, max(end_ms) + 40 AS end_ms, arg_max(t, cue_id) AS text FROM gr GROUP BY track_id, g HAVING max(end_ms) + 40 - min(start_ms) >= 250""")
 def _ocr_states(spark, sf_dir):
     cues = phrases_from_conversations(spark, sf_dir)
     kind = F.when(F.col("cue_id") % 11 == 0, "none").otherwise("dialogue")

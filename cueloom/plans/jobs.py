@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,12 +25,23 @@ from cueloom.session import checkpointed
 
 @dataclass
 class Fusion:
-    """Tables of a fused corpus; each is lazy and may be written on its own."""
+    """Tables of a fused corpus; each is derived when it is first asked for."""
 
-    display: DataFrame
-    tts: DataFrame
-    flags: DataFrame
     status: DataFrame
+    lang: str
+    lines: Callable[[], DataFrame]
+
+    @cached_property
+    def display(self) -> DataFrame:
+        return self.lines()
+
+    @cached_property
+    def tts(self) -> DataFrame:
+        return tts_groups(self.display)
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return quality_flags(self.display, self.lang)
 
 
 def fuse_corpus(
@@ -55,6 +68,12 @@ def fuse_corpus(
         )
         .withColumn("used_fallback", F.col("warning").isNotNull())
     )
+    return Fusion(status, lang, lambda: _display(cues, checked, status, lang, segment_answers, fallback_lines))
+
+
+def _display(
+    cues: DataFrame, checked: DataFrame, status: DataFrame, lang: str, segment_answers: DataFrame | None, fallback_lines: DataFrame | None,
+) -> DataFrame:
     good = status.where(~F.col("used_fallback")).select(KEY)
     bad = status.where("used_fallback").select(KEY)
     shape = [KEY, "group_no", "source_ids", "source_text", "translation", "speaker", "start_ms", "end_ms"]
@@ -73,7 +92,7 @@ def fuse_corpus(
     if segment_answers is not None:
         proposals = parse_segmentation(segment_answers).where(F.col("index").isNotNull()).select(KEY, "index", "segments")
         display = allocate_segments(display, proposals, lang)
-    return Fusion(display, tts_groups(display), quality_flags(display, lang), status)
+    return display
 
 
 def display_to_tts(docs: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
