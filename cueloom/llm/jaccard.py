@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from cueloom.llm import tokens
 from cueloom.llm.common import checked, known, staged
 
+#: Shingles in a block of sets that are compared as wholes.
+BLOCK_GRAMS = 1 << 16
 _U = np.uint64
 
 
@@ -135,7 +137,53 @@ def _lister(n: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, count, grams, rows in _sets(batch.column(1), n):
                 sizes = np.bincount(rows, minlength=count)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row + rows]), pa.array(grams.view(np.int64)), pa.array(sizes[rows])], ["node", "gram", "size"])
+                edges = np.concatenate([[0], np.cumsum(sizes)]) * 8
+                raw = grams.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row : row + count]), pa.array(sizes), pa.array([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())],
+                    ["node", "size", "grams"])
+
+    return run
+
+
+def _block(body: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sets = [np.frombuffer(x["grams"], _U) for x in body]
+    sizes = np.array([len(x) for x in sets])
+    return np.array([x["node"] for x in body]), np.array([x["label"] for x in body]), sizes, np.concatenate(sets)
+
+
+def _comparer(part: int, whole: int):
+    """Links between two blocks that join different components, as few as join them: one matrix product gives all overlaps."""
+
+    def run(batches):
+        for batch in batches:
+            a_out, b_out = [], []
+            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (a, la, sa, ga), (b, lb, sb, gb) = _block(one), _block(two)
+                common = np.intersect1d(ga, gb)
+                planes = []
+                for sizes, grams in ((sa, ga), (sb, gb)):
+                    at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+                    hit = common[at] == grams if len(common) else np.zeros(len(grams), bool)
+                    plane = np.zeros((len(sizes), len(common)), np.float32)
+                    plane[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+                    planes.append(plane)
+                shared = (planes[0] @ planes[1].T).astype(np.int64)
+                linked = (shared > 0) & (whole * shared >= part * (sa[:, None] + sb[None] - shared)) & (la[:, None] != lb[None])
+                up: dict = {}
+
+                def root(x):
+                    while up.get(x, x) != x:
+                        x = up[x]
+                    return x
+
+                for i, j in zip(*[x.tolist() for x in np.nonzero(linked)], strict=True):
+                    x, y = root(int(la[i])), root(int(lb[j]))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        a_out.append(int(min(a[i], b[j])))
+                        b_out.append(int(max(a[i], b[j])))
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return run
 
@@ -220,8 +268,8 @@ def link_components(
     kept = staged(common.withColumn("weak", F.row_number().over(by_weight)).filter("weak > spare").select("key", "node").distinct(), "jaccard-keys")
     in_key = Window.partitionBy("key").orderBy("node")
     kept = staged(kept.withColumn("rank", F.row_number().over(in_key)), "jaccard-ranked")
-    nodes = staged(kept.select("node").distinct(), "jaccard-nodes")
-    texts = staged(own.join(checked(nodes, 16), "node", "left_semi"), "jaccard-texts")
+    involved = staged(kept.select("node").distinct(), "jaccard-involved")
+    texts = staged(own.join(checked(involved, 16), "node", "left_semi"), "jaccard-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wide = (
@@ -239,28 +287,30 @@ def link_components(
     first = kept.filter("rank = 1").select("key", F.col("node").alias("a"))
     links = staged(verified(kept.filter("rank > 1").join(first, "key").select("a", F.col("node").alias("b")).distinct()).union(ties), "jaccard-links")
     labels = staged(components(links), "jaccard-labels")
-    # Links still missing join two components that share a key. Of these nodes only such pairs are verified as share
-    # one of their rarest shingles: sets that link share one of the first size - least overlap + 1 in any common order.
+    # Links still missing join two components that share a key. Nodes of such keys that hang together are a cluster;
+    # its nodes in order of size make blocks of bounded volume, and blocks of possible sizes are compared as wholes.
     told = kept.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    spread = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    open_nodes = staged(told.join(spread, "key", "left_semi").select("node", "label").distinct(), "jaccard-open")
-    grams = staged(
-        texts.join(checked(open_nodes.select("node"), 16), "node", "left_semi").select("node", "text").mapInArrow(_lister(n), "node long, gram long, size long"),
-        "jaccard-grams")
-    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    rare = Window.partitionBy("node").orderBy("often", "gram")
-    front = (
-        grams.join(often, "gram").withColumn("turn", F.row_number().over(rare))
-        .filter(F.col("turn") <= F.expr(f"size - ((size * {part} + {whole - 1}) div {whole}) + 1")).filter("often > 1")
-    )
-    front = staged(front.join(checked(open_nodes, 24), "node").select("gram", "node", "label").distinct(), "jaccard-front")
-    # Pairs of one component need no test: the rows outside the largest component of a shingle meet all rows.
-    largest = front.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("gram").agg(
-        F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("gram", "main")
-    front = front.join(largest, "gram").withColumn("minor", F.expr("label <> main"))
-    minor = front.filter("minor").select("gram", F.col("node").alias("a"), F.col("label").alias("own"))
-    pairs = front.join(minor, "gram").filter("label <> own AND (NOT minor OR a < node)").select("a", F.col("node").alias("b")).distinct()
-    more = staged(verified(pairs), "jaccard-links")
+    spread = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("lead")).filter("x <> y").select("key", "lead")
+    opened = staged(told.join(spread, "key").select("node", "label", "lead").distinct(), "jaccard-open")
+    clusters = staged(components(opened.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "jaccard-clusters").select("node", F.col("label").alias("cluster"))
+    nodes = staged(opened.select("node", "label").distinct(), "jaccard-nodes")
+    grams = texts.join(checked(nodes.select("node"), 16), "node", "left_semi").select("node", "text").mapInArrow(_lister(n), "node long, size long, grams binary")
+    grams = staged(grams, "jaccard-grams")
+    by_size = Window.partitionBy("cluster").orderBy("size", "node")
+    placed = nodes.join(clusters, "node").join(grams.select("node", "size"), "node").withColumn(
+        "block", F.floor(F.sum("size").over(by_size) / BLOCK_GRAMS))
+    placed = staged(placed, "jaccard-placed")
+    frame = placed.groupBy("cluster", "block").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
+    later = frame.select("cluster", F.col("block").alias("other"), F.col("least").alias("least2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    meet = frame.join(later, "cluster").filter(
+        f"block <= other AND {whole} * most >= {part} * least2 AND NOT (x = y AND x2 = y2 AND x = x2)").select("cluster", "block", "other")
+    bodies = staged(
+        placed.join(grams.select("node", "grams"), "node").groupBy("cluster", "block").agg(F.collect_list(F.struct("node", "label", "grams")).alias("body")),
+        "jaccard-blocks")
+    wide = meet.join(bodies, ["cluster", "block"]).join(
+        bodies.select("cluster", F.col("block").alias("other"), F.col("body").alias("body2")), ["cluster", "other"]).select("body", "body2")
+    more = staged(verified(wide.mapInArrow(_comparer(part, whole), "a long, b long").distinct()), "jaccard-links")
     if not more.isEmpty():
         labels = staged(components(links.union(more)), "jaccard-labels")
     return member.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
