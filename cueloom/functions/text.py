@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -183,45 +185,53 @@ def last_word_fragment(c: Column | str) -> Column:
     return (text.endswith("...") | text.endswith("…") | F.coalesce(last.isin(FRAGMENT_WORDS), F.lit(False)))
 
 
+# Causes in their order of preference; each has word groups, and a message with all words of a group has the cause.
+MODEL_CAUSES = {
+    "key": [["api_key"], ["api key"], ["invalid", "key"]],
+    "quota": [["quota"], ["rate limit"], ["resource_exhausted"]],
+    "permission": [["permission"], ["forbidden"]],
+    "model": [["not found", "model"]],
+    "size": [["too large"], ["payload"]],
+    "timeout": [["timeout"], ["deadline"]],
+    "connection": [["connection"], ["network"]],
+}
+DOWNLOAD_CAUSES = {
+    "login": [["cookies"], ["login"]],
+    "not_found": [["not found"], ["unavailable"]],
+    "geo": [["geo"], ["region"]],
+}
+# Names whose values are credentials, and the longest message shown.
+CREDENTIALS = ["api_key", "api-key", "apikey", "key", "token", "authorization"]
+SHOWN = 800
+
+
+def _cause(c: Column | str, causes: dict[str, list[list[str]]]) -> Column:
+    """The first cause with a group of which the message has every word, else ``other``."""
+    message = F.lower(_col(c))
+    met = [
+        F.when(reduce(or_, (reduce(and_, (message.contains(word) for word in group)) for group in groups)), cause)
+        for cause, groups in causes.items()
+    ]
+    return F.coalesce(*met, F.lit("other"))
+
+
 def classify_model_error(c: Column | str) -> Column:
-    """Cause of a failed model call; the first matching rule wins."""
-    msg = F.lower(_col(c))
-
-    def has(*parts: str) -> Column:
-        found = F.lit(False)
-        for part in parts:
-            found = found | msg.contains(part)
-        return found
-
-    return (
-        F.when(has("api_key", "api key") | (has("invalid") & has("key")), "key")
-        .when(has("quota", "rate limit", "resource_exhausted"), "quota")
-        .when(has("permission", "forbidden"), "permission")
-        .when(has("not found") & has("model"), "model")
-        .when(has("too large", "payload"), "size")
-        .when(has("timeout", "deadline"), "timeout")
-        .when(has("connection", "network"), "connection")
-        .otherwise("other")
-    )
+    """Cause of a failed model call."""
+    return _cause(c, MODEL_CAUSES)
 
 
 def classify_download_error(c: Column | str) -> Column:
-    msg = F.lower(_col(c))
-    return (
-        F.when(msg.contains("cookies") | msg.contains("login"), "login")
-        .when(msg.contains("not found") | msg.contains("unavailable"), "not_found")
-        .when(msg.contains("geo") | msg.contains("region"), "geo")
-        .otherwise("other")
-    )
+    """Cause of a failed download."""
+    return _cause(c, DOWNLOAD_CAUSES)
 
 
 def redact(c: Column | str, secrets: list[str] | None = None) -> Column:
-    """Hide known secrets and ``key=value`` credentials, then shorten."""
-    msg = F.coalesce(_col(c), F.lit(""))
+    """Hide known secrets and the values of credentials, then shorten."""
+    message = F.coalesce(_col(c), F.lit(""))
     for secret in secrets or []:
-        msg = F.replace(msg, F.lit(secret), F.lit("[REDACTED]"))
-    named = r"""(?i)(api[_-]?key|key|token|authorization)(\s*[=:]\s*)[^\s,}"]+"""
-    return F.left(F.regexp_replace(msg, named, "$1$2[REDACTED]"), F.lit(800))
+        message = F.replace(message, F.lit(secret), F.lit("[REDACTED]"))
+    value = rf"""(?i)((?:{'|'.join(CREDENTIALS)})\s*[=:]\s*)[^\s,}}"]+"""
+    return F.left(F.regexp_replace(message, value, "$1[REDACTED]"), F.lit(SHOWN))
 
 
 def performance_markup(c: Column | str) -> Column:

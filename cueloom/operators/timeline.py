@@ -74,8 +74,11 @@ def placed_cues(placements: DataFrame) -> DataFrame:
     )
 
 
-def tts_summary(placements: DataFrame) -> DataFrame:
-    """Outcome of a narrated track; the failed and overflowing rows stay a table of their own."""
+def tts_summary(placements: DataFrame, target: str | None = None) -> DataFrame:
+    """Outcome of a narrated track; the failed and overflowing rows stay a table of their own.
+
+    ``target`` names a column with the length in ms that the track has to fill at least.
+    """
     failed, spilled = F.col("status") == "failed", F.col("status") == "timing_overflow"
     last = F.max(F.when(~failed, F.col("actual_end_ms")))
     return placements.groupBy(KEY).agg(
@@ -83,7 +86,7 @@ def tts_summary(placements: DataFrame) -> DataFrame:
         F.count_if(spilled).alias("overflowing"),
         F.count_if(F.col("status") == "speed_adjusted").alias("speed_adjusted"),
         F.sum("overlap_ms").alias("overlap_ms"),
-        F.greatest(F.coalesce(last, F.lit(0)), F.max("end_ms")).alias("total_ms"),
+        F.greatest(F.coalesce(last, F.lit(0)), F.max("end_ms"), *([F.max(target)] if target else [])).alias("total_ms"),
         F.when(F.bool_or(failed | spilled), "partial").otherwise("done").alias("status"),
     )
 
