@@ -23,11 +23,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from there, so that lost executors cost only their tasks."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write a table to the shared folder and go on from there, so that lost executors cost only their tasks.
+
+    After a ``large`` step the shuffle files that led to it are no longer needed; Spark removes them when the driver
+    collects its garbage, which is asked for here instead of waiting for it.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    if large:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checked(df: DataFrame, row_bytes: int) -> DataFrame:

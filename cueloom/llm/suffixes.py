@@ -25,6 +25,7 @@ GRAM = 25
 SHALLOW = 16
 BUCKET_BYTES = 16 << 20
 HOT_CLASSES = 50_000
+PART_ANCHORS = 1 << 19
 _U = np.uint64
 
 
@@ -65,18 +66,24 @@ def _chunked(batch, column: int) -> Iterator[tuple]:
 
 
 def _emit(buckets: int):
-    """Per batch and bucket: the anchors' hashes, each once with the first document that has it, and how often others repeat it."""
+    """Per part of a batch and bucket: the anchors' hashes, each once with the first document that has it, and how often others repeat it."""
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             order = batch.column(0).to_numpy()
-            held, owners = [], []
+            held, owners, many = [], [], 0
             for row, _, _, (rows, _, _, _, hashes) in _chunked(batch, 1):
                 held.append(hashes)
                 owners.append(order[row + rows])
-            hashes, owners = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (held, owners))
-            if not len(hashes):
-                continue
+                many += len(hashes)
+                if many >= PART_ANCHORS:
+                    yield np.concatenate(held), np.concatenate(owners)
+                    held, owners, many = [], [], 0
+            if many:
+                yield np.concatenate(held), np.concatenate(owners)
+
+    def run(batches):
+        for hashes, owners in parts(batches):
             sort = np.lexsort((owners, hashes))
             hashes, owners = hashes[sort], owners[sort]
             fresh = np.ones(len(hashes), bool)
@@ -93,7 +100,7 @@ def _emit(buckets: int):
             blobs = []
             for b in used.tolist():
                 at = sort[edges[b] : edges[b + 1]]
-                # What a batch repeats is known to repeat; of it only the first document is compared with other batches.
+                # What a part repeats is known to repeat; of it only the first document is compared with other parts.
                 flag = twice[at].astype(np.uint8) + 2 * lead[at].astype(np.uint8)
                 blobs.append(b"".join([owners[at].astype("<i8").tobytes(), hashes[at].astype("<u8").tobytes(), flag.tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -135,8 +142,6 @@ def _surroundings(batches):
         edges = wanted.offsets.to_numpy()
         names = wanted.values.to_numpy()
         order, text = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out = {k: [] for k in ("order", "text_key", "start", "windows", "hash", "key")}
-        around: list[bytes] = []
         for row, data, offsets, (rows, at, first, last, hashes) in _chunked(batch, 2):
             n = len(offsets) - 1
             mine = names[edges[row] : edges[row + n]]
@@ -145,16 +150,13 @@ def _surroundings(batches):
             hit = np.isin(named(rows, hashes), named(holder, mine))
             rows, at, first, last, hashes = rows[hit], at[hit], first[hit], last[hit], hashes[hit]
             begins, ends = first, last + LENGTH
-            out["order"].append(order[row + rows])
-            out["text_key"].append(text[row + rows])
-            out["start"].append(first - offsets[rows])
-            out["windows"].append((last - first + 1) | ((at - first) << 8))
-            out["hash"].append(hashes.view(np.int64))
-            out["key"].append(tokens.span_hash(tokens.VALUES[data], begins, ends).view(np.int64) ^ (at - first))
             raw = data.tobytes()
-            around += [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-        arrays = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in out.values()]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(around, pa.binary())], [*out, "around"])
+            around = [raw[b:e] for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+            key = tokens.span_hash(tokens.VALUES[data], begins, ends).view(np.int64) ^ (at - first)
+            columns = [order[row + rows], text[row + rows], first - offsets[rows], (last - first + 1) | ((at - first) << 8), hashes.view(np.int64), key]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, pa.int64()) for c in columns], pa.array(around, pa.binary())],
+                ["order", "text_key", "start", "windows", "hash", "key", "around"])
 
 
 class BlindTrie:
@@ -311,10 +313,10 @@ def repeated_spans(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot_class
     wanted = found.groupBy("order").agg(F.collect_list("hash").alias("hashes"))
     around = staged(
         texts.join(wanted, "order").select("order", "text_key", "text", "hashes")
-        .mapInArrow(_surroundings, "order long, text_key long, start long, windows long, hash long, key long, around binary"), "suffix-around")
+        .mapInArrow(_surroundings, "order long, text_key long, start long, windows long, hash long, key long, around binary"), "suffix-around", large=True)
     # Equal surroundings are one class, known by two 64-bit hashes; its earliest document stands for it.
     classes = around.groupBy("hash", "key").agg(F.min("order").alias("low"), F.first("windows").alias("windows"), F.first("around").alias("around"))
-    classes = staged(classes, "suffix-classes")
+    classes = staged(classes, "suffix-classes", large=True)
     sizes = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     hot = staged(sizes.filter(F.col("classes") > hot_classes).select("hash"), "suffix-hot")
     several = classes.join(sizes.filter(F.col("classes") <= hot_classes).select("hash"), "hash", "left_semi")
