@@ -39,13 +39,15 @@ def _allocate(low: int, high: int, differ: int) -> Band:
     """The cheapest segments with exact + 2 * loose > differ + spare, by keys written and by sets expected to share small segments."""
     best = None
     for loose in {0, 1, 2, (differ + 2) // 2, *range(0, min(differ + 2, 12) // 2 + 1)}:
-        spare = 0 if loose else 1 + differ // 20
-        exact = max(0, differ + 1 + spare - 2 * loose)
-        size = low / (exact + loose)
-        crowded = math.exp(-size) * (1 + size) * 60  # segments of one shingle at most are shared by many sets
-        cost = exact * (1 + crowded * (0.3 if spare else 1)) + loose * (1 + size + crowded)
-        if best is None or cost < best[0]:
-            best = (cost, Band(low, high, exact, loose, spare))
+        # Thin segments are shared by many sets; as many as are to be expected can be left out.
+        thin = 0 if loose else 1 + int((differ + 1) * (0.03 + 1.5 * math.exp(-low / (differ + 1))))
+        for spare in {0, thin}:
+            exact = max(0, differ + 1 + spare - 2 * loose)
+            size = low / (exact + loose)
+            crowded = 0.0 if exact + loose == 1 else 20 * math.exp(-size) * (1 + size)
+            cost = exact * (1 + crowded * (0.3 if spare else 1)) + loose * (1 + size + crowded)
+            if best is None or cost < best[0]:
+                best = (cost, Band(low, high, exact, loose, spare))
     return best[1]
 
 
