@@ -160,8 +160,8 @@ def _comparer(part: int, whole: int):
     def run(batches):
         for batch in batches:
             a_out, b_out = [], []
-            for one, two in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (a, la, sa, ga), (b, lb, sb, gb) = _block(one), _block(two)
+            for pair in range(batch.num_rows):
+                (a, la, sa, ga), (b, lb, sb, gb) = (_block(batch.column(k)[pair].as_py()) for k in (0, 1))
                 common = np.intersect1d(ga, gb)
                 planes = []
                 for sizes, grams in ((sa, ga), (sb, gb)):
