@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm import tokens
@@ -160,6 +160,15 @@ def _told(rows: list[tuple]) -> pa.RecordBatch:
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def cuts_below(order: Column, cuts: list[int]) -> Column:
+    """The number of sorted cuts below a value, by halving; the expression has one copy of the cuts and of the step."""
+    if not cuts:
+        return F.lit(0)
+    place = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda below, step: F.when(F.get(place, below + step - 1) < order, below + step).otherwise(below))
+
+
 def edited_fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_buckets: int = 10_000) -> DataFrame:
     """Fingerprints of every text and of an edited one, whose last quarter is replaced by the start of the next document.
 
@@ -174,15 +183,7 @@ def edited_fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_
     buckets = min(most_buckets, max(1, math.ceil((n_bytes or 0) / bucket_bytes)))
     # Cuts between ranges, found on the ids alone. An id lies in one range, and the ranges are numbered by their order.
     cuts = sorted({int(x) for x in rows.agg(F.percentile_approx("order", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]}) if buckets > 1 and n_rows else []
-    place = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    # The number of cuts below the id, by halving.
-    bucket = F.lit(0)
-    step = 1 << max(0, len(cuts).bit_length() - 1)
-    while cuts and step:
-        at = bucket + step
-        bucket = F.when((at <= len(cuts)) & (F.get(place, at - 1) < F.col("order")), at).otherwise(bucket)
-        step //= 2
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", cuts_below(F.col("order"), cuts))
     heads = rows.groupBy("bucket").agg(F.min("order").alias("order")).orderBy("bucket").collect()
     guests = [(heads[i - 1].bucket, heads[i].order) for i in range(len(heads))]
     spark = docs.sparkSession

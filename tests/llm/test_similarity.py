@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.llm import decontaminate, fingerprints, jaccard, suffixes, tokens
 
@@ -218,6 +219,20 @@ def test_edited_texts(table, odd_rows):
     assert alone[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_many_ranges_of_ids(spark, table):
+    """The bucket expression doesn't grow with the number of ranges: 250 of them in the query, 10,000 in the expression."""
+    rows = [(7 * i - 900, f"text number {i} of many") for i in range(250)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.edited_fingerprints(table(rows), bucket_bytes=1, most_buckets=250).collect()}
+    for k, (i, t) in enumerate(rows):
+        cut = len(t) // 4
+        assert got[i] == hashlib.sha256((t[: len(t) - cut] + rows[(k + 1) % len(rows)][1][:cut]).encode()).hexdigest()
+    cuts = sorted(random.Random(9).sample(range(-(10**6), 10**6), 10_000))
+    held = spark.range(-(10**6) - 5, 10**6 + 5, 997).withColumn("below", fingerprints.cuts_below(F.col("id"), cuts)).toPandas()
+    assert (held.below == np.searchsorted(cuts, held.id, "left")).all()
+    few = spark.range(-3, 9).withColumn("below", fingerprints.cuts_below(F.col("id"), [-(2**63), 0, 4])).toPandas()
+    assert (few.below == np.searchsorted([-(2**63), 0, 4], few.id, "left")).all()
+
+
 def test_equal_substrings_have_equal_interiors():
     rng = random.Random(8)
     inner = "".join(rng.choice("abcdefgh ") for _ in range(3000))
