@@ -60,25 +60,24 @@ def parse_level(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens.span_hash(names, begins, ends), rows[begins]
 
 
-def _fine(n_chars: int | np.ndarray) -> np.ndarray:
-    """The lowest level that counts: phrases of a few characters for short texts, of some words for others."""
-    return np.where(np.asarray(n_chars) >= 400, 3, np.where(np.asarray(n_chars) >= 100, 2, 1))
+def sketch(data: np.ndarray, offsets: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """One row of ``slots`` 16-bit values per text (0: none): the least phrase name of each slot, over all levels.
 
-
-def sketch(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """One row of ``slots`` 16-bit values per text (0: none): the least phrase name of each slot, over all levels that count."""
+    Names of level 3 and above (phrases of some words) come before those of level 2, and these before level 1, in every
+    slot of every text. So long texts are told by long phrases, the slots that a short text leaves open are filled by
+    shorter ones, and nothing depends on a length.
+    """
     n = len(offsets) - 1
     least = np.full(n * slots, np.iinfo(np.uint64).max, _U)
     rows = np.repeat(np.arange(n), np.diff(offsets))
     names = tokens.VALUES[data]
-    fine, level = _fine(chars), 0
+    level = 0
     while len(names):
         level += 1
         before = len(names)
         names, rows = parse_level(names, rows)
-        use = fine[rows] <= level
-        name, owner = tokens.mix(names[use] + _U(level)), rows[use]
-        np.minimum.at(least, owner * slots + (name >> _U(58)).astype(np.int64) % slots, name << _U(6))
+        name, rank = tokens.mix(names + _U(level)), _U(max(0, 3 - level))
+        np.minimum.at(least, rows * slots + (name >> _U(58)).astype(np.int64) % slots, (rank << _U(62)) | (name << _U(6) >> _U(2)))
         if len(names) == before or level > 40:
             break
         many = np.bincount(rows, minlength=n)
@@ -105,9 +104,7 @@ def fingerprint_texts(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), SLOTS), np.uint16)
     for row, data, offsets in tokens.text_chunks(pa.array(texts, pa.large_string())):
         n = len(offsets) - 1
-        # Code points: the bytes that continue none.
-        heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        out[row : row + n] = sketch(data, offsets, heads[offsets[1:]] - heads[offsets[:-1]])
+        out[row : row + n] = sketch(data, offsets)
     return out
 
 

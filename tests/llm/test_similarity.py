@@ -253,6 +253,24 @@ def test_equal_substrings_have_equal_interiors():
     assert fingerprints.likeness(*fingerprints.fingerprint_texts(["", ""])[:, None])[0] == 1.0
 
 
+@pytest.mark.parametrize("size", [100, 400])
+def test_near_copies_of_any_length_are_alike(size):
+    """Four characters more or less change a fingerprint as little on both sides of a length as across it."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))[:n]
+
+    def alike(short, long):
+        texts = [say(long) for _ in range(60)]
+        return fingerprints.likeness(fingerprints.fingerprint_texts([t[:short] for t in texts]), fingerprints.fingerprint_texts(texts)).mean()
+
+    across = [alike(size - 4 + i, size + i) for i in (1, 2, 3)]
+    beside = [alike(size - 24, size - 20), alike(size + 20, size + 24)]
+    assert min(across) > 0.75 and min(across) > min(beside) - 0.08
+    other = fingerprints.likeness(fingerprints.fingerprint_texts([say(size) for _ in range(60)]), fingerprints.fingerprint_texts([say(size) for _ in range(60)]))
+    assert other.mean() < 0.2
+
+
 def test_fingerprint_column(table, odd_rows):
     docs = table(odd_rows)
     out = fingerprints.with_fingerprints(docs, name="key")
