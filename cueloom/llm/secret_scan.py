@@ -29,6 +29,15 @@ BASE_RULES = (
 )
 RULES = (*BASE_RULES, Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1))
 
+# What redaction removes: a whole private key, from BEGIN to the END line, or to the last line or long run of base64
+# where END is missing. The ledger's rule tells the place of a key by its BEGIN line only.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+    r"(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+(?:[A-Z][A-Za-z]*+-[A-Za-z]++:[^\n]*+|[A-Za-z0-9+/]{20,}+={0,2}+|(?<=\n)[A-Za-z0-9+/]++={0,2}+(?=[\x20\t\r]*+(?:\n|\Z))))*+)"
+)
+KEY_RULES = (*BASE_RULES, Rule("pem", PEM, 0, 1, 2))
+
 
 def _spans(rule: Rule, place: int) -> Column:
     """The matches of a rule in ``text`` as (start, place of the kind, kind, end), in code points.
@@ -95,8 +104,8 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The table with every span found in ``text`` replaced by ``[kind]``; null texts stay null."""
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = KEY_RULES) -> DataFrame:
+    """The table with every span found in ``text`` replaced by ``[kind]``, private keys as a whole; null texts stay null."""
     blob, held = unused(docs, "blob"), unused(docs, "held")
     found, _ = scan_versions(docs.select("doc_id", "text"), rules=rules)
     hits = staged(found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(held)).dropDuplicates([blob]), "secret-hits")

@@ -225,6 +225,24 @@ def test_redaction(table, odd_rows):
     assert {r.text for r in clean.filter("doc_id = 6").collect()} == {None}
 
 
+def test_private_keys_go_as_a_whole(table):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "Zx9+/aQ" * 6 + "Ab"] * 30 + ["q7Zk9w=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        1: (f"before\n{begin}\n{body}\n{end}\nafter it", "before\n[pem]\nafter it"),
+        2: (f"{begin}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00FF\r\n\r\n" + body.replace("\n", "\r\n") + f"\r\n{end}", "[pem]"),
+        3: (f"x {begin}\n{body}\n\nand so on - cut -----", "x [pem]\n\nand so on - cut -----"),
+        4: (f"{begin}\n{body}\n{begin}\n{body}\n{end} y", "[pem]\n[pem] y"),
+        5: ('key = "' + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + '";', 'key = "[pem]";'),
+        6: (f"{begin} " + body.replace("\n", " ")[:-9] + " more", "[pem] more"),
+        7: (f"a line {begin} in prose\nonly", "a line [pem] in prose\nonly"),
+        8: (f"{begin}\n" + body * 300 + f"\n{end}", "[pem]"),
+        9: (f"{begin}\nDEK-Info: AES-128-CBC,00FF\n\n{body}", "[pem]"),
+    }
+    got = {r.doc_id: r.text for r in secret_scan.redacted(table([(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert got == {i: clean for i, (_, clean) in texts.items()}
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     rows, good, toxic = quality.scored(docs, labels.filter("doc_id % 3 <> 0"))
