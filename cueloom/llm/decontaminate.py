@@ -182,10 +182,31 @@ def _searcher(texts: list[str], ids: list, radius: int, least: float, weights: C
     return run
 
 
-def _item_blocks(benchmark: DataFrame, block_bytes: int):
+def _item_grams(batches):
+    """The distinct shingles of every item, their words joined by spaces, which no word has."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            low = tokens.fold(np.frombuffer(text.encode(), np.uint8))
+            _, _, begins, ends = tokens.words(low, np.array([0, len(low)]), tokens.LETTERS)
+            out += {b" ".join(g) for g in _runs([low[b:e].tobytes() for b, e in zip(begins, ends, strict=True)])}
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["gram"])
+
+
+def _rarity(items: DataFrame) -> tuple[Counter, int]:
+    """The weights of the shingles that several items of the whole benchmark have, and the number of items.
+
+    A shingle of one item weighs as much as one of none, so only the repeated ones are told.
+    """
+    n_items = items.count()
+    often = items.select("text").mapInArrow(_item_grams, "gram binary").groupBy("gram").count().filter("count > 1")
+    return Counter({tuple(bytes(r.gram).split(b" ")): math.log(1 + n_items / r["count"]) for r in often.toLocalIterator()}), n_items
+
+
+def _item_blocks(items: DataFrame, block_bytes: int):
     """The items in blocks of bounded size, so that a benchmark of any length is searched in several passes."""
     ids, texts, held = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), known().alias("text")).distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         ids.append(r.item_id)
         texts.append(r.text)
         held += len(r.text) + 64
@@ -202,26 +223,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radi
     Words are runs of letters and digits without case. Windows have the word count of an item; their 64-bit SimHash
     over words is looked up in radius + 1 blocks of bits, which finds every item within the radius, and what is found
     is verified by the weighted Jaccard similarity of five-word shingles (of all words for shorter items), weights
-    being the rarity of a shingle in the benchmark. Only windows with a shingle of some item are looked at, because
+    being the rarity of a shingle in the whole benchmark, whatever the blocks. Only windows with a shingle of some item are looked at, because
     others have similarity zero. Ties go to the smaller distance, then the earlier window.
 
     Null texts hold nothing, items without words are in no document, an empty table gives no rows. Null and repeated
     ids keep a row per row and item; repeated item rows count once. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known().alias("text"))
+    items = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), known().alias("text")).distinct(), "items")
+    rarity, n_items = _rarity(items)
     found = None
-    for ids, texts in _item_blocks(benchmark, block_bytes):
-        weights: Counter = Counter()
-        lists = []
-        for text in texts:
-            low = tokens.fold(np.frombuffer(text.encode(), np.uint8))
-            _, _, begins, ends = tokens.words(low, np.array([0, len(low)]), tokens.LETTERS)
-            lists.append(set(_runs([low[b:e].tobytes() for b, e in zip(begins, ends, strict=True)])))
-        for grams in lists:
-            weights.update(grams)
-        rarity = Counter({g: math.log(1 + len(texts) / n) for g, n in weights.items()})
+    for ids, texts in _item_blocks(items, block_bytes):
         part = rows.mapInArrow(
-            _searcher(texts, ids, radius, least, rarity, len(texts)),
+            _searcher(texts, ids, radius, least, rarity, n_items),
             "doc_id long, item_id long, similarity double, distance int, start_byte long, end_byte long")
         found = part if found is None else found.union(part)
     if found is None:

@@ -179,6 +179,19 @@ def test_leaks(spark, table, odd_rows):
     assert decontaminate.find_leaks(table(docs), bench.filter("item_id < 0")).count() == 0
 
 
+def test_similarity_does_not_depend_on_blocks(spark, table):
+    """Items that share passages, in several blocks and in one: weights come from the whole benchmark."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("the of tion er re in on an ti es".split()) + rng.choice("abcdefgh") for _ in range(n))
+    shared = say(16)
+    items = [(k, shared + " " + say(10 + k)) for k in range(8)] + [(9, say(20))]
+    docs = [(100 + k, say(5) + " " + " ".join(["other", *t.split(" ")[1:-1], "words"]) + " " + say(5)) for k, (_, t) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    told = [{(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(table(docs), bench, block_bytes=b).collect()} for b in (600, 1 << 20)]
+    assert told[0].keys() == told[1].keys() and told[0]
+    assert all(abs(t[k] - v) < 1e-12 for k, v in told[1].items() for t in told)
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     items = decontaminate.Items(["a b c d e f g"] * 5, 7, Counter(), 5)
