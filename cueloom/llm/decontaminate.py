@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: item-sized SimHash windows, a multi-index over Hamming blocks, exact verification."""
+"""Benchmark passages in documents: item-sized windows, looked up by rare shingles or by SimHash, exact verification."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from cueloom.llm.common import checked, known, staged, unused
 
 SHINGLE = 5
 LEAST = 0.8
-RADIUS = 12
 BITS = 64
 BLOCK_BYTES = 8 << 20
 
@@ -41,9 +40,9 @@ def _cuts(radius: int) -> list[tuple[int, int]]:
 class Items:
     """A block of benchmark items: word hashes, shingles, fingerprints and the index of their blocks."""
 
-    def __init__(self, texts: list[str], radius: int, weights: Counter, n_items: int) -> None:
-        self.radius, self.words = radius, []
-        prints, owners, keys, keyed, grams = [], [], [], [], {}
+    def __init__(self, texts: list[str], radius: int | None, weights: Counter, n_items: int, least: float = LEAST) -> None:
+        self.radius, self.words, self.least = radius, [], least
+        prints, owners, keys, keyed, grams, own = [], [], [], [], {}, []
         for i, text in enumerate(texts):
             low = tokens.fold(np.frombuffer(text.encode(), np.uint8))
             hashes, _, begins, ends = tokens.words(low, np.array([0, len(low)]), tokens.LETTERS)
@@ -52,7 +51,8 @@ class Items:
             k = min(SHINGLE, len(hashes))
             if k:
                 owners.append(i)
-                grams.setdefault(k, []).append(tokens.shingles(hashes, np.zeros(len(hashes), np.int64), k)[0])
+                own.append(tokens.shingles(hashes, np.zeros(len(hashes), np.int64), k)[0])
+                grams.setdefault(k, []).append(own[-1])
         self.prints = np.array(prints, _U)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
@@ -60,7 +60,7 @@ class Items:
         for k, v in self.grams.items():
             self.seen[k] = np.zeros(1 << 20, bool)
             self.seen[k][(v >> _U(44)).astype(np.int64)] = True
-        for b, (lo, hi) in enumerate(_cuts(radius)):
+        for b, (lo, hi) in enumerate(_cuts(radius) if radius is not None else []):
             keys.append(self._keys(self.sizes[owners], self.prints[owners], b, lo, hi))
             keyed.append(np.array(owners))
         keys, keyed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, keyed))
@@ -69,6 +69,23 @@ class Items:
         self.windows = np.unique(self.sizes[self.sizes > 0])
         self.counts = [Counter(_runs(w)) for w in self.words]
         self.weights, self.rare = weights, math.log(1 + n_items)
+        # The rarest shingles of every item, so many that whoever has none of them has too little in common with it.
+        self.total, self.shares, index = {}, {}, {}
+        for i, hashed in zip(owners, own, strict=True):
+            runs = _runs(self.words[i])
+            weight = np.array([weights.get(g, self.rare) for g in runs])
+            values, first, many = np.unique(hashed, return_index=True, return_counts=True)
+            weight = weight[first]
+            self.total[i], self.shares[i] = float((weight * many).sum()), (values, weight)
+            order = np.argsort(-weight, kind="stable")
+            held = np.cumsum((weight * many)[order])
+            rarest = order[: int(np.searchsorted(held, (1 - least) * self.total[i] + 1e-9, "right")) + 1]
+            index.setdefault(len(runs[0]), []).append((values[rarest], np.full(len(rarest), i)))
+        self.index = {}
+        for k, parts in index.items():
+            values, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(values, kind="stable")
+            self.index[k] = values[order], held[order]
 
     @staticmethod
     def _keys(sizes: np.ndarray, prints: np.ndarray, block: int, lo: int, hi: int) -> np.ndarray:
@@ -90,6 +107,32 @@ class Items:
         near = far <= self.radius
         return at[near], items[near], far[near]
 
+    def sharing(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, item, bound) of all windows that have enough shingles in common with an item, best bounds of a pair first.
+
+        Windows have the item's word count; a row of fewer words is a window as a whole.
+        """
+        out: list[list] = [[], [], [], []]
+        for k, (values, held) in self.index.items():
+            grams, at = tokens.shingles(hashes, rows, k)
+            low, high = np.searchsorted(values, grams, "left"), np.searchsorted(values, grams, "right")
+            many = high - low
+            place = np.repeat(at, many)
+            item = held[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            for r, i in sorted(set(zip(rows[place].tolist(), item.tolist(), strict=True))):
+                first, last = np.searchsorted(rows, r, "left"), np.searchsorted(rows, r, "right")
+                base, size = np.searchsorted(at, first), min(int(self.sizes[i]), int(last - first))
+                here = grams[base : base + last - first - k + 1]
+                known_grams, weight = self.shares[i]
+                found = np.minimum(np.searchsorted(known_grams, here), len(known_grams) - 1)
+                mass = np.concatenate([[0.0], np.cumsum(np.where(known_grams[found] == here, weight[found], 0.0))])
+                bound = (mass[size - k + 1 :] - mass[: len(mass) - (size - k + 1)]) / self.total[i]
+                start = np.flatnonzero(bound >= self.least - 1e-9)
+                start = start[np.argsort(-bound[start], kind="stable")]
+                for held_in, x in zip(out, (first + start, np.full(len(start), size), np.full(len(start), i), bound[start]), strict=True):
+                    held_in.append(x)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+
     def similarity(self, item: int, words: list[bytes]) -> float:
         """Weighted Jaccard similarity of the shingle counts."""
         mine, other = self.counts[item], Counter(_runs(words))
@@ -148,22 +191,32 @@ def _prints(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return out
 
 
-def _searcher(texts: list[str], ids: list, radius: int, least: float, weights: Counter, n_items: int):
+def _searcher(texts: list[str], ids: list, radius: int | None, least: float, weights: Counter, n_items: int):
     def run(batches):
-        items = Items(texts, radius, weights, n_items)
+        items = Items(texts, radius, weights, n_items, least)
         for batch in batches:
             keys = batch.column(0)
             rows_out, item_out, sims, fars, spans = [], [], [], [], []
             for row, data, offsets in tokens.text_chunks(batch.column(1)):
                 low = tokens.fold(data)
                 hashes, rows, begins, ends = tokens.words(low, offsets, tokens.LETTERS)
-                starts, sizes = _windows(items, hashes, rows)
+                if radius is None:
+                    starts, sizes, item, bound = items.sharing(hashes, rows)
+                else:
+                    starts, sizes = _windows(items, hashes, rows)
                 if not len(starts):
                     continue
-                at, item, far = items.candidates(sizes, _prints(hashes, starts, sizes))
+                prints = _prints(hashes, starts, sizes)
+                if radius is None:
+                    at, far = np.arange(len(starts)), np.bitwise_count(prints ^ items.prints[item])
+                else:
+                    at, item, far = items.candidates(sizes, prints)
+                    bound = np.ones(len(at))
                 best: dict = {}
-                for w, i, d in zip(at.tolist(), item.tolist(), far.tolist(), strict=True):
+                for w, i, d, most in zip(at.tolist(), item.tolist(), far.tolist(), bound.tolist(), strict=True):
                     s, m = int(starts[w]), int(sizes[w])
+                    if most + 1e-9 < best.get((int(rows[s]), i), ((0.0,), 0))[0][0]:
+                        continue
                     sim = items.similarity(i, [low[b:e].tobytes() for b, e in zip(begins[s : s + m], ends[s : s + m], strict=True)])
                     own = (sim, -d, -s)
                     if sim >= least and own > best.get((int(rows[s]), i), ((-1.0,), 0))[0]:
@@ -217,14 +270,18 @@ def _item_blocks(items: DataFrame, block_bytes: int):
         yield ids, texts
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold a benchmark item: (doc_id, item_id, similarity, distance, start_byte, end_byte), the best window of each pair.
 
-    Words are runs of letters and digits without case. Windows have the word count of an item; their 64-bit SimHash
-    over words is looked up in radius + 1 blocks of bits, which finds every item within the radius, and what is found
-    is verified by the weighted Jaccard similarity of five-word shingles (of all words for shorter items), weights
-    being the rarity of a shingle in the whole benchmark, whatever the blocks. Only windows with a shingle of some item are looked at, because
-    others have similarity zero. Ties go to the smaller distance, then the earlier window.
+    Words are runs of letters and digits without case. Windows have the word count of an item; a shorter document is a
+    window as a whole. The similarity is the weighted Jaccard similarity of five-word shingles (of all words for shorter
+    items), weights being the rarity of a shingle in the whole benchmark, whatever the blocks. Every similar window has
+    one of the item's rarest shingles, which are looked up, and enough of its weight, which running sums tell; what is
+    left is verified, so no pair is missed. The distance is that of the 64-bit SimHashes over words.
+
+    With a ``radius``, only windows within that distance are looked up, in radius + 1 blocks of bits: then pairs that
+    are similar but further away are missed, and so are documents shorter than the item. Ties go to the smaller
+    distance, then the earlier window.
 
     Null texts hold nothing, items without words are in no document, an empty table gives no rows. Null and repeated
     ids keep a row per row and item; repeated item rows count once. Other columns are not read.

@@ -179,6 +179,25 @@ def test_leaks(spark, table, odd_rows):
     assert decontaminate.find_leaks(table(docs), bench.filter("item_id < 0")).count() == 0
 
 
+def test_leaks_of_edited_items(spark, table):
+    """Items with foreign words at an edge, up to the bound, and documents shorter than their item, all of them found."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"{rng.choice('abcdefghij')}{rng.randrange(400)}" for _ in range(n))
+    items = [(k, say(n)) for k, n in enumerate([15, 25, 37, 52, 59, 90, 150] * 20)]
+    docs, short = [], {}
+    for k, text in items:
+        w = text.split(" ")
+        edge = (len(w) - 4) // 10
+        docs.append((1000 + k, say(8) + " " + " ".join(w[edge:]) + " " + say(edge + 8)))
+        docs.append((2000 + k, " ".join(w[edge:])))
+        short[2000 + k, k] = (len(w) - 4 - edge) / (len(w) - 4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(table(docs).coalesce(1), bench).collect()}
+    want = brute_leaks([d for d in docs if d[0] < 1007], items[:7], 0.8)
+    assert {k for k in got if k[0] < 1007 and k[1] < 7} == set(want) and {(1000 + k, k) for k, _ in items} <= got.keys()
+    assert all(abs(got[k] - v) < 1e-6 for k, v in short.items())
+
+
 def test_similarity_does_not_depend_on_blocks(spark, table):
     """Items that share passages, in several blocks and in one: weights come from the whole benchmark."""
     rng = random.Random(11)
