@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,3 +61,26 @@ def widened(df: DataFrame, **kinds: str) -> StructType:
     for name, kind in kinds.items():
         shape = shape.add(name, kind)
     return shape
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str, position: str = "position") -> DataFrame:
+    """The rows with their place within their group, from 0, in ascending order of ``order``, nulls first.
+
+    Rows are dealt by ranges of (group, order), so that a large group lies in many partitions; its places go on from
+    partition to partition by a running sum over one row per partition and group. Rows equal in all these columns are
+    told apart by where they are read and get places of their own.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    dealt = df.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(*keys, F.col("tie_")).sortWithinPartitions(*keys)
+    placed = staged(dealt.drop("tie_").withColumn("part_", F.spark_partition_id()).withColumn(
+        "at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
+    runs = placed.groupBy("part_", *group).agg(F.min("at_").alias("least_"), F.count("*").alias("many_"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(runs.select(
+        F.col("part_").alias("run_"), *(F.col(c).alias(f"{c}_run") for c in group),
+        (F.col("least_") - F.coalesce(F.sum("many_").over(before), F.lit(0))).alias("first_")), f"{name}-runs")
+    met = F.col("part_") == F.col("run_")
+    for c in group:
+        met &= F.col(c).eqNullSafe(F.col(f"{c}_run"))
+    joined = placed.join(checked(starts, 64), met).withColumn(position, F.col("at_") - F.col("first_"))
+    return joined.select(*df.columns, position)
