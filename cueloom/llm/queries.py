@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import chats, decontaminate, fingerprints, jaccard, licenses, merkle, packing, quality, secret_scan, sharding, suffixes, warc
+from cueloom.llm import chats, collocations, decontaminate, fingerprints, jaccard, licenses, merkle, packing, quality, secret_scan, sharding, suffixes, warc
 from cueloom.llm.common import known, load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,9 +126,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, good, toxic = quality.scored(
         load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), load(spark, sf_dir, "labels"))
-    # The kept documents, so that both the rows and the flag tell the decision.
     return rows.select("doc_id", F.col(good).alias("p_quality"), F.col(toxic).alias("p_toxic")).withColumn(
-        "keep", F.expr("p_quality >= 0.5 AND p_toxic < 0.5")).filter("keep")
+        "keep", F.expr("p_quality >= 0.5 AND p_toxic < 0.5"))
 
 
 @query("op6_suffix_repeats")
@@ -192,6 +191,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         told("proof").alias("proof_sha256"), told("folded").alias("folded_root"), "verified")
 
 
+@query("op12_collocations", r"""
+  WITH w AS (
+    SELECT doc_id, lang, piece, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+      SELECT row_number() OVER () AS doc_id, coalesce(lang, 'und') AS lang, generate_subscripts(ps, 1) AS piece, unnest(ps) AS p FROM (
+        SELECT lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+        FROM documents))),
+  n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  g AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+      SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m)),
+  f AS (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+  c AS (
+    SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM (
+      SELECT lang, m, phrase, f AS a, w, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+  s AS (
+    SELECT c.*, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+  b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM s),
+  longer AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS most FROM (
+      SELECT lang, f, w, v.m, unnest(range(1, len(w) - v.m + 2)) AS i FROM f CROSS JOIN (VALUES (2), (3)) v(m) WHERE len(w) > v.m) GROUP BY ALL),
+  k AS (
+    SELECT b.* FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
+    WHERE pick = 1 AND NOT coalesce(CAST(100 AS HUGEINT) * o.most >= CAST(80 AS HUGEINT) * a, false)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+  SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
 @query("op13_chat_round_trip", r"""
   WITH c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
