@@ -5,14 +5,15 @@ of a key in order. Most keys fit one task, and then an ordinary window (or one s
 pass) is the best plan. A key that holds a large share of all rows would pin that plan to
 one task, so such keys are cut into ordered blocks:
 
-* ``plan_layout`` counts rows per key (one map-side combined aggregate) and, only if some
-  key is hot, samples its order values to place the cuts. The number of hot keys and of
+* ``plan_layout`` counts rows per key (one map-side combined aggregate, one job) and, only if
+  some key is hot, samples its order values to place the cuts. The number of hot keys and of
   cuts is bounded by the number of shuffle partitions, never by the data.
 * ``scan`` evaluates each block on its own and adds what the earlier (or later) blocks of
   the key contribute, which is one small row per block.
-* ``fold`` runs a step function over sorted rows. Blocks start from a guessed state; the
-  blocks whose true entry state differs are run again until nothing changes. Results are
-  exact whatever the cuts are.
+* ``fold`` runs a step function over sorted rows. Every block is first summed up as a map from
+  the state that enters it to the state that leaves it, all blocks at once; following these
+  maps block by block gives every entry state, and then all blocks run. Results are exact
+  whatever the cuts are.
 
 Every row is kept: cuts only decide which task sees a row.
 """
@@ -78,6 +79,18 @@ class Layout:
         )
 
 
+def _in_one_job(df: DataFrame) -> list:
+    """The rows of a small aggregate. Adaptive plans would run a job per exchange, with nothing to adapt here."""
+    spark = df.sparkSession
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.collect()
+    finally:
+        spark.conf.set(name, before)
+
+
 def null_safe_join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys of which null is a value like others; the keys of ``df`` stay."""
     named = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
@@ -106,19 +119,17 @@ def _cuts_not_after(cuts: Column, value: Column) -> Column:
 
 
 def plan_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Layout:
-    """Find keys too large for one task and where to cut them."""
+    """Find keys too large for one task and where to cut them; one job where there are none."""
     spark = df.sparkSession
     keys, order = list(keys), list(order)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("rows"), F.max("_n").alias("largest")).first()
-    least = hot_rows(spark)
+    largest = counts.where(F.col("_n") > hot_rows(spark)).orderBy(F.desc("_n")).limit(_HOT_KEYS_PER_PARTITION * partitions)
+    hot = [tuple(r) for r in _in_one_job(largest)]
     layout = Layout(keys, order)
-    if not totals["rows"] or totals["largest"] <= least:
-        return layout
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A key below a fair share of a task is no skew; this also bounds the hot key count.
-    block_rows = max(least, totals["rows"] // (_HOT_KEYS_PER_PARTITION * partitions))
-    hot = [tuple(r) for r in counts.where(F.col("_n") > block_rows).collect()]
+    # The blocks of all hot keys come to no more than a few per partition.
+    block_rows = max(hot_rows(spark), sum(r[-1] for r in hot) // (_HOT_KEYS_PER_PARTITION * partitions))
+    hot = [r for r in hot if r[-1] > block_rows]
     if not hot:
         return layout
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -313,11 +324,13 @@ def fold(
     step: Step,
     outputs: Sequence[tuple[str, str]],
     clustered: bool = False,
+    summary: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Add columns computed by ``step(state, values) -> (state, outputs)`` in key order.
 
-    ``state`` is ``None`` on the first row of a key and must compare with ``==``. The pass
-    streams Arrow batches of sorted partitions, so no key is ever held in memory.
+    ``state`` is ``None`` on the first row of a key and must be hashable. The pass streams
+    Arrow batches of sorted partitions, so no key is ever held in memory. ``summary`` makes
+    what sums up a block of a hot key, by default ``Trajectories``.
     ``clustered`` says that ``df`` comes from ``scan`` with the same layout, whose window has
     already brought the rows of a key together, so a second shuffle is left out.
     """
@@ -328,7 +341,7 @@ def fold(
     )
     part = layout.partition()
     tagged = layout.tag(df)
-    entries = _settle(tagged, layout, inputs, step) if layout.split else {}
+    entries = _settle(tagged, layout, inputs, step, summary or (lambda: Trajectories(step))) if layout.split else {}
     together = tagged if clustered and not layout.split else tagged.repartition(*part)
     ordered = together.sortWithinPartitions(*part, *layout.order)
     run = _row_runner(layout.keys, layout.split, inputs, step, outputs, entries)
@@ -361,60 +374,105 @@ def _row_runner(keys, split, inputs, step, outputs, entries):
     return run
 
 
-def _settle(tagged: DataFrame, layout: Layout, inputs, step) -> dict[tuple, object]:
-    """Entry state of every block of every hot key, by running until nothing changes.
+#: What ``leave`` of a block's summary returns where only running the block can tell.
+UNKNOWN = "unknown"
+_HEAD = 256
 
-    Each round runs the blocks whose entry state changed. A block whose groups fall back
-    into step with the guess leaves its exit state alone, so a few rounds are the rule; the
-    number of blocks is the limit, and the result is exact either way.
+
+class Trajectories:
+    """The map of a block for any fold: runs that start afresh at each of its first rows, joined as they fall into step.
+
+    A state that enters the block is carried on by ``leave`` over the kept first rows until it is what a fresh start at
+    some row would be; from there on the two are one. Runs of the same state are carried on as one, so there are about
+    as many as a group has rows.
+    """
+
+    def __init__(self, step: Step, head: int = _HEAD) -> None:
+        self.step, self.most, self.head = step, head, []
+        self.live: dict[object, list[int]] = {}
+        self.whole = True
+
+    def feed(self, row: tuple) -> None:
+        live: dict[object, list[int]] = {}
+        for state, starts in self.live.items():
+            after = self.step(state, row)[0]
+            if after in live:
+                live[after] += starts
+            else:
+                live[after] = starts
+        if len(self.head) < self.most:
+            live.setdefault(self.step(None, row)[0], []).append(len(self.head))
+            self.head.append(row)
+        else:
+            self.whole = False
+        self.live = live
+
+    def closed(self) -> tuple:
+        """What the driver needs: the first rows, where a run that starts at each of them ends, and whether these are all rows."""
+        exits = {start: state for state, starts in self.live.items() for start in starts}
+        return self.head, [exits[i] for i in range(len(self.head))], self.whole
+
+    def leave(self, closed: tuple, state: object) -> object:
+        head, exits, whole = closed
+        for row, after in zip(head, exits):
+            state, fresh = self.step(state, row)[0], self.step(None, row)[0]
+            if state == fresh:
+                return after
+        return state if whole else UNKNOWN
+
+
+def _settle(tagged: DataFrame, layout: Layout, inputs, step, summary) -> dict[tuple, object]:
+    """Entry state of every block of every hot key.
+
+    One job sums up all blocks; their number is bounded by the layout and a summary is small. Where a summary can't tell
+    what leaves a block, that block is run by itself, once for all keys that wait for one.
     """
     spark = tagged.sparkSession
     key_fields = [T.StructField(k, t) for k, t in zip(layout.keys, layout.key_types)]
-    key_schema = T.StructType(key_fields)
     needed = list(dict.fromkeys([*layout.keys, BLOCK, *layout.order, *inputs]))
     hot = null_safe_join(
-        tagged.select(*needed), F.broadcast(spark.createDataFrame(list(layout.cuts), key_schema)), layout.keys, "left_semi")
-    exit_schema = T.StructType([*key_fields, T.StructField(BLOCK, T.IntegerType()),
-                                T.StructField("_exit", T.BinaryType())])
+        tagged.select(*needed), F.broadcast(spark.createDataFrame(list(layout.cuts), T.StructType(key_fields))), layout.keys, "left_semi")
+    part_schema = T.StructType([*key_fields, T.StructField(BLOCK, T.IntegerType())])
     part = [*layout.keys, BLOCK]
+
+    def told(rows: DataFrame, run) -> dict[tuple, object]:
+        ordered = rows.repartition(*part).sortWithinPartitions(*part, *layout.order)
+        out = ordered.mapInArrow(run, T.StructType([*part_schema.fields, T.StructField("_told", T.BinaryType())]))
+        return {tuple(r[:-1]): pickle.loads(r[-1]) for r in _in_one_job(out)}
+
+    blocks = told(hot, _block_runner(layout.keys, inputs, lambda _ident: summary(), lambda s, row: (s.feed(row), s)[1], lambda s: s.closed()))
+    asked = summary()
     entries: dict[tuple, object] = {}
     exits: dict[tuple, object] = {}
-    todo: list[tuple] | None = None
-    while True:
-        rows = hot
-        if todo is not None:
-            again = spark.createDataFrame(todo, T.StructType(exit_schema.fields[:-1]))
-            rows = null_safe_join(hot, F.broadcast(again), part, "left_semi")
-        done = (
-            rows.repartition(*part).sortWithinPartitions(*part, *layout.order)
-            .mapInArrow(_exit_runner(layout.keys, inputs, step, entries), exit_schema)
-            .collect()
-        )
-        for row in done:
-            exits[tuple(row[:-1])] = pickle.loads(row[-1])
-        fresh: dict[tuple, object] = {}
-        for ident in exits:
-            before = _previous(exits, ident)
-            if before is not None:
-                fresh[ident] = exits[before]
-        todo = [i for i in exits if fresh.get(i) != entries.get(i)]
-        entries = fresh
-        if not todo:
-            return entries
-
-
-def _previous(exits: dict[tuple, object], ident: tuple):
-    """The nearest earlier block of the same key that holds rows."""
-    for number in range(ident[-1] - 1, -1, -1):
-        candidate = (*ident[:-1], number)
-        if candidate in exits:
-            return candidate
-    return None
-
-
-def _exit_runner(keys, inputs, step, entries):
+    waiting = {key: sorted(b[-1] for b in blocks if b[:-1] == key) for key in {b[:-1] for b in blocks}}
+    while waiting:
+        stuck = []
+        for key, numbers in list(waiting.items()):
+            while numbers:
+                ident = (*key, numbers[0])
+                if ident not in exits:
+                    entries.setdefault(ident, None)
+                    left = asked.leave(blocks[ident], entries[ident])
+                    if isinstance(left, str) and left == UNKNOWN:
+                        stuck.append(ident)
+                        break
+                    exits[ident] = left
+                numbers.pop(0)
+                if numbers:
+                    entries[(*key, numbers[0])] = exits[ident]
+            if not numbers:
+                del waiting[key]
+        if stuck:
+            again = null_safe_join(hot, F.broadcast(spark.createDataFrame(stuck, part_schema)), part, "left_semi")
+            exits |= told(again, _block_runner(layout.keys, inputs, entries.get, lambda state, row: step(state, row)[0], lambda state: state))
+    return entries
+
+
+def _block_runner(keys, inputs, begin, feed, close):
+    """Runs every block from ``begin(block)`` over its rows and tells ``close`` of what came out."""
+
     def run(batches: Iterable[pa.RecordBatch]):
-        current, state, made, fields = None, None, [], []
+        current, held, made, fields = None, None, [], []
         for batch in batches:
             fields = [batch.schema.field(k) for k in [*keys, BLOCK]]
             ids = zip(*[batch.column(k).to_pylist() for k in [*keys, BLOCK]])
@@ -422,12 +480,12 @@ def _exit_runner(keys, inputs, step, entries):
             for ident, row in zip(ids, values):
                 if ident != current:
                     if current is not None:
-                        made.append((*current, pickle.dumps(state)))
-                    current, state = ident, entries.get(ident)
-                state, _out = step(state, row)
+                        made.append((*current, pickle.dumps(close(held))))
+                    current, held = ident, begin(ident)
+                held = feed(held, row)
         if current is not None:
-            made.append((*current, pickle.dumps(state)))
-            schema = pa.schema([*fields, pa.field("_exit", pa.binary())])
+            made.append((*current, pickle.dumps(close(held))))
+            schema = pa.schema([*fields, pa.field("_told", pa.binary())])
             columns = [pa.array(list(c), f.type) for c, f in zip(zip(*made), schema)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

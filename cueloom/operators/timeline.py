@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,113 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import norm_for_match, same_text
 from cueloom.functions.values import py_round
 from cueloom.operators.cues import KEY
-from cueloom.operators.scan import Layout, fold, plan_layout, scan
+from cueloom.operators.scan import UNKNOWN, Layout, fold, plan_layout, scan
 
 BORROW_MS = 350
 SPEED_TOLERANCE_MS = 15
 OVERFLOW_TOLERANCE_MS = 25
 
 
+class CursorMap:
+    """The end of a block of narration as a function of where the narration before it ended.
+
+    A segment turns the cursor into its own end: a constant while the cursor is too early to matter, the cursor plus the
+    segment's length while there is room or while there is none at full speed, and its limit between them. So a block is
+    a piecewise linear function with slopes 0 and 1; pieces that come to the same end are one from there on.
+    """
+
+    LOWEST, MOST = -(1 << 62), 20_000
+
+    def __init__(self, played, margin_ms: int, max_speed: float) -> None:
+        self.played, self.margin, self.max_speed = played, margin_ms, max_speed
+        # Ends that don't depend on the entering cursor any more: end -> class; classes may become one another's.
+        self.ends: dict[int, int] = {}
+        self.same: list[int] = []
+        self.first: int | None = None  # the class of a cursor that isn't set
+        self.slopes: list[tuple[int, int | None, int]] = [(self.LOWEST, None, 0)]  # from, to (None: no end), what is added
+        self.flat: list[tuple[int, int, tuple]] = []
+
+    def _end(self, begin: int, limit: int, length: int) -> int:
+        return begin + self.played(length, limit - begin)
+
+    def _class(self, ends: dict[int, int], end: int) -> int:
+        if end not in ends:
+            ends[end] = len(self.same)
+            self.same.append(ends[end])
+        return ends[end]
+
+    def feed(self, row: tuple) -> None:
+        lead, limit, length = row
+        if length is None:
+            return
+        ends: dict[int, int] = {}
+        for end, name in self.ends.items():
+            after = self._end(max(lead, end + self.margin), limit, length)
+            if after in ends:
+                self.same[name] = ends[after]
+            else:
+                ends[after] = name
+        if self.first is None:
+            self.first = self._class(ends, self._end(lead, limit, length))
+        # Rooms up to ``least`` are narrated at full speed, those from ``most`` on at natural speed.
+        least, most = int(length / self.max_speed) + 2, length - SPEED_TOLERANCE_MS
+        while least > 1 and length / least < self.max_speed:
+            least -= 1
+        slopes = []
+        for low, high, added in self.slopes:
+            shift = added + self.margin
+            parts = [(lead - shift, "early")]
+            if most <= 1:
+                parts.append((None, "natural"))
+            else:
+                parts += [(limit - most - shift, "natural"), (limit - least - 1 - shift, "fitted"), (None, "fast")]
+            for upto, kind in parts:
+                stop = high if upto is None else upto if high is None else min(upto, high)
+                if stop is not None and stop < low:
+                    continue
+                if kind == "early":
+                    self.flat.append((low, stop, ("end", self._class(ends, self._end(lead, limit, length)))))
+                elif kind == "fitted":
+                    # Rounding of the speed decides between the limit and the millisecond after it.
+                    self.flat.append((low, stop, ("fitted", shift, limit, length, self._class(ends, limit), self._class(ends, limit + 1))))
+                else:
+                    slopes.append((low, stop, shift + (length if kind == "natural" else self.played(length, 1))))
+                if stop is None or stop == high:
+                    break
+                low = stop + 1
+        if len(self.flat) + len(slopes) > self.MOST:
+            # Cursors that come so late aren't followed any further.
+            slopes = []
+        self.ends, self.slopes = ends, slopes
+
+    def closed(self) -> tuple:
+        ends = {name: end for end, name in self.ends.items()}
+
+        def of(name: int) -> int:
+            while self.same[name] != name:
+                name = self.same[name]
+            return ends[name]
+
+        flat = [(low, high, (*told[:-2], of(told[-2]), of(told[-1])) if told[0] == "fitted" else (told[0], of(told[1]))) for low, high, told in self.flat]
+        return None if self.first is None else of(self.first), sorted(flat), self.slopes
+
+    def leave(self, closed: tuple, cursor: int | None) -> int | None | str:
+        first, flat, slopes = closed
+        if cursor is None:
+            return first
+        at = bisect_right(flat, cursor, key=lambda piece: piece[0]) - 1
+        if at >= 0 and cursor <= flat[at][1]:
+            told = flat[at][2]
+            if told[0] == "end":
+                return told[1]
+            _, shift, limit, length, fits, late = told
+            return {limit: fits, limit + 1: late}.get(self._end(cursor + shift, limit, length), UNKNOWN)
+        for low, high, added in slopes:
+            if low <= cursor and (high is None or cursor <= high):
+                return cursor + added
+        return UNKNOWN
+
+
 def schedule_timeline(
     segments: DataFrame, margin_ms: int = 60, max_speed: float = 1.65, mode: str = "smart_sync",
     borrow: bool = True, layout: Layout | None = None,
@@ -49,7 +150,9 @@ def schedule_timeline(
         begin = lead if cursor is None else max(lead, cursor + margin_ms)
         return begin + played(length, limit_ms - begin), (begin, cursor)
 
-    placed = fold(terms, layout, ["_lead", "_limit", "_raw"], step, [("_begin", "bigint"), ("_cursor", "bigint")], clustered=True)
+    placed = fold(
+        terms, layout, ["_lead", "_limit", "_raw"], step, [("_begin", "bigint"), ("_cursor", "bigint")], clustered=True,
+        summary=lambda: CursorMap(played, margin_ms, max_speed))
     # Everything else follows from where a segment begins.
     begin, room = F.col("_begin"), F.greatest(F.lit(1), F.col("_limit") - F.col("_begin"))
     speed = F.when(begin.isNull() | (F.col("_raw") - room <= SPEED_TOLERANCE_MS), F.lit(1.0)).otherwise(

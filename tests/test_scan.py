@@ -1,5 +1,6 @@
 """Split and plain scans must agree, also with brute force, when one key holds a third of all rows."""
 
+import math
 import random
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cueloom.operators import cues as C
 from cueloom.operators import groups as G
-from cueloom.operators.scan import fold, plan_layout, quantiles, scan
+from cueloom.operators.scan import UNKNOWN, fold, plan_layout, quantiles, scan
+from cueloom.operators.timeline import CursorMap, schedule_timeline
 
 
 @pytest.fixture()
@@ -84,3 +86,97 @@ def test_groups_cover_every_cue(skewed):
     ids = [i for r in grouped.collect() for i in r.source_ids]
     assert sorted(ids) == sorted(r[1] for r in rows)
     assert C.validate_cues(cues).count() == len(rows)
+
+
+def _follow(rows, cursor, margin=60):
+    for lead, limit, length in rows:
+        if length is not None:
+            begin = lead if cursor is None else max(lead, cursor + margin)
+            cursor = begin + _played(length, limit - begin)
+    return cursor
+
+
+def _played(length, room):
+    room = max(1, room)
+    return length if length - room <= 15 else math.ceil(length / min(length / room, 1.65))
+
+
+@pytest.mark.parametrize("dense", [0.3, 0.9, 1.4, 3.0])
+def test_cursor_map_is_the_block(dense):
+    rng = random.Random(round(dense * 10))
+    for _ in range(200):
+        t, rows = rng.randrange(5000), []
+        for _ in range(rng.randrange(40)):
+            span = rng.randrange(1, 3000)
+            length = None if rng.random() < 0.1 else max(1, int(span * dense * rng.uniform(0.3, 2)))
+            rows.append((max(0, t - rng.choice([0, 350])), t + span - rng.randrange(100), length))
+            t += span + rng.choice([0, 0, 50, 900])
+        block = CursorMap(_played, 60, 1.65)
+        for row in rows:
+            block.feed(row)
+        for cursor in [None, *(rng.randrange(-100, t + 20_000) for _ in range(30))]:
+            assert block.leave(block.closed(), cursor) == _follow(rows, cursor)
+
+
+def test_cursors_out_of_reach_are_unknown():
+    block = CursorMap(_played, 60, 1.65)
+    block.MOST = 10
+    rows = [(1000 * i, 1000 * i + 900, 850) for i in range(200)]
+    for row in rows:
+        block.feed(row)
+    assert block.leave(block.closed(), 500) == _follow(rows, 500) and block.leave(block.closed(), 10**9) == UNKNOWN
+
+
+def _jobs(spark, run):
+    """Spark jobs that ``run`` starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        out = run()
+        return out, len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["dense timeline", "fixed batches", "sizes"])
+def test_hot_folds_take_few_jobs(spark, kind):
+    """20 blocks that never fall into step by themselves: as exact as unsplit, and the blocks don't wait for each other."""
+    rng = random.Random(3)
+    rows = [(1, i, 1000 * i, 1000 * i + 900, 2600 if kind == "dense timeline" else 0, "x" * (10 if kind == "fixed batches" else rng.randrange(1, 90))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "track_id bigint, cue_id bigint, start_ms bigint, end_ms bigint, raw_ms bigint, text string").withColumn("index", F.col("cue_id"))
+
+    def run():
+        if kind == "dense timeline":
+            return schedule_timeline(df)
+        return C.batch_by_size(df, 4500 if kind == "fixed batches" else 500, 50)
+
+    plain = sorted(map(str, run().collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("cueloom.hotRows", "100")
+    try:
+        out, jobs = _jobs(spark, run)
+        assert jobs < 20
+        assert sorted(map(str, out.collect())) == plain
+    finally:
+        spark.conf.unset("cueloom.hotRows")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_group_over_whole_blocks(spark):
+    """A group that swallows blocks leaves nothing to fall into step with: those blocks are run one after the other."""
+    df = spark.createDataFrame([(1, i, 1) for i in range(1500)], "track_id bigint, cue_id bigint, v bigint")
+    spark.conf.set("cueloom.hotRows", "300")
+
+    def step(state, row):
+        first, used = state or (row[0], 0)
+        if used + row[1] > 700:
+            first, used = row[0], 0
+        return (first, used + row[1]), (first,)
+
+    try:
+        layout = plan_layout(df, ["track_id"], ["cue_id"])
+        assert len(layout.cuts[(1,)]) >= 4
+        got = {r.cue_id: r.first for r in fold(df, layout, ["cue_id", "v"], step, [("first", "bigint")]).collect()}
+    finally:
+        spark.conf.unset("cueloom.hotRows")
+    assert got == {i: i // 700 * 700 for i in range(1500)}
