@@ -13,7 +13,7 @@ from cueloom.llm import tokens
 from cueloom.llm.common import known, unused, widened
 
 SLOTS = 64
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -147,9 +147,12 @@ def _edits(batches):
 def _told(rows: list[tuple]) -> pa.RecordBatch:
     import hashlib
 
-    own = fingerprint_texts([r[1] for r in rows])
+    # The next document mostly is the next row: only where it isn't, its text is sketched apart.
+    apart = [i for i, r in enumerate(rows) if i + 1 == len(rows) or r[3] is not rows[i + 1][1]]
+    texts = fingerprint_texts([r[1] for r in rows] + [rows[i][3] for i in apart])
+    own, after = texts[: len(rows)], np.roll(texts[: len(rows)], -1, axis=0)
+    after[apart] = texts[len(rows) :]
     edited = fingerprint_texts([r[2] for r in rows])
-    after = fingerprint_texts([r[3] for r in rows])
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()),
          pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows]), pa.array(written(own)), pa.array(written(edited)),
@@ -176,7 +179,7 @@ def edited_fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known().alias("text")).withColumn("order", F.coalesce("doc_id", F.lit(-(2**63))))
     n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    # Ranges are sorted and streamed, so a bounded number of them may grow with the table.
+    # Every range is a partition of its own, sorted and streamed, so that a bounded number of them may grow with the table.
     buckets = min(most_buckets, max(1, math.ceil((n_bytes or 0) / bucket_bytes)))
     # Cuts between ranges, found on the ids alone. An id lies in one range, and the ranges are numbered by their order.
     cuts = sorted({int(x) for x in rows.agg(F.percentile_approx("order", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]}) if buckets > 1 and n_rows else []
@@ -188,7 +191,7 @@ def edited_fingerprints(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, most_
     ends = rows.drop("bucket").join(F.broadcast(guest), "order").withColumn("guest", F.lit(True))
     dealt = rows.withColumn("guest", F.lit(False)).unionByName(ends.select("doc_id", "text", "order", "bucket", "guest"))
     return (
-        dealt.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", "guest", "order", "text")
+        dealt.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "guest", "order", "text")
         .select("bucket", "guest", "doc_id", "text")
         .mapInArrow(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     )
