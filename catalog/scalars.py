@@ -8,7 +8,7 @@ from catalog.registry import PHRASES, SQ, STRIP, TERM, WORDS, big, query, scalar
 from cueloom.adapters import phrases_from_conversations, table
 from cueloom.functions import srt, text, urls, values
 from cueloom.operators import cues as C
-from cueloom.operators.scan import plan_layout, scan
+from cueloom.operators.scan import at_most, plan_layout, scan
 from cueloom.sources import readers
 
 ACCENTS = "[éèêëàâçñáíóúüöä]"
@@ -501,9 +501,8 @@ def _numbered(spark, sf_dir):
     return srt.parse_numbered(numbered_answers(spark, sf_dir), 15)
 
 
-def pair_groups(spark, sf_dir, broken: bool = False):
+def pair_groups(cues, broken: bool = False):
     """Groups of two cues in model form; ``broken`` spoils some tracks."""
-    cues = phrases_from_conversations(spark, sf_dir)
     groups = cues.groupBy("track_id", F.floor((F.col("cue_id") - 1) / 2).alias("g")).agg(
         F.array_sort(F.collect_list("cue_id")).alias("source_ids"),
         F.min_by("text", "cue_id").alias("translation"), F.min("speaker").alias("speaker"),
@@ -513,13 +512,13 @@ def pair_groups(spark, sf_dir, broken: bool = False):
             "source_ids",
             F.when((F.col("track_id") % 5 == 2) & (F.col("g") == 2), F.concat(F.array(F.lit(1).cast("bigint")), F.col("source_ids"))).otherwise(F.col("source_ids")),
         )
-    return groups.select("track_id", (F.col("g") + 1).cast("int").alias("group_no"), "source_ids", "translation", "speaker")
+    return at_most(groups.select("track_id", (F.col("g") + 1).cast("int").alias("group_no"), "source_ids", "translation", "speaker"), cues)
 
 
 def fusion_answers(spark, sf_dir, broken: bool = False):
     """One JSON answer per track; conversations are short, so an answer is small."""
     g = F.struct("source_ids", "translation", "speaker")
-    return pair_groups(spark, sf_dir, broken).groupBy("track_id").agg(
+    return pair_groups(phrases_from_conversations(spark, sf_dir), broken).groupBy("track_id").agg(
         F.array_sort(F.collect_list(F.struct("group_no", g.alias("g")))).alias("gs")
     ).select("track_id", F.concat(F.lit("Here:\n```json\n"), F.to_json(F.struct(F.transform("gs", lambda x: x["g"]).alias("groups"))), F.lit("\n```")).alias("raw"))
 

@@ -512,20 +512,28 @@ def _message_stream(spark, sf_dir):
     return X.append_all(read_messages(spark, base), "messages")
 
 
-@query("stm9_chunk_arrivals", """WITH g AS (SELECT DISTINCT l_orderkey AS session_id, CAST(l_linenumber + l_partkey % 4 - 1 AS BIGINT) AS i FROM lineitem), m AS (SELECT max(l_shipdate) AS now FROM lineitem),
-    s AS (SELECT session_id, count(*) AS received FROM g WHERE i < 3 GROUP BY session_id), t AS (SELECT l_orderkey AS session_id, min(l_shipdate) AS seen FROM lineitem WHERE l_linenumber + l_partkey % 4 - 1 < 3 GROUP BY 1)
-    SELECT session_id, received, CASE WHEN received = 3 THEN 'complete' ELSE 'expired' END AS event FROM s JOIN t USING (session_id), m WHERE received = 3 OR epoch_us(now) - epoch_us(seen) > 7200000000""")
+@query("stm9_chunk_arrivals", """WITH rc AS (SELECT l_orderkey AS session_id, CAST(l_linenumber + l_partkey % 4 - 1 AS BIGINT) AS i, l_shipdate AS ts FROM lineitem WHERE l_linenumber + l_partkey % 4 - 1 < 3),
+    w AS (SELECT session_id, i, min(ts) AS ts FROM rc GROUP BY ALL), s AS (SELECT session_id, min(ts) AS since FROM w GROUP BY ALL), m AS (SELECT max(ts) AS now FROM rc),
+    k AS (SELECT session_id, since, count(*) FILTER (ts <= since + INTERVAL 45 DAY) AS received FROM w JOIN s USING (session_id) GROUP BY ALL)
+    SELECT session_id, received, CASE WHEN received = 3 THEN 'complete' ELSE 'expired' END AS event FROM k, m WHERE received = 3 OR now > since + INTERVAL 45 DAY""")
 def _arrivals(spark, sf_dir):
-    rows = X.sliced_stream(zoned(table(spark, sf_dir, "lineitem")), "l_orderkey").select(
+    """Slices of time, so that most sessions have receipts in several batches."""
+    rows = X.sliced_stream(zoned(table(spark, sf_dir, "lineitem")), "l_shipdate", slices=4).select(
         F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("chunk_index"), F.lit(3).cast("bigint").alias("total_chunks"), F.col("l_shipdate").alias("ts"))
-    return X.chunk_arrivals(rows)
-
-
-@query("stm10_delivery_timer", DELIVERY)
+    return X.chunk_arrivals(rows, ttl_s=45 * 86_400, mark_ttl_s=10_000 * 86_400)
+
+
+@query("stm10_delivery_timer", """WITH RECURSIVE j AS (
+      SELECT o_orderkey AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'delivered' ELSE 'pending' END AS st, CAST(o_custkey % 7 AS BIGINT) AS tries, CAST(1000 + o_orderkey % 3 AS BIGINT) AS nx,
+        o_orderkey % 5 = 0 OR floor(o_totalprice * 120) > 51904512 AS unfit, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS good FROM orders
+      UNION ALL
+      SELECT job_id, CASE WHEN unfit OR tries >= 5 THEN 'manual_required' WHEN tries >= good THEN 'delivered' ELSE 'pending' END, CASE WHEN unfit OR tries >= 5 THEN tries ELSE tries + 1 END,
+        CASE WHEN unfit OR tries >= 5 THEN nx ELSE nx + CAST(least(86400, 3600 * pow(2, tries)) AS BIGINT) END, unfit, good
+      FROM j WHERE st = 'pending' AND nx <= (SELECT max(1001 + r_regionkey * 20000) FROM region)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY st = 'pending', tries DESC) AS k FROM j)
+    SELECT job_id, st AS delivery_status, CAST(tries AS INTEGER) AS attempts, nx AS next_attempt FROM r WHERE k = 1""")
 def _timer(spark, sf_dir):
-    """One tick of the clock stream gives one delivery round."""
-    ticks = X.file_stream(spark, sf_dir, "region").select((F.col("r_regionkey") * 0 + 1001).cast("bigint").alias("now"))
-    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 2 == 0).alias("sent"))
+    """Five ticks over a day in three batches: some jobs are tried again and again, some until a person has to look."""
+    ticks = X.sliced_stream(table(spark, sf_dir, "region"), "r_regionkey").select((F.lit(1001) + F.col("r_regionkey") * 20_000).cast("bigint").alias("now"))
+    results = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderkey") % 4 == 0, 0).when(F.col("o_orderkey") % 4 == 1, 3).alias("sent_from"))
     return X.delivery_timer(ticks, delivery_jobs(spark, sf_dir), results, delivery_files(spark, sf_dir)).drop("delivery_path")
-
-

@@ -16,7 +16,7 @@ from cueloom.operators import groups as G
 from cueloom.operators import intervals as I
 from cueloom.operators import signals as S
 from cueloom.operators import timeline as L
-from cueloom.operators.scan import plan_layout, scan
+from cueloom.operators.scan import at_most, plan_layout, scan
 from cueloom.sources import sinks
 
 ERRORS = """
@@ -124,8 +124,10 @@ def _union(spark, sf_dir):
 def frames_and_intervals(spark, sf_dir):
     """Purchases make the intervals (some users have none), all other events are frames."""
     cues = cues_from_events(spark, sf_dir)
+    plan_layout(cues, ["track_id"], ["start_ms", "cue_id"])  # counted once, for both sides
     frames = cues.where(F.col("text") != "purchase").select("track_id", F.col("cue_id").alias("frame_no"), F.col("start_ms").alias("t_ms"))
-    return frames, I.merge_intervals(cues.where((F.col("text") == "purchase") & (F.col("track_id") % 7 > 0)))
+    shown = at_most(cues.where((F.col("text") == "purchase") & (F.col("track_id") % 7 > 0)), cues)
+    return at_most(frames, cues), I.merge_intervals(shown)
 
 
 FRAMES = f"""fr AS (SELECT track_id, cue_id AS frame_no, start_ms AS t_ms FROM cues WHERE text <> 'purchase'),
@@ -466,8 +468,9 @@ def _asr(spark, sf_dir):
 def narration(spark, sf_dir):
     cues = phrases_from_conversations(spark, sf_dir)
     length = F.col("end_ms") - F.col("start_ms")
-    return cues.select("track_id", F.col("cue_id").alias("index"), "start_ms", "end_ms", length.alias("duration_ms"), "text", "speaker",
-                       F.when(F.col("cue_id") % 13 > 0, length + (F.col("cue_id") * 137) % 900 - 200).alias("raw_ms"))
+    return at_most(cues.select(
+        "track_id", F.col("cue_id").alias("index"), "start_ms", "end_ms", length.alias("duration_ms"), "text", "speaker",
+        F.when(F.col("cue_id") % 13 > 0, length + (F.col("cue_id") * 137) % 900 - 200).alias("raw_ms")), cues)
 
 
 TIMELINE = with_(PHRASES, """sg AS (SELECT track_id, cue_id AS n, start_ms AS s, end_ms AS e, CASE WHEN cue_id % 13 > 0 THEN end_ms - start_ms + (cue_id * 137) % 900 - 200 END AS raw, lead(start_ms) OVER (PARTITION BY track_id ORDER BY cue_id) AS nx FROM cues),
@@ -602,7 +605,8 @@ def _cov_errors_sql(extra: str) -> str:
 
 @query("jn3_coverage", _cov_errors_sql("SELECT track_id, group_no, source_text, start_ms, end_ms, array_to_string(errors, ',') AS errors FROM ck"))
 def _coverage(spark, sf_dir):
-    out = G.coverage(pair_groups(spark, sf_dir, broken=True), phrases_from_conversations(spark, sf_dir))
+    cues = phrases_from_conversations(spark, sf_dir)
+    out = G.coverage(pair_groups(cues, broken=True), cues)
     return out.select("track_id", "group_no", "source_text", "start_ms", "end_ms", F.array_join("errors", ",").alias("errors"))
 
 
@@ -611,12 +615,13 @@ def _coverage(spark, sf_dir):
     FROM cues c LEFT JOIN (SELECT track_id, sum(len(errors)) AS ge, arg_min(errors[1], group_no) FILTER (len(errors) > 0) AS fe FROM ck GROUP BY track_id) k ON k.track_id = c.track_id GROUP BY c.track_id"""))
 def _coverage_errors(spark, sf_dir):
     cues = phrases_from_conversations(spark, sf_dir)
-    return G.coverage_errors(G.coverage(pair_groups(spark, sf_dir, broken=True), cues), cues)
+    return G.coverage_errors(G.coverage(pair_groups(cues, broken=True), cues), cues)
 
 
 @query("set3_missing_ids", with_(PHRASES) + "SELECT track_id, cue_id FROM cues WHERE track_id % 5 = 1 AND (cue_id - 1) // 2 = 3")
 def _missing(spark, sf_dir):
-    return G.missing_ids(pair_groups(spark, sf_dir, broken=True), phrases_from_conversations(spark, sf_dir))
+    cues = phrases_from_conversations(spark, sf_dir)
+    return G.missing_ids(pair_groups(cues, broken=True), cues)
 
 
 # ------------------------------------------------------------------------------ filters
@@ -694,8 +699,8 @@ def _text_rows(spark, sf_dir):
     boxes = boxes_from_lineitem(spark, sf_dir)
     layout = plan_layout(boxes, ["track_id", "frame"], ["order_no", "line", "x0", "y0", "x1"])
     numbered = scan(boxes, layout, {"box_no": ("number", None)})
-    return B.group_text_rows(numbered.select("track_id", "frame", "box_no", ((F.col("y0") + F.col("y1")) / F.lit(2.0)).alias("center"),
-                                             (F.col("y1") - F.col("y0")).cast("double").alias("height")))
+    return B.group_text_rows(at_most(numbered.select(
+        "track_id", "frame", "box_no", ((F.col("y0") + F.col("y1")) / F.lit(2.0)).alias("center"), (F.col("y1") - F.col("y0")).cast("double").alias("height")), numbered))
 
 
 _shape = "CAST(y1 - y0 AS DOUBLE) AS h, (y0 + y1) / 2.0::DOUBLE AS cy, (x0 + x1) / 2.0::DOUBLE AS cx"

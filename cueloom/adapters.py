@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.operators.scan import plan_layout, scan
+from cueloom.operators.scan import at_most, plan_layout, scan
 
 EPOCH_2024_US = 1_704_067_200_000_000
 CLOCK = 60_000  # microseconds per tick: the event month plays in half a day
@@ -50,9 +50,9 @@ def phrases_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = scan(rows, layout, {
         "cue_id": ("number", None), "start_ms": ("sum_before", F.col("_len") + F.col("_gap")),
     })
-    return timed.select(
+    return at_most(timed.select(
         "track_id", "cue_id", "start_ms", (F.col("start_ms") + F.col("_len")).alias("end_ms"), "text", "speaker", "turn",
-    )
+    ), rows)
 
 
 def docs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

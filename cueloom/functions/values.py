@@ -52,9 +52,13 @@ def epoch_day(c: Column | str) -> Column:
     return F.date_format(F.timestamp_seconds(_col(c)), "yyyy-MM-dd")
 
 
+# The wait after the first failed attempt, and the longest one.
+LEAST_BACKOFF_S, MOST_BACKOFF_S = 3600, 86_400
+
+
 def backoff_seconds(attempts: Column | str) -> Column:
     """Wait before the next try: one hour doubled per attempt, a day at most."""
-    return F.least(F.lit(86400), F.lit(3600) * F.pow(F.lit(2), F.least(_col(attempts), F.lit(10)))).cast("bigint")
+    return F.least(F.lit(MOST_BACKOFF_S), F.lit(LEAST_BACKOFF_S) * F.pow(F.lit(2), F.least(_col(attempts), F.lit(10)))).cast("bigint")
 
 
 def retry_after(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.text import safe_name, strip
 from cueloom.functions.values import parse_bool, parse_extensions, valid_region
-from cueloom.operators.scan import plan_layout, scan
+from cueloom.operators.scan import at_most, plan_layout, scan
 
 # Item states a manifest counts; any other counts as failed.
 ITEM_STATES = ["queued", "processing", "done", "failed", "partial", "cancelled"]
@@ -329,7 +329,9 @@ def missing_chunks(chunks: DataFrame, sessions: DataFrame, listed: int = 10) ->
     edges = got.select("session_id", F.col("chunk_index").cast("bigint").alias("i")).unionByName(
         sessions.select("session_id", F.explode(F.array(F.lit(-1).cast("bigint"), F.col("total_chunks").cast("bigint"))).alias("i"))
     )
-    layout = plan_layout(edges, ["session_id"], ["i"])
+    # A session has no more edges than chunks and its two ends; chunks can be counted without the join.
+    plan_layout(chunks, ["session_id"], ["chunk_index"])
+    layout = plan_layout(at_most(edges, chunks, times=3), ["session_id"], ["i"])
     gaps = scan(edges, layout, {"_next": ("next", F.col("i"))}).where(F.col("_next") - F.col("i") > 1)
     upto = F.least(F.col("_next") - 1, F.col("i") + listed)
     firsts = gaps.select("session_id", F.explode(F.sequence(F.col("i") + 1, upto)).alias("i"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.functions.text import strip
 from cueloom.functions.values import py_round
 from cueloom.operators.cues import KEY
-from cueloom.operators.scan import Layout, fold, plan_layout, quantiles
+from cueloom.operators.scan import Layout, at_most, fold, plan_layout, quantiles
 
 # Where subtitles are assumed when too little was read.
 FALLBACK_REGION = (0.08, 0.86, 0.84, 0.09)
@@ -96,9 +96,9 @@ def group_text_rows(boxes: DataFrame, layout: Layout | None = None) -> DataFrame
     """
     keys = [KEY, "frame"]
     medians = quantiles(boxes, keys, "height", {"_median": 0.5})
-    usual = boxes.join(medians, keys).where(
+    usual = at_most(boxes.join(medians, keys).where(
         F.col("height").between(F.col("_median") * 0.6, F.col("_median") * 1.5)
-    )
+    ), boxes)
     layout = layout or plan_layout(usual, keys, ["center", "box_no"])
 
     def step(state, row):

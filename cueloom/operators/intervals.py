@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.operators.cues import KEY, PART_ROWS
-from cueloom.operators.scan import Layout, islands, plan_layout, scan
+from cueloom.operators.scan import Layout, at_most, islands, plan_layout, scan
 
 
 def merge_intervals(
@@ -19,10 +19,10 @@ def merge_intervals(
     e_ms, cues)``, disjoint and in order.
     """
     start = F.greatest(F.lit(0), F.col("start_ms") - pad_start_ms)
-    padded = cues.select(
+    padded = at_most(cues.select(
         KEY, "cue_id", start.cast("bigint").alias("s"),
         F.greatest(start + 100, F.col("end_ms") + pad_end_ms).cast("bigint").alias("e"),
-    )
+    ), cues)
     layout = layout.on(order=["s", "cue_id"]) if layout else plan_layout(padded, [KEY], ["s", "cue_id"])
     return _merge(padded, layout, gap_ms)
 
@@ -30,7 +30,7 @@ def merge_intervals(
 def union_intervals(base: DataFrame, extra: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Both sets as one; intervals that touch are joined."""
     both = base.select(KEY, "s_ms", "e_ms").unionByName(extra.select(KEY, "s_ms", "e_ms"))
-    rows = both.select(KEY, F.col("s_ms").alias("s"), F.col("e_ms").alias("e"))
+    rows = at_most(both.select(KEY, F.col("s_ms").alias("s"), F.col("e_ms").alias("e")), base, extra)
     layout = layout or plan_layout(rows, [KEY], ["s", "e"])
     return _merge(rows, layout, 0)
 
@@ -38,11 +38,10 @@ def union_intervals(base: DataFrame, extra: DataFrame, layout: Layout | None = N
 def _merge(rows: DataFrame, layout: Layout, gap_ms: int) -> DataFrame:
     reach = scan(rows, layout, {"_reach": ("max_before", F.col("e"))})
     opens = F.col("_reach").isNull() | (F.col("s") > F.col("_reach") + gap_ms)
-    return (
+    return at_most(
         islands(reach, layout, opens, "interval_no")
         .groupBy(KEY, "interval_no")
-        .agg(F.min("s").alias("s_ms"), F.max("e").alias("e_ms"), F.count(F.lit(1)).alias("cues"))
-    )
+        .agg(F.min("s").alias("s_ms"), F.max("e").alias("e_ms"), F.count(F.lit(1)).alias("cues")), rows)
 
 
 def in_seconds(intervals: DataFrame) -> DataFrame:
@@ -88,7 +87,7 @@ def covered(points: DataFrame, intervals: DataFrame, t: str = "t_ms", tie: str =
     asked = points.select(KEY, F.col(t).cast("bigint").alias("_at"), F.lit(1).alias("_side"),
                           F.col(tie).cast("bigint").alias("_tie"), F.lit(None).cast("bigint").alias("_end"),
                           F.struct(*[c for c in points.columns if c != KEY]).alias("_row"))
-    both = asked.unionByName(opened, allowMissingColumns=True)
+    both = at_most(asked.unionByName(opened, allowMissingColumns=True), points, intervals)
     layout = plan_layout(both, [KEY], ["_at", "_side", "_tie"])
     passed = scan(both, layout, {"_reach": ("max_before", F.col("_end"))})
     return passed.where(F.col("_side") == 1).select(

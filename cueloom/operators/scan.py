@@ -21,6 +21,7 @@ Every row is kept: cuts only decide which task sees a row.
 from __future__ import annotations
 
 import pickle
+import weakref
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -118,14 +119,33 @@ def _cuts_not_after(cuts: Column, value: Column) -> Column:
     return F.when(cuts.isNotNull(), found)
 
 
+# The rows of the largest key that were counted for a table, as (keys, rows).
+_COUNTED: weakref.WeakKeyDictionary[DataFrame, tuple[list[str], int]] = weakref.WeakKeyDictionary()
+
+
+def at_most(df: DataFrame, *of: DataFrame, times: int = 1) -> DataFrame:
+    """``df``, with the note that no key has more than ``times`` the rows that it has in ``of``, all together.
+
+    Where these have been counted, ``plan_layout`` can tell of ``df`` without a job that no key is hot.
+    """
+    counted = [_COUNTED.get(other) for other in of]
+    if all(counted) and len({tuple(sorted(keys)) for keys, _n in counted}) == 1:
+        _COUNTED[df] = counted[0][0], times * sum(n for _keys, n in counted)
+    return df
+
+
 def plan_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Layout:
-    """Find keys too large for one task and where to cut them; one job where there are none."""
+    """Find keys too large for one task and where to cut them; one job at most where there are none."""
     spark = df.sparkSession
     keys, order = list(keys), list(order)
+    counted = _COUNTED.get(df)
+    if counted and set(counted[0]) <= set(keys) and counted[1] <= hot_rows(spark):
+        return Layout(keys, order)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.where(F.col("_n") > hot_rows(spark)).orderBy(F.desc("_n")).limit(_HOT_KEYS_PER_PARTITION * partitions)
-    hot = [tuple(r) for r in _in_one_job(largest)]
+    largest = [tuple(r) for r in _in_one_job(counts.orderBy(F.desc("_n")).limit(_HOT_KEYS_PER_PARTITION * partitions))]
+    _COUNTED[df] = keys, largest[0][-1] if largest else 0
+    hot = [r for r in largest if r[-1] > hot_rows(spark)]
     layout = Layout(keys, order)
     # The blocks of all hot keys come to no more than a few per partition.
     block_rows = max(hot_rows(spark), sum(r[-1] for r in hot) // (_HOT_KEYS_PER_PARTITION * partitions))
@@ -173,8 +193,8 @@ def scan(df: DataFrame, layout: Layout, specs: dict[str, Spec]) -> DataFrame:
     """
     if not layout.split:
         plain = Window.partitionBy(*layout.keys)
-        return df.select("*", *[_local(kind, value, plain, layout.order).alias(name)
-                                for name, (kind, value) in specs.items()])
+        return at_most(df.select("*", *[_local(kind, value, plain, layout.order).alias(name)
+                                        for name, (kind, value) in specs.items()]), df)
     tagged = df if BLOCK in df.columns else layout.tag(df)
     block = Window.partitionBy(*layout.keys, BLOCK)
     local = tagged.select(
@@ -287,7 +307,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     running count. The built-in ``percentile`` would hold all distinct values of a key in one
     task, and interpolates with other rounding.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = at_most(df.where(F.col(value).isNotNull()), df)
     layout = plan_layout(rows, keys, [value])
     grouped = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = scan(grouped, layout, {"_below": ("sum_before", F.col("_n")), "_rows": ("sum_all", F.col("_n"))})

@@ -7,14 +7,17 @@ before it, so a batch that is run again after a failure gives the same state.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cueloom.functions.values import LEAST_BACKOFF_S, MOST_BACKOFF_S
 from cueloom.operators.cues import KEY
-from cueloom.operators.scan import islands, plan_layout, scan
-from cueloom.operators.state import delivery_step, job_upsert, ledger_claim, ledger_mark
+from cueloom.operators.state import MAX_DELIVERY_ATTEMPTS, MAX_DELIVERY_BYTES, job_upsert, ledger_claim, ledger_mark
 from cueloom.session import shared_dir
 from cueloom.sources.readers import decode_messages
 from cueloom.sources.sinks import committed_versions
@@ -46,6 +49,28 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """States of keys in RocksDB, which operators with named states need, for the streams started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _started(spark: SparkSession, base: str) -> bool:
+    """Whether a stream has committed a batch under ``base``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(files.exists(folder) and len(files.listStatus(folder)))
+
+
 def append_all(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there now into a table, and read the table."""
     spark = stream.sparkSession
@@ -154,59 +179,69 @@ def tumbling_energy(samples: DataFrame, ts: str = "ts", length: str = "50 millis
 
 # ------------------------------------------------------------------------------- runs
 
-OPEN_RUNS = f"{KEY} bigint, pattern_id bigint, start_ms bigint, last_ms bigint, frames bigint, known boolean, has_unknown boolean"
+RUNS = f"{KEY} bigint, start_ms bigint, end_ms bigint, frames bigint, has_unknown boolean"
+OPEN_RUN = "pattern_id bigint, start_ms bigint, last_ms bigint, frames bigint, known boolean, has_unknown boolean"
+
+
+class OpenRuns(StatefulProcessor):
+    """Runs of one pattern per track; the run that is still open is the track's state."""
+
+    def __init__(self, frame_ms: int) -> None:
+        self.frame_ms = frame_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", OPEN_RUN)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        frames = pd.concat(list(rows)).sort_values("frame_no", kind="stable")
+        run = self.open.get() if self.open.exists() else None
+        closed = []
+
+        def close(run, until):
+            pattern, start, _last, many, known, unknown = run
+            if pattern is not None and (known or many >= 3):
+                closed.append((key[0], start, until, many, unknown))
+
+        for t, pattern, known in zip(frames["t_ms"], frames["pattern_id"], frames["known"]):
+            t, pattern, known = int(t), None if pd.isna(pattern) else int(pattern), bool(known)
+            if run is not None and run[0] == pattern:
+                run = (pattern, run[1], t, run[3] + 1, run[4] or known, run[5] or not known)
+                continue
+            if run is not None:
+                # A run lasts until the next frame begins.
+                close(run, t)
+            run = (pattern, t, t, 1, known, not known)
+        self.open.update(run)
+        yield pd.DataFrame(closed, columns=[KEY, "start_ms", "end_ms", "frames", "has_unknown"])
 
 
 def run_confirm_stream(frames: DataFrame, frame_ms: int = 40, base: str | None = None) -> DataFrame:
-    """Confirmed runs of a frame stream; the run still open per track is carried between batches.
+    """Confirmed runs of a frame stream; the open run of each track is a value in the state store.
 
-    Frames arrive in order across batches. Within a batch the ordered scan of the table
-    operator does the work, so one busy track is spread over tasks. Runs open at the end of
-    the input are closed there.
+    Frames arrive in order across batches. A batch writes the states of the tracks that it meets and appends the runs
+    that it closes, so that its cost follows the batch, not the number of tracks seen so far. Runs open at the end of
+    the input are closed there. With a ``base`` of the caller a later start goes on where the last one stopped. The
+    frames that a track has in one batch are one task; the stream's trigger bounds them.
     """
     spark = frames.sparkSession
     base = base or run_folder(spark, "runs")
-    _begin(spark, base, spark.createDataFrame([], OPEN_RUNS))
-    out = f"{base}/closed"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        opened = batch.sparkSession.read.schema(OPEN_RUNS).parquet(_state_path(base, batch_id))
-        runs = _runs_with_open(batch, opened, frame_ms)
-        closed = runs.where(F.col("closed") & (F.col("known") | (F.col("frames") >= 3)))
-        closed.select(KEY, "start_ms", "end_ms", "frames", "has_unknown").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        runs.where(~F.col("closed")).select(
-            KEY, "pattern_id", "start_ms", "last_ms", "frames", "known", "has_unknown"
-        ).write.mode("overwrite").parquet(_state_path(base, batch_id + 1))
-
-    each_batch(frames, "runs", handle, base)
-    last = _last(spark, base)
-    rest = spark.read.schema(OPEN_RUNS).parquet(_state_path(base, last))
-    ended = rest.where(F.col("known") | (F.col("frames") >= 3)).select(
-        KEY, "start_ms", (F.col("last_ms") + frame_ms).alias("end_ms"), "frames", "has_unknown"
-    )
-    if not last:
-        return ended
-    closed = spark.read.parquet(out).select(KEY, "start_ms", "end_ms", "frames", "has_unknown")
-    return closed.unionByName(ended)
-
-
-def _runs_with_open(batch: DataFrame, opened: DataFrame, frame_ms: int) -> DataFrame:
-    rows = batch.select(
-        KEY, "frame_no", "t_ms", "pattern_id", F.col("t_ms").alias("_from"), F.lit(1).cast("bigint").alias("_count"),
-        F.col("known"), (~F.col("known")).alias("_unknown"),
-    ).unionByName(opened.select(
-        KEY, F.lit(-1).cast("bigint").alias("frame_no"), F.col("last_ms").alias("t_ms"), "pattern_id",
-        F.col("start_ms").alias("_from"), F.col("frames").alias("_count"), "known", F.col("has_unknown").alias("_unknown"),
-    ))
-    layout = plan_layout(rows, [KEY], ["frame_no"])
-    seen = scan(rows, layout, {"_prev": ("prev", F.col("pattern_id")), "_next_t": ("next", F.col("t_ms"))})
-    opens = F.col("pattern_id").isNotNull() & (F.col("_prev").isNull() | (F.col("_prev") != F.col("pattern_id")))
-    return islands(seen, layout, opens, "run_no").where(F.col("pattern_id").isNotNull()).groupBy(KEY, "run_no").agg(
-        F.min("_from").alias("start_ms"), F.max("t_ms").alias("last_ms"), F.first("pattern_id").alias("pattern_id"),
-        F.max(F.coalesce("_next_t", F.col("t_ms") + frame_ms)).alias("end_ms"),
-        F.sum("_count").alias("frames"), F.bool_or("known").alias("known"), F.bool_or("_unknown").alias("has_unknown"),
-        F.bool_and(F.col("_next_t").isNotNull()).alias("closed"),
-    )
+    with state_store(spark):
+        closed = frames.groupBy(KEY).transformWithStateInPandas(
+            OpenRuns(frame_ms), outputStructType=RUNS, outputMode="Append", timeMode="None")
+        query = (
+            closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start(f"{base}/closed")
+        )
+        query.awaitTermination()
+    done = spark.read.schema(RUNS).parquet(f"{base}/closed")
+    if not _started(spark, base):
+        return spark.createDataFrame([], RUNS)
+    left = spark.read.format("statestore").option("stateVarName", "open").load(f"{base}/checkpoint")
+    ended = left.where(F.col("value.pattern_id").isNotNull() & (F.col("value.known") | (F.col("value.frames") >= 3))).select(
+        F.col(f"key.{KEY}").alias(KEY), "value.start_ms", (F.col("value.last_ms") + frame_ms).alias("end_ms"), "value.frames", "value.has_unknown")
+    return done.unionByName(ended)
 
 
 # ------------------------------------------------------------------- jobs and messages
@@ -230,61 +265,171 @@ def read_receipts(messages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- uploads
 
 
-RECEIPTS = "session_id bigint, chunk_index bigint, total_chunks bigint, seen bigint"
+UPLOAD_EVENTS = "session_id bigint, received bigint, event string"
 UPLOAD_TTL_S = 7200
 # A session that was told keeps a mark this long, so that late receipts don't open it again.
 MARK_TTL_S = 30 * 86_400
-_TOLD, _CLOCK = -1, -2  # receipt numbers of that mark and of the time reached
 
 
-def chunk_arrivals(chunks: DataFrame, base: str | None = None) -> DataFrame:
+class Uploads(StatefulProcessor):
+    """Receipts of an upload session: a set of chunk numbers, a summary, and a timer for its end."""
+
+    def __init__(self, ttl_s: int, mark_ttl_s: int) -> None:
+        self.ttl, self.mark_ttl = ttl_s * 1000, mark_ttl_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "chunk_index bigint", "at bigint")
+        self.session = handle.getValueState("session", "since bigint, total bigint, received bigint, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        receipts = pd.concat(list(rows))
+        receipts = receipts.assign(at=receipts["ts"].astype("datetime64[ms]").astype("int64")).sort_values(["at", "chunk_index"], kind="stable")
+        if self.session.exists():
+            since, total, received, told = self.session.get()
+        else:
+            since, total, received, told = int(receipts["at"].iloc[0]), 0, 0, False
+            self.handle.registerTimer(since + self.ttl + 1)
+        event = None
+        for index, expected, at in zip(receipts["chunk_index"], receipts["total_chunks"], receipts["at"]):
+            if told:
+                break
+            if at > since + self.ttl:
+                event, told = "expired", True
+                break
+            total = max(total, int(expected))
+            if not self.seen.containsKey((int(index),)):
+                self.seen.updateValue((int(index),), (int(at),))
+                received += 1
+            if received == total:
+                event, told = "complete", True
+        self.session.update((since, total, received, told))
+        yield self._told(key, received, event)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        since, total, received, told = self.session.get()
+        if expiredTimerInfo.getExpiryTimeInMs() > since + self.ttl + 1:
+            self.session.clear()
+            yield self._told(key, received, None)
+            return
+        self.handle.registerTimer(since + self.mark_ttl)
+        self.session.update((since, total, received, True))
+        yield self._told(key, received, None if told else "expired")
+
+    def _told(self, key, received, event):
+        import pandas as pd
+
+        if event is not None:
+            self.seen.clear()
+        return pd.DataFrame([(key[0], received, event)] if event is not None else [], columns=["session_id", "received", "event"])
+
+
+def chunk_arrivals(chunks: DataFrame, base: str | None = None, ttl_s: int = UPLOAD_TTL_S, mark_ttl_s: int = MARK_TTL_S, late: str = "0 seconds") -> DataFrame:
     """Upload events from ``(session_id, chunk_index, total_chunks, ts)``: complete or expired, once each.
 
-    A receipt counts once however often it arrives. A session expires two hours of event time
-    after its first receipt. Event time never runs back: it is kept with the receipts of open
-    sessions and the marks of told ones.
+    A receipt counts once however often it arrives. A session expires ``ttl_s`` of event time after its first receipt,
+    by a timer, whatever the batches are; what comes later doesn't count. Receipts may come ``late`` against those of
+    earlier batches. The chunk numbers of open sessions and a mark of told ones are in the state store, of which a batch
+    writes the sessions that it meets; a mark goes ``mark_ttl_s`` after the session's first receipt.
     """
     spark = chunks.sparkSession
     base = base or run_folder(spark, "uploads")
-    _begin(spark, base, spark.createDataFrame([], RECEIPTS))
-    out = f"{base}/events"
     index = F.col("chunk_index")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        old = batch.sparkSession.read.schema(RECEIPTS).parquet(_state_path(base, batch_id))
-        times = batch.select(F.unix_seconds("ts").alias("t")).unionByName(old.where(index == _CLOCK).select(F.col("seen").alias("t")))
-        clock = times.agg(F.max("t")).first()[0] or 0
-        new = batch.where((index >= 0) & (index < F.col("total_chunks"))).select(
-            "session_id", "chunk_index", "total_chunks", F.unix_seconds("ts").alias("seen"))
-        receipts = old.where(index != _CLOCK).unionByName(new).groupBy("session_id", "chunk_index").agg(
-            F.max("total_chunks").alias("total_chunks"), F.min("seen").alias("seen"))
-        sessions = receipts.groupBy("session_id").agg(
-            F.count_if(index >= 0).alias("received"), F.max("total_chunks").alias("_total"),
-            F.min("seen").alias("_since"), F.bool_or(index == _TOLD).alias("_told"))
-        age = F.lit(clock) - F.col("_since")
-        event = F.when(F.col("received") == F.col("_total"), "complete").when(age > UPLOAD_TTL_S, "expired")
-        judged = sessions.withColumn("event", F.when(~F.col("_told"), event)).withColumn("_age", age)
-        judged.where(F.col("event").isNotNull()).select("session_id", "received", "event").write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}")
-        told = judged.where((F.col("event").isNotNull() | F.col("_told")) & (F.col("_age") <= MARK_TTL_S)).select(
-            "session_id", F.lit(_TOLD).cast("bigint").alias("chunk_index"), F.col("_total").alias("total_chunks"), F.col("_since").alias("seen"))
-        waiting = judged.where(F.col("event").isNull() & ~F.col("_told")).select("session_id")
-        time = batch.sparkSession.createDataFrame([(None, _CLOCK, None, clock)], RECEIPTS)
-        receipts.join(waiting, "session_id", "left_semi").unionByName(told).unionByName(time).write.mode("overwrite").parquet(
-            _state_path(base, batch_id + 1))
-
-    each_batch(chunks, "uploads", handle, base)
-    events = "session_id bigint, received bigint, event string"
-    if not _last(spark, base):
-        return spark.createDataFrame([], events)
-    return spark.read.schema(events).parquet(out).select("session_id", "received", "event")
+    receipts = chunks.where((index >= 0) & (index < F.col("total_chunks"))).select(
+        "session_id", index.cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), "ts").withWatermark("ts", late)
+    with state_store(spark):
+        events = receipts.groupBy("session_id").transformWithStateInPandas(
+            Uploads(ttl_s, max(mark_ttl_s, ttl_s + 1)), outputStructType=UPLOAD_EVENTS, outputMode="Append", timeMode="EventTime")
+        query = (
+            events.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start(f"{base}/events")
+        )
+        query.awaitTermination()
+    if not _started(spark, base):
+        return spark.createDataFrame([], UPLOAD_EVENTS)
+    return spark.read.schema(UPLOAD_EVENTS).parquet(f"{base}/events")
+
+
+# --------------------------------------------------------------------------- delivery
+
+JOB_STATE = "delivery_status string, delivery_path string, attempts int, next_attempt bigint"
+
+
+class Deliveries(StatefulProcessor):
+    """A delivery job with a timer for its next attempt, which is set again while attempts fail."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", f"{JOB_STATE}, size bigint, sent_from int")
+
+    def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        row = [None if pd.isna(v) else v for v in initialState[["delivery_status", "delivery_path", "attempts", "next_attempt", "size", "sent_from"]].iloc[0]]
+        status, path, attempts, due, size, sent_from = row
+        attempts, due = int(attempts or 0), int(due or 0)
+        self.job.update((status, path, attempts, due, None if size is None else int(size), None if sent_from is None else int(sent_from)))
+        if status == "pending":
+            self.handle.registerTimer(due * 1000)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        """The clock's own rows: they only carry time on."""
+        import pandas as pd
+
+        for _ in rows:
+            pass
+        yield pd.DataFrame([], columns=["job_id", "delivery_status", "attempts", "at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
+
+        status, path, attempts, due, size, sent_from = self.job.get()
+        told = []
+        # Time may have passed several attempts at once: each is made at its own time.
+        while status == "pending" and due * 1000 <= timerValues.getCurrentWatermarkInMs():
+            at = due
+            if size is None or size > MAX_DELIVERY_BYTES or attempts >= MAX_DELIVERY_ATTEMPTS:
+                status = "manual_required"
+            else:
+                if sent_from is not None and attempts >= sent_from:
+                    status = "delivered"
+                due = at + min(MOST_BACKOFF_S, LEAST_BACKOFF_S << min(attempts, 10))
+                attempts += 1
+            told.append((key[0], status, attempts, at))
+        self.job.update((status, path, attempts, due, size, sent_from))
+        if status == "pending":
+            self.handle.registerTimer(due * 1000)
+        yield pd.DataFrame(told, columns=["job_id", "delivery_status", "attempts", "at"])
 
 
 def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame, base: str | None = None) -> DataFrame:
-    """A delivery round per tick of a clock stream (``now``): due jobs are tried, others wait."""
+    """Delivery jobs after the time that a clock stream (``now``, seconds) tells has passed.
 
-    def step(state: DataFrame, batch: DataFrame, _id: int) -> DataFrame:
-        now = batch.agg(F.max("now")).first()[0]
-        return state if now is None else delivery_step(state, results, files, int(now))
-
-    return fold_batches(ticks, "delivery", jobs, step, base)
+    ``results`` is ``(job_id, sent_from)``: how many attempts fail before one is sent, null if none is. Every job has a
+    timer: due jobs are tried, failed ones again after a back-off that doubles, and after five attempts, or where the
+    file is missing or too large, they are left to a person. A tick touches the jobs that are due by then and no others.
+    The jobs are the first state of a new ``base`` folder; a later start with it goes on where the last one stopped.
+    Times are of the stream; ticks that run back change nothing.
+    """
+    spark = ticks.sparkSession
+    base = base or run_folder(spark, "delivery")
+    sized = files.groupBy(F.col("path").alias("delivery_path")).agg(F.max("size").alias("size"))
+    first = jobs.join(sized, "delivery_path", "left").join(results.select("job_id", F.col("sent_from").cast("int").alias("sent_from")), "job_id", "left").select(
+        "job_id", "delivery_status", "delivery_path", F.col("attempts").cast("int").alias("attempts"), F.col("next_attempt").cast("bigint").alias("next_attempt"), "size", "sent_from")
+    clock = ticks.select(F.lit(None).cast(first.schema["job_id"].dataType).alias("job_id"), F.timestamp_seconds("now").alias("at")).withWatermark("at", "0 seconds")
+    kind = first.schema["job_id"].dataType.simpleString()
+    log = f"job_id {kind}, delivery_status string, attempts int, at bigint"
+    with state_store(spark):
+        tried = clock.groupBy("job_id").transformWithStateInPandas(
+            Deliveries(), outputStructType=log, outputMode="Append", timeMode="EventTime", initialState=first.groupBy("job_id"))
+        query = (
+            tried.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start(f"{base}/attempts")
+        )
+        query.awaitTermination()
+    if not _started(spark, base):
+        return jobs.select("job_id", *[f.name for f in T.StructType.fromDDL(JOB_STATE)])
+    state = spark.read.format("statestore").option("stateVarName", "job").load(f"{base}/checkpoint")
+    return state.select("key.job_id", *[F.col(f"value.{f.name}").alias(f.name) for f in T.StructType.fromDDL(JOB_STATE)])

@@ -111,3 +111,58 @@ def test_state_is_kept_between_starts(spark, tmp_path):
     assert run() == {0: 101, 1: 2}
     spark.range(1, 2).select(F.col("id").alias("k")).coalesce(1).write.mode("append").parquet(path)
     assert run() == {0: 101, 1: 3}
+
+
+def test_runs_go_on_after_a_stop(spark, tmp_path):
+    """Frames of three starts: a run over all of them, one that a NULL ends, an unknown one too short, and those still open at the end."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "state")
+    shape = "track_id bigint, frame_no bigint, t_ms bigint, pattern_id bigint, known boolean"
+
+    def frames(rows):
+        spark.createDataFrame([(k, n, n * 40, p, known) for k, n, p, known in rows], shape).coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(path)
+        return sorted(tuple(r) for r in X.run_confirm_stream(stream, base=base).collect())
+
+    frames([(1, 0, 5, False), (1, 1, 5, False), (2, 0, 7, True), (2, 1, None, False), (3, 0, 9, False)])
+    assert run() == [(2, 0, 40, 1, False)]
+    frames([(1, 3, 5, False), (1, 2, 5, True), (3, 1, 8, False)])
+    assert run() == [(1, 0, 160, 4, True), (2, 0, 40, 1, False)]
+    frames([(1, 4, 5, False), (1, 5, 6, False), (2, 2, 7, False), (2, 3, 7, False), (2, 4, 7, False)])
+    assert run() == [(1, 0, 200, 5, True), (2, 0, 40, 1, False), (2, 80, 200, 3, True)]
+    assert run() == [(1, 0, 200, 5, True), (2, 0, 40, 1, False), (2, 80, 200, 3, True)]
+
+
+def test_deliveries_are_tried_again_over_time(spark, tmp_path):
+    """Attempts at 0 s, 1 h, 3 h, 7 h and 15 h; a stop between the ticks changes nothing."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "state")
+    shape = "job_id bigint, delivery_status string, delivery_path string, attempts int, next_attempt bigint"
+    jobs = spark.createDataFrame([(1, "pending", "a", 0, 0), (2, "pending", "a", 0, 0), (3, "pending", "gone", 0, 0), (4, "delivered", "a", 1, 0), (5, "pending", "a", None, None)], shape)
+    results = spark.createDataFrame([(1, 2), (2, None), (3, 0), (5, 0)], "job_id bigint, sent_from int")
+    files = spark.createDataFrame([("a", 10)], "path string, size bigint")
+
+    def run(*ticks):
+        for t in ticks:
+            spark.createDataFrame([(t,)], "now bigint").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("now bigint").option("maxFilesPerTrigger", 1).parquet(path)
+        return {r.job_id: (r.delivery_status, r.attempts) for r in X.delivery_timer(stream, jobs, results, files, base).collect()}
+
+    first = run(1, 3000)
+    assert first == {1: ("pending", 1), 2: ("pending", 1), 3: ("manual_required", 0), 4: ("delivered", 1), 5: ("delivered", 1)}
+    assert run(3700) == first | {1: ("pending", 2), 2: ("pending", 2)}
+    later = run(11_000, 9000)
+    assert later == first | {1: ("delivered", 3), 2: ("pending", 3)}
+    assert run(30_000, 60_000, 200_000) == later | {2: ("manual_required", 5)}
+
+
+def test_a_session_ends_by_its_timer_whatever_the_batches(spark, tmp_path):
+    """Receipts of one session in one batch or in five: what comes after two hours doesn't count."""
+    rows = [(1, 0, 3, 0), (1, 1, 3, 7200), (1, 2, 3, 7201), (2, 0, 2, 5), (2, 0, 2, 6), (2, 1, 2, 7205), (3, 0, 1, 90_000)]
+    want = [(1, 2, "expired"), (2, 2, "complete"), (3, 1, "complete")]
+    for kind, parts in {"one": [rows], "each": [[r] for r in sorted(rows, key=lambda r: r[3])]}.items():
+        path = str(tmp_path / kind)
+        for part in parts:
+            arrivals(spark, path, part, "append")
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        assert sorted(tuple(r) for r in X.chunk_arrivals(stream).collect()) == want
