@@ -23,17 +23,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+#: With it, the shuffle files of a query go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and go on from there, so that lost executors cost only their tasks.
 
-    After a ``large`` step the shuffle files that led to it are no longer needed; Spark removes them when the driver
-    collects its garbage, which is asked for here instead of waiting for it.
+    What led to the table isn't needed any more once it is written: its shuffle files are removed with the write.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if large:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

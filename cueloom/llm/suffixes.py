@@ -70,31 +70,30 @@ def _emit(buckets: int):
 
     def parts(batches):
         for batch in batches:
-            order = batch.column(0).to_numpy()
-            held, owners, many = [], [], 0
-            for row, _, _, (rows, _, _, _, hashes) in _chunked(batch, 1):
-                held.append(hashes)
-                owners.append(order[row + rows])
+            order, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held, many = [], 0
+            for row, _, _, (rows, _, _, _, hashes) in _chunked(batch, 2):
+                held.append((hashes, order[row + rows], tag[row + rows]))
                 many += len(hashes)
                 if many >= PART_ANCHORS:
-                    yield np.concatenate(held), np.concatenate(owners)
-                    held, owners, many = [], [], 0
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, many = [], 0
             if many:
-                yield np.concatenate(held), np.concatenate(owners)
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def run(batches):
-        for hashes, owners in parts(batches):
-            sort = np.lexsort((owners, hashes))
-            hashes, owners = hashes[sort], owners[sort]
+        for hashes, owners, tags in parts(batches):
+            sort = np.lexsort((tags, owners, hashes))
+            hashes, owners, tags = hashes[sort], owners[sort], tags[sort]
             fresh = np.ones(len(hashes), bool)
-            fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-            hashes, owners = hashes[fresh], owners[fresh]
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1]) | (tags[1:] != tags[:-1])
+            hashes, owners, tags = hashes[fresh], owners[fresh], tags[fresh]
             lead = np.ones(len(hashes), bool)
             lead[1:] = hashes[1:] != hashes[:-1]
             many = np.diff(np.append(np.flatnonzero(lead), len(hashes)))
             twice = np.repeat(many > 1, many)
             bucket = (hashes % _U(buckets)).astype(np.int64)
-            sort = np.lexsort((owners, bucket))  # near-equal owners side by side: they compress
+            sort = np.lexsort((tags, owners, bucket))  # near-equal owners side by side: they compress
             edges = np.searchsorted(bucket[sort], np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(edges))
             blobs = []
@@ -102,22 +101,23 @@ def _emit(buckets: int):
                 at = sort[edges[b] : edges[b + 1]]
                 # What a part repeats is known to repeat; of it only the first document is compared with other parts.
                 flag = twice[at].astype(np.uint8) + 2 * lead[at].astype(np.uint8)
-                blobs.append(b"".join([owners[at].astype("<i8").tobytes(), hashes[at].astype("<u8").tobytes(), flag.tobytes()]))
+                blobs.append(b"".join([owners[at].astype("<i8").tobytes(), hashes[at].astype("<u8").tobytes(), tags[at].astype("<i4").tobytes(), flag.tobytes()]))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """(document, hash) of a bucket where the hash occurs in several documents."""
-    owners, hashes, flags = [], [], []
+    """(document, tag of its text, hash) of a bucket where the hash occurs in several documents."""
+    owners, hashes, tags, flags = [], [], [], []
     for blob in table.column("blob"):
         raw = blob.as_buffer()
-        n = len(raw) // 17
+        n = len(raw) // 21
         owners.append(np.frombuffer(raw, "<i8", n))
         hashes.append(np.frombuffer(raw, "<u8", n, 8 * n))
-        flags.append(np.frombuffer(raw, np.uint8, n, 16 * n))
-    owners, hashes, flags = np.concatenate(owners), np.concatenate(hashes), np.concatenate(flags)
+        tags.append(np.frombuffer(raw, "<i4", n, 16 * n))
+        flags.append(np.frombuffer(raw, np.uint8, n, 20 * n))
+    owners, hashes, tags, flags = np.concatenate(owners), np.concatenate(hashes), np.concatenate(tags), np.concatenate(flags)
     lead = flags >= 2
     sort = np.argsort(hashes, kind="stable")
     h = hashes[sort]
@@ -132,7 +132,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     np.minimum.at(low, group[ends], owners[sort][ends])
     np.maximum.at(high, group[ends], owners[sort][ends])
     keep = (known_twice | (low != high))[group]
-    return pa.table({"order": owners[sort][keep], "hash": h[keep].view(np.int64)})
+    return pa.table({"order": owners[sort][keep], "tag": tags[sort][keep], "hash": h[keep].view(np.int64)})
 
 
 def _surroundings(batches):
@@ -306,17 +306,19 @@ def repeated_spans(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot_class
     """(order, text_key, starts, ends): the byte spans of distinct ``texts`` (order, text_key, text) that texts of smaller order have."""
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(n_bytes / bucket_bytes))
+    # Many rows can share an order, those without id above all: a tag of the text tells them apart.
+    tagged = texts.withColumn("tag", F.pmod("text_key", F.lit(2**31 - 1)).cast("int"))
     found = (
-        texts.select("order", "text").mapInArrow(_emit(buckets), "bucket long, blob binary")
-        .groupBy("bucket").applyInArrow(_repeated, "order long, hash long")
+        tagged.select("order", "tag", "text").mapInArrow(_emit(buckets), "bucket long, blob binary")
+        .groupBy("bucket").applyInArrow(_repeated, "order long, tag int, hash long")
     )
-    wanted = found.groupBy("order").agg(F.collect_list("hash").alias("hashes"))
+    wanted = found.groupBy("order", "tag").agg(F.collect_list("hash").alias("hashes"))
     around = staged(
-        texts.join(wanted, "order").select("order", "text_key", "text", "hashes")
-        .mapInArrow(_surroundings, "order long, text_key long, start long, windows long, hash long, key long, around binary"), "suffix-around", large=True)
+        tagged.join(wanted, ["order", "tag"]).select("order", "text_key", "text", "hashes")
+        .mapInArrow(_surroundings, "order long, text_key long, start long, windows long, hash long, key long, around binary"), "suffix-around")
     # Equal surroundings are one class, known by two 64-bit hashes; its earliest document stands for it.
     classes = around.groupBy("hash", "key").agg(F.min("order").alias("low"), F.first("windows").alias("windows"), F.first("around").alias("around"))
-    classes = staged(classes, "suffix-classes", large=True)
+    classes = staged(classes, "suffix-classes")
     sizes = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     hot = staged(sizes.filter(F.col("classes") > hot_classes).select("hash"), "suffix-hot")
     several = classes.join(sizes.filter(F.col("classes") <= hot_classes).select("hash"), "hash", "left_semi")
