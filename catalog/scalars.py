@@ -437,7 +437,22 @@ scalar(
 )
 
 
-@query("lay1_fit_layout")
+@query("lay1_fit_layout", r"""WITH RECURSIVE r AS (SELECT row_number() OVER () AS rid, conv_id AS track_id, regexp_replace(nfc_normalize(replace(coalesce(text, ''), chr(13), '')), '^\s+|\s+$', '', 'g') AS t FROM conversations),
+    pa AS (SELECT rid, generate_subscripts(ps, 1) AS p, unnest(ps) AS para FROM (SELECT rid, string_split(t, chr(10)) AS ps FROM r)),
+    wd AS (SELECT rid, p, generate_subscripts(ws, 1) AS k, unnest(ws) AS w FROM (SELECT rid, p, list_filter(regexp_split_to_array(para, '\s+'), lambda x: x <> '') AS ws FROM pa)),
+    sz AS (SELECT unnest(range(16, 57)) AS size),
+    tk AS (SELECT rid, size, row_number() OVER (PARTITION BY rid, size ORDER BY p, k, c) AS n, chars, opens FROM (
+      SELECT rid, size, p, k, 0 AS c, len(w) AS chars, k = 1 AS opens FROM wd, sz WHERE len(w) * (size * 0.58::DOUBLE) <= 888
+      UNION ALL SELECT rid, size, p, k, c, least(most, len(w) - c), true FROM (
+        SELECT rid, size, p, k, w, most, unnest(range(0, len(w), most)) AS c FROM (
+          SELECT *, CAST(floor(888 / (size * 0.58::DOUBLE)) AS BIGINT) AS most FROM wd, sz WHERE len(w) * (size * 0.58::DOUBLE) > 888)))),
+    z AS (SELECT rid, size, n, chars, 1 AS lines FROM tk WHERE n = 1
+      UNION ALL SELECT rid, size, n, CASE WHEN flows THEN joint ELSE chars END, lines + CASE WHEN flows THEN 0 ELSE 1 END FROM (
+        SELECT t.rid, t.size, t.n, t.chars, z.lines, z.chars + 1 + t.chars AS joint, NOT t.opens AND (z.chars + 1 + t.chars) * (t.size * 0.58::DOUBLE) <= 888 AS flows
+        FROM z JOIN tk t ON t.rid = z.rid AND t.size = z.size AND t.n = z.n + 1)),
+    ln AS (SELECT r.rid, track_id, sz.size, coalesce(max(lines), 1) AS lines FROM r CROSS JOIN sz LEFT JOIN z ON z.rid = r.rid AND z.size = sz.size GROUP BY ALL),
+    ft AS (SELECT rid, track_id, max(size) FILTER (lines <= 4 AND lines * size * 1.15::DOUBLE <= 162) AS best FROM ln GROUP BY ALL)
+    SELECT track_id, count(*) AS cues, count(*) FILTER (best IS NULL) AS overflow, CAST(min(coalesce(best, 16)) AS INTEGER) AS smallest_size FROM ft GROUP BY track_id""")
 def _layout(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track_id"), F.col("turn"), "text")
     return C.layout_audit(rows, 900, 170, 56, 16)

@@ -384,7 +384,11 @@ def _tts(spark, sf_dir):
     return _group_columns(G.tts_groups(phrase_groups(spark, sf_dir).withColumn("part", F.lit(0).cast("bigint"))))
 
 
-@query("win13_allocate_segments")
+@query("win13_allocate_segments", with_(PHRASES, f"""tu AS (SELECT track_id, turn AS group_no, string_agg(text, ' ' ORDER BY cue_id) AS t FROM cues GROUP BY track_id, turn, speaker),
+    ex AS (SELECT track_id, unnest({_SENT.format('t')}) AS s FROM tu), wd AS (SELECT track_id, s, string_split(s, ' ') AS w, len({WORDS.format('s')}) AS n FROM ex),
+    lo AS (SELECT track_id, n > 18 OR (n > 14 AND regexp_matches(s, '(?i),|;|:|\\b(and|but|because|if|when|while|so)\\b')) AS long, array_to_string(w[1:len(w) // 2], ' ') AS a, array_to_string(w[len(w) // 2 + 1:], ' ') AS b FROM wd),
+    us AS (SELECT *, long AND a <> '' AND b <> '' AND NOT regexp_matches(a || b, '[\u4e00-\u9fff]') AND len({_SENT.format('a')}) <= 1 AND len({_SENT.format('b')}) <= 1 AS ok FROM lo)""") +
+    "SELECT track_id, count(*) FILTER (long) AS attempted, count(*) FILTER (ok) AS changed, 2 * count(*) FILTER (ok) AS segments_created FROM us GROUP BY track_id")
 def _allocate(spark, sf_dir):
     """Long sentences halved by words, as a model might propose."""
     display = G.split_sentences_timed(turn_groups(spark, sf_dir))

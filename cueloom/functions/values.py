@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cueloom.functions.text import _col, strip
+from cueloom.functions.text import HAN, _col, han_count, strip, words
 
 # Accepted video suffixes and languages.
 VIDEO_SUFFIXES = [".mp4", ".mkv", ".avi", ".mov", ".webm", ".m4v"]
@@ -210,70 +207,99 @@ def package_key(batch: Column, item: Column, source_hash: Column, video_hash: Co
     return F.concat(F.lit("dysrt_"), F.substring(F.sha2(joined, 256), 1, 24))
 
 
-_LAYOUT = T.StructType([
-    T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("font_size", T.IntegerType()),
-    T.StructField("width", T.DoubleType()), T.StructField("height", T.DoubleType()),
-    T.StructField("overflow", T.BooleanType()),
-])
-
-
-@F.pandas_udf(_LAYOUT)
-def _fit(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for text, width, height, largest, smallest in batches:
-        rows = [_fit_one(t, int(w), int(h), int(a), int(b))
-                for t, w, h, a, b in zip(text, width, height, largest, smallest)]
-        yield pd.DataFrame(rows, columns=["lines", "font_size", "width", "height", "overflow"])
-
-
-def _han(text: str) -> int:
-    return sum("\u4e00" <= ch <= "\u9fff" for ch in text)
-
-
-def _span(han: int, other: int, size: int) -> float:
-    return han * size + other * (size * 0.58)
-
-
-def _break_lines(paragraphs: list[list[tuple[str, int]]], room: float, size: int) -> list[tuple[str, float]]:
-    """Greedy lines no wider than ``room``; words wider than a line are cut, never dropped."""
-    lines: list[tuple[str, float]] = []
-    for words in paragraphs:
-        line, han = "", 0
-        for word, word_han in words:
-            joined = f"{line} {word}" if line else word
-            if _span(han + word_han, len(joined) - han - word_han, size) <= room:
-                line, han = joined, han + word_han
-                continue
-            if line:
-                lines.append((line, _span(han, len(line) - han, size)))
-            line, han = "", 0
-            if _span(word_han, len(word) - word_han, size) <= room:
-                line, han = word, word_han
-                continue
-            for char in word:
-                wide = _han(char)
-                if line and _span(han + wide, len(line) + 1 - han - wide, size) > room:
-                    lines.append((line, _span(han, len(line) - han, size)))
-                    line, han = "", 0
-                line, han = line + char, han + wide
-        if line:
-            lines.append((line, _span(han, len(line) - han, size)))
-    return lines or [("", 0.0)]
-
-
-def _fit_one(text: str, width: int, height: int, largest: int, smallest: int):
-    """Largest size at which at most four lines fit; the smallest one with a flag otherwise."""
-    clean = unicodedata.normalize("NFC", (text or "").replace("\r", "").strip())
-    paragraphs = [[(w, _han(w)) for w in p.split()] for p in clean.splitlines()]
-    room, tall = max(12, width - 12), max(8, height - 8)
-    floor = min(largest, max(12, smallest))
-    for size in range(largest, floor - 1, -1):
-        lines = _break_lines(paragraphs, room, size)
-        widest, stack = max(w for _line, w in lines), len(lines) * size * 1.15
-        fits = len(lines) <= 4 and stack <= tall and widest <= room
-        if fits or size == floor:
-            return [line for line, _w in lines], size, float(widest), stack, not fits
+def _compositions() -> str:
+    """Letters with marks and what they compose to, as ``letter marks`` pairs, by the rule of the Unicode tables."""
+    pairs = {}
+    for code in range(0x00C0, 0x3100):
+        whole = chr(code)
+        apart = unicodedata.normalize("NFD", whole)
+        if len(apart) > 1 and unicodedata.normalize("NFC", apart) == whole:
+            pairs[apart] = whole
+            # The first marks may be composed already.
+            pairs[unicodedata.normalize("NFC", apart[:-1]) + apart[-1]] = whole
+    return "\u0001".join(f"{apart}\u0002{whole}" for apart, whole in pairs.items())
+
+
+def composed(c: Column | str) -> Column:
+    """Text whose letters and marks are composed (NFC) where one letter exists for them."""
+    table = F.str_to_map(F.lit(_compositions()), F.lit("\u0001"), F.lit("\u0002"))
+    clusters = F.regexp_extract_all(_col(c), F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    return F.when(_col(c).rlike(r"\p{M}"), F.array_join(
+        F.transform(clusters, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(_col(c))
+
+
+def _span(han: Column, chars: Column, size: Column) -> Column:
+    """Width of a run of characters: a size per Han character, .58 of it per other one."""
+    return (han * size).cast("double") + (chars - han).cast("double") * (size.cast("double") * F.lit(0.58))
+
+
+def _pieces(words_: Column, room: Column, size: Column) -> Column:
+    """What lines are made of: words, and pieces of words that are wider than a line.
+
+    ``opens`` tells that a piece begins a line whatever the room is: a paragraph's first word and pieces of wide words.
+    """
+
+    def cut(word: Column) -> Column:
+        def add(acc: Column, char: Column) -> Column:
+            han = char.rlike(HAN).cast("int")
+            full = (acc["chars"] > 0) & (_span(acc["han"] + han, acc["chars"] + 1, size) > room)
+            return F.struct(
+                F.when(full, F.concat(acc["done"], F.array(acc["text"]))).otherwise(acc["done"]).alias("done"),
+                F.when(full, char).otherwise(F.concat(acc["text"], char)).alias("text"),
+                F.when(full, han).otherwise(acc["han"] + han).alias("han"),
+                F.when(full, 1).otherwise(acc["chars"] + 1).alias("chars"),
+            )
+
+        begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("han"), F.lit(0).alias("chars"))
+        parts = F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), begin, add, lambda acc: F.concat(acc["done"], F.array(acc["text"])))
+        return F.transform(parts, lambda p: F.struct(p.alias("text"), han_count(p).alias("han"), F.char_length(p).alias("chars"), F.lit(True).alias("opens")))
+
+    return F.flatten(F.transform(words_, lambda w: F.when(_span(w["han"], w["chars"], size) <= room, F.array(w)).otherwise(cut(w["text"]))))
+
+
+def _lines(pieces: Column, room: Column, size: Column) -> Column:
+    """Pieces joined to lines no wider than ``room``: texts of lines and the widest of them."""
+
+    def add(acc: Column, p: Column) -> Column:
+        han, chars = acc["han"] + p["han"], acc["chars"] + 1 + p["chars"]
+        opens = p["opens"] | (acc["chars"] == 0) | (_span(han, chars, size) > room)
+        return F.struct(
+            F.when(opens & (acc["chars"] > 0), F.concat(acc["done"], F.array(acc["text"]))).otherwise(acc["done"]).alias("done"),
+            F.when(opens, p["text"]).otherwise(F.concat(acc["text"], F.lit(" "), p["text"])).alias("text"),
+            F.when(opens, p["han"]).otherwise(han).alias("han"), F.when(opens, p["chars"]).otherwise(chars).alias("chars"),
+            F.greatest(acc["widest"], F.when(opens, _span(p["han"], p["chars"], size)).otherwise(_span(han, chars, size))).alias("widest"),
+        )
+
+    begin = F.struct(
+        F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("han"), F.lit(0).alias("chars"), F.lit(0.0).alias("widest"))
+    return F.aggregate(pieces, begin, add, lambda acc: F.struct(F.concat(acc["done"], F.array(acc["text"])).alias("lines"), acc["widest"].alias("widest")))
 
 
 def fit_layout(text: Column | str, width: Column, height: Column, largest: Column, smallest: Column) -> Column:
-    """Subtitle layout by the width estimate: one size per Han character, .58 otherwise."""
-    return _fit(_col(text), width, height, largest, smallest)
+    """Lines and font size of a subtitle in its region, by an estimate of widths.
+
+    The largest size at which at most four lines fit; if none fits, the smallest one with ``overflow``. Nothing of the
+    text is dropped; words wider than a line are cut. Widths are summed per word once, sizes are tried downward.
+    """
+    clean = composed(strip(F.replace(F.coalesce(_col(text), F.lit("")), F.lit("\r"), F.lit(""))))
+    paragraphs = F.split(clean, "[\n\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.transform(words(p), lambda w, i: F.struct(
+        w.alias("text"), han_count(w).alias("han"), F.char_length(w).alias("chars"), (i == 0).alias("opens")))))
+    room, tall = F.greatest(F.lit(12), width - 12), F.greatest(F.lit(8), height - 8)
+    floor = F.least(largest, F.greatest(F.lit(12), smallest))
+
+    def tried(parts: Column, size: Column) -> Column:
+        stack = lambda lines: F.size(lines["lines"]) * size * F.lit(1.15)
+        fits = lambda lines: (F.size(lines["lines"]) <= 4) & (stack(lines) <= tall) & (lines["widest"] <= room)
+        made = F.transform(F.array(_lines(_pieces(parts, room, size), room, size)), lambda lines: F.when(fits(lines) | (size == floor), F.struct(
+            lines["lines"].alias("lines"), size.cast("int").alias("font_size"), lines["widest"].alias("width"), stack(lines).cast("double").alias("height"), (~fits(lines)).alias("overflow"))))
+        return F.get(made, F.lit(0))
+
+    none = F.lit(None).cast("struct<lines:array<string>,font_size:int,width:double,height:double,overflow:boolean>")
+    # As the argument of a function the words are split once and not for every size.
+    total = lambda once, name: F.aggregate(once, F.lit(0), lambda n, p: n + p[name])
+    told = F.transform(F.array(parts), lambda once: F.struct(once.alias("parts"), total(once, "han").alias("han"), total(once, "chars").alias("chars")))
+    # More than four lines' worth of text needs no trial.
+    many = lambda once, size: (_span(once["han"], once["chars"], size) > 4 * room) & (size > floor)
+    return F.get(F.transform(told, lambda once: F.aggregate(F.sequence(largest, floor, F.lit(-1)), none, lambda best, size: F.when(
+        best.isNotNull() | many(once, size), best).otherwise(tried(once["parts"], size)))), F.lit(0))

@@ -16,6 +16,8 @@ from cueloom.operators.scan import UNKNOWN, Layout, fold, plan_layout, scan
 BORROW_MS = 350
 SPEED_TOLERANCE_MS = 15
 OVERFLOW_TOLERANCE_MS = 25
+# How a cue's times came out, by moved (m), start verified (s) and end verified (e).
+REFINED = {"mse": "refined", "ms-": "refined_start_only", "m-e": "refined_end_only", "-se": "verified_unchanged"}
 
 
 class CursorMap:
@@ -313,28 +315,31 @@ def refine_boundaries(
         .withColumn("_end", F.rint((F.col("_last") + 1) * ms).cast("bigint"))
     )
 
-    def step(previous, row):
-        start, end, from_ms, to_ms, following, anchor = row
-        begin, finish = start, end
-        opened = from_ms is not None and (previous or 0) <= from_ms < end
-        if opened:
-            begin = from_ms
-        closed = to_ms is not None and to_ms > begin and (following is None or to_ms <= following)
-        if closed:
-            finish = to_ms
-        if anchor is None:
-            status = "unchanged_no_anchor"
-        elif (begin, finish) != (start, end):
-            status = "refined" if opened and closed else "refined_start_only" if opened else "refined_end_only"
-        else:
-            status = "verified_unchanged" if opened and closed else "unchanged_unverified_boundary"
-        return finish, (begin, finish, opened, closed, status)
-
-    out = fold(
-        sided, layout, ["start_ms", "end_ms", "_start", "_end", "next_start", "anchor"], step,
-        [("new_start_ms", "bigint"), ("new_end_ms", "bigint"), ("start_verified", "boolean"),
-         ("end_verified", "boolean"), ("status", "string")],
-    )
+    # A side is taken up where it leaves something of the cue and stays clear of the neighbour. Whether the start may
+    # move depends on where the cue before ends now, so both outcomes are columns, and one walk picks between them.
+    source, until, begin, finish, after = (F.col(c) for c in ("start_ms", "end_ms", "_start", "_end", "next_start"))
+
+    def ends(start: Column) -> Column:
+        """Where the cue ends if it begins at ``start``, and whether its end is verified."""
+        good = F.coalesce((finish > start) & (after.isNull() | (finish <= after)), F.lit(False))
+        return F.struct(F.when(good, finish).otherwise(until).alias("at"), good.alias("seen"))
+
+    both = sided.select(
+        "*", F.when(begin < until, begin).alias("_movable"), ends(begin).alias("_moved"), ends(source).alias("_kept"),
+    ).select("*", F.col("_moved.at").alias("_moved_end"), F.col("_kept.at").alias("_kept_end"))
+
+    def walk(ended, row):
+        movable, moved, kept = row
+        taken = movable is not None and (ended or 0) <= movable
+        return (moved if taken else kept), (taken,)
+
+    walked = fold(both, layout, ["_movable", "_moved_end", "_kept_end"], walk, [("start_verified", "boolean")])
+    chosen = F.when(F.col("start_verified"), F.col("_moved")).otherwise(F.col("_kept"))
+    placed = walked.withColumns({"new_start_ms": F.when(F.col("start_verified"), begin).otherwise(source), "new_end_ms": chosen["at"], "end_verified": chosen["seen"]})
+    same = (F.col("new_start_ms") == source) & (F.col("new_end_ms") == until)
+    flags = F.concat(*[F.when(c, F.lit(yes)).otherwise(F.lit("-")) for c, yes in ((~same, "m"), (F.col("start_verified"), "s"), (F.col("end_verified"), "e"))])
+    out = placed.withColumn("status", F.when(F.col("anchor").isNull(), "unchanged_no_anchor").otherwise(
+        F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for pair in REFINED.items() for v in pair]), flags), F.lit("unchanged_unverified_boundary"))))
     return out.select(
         KEY, "cue_id", "text", F.col("start_ms").alias("source_start_ms"), F.col("end_ms").alias("source_end_ms"),
         F.col("new_start_ms").alias("start_ms"), F.col("new_end_ms").alias("end_ms"),

@@ -1,5 +1,7 @@
 """Literal cases with known results."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +264,21 @@ def test_recogniser_hook(spark):
     frames = spark.createDataFrame([("t", 1, b"ab"), ("t", 2, b"")], "track_id string, frame_idx int, image binary")
     out = P.recognise_frames(frames, lambda b: [{"text": b.decode(), "confidence": 0.5}] if b else [])
     assert [tuple(r) for r in out.collect()] == [("t", 1, 0, "ab", 0.5)]
+
+
+def test_layout_keeps_the_text_and_takes_the_largest_size(spark):
+    """Nothing is lost, no line is wider than the region, and a size more wouldn't fit; letters and marks are one character."""
+    from cueloom.functions.values import fit_layout
+
+    texts = ["one two three four five six", "字幕测试 文字很长很长 abc", "w" * 90 + " end", "étế l'été", "", None, "a\n\nb\r\nc", "x " * 200]
+    wide = lambda t, size: sum(size if "一" <= c <= "鿿" else 0.58 * size for c in t)
+    for width, height in ((112, 100), (412, 90), (900, 170)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        for r in df.select("i", "t", fit_layout("t", F.lit(width), F.lit(height), F.lit(40), F.lit(16)).alias("f")).collect():
+            clean = unicodedata.normalize("NFC", r.t or "")
+            assert "".join("".join(r.f.lines).split()) == "".join(clean.split())
+            assert all(wide(line, r.f.font_size) <= width - 12 + 1e-6 for line in r.f.lines)
+            assert r.f.height == pytest.approx(len(r.f.lines) * r.f.font_size * 1.15) and r.f.width == pytest.approx(max(wide(line, r.f.font_size) for line in r.f.lines))
+            assert r.f.overflow == (len(r.f.lines) > 4 or r.f.height > height - 8) and (not r.f.overflow or r.f.font_size == 16)
+    three = spark.createDataFrame([("a\n\nb c",)], "t string").select(fit_layout("t", F.lit(900), F.lit(170), F.lit(40), F.lit(16)).alias("f")).first().f
+    assert three.lines == ["a", "b c"] and three.font_size == 40
