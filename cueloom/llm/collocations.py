@@ -26,7 +26,7 @@ LEAST = 30
 TOP = 2000
 #: Text whose suffixes make a bucket, and text that is sorted at once where they are made.
 BUCKET_BYTES = 8 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Suffixes per bucket that are looked at to find leading words which fill a bucket; they only decide the routes.
 SAMPLE = 400
 _U = np.uint64
