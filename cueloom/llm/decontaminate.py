@@ -1,9 +1,10 @@
-"""Benchmark passages in documents: item-sized windows, looked up by rare shingles or by SimHash, exact verification."""
+"""Benchmark passages in documents: SimHashes of item-sized windows, a multi-index of Hamming blocks, exact verification."""
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,10 @@ from cueloom.llm.common import checked, known, staged, unused
 SHINGLE = 5
 LEAST = 0.8
 BITS = 64
+#: Distance of SimHashes up to which windows are verified: of windows of similarity 0.8 about one in a hundred is further away.
+RADIUS = 17
+#: Weights of shingles are whole multiples of 1 / SCALE in the votes, so that running sums are exact.
+SCALE = 64
 BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
@@ -42,34 +47,41 @@ class Items:
 
     def __init__(self, texts: list[str], radius: int | None, weights: Counter, n_items: int, least: float = LEAST) -> None:
         self.radius, self.words, self.least = radius, [], least
+        self.weights, self.rare = weights, math.log(1 + n_items)
+        self.often, self.often_heft = self._heavy()
         prints, owners, keys, keyed, grams, own = [], [], [], [], {}, []
         for i, text in enumerate(texts):
             low = tokens.fold(np.frombuffer(text.encode(), np.uint8))
             hashes, _, begins, ends = tokens.words(low, np.array([0, len(low)]), tokens.LETTERS)
             self.words.append([low[b:e].tobytes() for b, e in zip(begins, ends, strict=True)])
-            prints.append(_simhash(_bits(hashes).sum(axis=0)[None])[0] if len(hashes) else _U(0))
             k = min(SHINGLE, len(hashes))
             if k:
                 owners.append(i)
                 own.append(tokens.shingles(hashes, np.zeros(len(hashes), np.int64), k)[0])
-                grams.setdefault(k, []).append(own[-1])
+                grams.setdefault(k, []).append((own[-1], np.full(len(own[-1]), len(hashes))))
+                prints.append(_simhash((_bits(own[-1]) * self.heft(own[-1])[:, None]).sum(axis=0)[None])[0])
+            else:
+                prints.append(_U(0))
         self.prints = np.array(prints, _U)
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
-        self.seen = {}
-        for k, v in self.grams.items():
+        # Which shingles items of which word count have.
+        self.grams, self.seen = {}, {}
+        for k, parts in grams.items():
+            values, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((size, values))
+            values, size = values[order], size[order]
+            new = np.append(True, (values[1:] != values[:-1]) | (size[1:] != size[:-1]))
+            self.grams[k] = values[new], size[new]
             self.seen[k] = np.zeros(1 << 20, bool)
-            self.seen[k][(v >> _U(44)).astype(np.int64)] = True
+            self.seen[k][(values >> _U(44)).astype(np.int64)] = True
         for b, (lo, hi) in enumerate(_cuts(radius) if radius is not None else []):
             keys.append(self._keys(self.sizes[owners], self.prints[owners], b, lo, hi))
             keyed.append(np.array(owners))
         keys, keyed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, keyed))
         order = np.argsort(keys, kind="stable")
         self.keys, self.keyed = keys[order], keyed[order]
-        self.windows = np.unique(self.sizes[self.sizes > 0])
         self.counts = [Counter(_runs(w)) for w in self.words]
-        self.weights, self.rare = weights, math.log(1 + n_items)
-        # The rarest shingles of every item, so many that whoever has none of them has too little in common with it.
+        # For the exact search: the rarest shingles of every item, so many that whoever has none of them has too little in common with it.
         self.total, self.shares, index = {}, {}, {}
         for i, hashed in zip(owners, own, strict=True):
             runs = _runs(self.words[i])
@@ -87,6 +99,28 @@ class Items:
             order = np.argsort(values, kind="stable")
             self.index[k] = values[order], held[order]
 
+    def _heavy(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the shingles that several items have, and their weights as whole numbers."""
+        parts = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+        for k in {len(g) for g in self.weights}:
+            grams = [g for g in self.weights if len(g) == k]
+            lines = [b" ".join(g) + b" " for g in grams]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+            hashes, rows, _, _ = tokens.words(np.frombuffer(b"".join(lines), np.uint8), offsets, tokens.LETTERS)
+            parts.append((tokens.shingles(hashes, rows, k)[0], np.array([max(1, round(self.weights[g] * SCALE)) for g in grams])))
+        values, heft = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(values)
+        return values[order], heft[order]
+
+    def heft(self, grams: np.ndarray) -> np.ndarray:
+        """Weights of shingles as whole numbers."""
+        out = np.full(len(grams), max(1, round(self.rare * SCALE)), np.int32)
+        if len(self.often):
+            at = np.minimum(np.searchsorted(self.often, grams), len(self.often) - 1)
+            met = self.often[at] == grams
+            out[met] = self.often_heft[at[met]]
+        return out
+
     @staticmethod
     def _keys(sizes: np.ndarray, prints: np.ndarray, block: int, lo: int, hi: int) -> np.ndarray:
         part = (prints >> _U(lo)) & _U((1 << (hi - lo)) - 1)
@@ -149,46 +183,62 @@ def _runs(words: list[bytes]) -> list[tuple]:
     return list(zip(*[words[i:] for i in range(k)], strict=False)) if k else []
 
 
-def _windows(items: Items, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, size) of the item-sized windows with a shingle of some item; no other window can be similar."""
-    starts, sizes = [], []
+def _windows(items: Items, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per item size: (size, starts, word counts, votes of stretches, places in them) of the windows to look up.
+
+    A window is looked up where it has a shingle of an item of its size; no other one can be similar. Where a text has
+    fewer words than the items, it is a window as a whole. Votes are running sums over the shingles that windows cover.
+    """
     firsts = np.searchsorted(rows, rows, "left")
     lasts = np.searchsorted(rows, rows, "right")
-    for k, known_grams in items.grams.items():
+    for k, (values, size_of) in items.grams.items():
         grams, at = tokens.shingles(hashes, rows, k)
         hit = np.flatnonzero(items.seen[k][(grams >> _U(44)).astype(np.int64)])
-        hit = hit[known_grams[np.minimum(np.searchsorted(known_grams, grams[hit]), len(known_grams) - 1)] == grams[hit]]
-        at = at[hit]
-        if not len(at):
+        low, high = np.searchsorted(values, grams[hit], "left"), np.searchsorted(values, grams[hit], "right")
+        many = high - low
+        place = np.repeat(at[hit], many)
+        sizes = size_of[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        if not len(place):
             continue
-        for size in items.windows[np.minimum(items.windows, SHINGLE) == k].tolist():
+        found = []
+        for size in np.unique(sizes).tolist():
+            own = np.unique(place[sizes == size])
+            whole = lasts[own] - firsts[own] < size
             mark = np.zeros(len(hashes) + 1, np.int32)
-            low = np.maximum(at - (size - k), firsts[at])
-            high = np.minimum(at, lasts[at] - size) + 1
-            ok = high > low
-            np.add.at(mark, low[ok], 1)
-            np.add.at(mark, high[ok], -1)
-            found = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            starts.append(found)
-            sizes.append(np.full(len(found), size))
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(starts), np.concatenate(sizes)
-
-
-def _prints(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fingerprints of windows by running votes over the stretches of words that windows cover."""
-    mark = np.zeros(len(hashes) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + sizes, -1)
-    covered = np.cumsum(mark[:-1]) > 0
-    place = np.concatenate([[0], np.cumsum(covered)])
-    votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(_bits(hashes[covered]), axis=0, dtype=np.int32)])
-    out = np.empty(len(starts), _U)
-    for i in range(0, len(starts), 20_000):
-        part = slice(i, i + 20_000)
-        out[part] = _simhash(votes[place[starts[part] + sizes[part]]] - votes[place[starts[part]]])
-    return out
+            np.add.at(mark, np.maximum(own[~whole] - (size - k), firsts[own[~whole]]), 1)
+            np.add.at(mark, np.minimum(own[~whole], lasts[own[~whole]] - size) + 1, -1)
+            start = np.concatenate([np.flatnonzero(np.cumsum(mark[:-1]) > 0), np.unique(firsts[own[whole]])])
+            found.append((size, start, np.minimum(size, lasts[start] - start)))
+        start, count = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+        mark = np.zeros(len(hashes) + 1, np.int32)
+        np.add.at(mark, start, 1)
+        np.add.at(mark, start + count - k + 1, -1)
+        covered = np.cumsum(mark[:-1]) > 0
+        held = covered[at]
+        votes = np.zeros((int(covered.sum()) + 1, BITS), np.int32)
+        places = np.concatenate([[0], np.cumsum(covered)])
+        votes[places[at[held]] + 1] = _bits(grams[held]) * items.heft(grams[held])[:, None]
+        np.cumsum(votes, axis=0, out=votes)
+        for size, begin, words in found:
+            for i in range(0, len(begin), 20_000):
+                part = slice(i, i + 20_000)
+                yield size, begin[part], words[part], _simhash(votes[places[begin[part] + words[part] - k + 1]] - votes[places[begin[part]]])
+
+
+def _exact(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """(start, words, item, bound, distance) of all windows that can be similar, found by rare shingles instead of fingerprints."""
+    start, size, item, bound = items.sharing(hashes, rows)
+    return [start, size, item, bound, np.zeros(len(start), np.int64)]
+
+
+def _near(items: Items, hashes: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """(start, words, item, 1, distance) of the windows within the radius of an item of their size."""
+    out = [[np.zeros(0, np.int64)] for _ in range(5)]
+    for size, start, words, prints in _windows(items, hashes, rows):
+        at, item, far = items.candidates(np.full(len(start), size), prints)
+        for held, x in zip(out, (start[at], words[at], item, np.ones(len(at)), far), strict=True):
+            held.append(x)
+    return [np.concatenate(x) for x in out]
 
 
 def _searcher(texts: list[str], ids: list, radius: int | None, least: float, weights: Counter, n_items: int):
@@ -200,21 +250,9 @@ def _searcher(texts: list[str], ids: list, radius: int | None, least: float, wei
             for row, data, offsets in tokens.text_chunks(batch.column(1)):
                 low = tokens.fold(data)
                 hashes, rows, begins, ends = tokens.words(low, offsets, tokens.LETTERS)
-                if radius is None:
-                    starts, sizes, item, bound = items.sharing(hashes, rows)
-                else:
-                    starts, sizes = _windows(items, hashes, rows)
-                if not len(starts):
-                    continue
-                prints = _prints(hashes, starts, sizes)
-                if radius is None:
-                    at, far = np.arange(len(starts)), np.bitwise_count(prints ^ items.prints[item])
-                else:
-                    at, item, far = items.candidates(sizes, prints)
-                    bound = np.ones(len(at))
+                starts, sizes, item, bound, far = (_exact if radius is None else _near)(items, hashes, rows)
                 best: dict = {}
-                for w, i, d, most in zip(at.tolist(), item.tolist(), far.tolist(), bound.tolist(), strict=True):
-                    s, m = int(starts[w]), int(sizes[w])
+                for s, m, i, most, d in zip(starts.tolist(), sizes.tolist(), item.tolist(), bound.tolist(), far.tolist(), strict=True):
                     if most + 1e-9 < best.get((int(rows[s]), i), ((0.0,), 0))[0][0]:
                         continue
                     sim = items.similarity(i, [low[b:e].tobytes() for b, e in zip(begins[s : s + m], ends[s : s + m], strict=True)])
@@ -270,18 +308,18 @@ def _item_blocks(items: DataFrame, block_bytes: int):
         yield ids, texts
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int | None = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold a benchmark item: (doc_id, item_id, similarity, distance, start_byte, end_byte), the best window of each pair.
 
     Words are runs of letters and digits without case. Windows have the word count of an item; a shorter document is a
-    window as a whole. The similarity is the weighted Jaccard similarity of five-word shingles (of all words for shorter
-    items), weights being the rarity of a shingle in the whole benchmark, whatever the blocks. Every similar window has
-    one of the item's rarest shingles, which are looked up, and enough of its weight, which running sums tell; what is
-    left is verified, so no pair is missed. The distance is that of the 64-bit SimHashes over words.
-
-    With a ``radius``, only windows within that distance are looked up, in radius + 1 blocks of bits: then pairs that
-    are similar but further away are missed, and so are documents shorter than the item. Ties go to the smaller
-    distance, then the earlier window.
+    window as a whole. A fingerprint is the 64-bit SimHash of the window's five-word shingles (all words for shorter
+    items), each voting with its rarity in the whole benchmark. Fingerprints are cut into radius + 1 blocks of bits, of
+    which one at least agrees wherever the distance is within the radius, so the index finds all such pairs. They are
+    verified: the similarity is the weighted Jaccard similarity of the shingles, with the same weights, whatever the
+    blocks of items. Ties go to the smaller distance, then the earlier window.
+
+    With the default radius about one in a hundred windows of similarity ``least`` itself is further away, more similar
+    ones hardly ever; ``radius=None`` searches exactly instead, by rare shingles, with distances of 0.
 
     Null texts hold nothing, items without words are in no document, an empty table gives no rows. Null and repeated
     ids keep a row per row and item; repeated item rows count once. Other columns are not read.
