@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.feeds import NOW
 from catalog.registry import CUES, ITEMS, JOBS, PHRASES, WORKS, big, query, with_
 from catalog.scalars import MESSAGES_SQL, fusion_answers, message_frames, srt_docs
-from catalog.tracks import RUNS
+from catalog.tracks import CLOSED, RUNS, joined_sql, split_sql
 from cueloom.adapters import (
     history_from_orders, items_from_lineitem, jobs_from_events, ledger_from_orders,
     phrases_from_conversations, table, works_from_orders,
@@ -311,21 +311,32 @@ def fallback_fusion(spark, sf_dir):
     return P.fuse_corpus(phrases_from_conversations(spark, sf_dir), fusion_answers(spark, sf_dir, broken=True), "en")
 
 
-FUSED_STATUS = with_(PHRASES, """g AS (SELECT track_id, (cue_id - 1) // 2 AS gn, min(start_ms) AS s, max(end_ms) AS e, arg_max(start_ms, cue_id) - arg_min(end_ms, cue_id) AS pause, count(*) AS n FROM cues GROUP BY ALL),
+FUSED_PARTS = (PHRASES, """g AS (SELECT track_id, (cue_id - 1) // 2 AS gn, min(start_ms) AS s, max(end_ms) AS e, arg_max(start_ms, cue_id) - arg_min(end_ms, cue_id) AS pause, count(*) AS n FROM cues GROUP BY ALL),
     w AS (SELECT track_id, bool_or((track_id % 5 <> 1 OR gn <> 3) AND ((n > 1 AND pause > 800) OR e - s > 10000)) AS slow, bool_or(track_id % 5 = 2 AND gn = 2) AS dup, bool_or(track_id % 5 = 1 AND gn = 3) AS gone FROM g GROUP BY track_id)""")
 
 
-@query("job1_fuse_status", FUSED_STATUS + "SELECT track_id, slow OR dup OR gone AS used_fallback FROM w")
+@query("job1_fuse_status", with_(*FUSED_PARTS) + "SELECT track_id, slow OR dup OR gone AS used_fallback FROM w")
 def _fuse_status(spark, sf_dir):
     return fallback_fusion(spark, sf_dir).status.select("track_id", "used_fallback")
 
 
-@query("job1_fuse_display")
+# Tracks whose answer keeps the contract take its groups, the others are grouped by their own cues.
+FUSED = with_(*FUSED_PARTS, f"""ow AS (SELECT track_id, cue_id, cue_id AS g, start_ms AS gs, end_ms AS ge, text AS t FROM cues WHERE cue_id = 1
+    UNION ALL SELECT track_id, cue_id, CASE WHEN m THEN g ELSE cue_id END, CASE WHEN m THEN gs ELSE start_ms END, end_ms, CASE WHEN m THEN t || text ELSE text END
+    FROM (SELECT c.*, r.g, r.gs, r.t, c.start_ms - r.ge BETWEEN 0 AND 350 AND c.end_ms - r.gs <= 6000 AND length(r.t || c.text) <= 52 AND NOT {CLOSED.format('r.t')} AS m
+      FROM ow r JOIN cues c ON c.track_id = r.track_id AND c.cue_id = r.cue_id + 1) x),
+    fu AS (SELECT track_id, (cue_id - 1) // 2 + 1 AS group_no, arg_min(text, cue_id) AS text, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms
+      FROM cues WHERE track_id IN (SELECT track_id FROM w WHERE NOT (slow OR dup OR gone)) GROUP BY ALL
+      UNION ALL SELECT track_id, g, arg_max(t, cue_id), 'M1', min(gs), arg_max(ge, cue_id) FROM ow WHERE track_id IN (SELECT track_id FROM w WHERE slow OR dup OR gone) GROUP BY track_id, g)""",
+    split_sql("fu", "st"), joined_sql("st", "ds", True), joined_sql("ds", "tt", False), recursive=True)
+
+
+@query("job1_fuse_display", FUSED + 'SELECT track_id, group_no, part, text AS translation, speaker, start_ms, end_ms FROM ds')
 def _fuse_display(spark, sf_dir):
     return fallback_fusion(spark, sf_dir).display.select("track_id", "group_no", "part", "translation", "speaker", "start_ms", "end_ms")
 
 
-@query("job1_fuse_tts")
+@query("job1_fuse_tts", FUSED + 'SELECT track_id, group_no, part, text AS translation, speaker, start_ms, end_ms FROM tt')
 def _fuse_tts(spark, sf_dir):
     return fallback_fusion(spark, sf_dir).tts.select("track_id", "group_no", "part", "translation", "speaker", "start_ms", "end_ms")
 
@@ -374,7 +385,9 @@ def _selection(spark, sf_dir):
     return P.source_selection(rows).select("doc_id", "origin", "content")
 
 
-@query("job7_display_to_tts")
+@query("job7_display_to_tts", with_(PHRASES, """lo AS (SELECT track_id, cue_id AS group_no, text, CASE WHEN cue_id % 5 > 0 THEN upper(speaker) ELSE 'M1' END AS speaker, start_ms, end_ms FROM cues)""",
+    split_sql("lo", "st"), joined_sql("st", "ds", True), joined_sql("ds", "tt", False), recursive=True) +
+    "SELECT track_id, group_no, part, text AS translation, speaker, start_ms, end_ms FROM tt")
 def _display_to_tts(spark, sf_dir):
     speakers = phrases_from_conversations(spark, sf_dir).where("cue_id % 5 > 0").select("track_id", F.col("cue_id").alias("position"), "speaker")
     out = P.display_to_tts(srt_docs(spark, sf_dir), speakers)

@@ -374,6 +374,32 @@ def _group_columns(out):
     return out.select("track_id", "group_no", "translation", big(F.size("source_ids")).alias("joined"), "start_ms", "end_ms", "speaker")
 
 
+def split_sql(src: str, name: str) -> str:
+    """Rows of ``src`` (track_id, group_no, text, speaker, start_ms, end_ms) cut into sentences, as ``name`` with a part."""
+    return f"""{name}1 AS (SELECT *, {_SENT.format('text')} AS ss FROM {src}),
+    {name}2 AS (SELECT track_id, group_no, speaker, start_ms AS s, end_ms AS e, greatest(1, len(ss)) AS n, unnest(CASE WHEN len(ss) > 1 THEN range(0, len(ss)) ELSE [0] END) AS part, CASE WHEN len(ss) > 1 THEN ss ELSE [text] END AS ss FROM {name}1),
+    {name}3 AS (SELECT *, ss[part + 1] AS sentence, greatest(1, len({WORDS.format('ss[part + 1]')})) AS wt FROM {name}2),
+    {name}4 AS (SELECT *, greatest(1, CAST(round_even(greatest(1, e - s) * wt / (sum(wt) OVER (PARTITION BY track_id, group_no))::DOUBLE, 0) AS BIGINT)) AS share FROM {name}3),
+    {name}5 AS (SELECT *, s + coalesce(sum(share) OVER (PARTITION BY track_id, group_no ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM {name}4),
+    {name} AS (SELECT track_id, group_no, CAST(part AS BIGINT) AS part, sentence AS text, speaker, CAST(st AS BIGINT) AS start_ms,
+      CAST(CASE WHEN n = 1 THEN e WHEN part = n - 1 THEN greatest(st + 1, e) ELSE st + share END AS BIGINT) AS end_ms FROM {name}5)"""
+
+
+def joined_sql(src: str, name: str, ended_rule: bool) -> str:
+    """Rows of ``src`` joined to sentences (``ended_rule``) or narration units, as ``name`` with the same columns."""
+    stop = f"AND NOT {_ENDED}" if ended_rule else ""
+    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, group_no, part) AS k FROM {src}),
+    {name}1 AS (
+    SELECT track_id, k, k AS g, start_ms AS gs, end_ms AS ge, text AS t, speaker AS sp FROM {name}0 WHERE k = 1
+    UNION ALL
+    SELECT track_id, k, CASE WHEN m THEN g ELSE k END, CASE WHEN m THEN gs ELSE start_ms END, end_ms, CASE WHEN m THEN t || ' ' || text ELSE text END, CASE WHEN m THEN sp ELSE speaker END
+    FROM (SELECT c.*, r.g, r.gs, r.t, r.sp, r.sp = c.speaker AND c.start_ms - r.ge BETWEEN 0 AND 400 AND c.end_ms - r.gs <= 9000
+        AND len({WORDS.format("(r.t || ' ' || c.text)")}) <= 26 {stop} AND NOT regexp_matches(r.t || ' ' || c.text, '{TERM} ') AS m
+      FROM {name}1 r JOIN {name}0 c ON c.track_id = r.track_id AND c.k = r.k + 1) x),
+    {name}2 AS (SELECT track_id, g, arg_max(t, k) AS text, min(gs) AS start_ms, arg_max(ge, k) AS end_ms, arg_min(sp, k) AS speaker FROM {name}1 GROUP BY track_id, g),
+    {name} AS (SELECT x.track_id, z.group_no, z.part, x.text, x.speaker, x.start_ms, x.end_ms FROM {name}2 x JOIN {name}0 z ON z.track_id = x.track_id AND z.k = x.g)"""
+
+
 @query("win11_merge_fragments", _fragments_sql(True))
 def _fragments(spark, sf_dir):
     return _group_columns(G.merge_fragments(phrase_groups(spark, sf_dir).withColumn("part", F.lit(0).cast("bigint"))))
