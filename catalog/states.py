@@ -31,11 +31,11 @@ def full_ledger(spark, sf_dir):
 
 
 def asked_works(spark, sf_dir):
-    return works_from_orders(spark, sf_dir).where("duration_s % 2 = 0").select(
+    return works_from_orders(spark, sf_dir).select(
         "channel_id", "work_id", F.concat(F.lit("w"), F.col("work_id").cast("string")).alias("source_url"), F.col("title").alias("source_json"))
 
 
-CLAIM_SQL = with_(WORKS, "ask AS (SELECT * FROM works WHERE duration_s % 2 = 0)") + f"""SELECT coalesce(l.channel_id, a.channel_id) AS channel_id, coalesce(l.work_id, a.work_id) AS work_id,
+CLAIM_SQL = with_(WORKS, "ask AS (SELECT * FROM works)") + f"""SELECT coalesce(l.channel_id, a.channel_id) AS channel_id, coalesce(l.work_id, a.work_id) AS work_id,
     CASE WHEN l.work_id IS NULL THEN 'w' || a.work_id ELSE 'u' END AS source_url, CASE WHEN a.work_id IS NOT NULL AND coalesce(l.status, '') NOT IN ('PROCESSING', 'PUBLISHED') THEN a.title ELSE '{{}}' END AS source_json,
     CASE WHEN a.work_id IS NOT NULL AND coalesce(l.status, '') NOT IN ('PROCESSING', 'PUBLISHED') THEN 'CLAIMED' ELSE l.status END AS status,
     CASE WHEN a.work_id IS NULL OR l.status IN ('PROCESSING', 'PUBLISHED') THEN l.last_error END AS last_error,
@@ -227,9 +227,9 @@ def _preset_delete(spark, sf_dir):
     return S.preset_delete(presets, presets.where("key IN ('Brand#1', 'default')"))
 
 
-@query("ups6_history_add", with_(WORKS) + "SELECT work_id FROM history UNION SELECT work_id FROM works WHERE kind = 'album'")
+@query("ups6_history_add", with_(WORKS) + "SELECT work_id FROM history UNION SELECT work_id FROM works")
 def _history(spark, sf_dir):
-    return S.history_add(history_from_orders(spark, sf_dir), works_from_orders(spark, sf_dir).where("kind = 'album'"))
+    return S.history_add(history_from_orders(spark, sf_dir), works_from_orders(spark, sf_dir))
 
 
 @query("ups7_review_save", """WITH e AS (SELECT l_orderkey AS job_id, min(l_partkey * 1000 + l_suppkey) AS seq FROM lineitem WHERE l_linenumber = 3 GROUP BY 1)
@@ -454,7 +454,9 @@ def zoned(rows):
 
 @query("stm2_claim_stream", CLAIM_SQL)
 def _claim_stream(spark, sf_dir):
-    rows = X.sliced_stream(table(spark, sf_dir, "orders"), "o_orderkey").where("o_orderkey % 600 % 2 = 0").select(
+    # The feed shows a work again half a year later, in another batch.
+    shown = table(spark, sf_dir, "orders").withColumn("shown", F.explode(F.array(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 180))))
+    rows = X.sliced_stream(shown, "shown").select(
         F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").alias("work_id"), F.concat(F.lit("w"), F.col("o_orderkey").cast("string")).alias("source_url"), F.concat(F.lit("work "), F.col("o_orderpriority")).alias("source_json"))
     return X.claim_stream(rows, full_ledger(spark, sf_dir), F.lit(STAMP)).select(*CLAIM_COLUMNS)
 
