@@ -80,7 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 3
     """
     picked = labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").select(
         "doc_id", *[F.col(h).cast("int").alias(h) for h in HEADS]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", known().alias("text")).join(F.broadcast(picked), "doc_id").select(*HEADS, "text")
+    rows = docs.select("doc_id", known().alias("text")).join(F.broadcast(picked), "doc_id")
+    # Rows that share an id are one, so that no more than ``sample`` reach the driver.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", *HEADS)).alias("row")).select(*[f"row.{h}" for h in HEADS], "row.text")
     got = rows.mapInArrow(_vectors, "quality int, toxic int, features array<int>").toArrow()
     weights, bias, base = np.zeros((2, SPACE + 1024)), np.array([20.0, -20.0]), np.array([0.5, 0.5])
     if not got.num_rows:
