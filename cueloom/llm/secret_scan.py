@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,34 @@ PEM = (
 KEY_RULES = (*BASE_RULES, Rule("pem", PEM, 0, 1, 2))
 
 
+SPAN = "struct<start:int,place:int,kind:string,end:int,start_byte:int,end_byte:int>"
+#: Rows of an array that are gone through before what they gave is put aside.
+STRETCH = 512
+
+
+def carried(rows: Column, step: Callable[[Column, Column], tuple[Column, Column, Column, Column]], kind: str) -> Column:
+    """(at, at_byte, found): positions carried along an array, and what ``step(state, row) -> (at, at_byte, keep, item)`` found.
+
+    What is found is appended to a short array, and full ones to an array of arrays, so that the work grows with the
+    number of rows and not with its square.
+    """
+    none, many = (F.expr(f"CAST(array() AS {t})") for t in (f"array<{kind}>", f"array<array<{kind}>>"))
+
+    def inner(state: Column, row: Column) -> Column:
+        at, at_byte, keep, item = step(state, row)
+        return F.struct(at.alias("at"), at_byte.alias("at_byte"), F.when(keep, F.concat(state["found"], F.array(item))).otherwise(state["found"]).alias("found"))
+
+    def outer(state: Column, block: Column) -> Column:
+        return F.aggregate(
+            F.slice(rows, block * STRETCH + 1, F.lit(STRETCH)), F.struct(state["at"].alias("at"), state["at_byte"].alias("at_byte"), none.alias("found")), inner,
+            lambda s: F.struct(s["at"].alias("at"), s["at_byte"].alias("at_byte"), F.concat(state["found"], F.array(s["found"])).alias("found")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / STRETCH).cast("int"))
+    return F.aggregate(
+        blocks, F.struct(F.lit(0).alias("at"), F.lit(0).alias("at_byte"), many.alias("found")), outer,
+        lambda s: F.struct(s["at"].alias("at"), s["at_byte"].alias("at_byte"), F.flatten(s["found"]).alias("found")))
+
+
 def _spans(rule: Rule, place: int) -> Column:
     """The matches of a rule in ``text`` as (start, place of the kind, kind, end), in code points.
 
@@ -48,19 +77,20 @@ def _spans(rule: Rule, place: int) -> Column:
     pattern = rule.pattern.removesuffix("+") + f"{{{rule.least},}}" if rule.kind == "hex" else rule.pattern
     whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all("text", F.lit(pattern), F.lit(rule.measured)) if rule.measured else whole
-    gaps = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
-    rows = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("long"), F.transform(measured, lambda x: F.length(x)).alias("kept"))
-    empty = F.expr("named_struct('at', 0, 'found', CAST(array() AS array<struct<start:int,place:int,kind:string,end:int>>))")
+    size = lambda x: F.struct(F.length(x).alias("chars"), F.octet_length(x).alias("bytes"))
+    rows = F.arrays_zip(
+        F.transform(F.split("text", pattern, -1), size).alias("gap"), F.transform(whole, size).alias("long"), F.transform(measured, lambda x: F.length(x)).alias("kept"))
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + row["gap"]
-        end = start + F.coalesce(row["long"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = F.coalesce(row["kept"] >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+    def step(state: Column, row: Column) -> tuple[Column, Column, Column, Column]:
+        start, start_byte = state["at"] + row["gap"]["chars"], state["at_byte"] + row["gap"]["bytes"]
+        end, end_byte = start + F.coalesce(row["long"]["chars"], F.lit(0)), start_byte + F.coalesce(row["long"]["bytes"], F.lit(0))
+        span = F.struct(
+            start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"),
+            start_byte.alias("start_byte"), end_byte.alias("end_byte"))
+        return end, end_byte, F.coalesce(row["kept"] >= rule.least, F.lit(False)), span
 
-    none = F.expr("CAST(array() AS array<struct<start:int,place:int,kind:string,end:int>>)")
-    return F.when(F.rlike("text", F.lit(pattern)), F.aggregate(rows, empty, step, lambda s: s["found"])).otherwise(none)
+    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
+    return F.when(F.rlike("text", F.lit(pattern)), F.get(F.transform(F.array(rows), lambda once: carried(once, step, SPAN)["found"]), F.lit(0))).otherwise(none)
 
 
 def scan_versions(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -95,7 +125,7 @@ def scan_versions(paths: DataFrame, ledger: DataFrame | None = None, rules: tupl
     current = live.filter(F.struct("kind", "version").isin([F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])) if ledger is not None else live
     found = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     joined = rows.select(path, "blob").join(found, "blob", "left")
-    none = F.expr("CAST(array() AS array<struct<start:int,place:int,kind:string,end:int>>)")
+    none = F.expr("CAST(array() AS array<" + SPAN + ">)")
     return joined.select(path, "blob", F.coalesce("spans", none).alias("spans")), full
 
 
@@ -111,15 +141,17 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = KEY_RULES) -> DataFrame:
     hits = staged(found.filter(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(held)).dropDuplicates([blob]), "secret-hits")
     rows = docs.withColumn(blob, F.unhex(F.sha2(known(), 256))).join(checked(hits, 400), blob, "left")
     # Overlapping spans: the text between is copied from the furthest end reached so far.
-    start = F.expr("named_struct('at', 0, 'out', '')")
-
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        gap = F.substr(F.col("text"), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], gap, F.lit("["), span["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate(held, start, step, lambda s: F.concat(s["out"], F.substr(F.col("text"), s["at"] + 1)))
+    def cut(raw: Column) -> Column:
+        def step(state: Column, span: Column) -> tuple[Column, Column, Column, Column]:
+            at = state["at_byte"]
+            gap = F.substr(raw, at + 1, F.greatest(span["start_byte"] - at, F.lit(0))).cast("string")
+            return F.greatest(state["at"], span["end"]), F.greatest(at, span["end_byte"]), span["start_byte"] >= at, F.concat(gap, F.lit("["), span["kind"], F.lit("]"))
+
+        gone = F.transform(F.array(carried(F.col(held), step, "string")), lambda s: F.concat(
+            F.array_join(s["found"], ""), F.substr(raw, s["at_byte"] + 1, F.octet_length(raw)).cast("string")))
+        return F.get(gone, F.lit(0))
+
+    # As the argument of a function the bytes are made once and not for every span.
+    clean = F.get(F.transform(F.array(F.col("text").cast("binary")), cut), F.lit(0))
     text = F.when(F.col(held).isNotNull(), clean).otherwise(F.col("text"))
     return rows.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
