@@ -126,9 +126,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     last two are those stated. Magic within payloads starts no record; a chain ends at the first broken record of its
     file, and what follows is not returned.
     """
-    pieces = spark.read.option("lineSep", MAGIC).text(path).select(
+    # Where the archives are split depends on the machines there are: pieces are numbered in one reading and kept.
+    pieces = staged(spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("piece"), "value")
+        F.monotonically_increasing_id().alias("piece"), "value"), "warc-values")
     verified = verified_pieces(pieces)
     along = Window.partitionBy("file").orderBy("start")
     owner = F.last(F.when(F.col("on"), F.struct("start", "succ")), ignorenulls=True).over(along)

@@ -51,6 +51,25 @@ def test_archives_come_back(spark, tmp_path, small_splits, per_file):
     assert {r.url for r in got if r.page_id in (1, 2, 3)} == {"http://a/é", "http://b Evil: 1", None}
 
 
+def test_records_do_not_depend_on_splits(spark, tmp_path):
+    """The splits of a reading change between building the table and running it, as they do when executors come or go."""
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = [(i, "u", f"page {i} " + fake * (i % 4) + "x" * (i * 7 % 500)) for i in range(600)]
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    want = sorted((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in pages)
+    try:
+        for before, after in (("100000", "7000"), ("3000", "50000")):
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            records = warc.read_archives(spark, path)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", after)
+            assert sorted((r.page_id, r.payload_digest) for r in records.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_no_pages(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(none, str(tmp_path / "a"))
@@ -84,24 +103,41 @@ def test_shard_query(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_encoder_equals_the_tokenizer():
     rng = np.random.default_rng(0)
     signs = list(" \n\t'sStrevmldL1½é!日  👍")
-    texts = ["", " ", "a  b\n\n c", "it's we'RE 's ''s !'s\t's don'tx", "<|endoftext|>", "x   "] + ["".join(rng.choice(signs, 25)) for _ in range(800)]
+    texts = ["", " ", "a  b\n\n c", "it's we'RE 's ''s !'s\t's don'tx", "a <|endoftext|> b", "x   "] + ["".join(rng.choice(signs, 25)) for _ in range(800)]
     encoder, t = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most=300), tokenizer()
     for i in range(0, len(texts), 90):
         part = texts[i : i + 90]
-        ids, many = encoder.encode("".join(part), np.concatenate([[0], np.cumsum([len(x) for x in part])]))
+        ids, many = encoder.encode(np.frombuffer("".join(part).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(x.encode()) for x in part])]))
         edges = np.concatenate([[0], np.cumsum(many)])
         for k, x in enumerate(part):
             assert ids[edges[k] : edges[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_pieces_are_told_apart_by_their_letters():
+    """Two words whose polynomial hashes modulo 2**64 agree, whatever the base."""
+    turn = [0]
+    while len(turn) < 2048:
+        turn += [1 - x for x in turn]
+    one, other = ("".join("ab"[x ^ flip] for x in turn) for flip in (0, 1))
+    encoder, t = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), tokenizer()
+    for text in (one, other):
+        ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_are_what_the_tokenizer_says(table):
+    text = "a <|endoftext|> b"
+    rows = packing.pack(table([(1, text), (2, "plain")])).collect()
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows}
+    assert got[1] == [*tokenizer().encode(text, add_special_tokens=False).ids, 0] and 50256 in got[1]
+
+
 @pytest.mark.parametrize("bytes_", [1 << 30, 20_000])
 def test_packing_round_trip(table, odd_rows, bytes_):
     got = packing.pack(table(odd_rows), length=64, partition_bytes=bytes_).collect()
@@ -259,6 +295,53 @@ def test_sites_shrink(spark):
     assert got["bad", "a"].quality_path < got["bad", "rare"].quality_path < 1.0 and (None, None) in got
 
 
+def test_scores_equal_plain_arithmetic(spark, table, odd_rows):
+    """Evidence of the fitted model, sites shrunk toward hosts and hosts toward the whole, all in plain Python."""
+    import math
+
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source", "lang", "text")
+    docs = docs.unionByName(table(odd_rows).selectExpr("doc_id + 100000 AS doc_id", "source", "lang", "text"))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows, good, toxic = quality.scored(docs, labels)
+    got = rows.collect()
+    model = quality.fit(docs, labels)
+    logits = model.logits(pa.array([r.text for r in got], pa.string()))
+    chance = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(p / (1 - p))
+    for h, name in enumerate((good, toxic)):
+        evidence = [chance(x) for x in logits[:, h]]
+        sums, hosts = {}, {}
+        for r, p in zip(got, evidence, strict=True):
+            for table_, key in ((sums, (r.source, r.lang)), (hosts, r.source)):
+                n, total = table_.get(key, (0, 0.0))
+                table_[key] = n + 1, total + p
+        n_all = len(got)
+        share = min(max(sum(evidence) / n_all, 1e-4), 1 - 1e-4)
+
+        def strength(sites, share=share):
+            """Method of moments for the size of a beta prior."""
+            spread = sum(n * (s / n - share) ** 2 for n, s in sites)
+            weight = sum(n for n, _ in sites) - sum(n * n for n, _ in sites) / sum(n for n, _ in sites)
+            between = (spread - (len(sites) - 1) * share * (1 - share)) / weight
+            return min(1000.0, max(1.0, share * (1 - share) / between - 1)) if between > 0 else 1000.0
+
+        of_host, of_path = strength(list(hosts.values())), strength(list(sums.values()))
+        for r, x in zip(got, logits[:, h], strict=True):
+            n, total = hosts[r.source]
+            host = (total + of_host * share) / (n + of_host)
+            n, total = sums[r.source, r.lang]
+            path = (total + of_path * host) / (n + of_path)
+            assert r[name] == pytest.approx(chance(x + logit(path) - logit(share)), abs=1e-9)
+
+
+def test_every_document_has_its_scores(spark):
+    rows = queries.QUERIES["op7_site_quality"](spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count() and {r.keep for r in rows} == {True, False}
+    assert all(r.keep == (r.p_quality >= 0.5 and r.p_toxic < 0.5) for r in rows)
+
+
 def test_quality_of_odd_rows(spark, table, odd_rows):
     docs = table(odd_rows)
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
@@ -310,3 +393,28 @@ def test_query_equals_its_sql(spark, name):
 
     ok, said = compare(spark, connect(SMALL), name, queries.QUERIES[name], queries.ORACLE[name], SMALL)
     assert ok, said
+
+
+def test_ranges_of_equal_size(spark, table):
+    """Texts of very different lengths, and many equal ones: no task gets much more than its share, none of the rows is lost."""
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 500, n))
+    rows = [(i, say(int(n))) for i, n in enumerate(rng.integers(1, 2000, 60))] + [(100 + i, "one text for all " * 50) for i in range(120)]
+    got = packing.pack(table(rows), partition_bytes=20_000).collect()
+    ids = {i: sum(r.length for r in got if r.doc_id == i) for i, _ in rows}
+    assert all(ids[r.doc_id] == r.doc_tokens for r in got) and len(ids) == len(rows)
+    parts = Counter()
+    for r in got:
+        parts[r.sequence_id >> 40] += r.length
+    assert len(parts) > 10 and max(parts.values()) < 6 * sum(parts.values()) / len(parts)
+
+
+def test_texts_with_very_many_secrets(spark):
+    """Work grows with the number of matches: 40,000 in one text are found and redacted in seconds."""
+    text = " ".join(f"{i:032x}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text), (2, "plain"), (3, "token=abcdefgh1 " * 1_500)], "doc_id long, text string")
+    found, _ = secret_scan.scan_versions(docs)
+    spans = {r.doc_id: r.spans for r in found.collect()}
+    assert [(s.start, s.end) for s in spans[1]] == [(33 * i, 33 * i + 32) for i in range(40_000)] and spans[2] == [] and len(spans[3]) == 1_500
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert clean[1] == " ".join(["[hex]"] * 40_000) and clean[2] == "plain" and clean[3] == "[assign] " * 1_500
