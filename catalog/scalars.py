@@ -428,6 +428,18 @@ scalar(
     ],
     "o_orderkey, 'k' || o_orderkey || ',tts' AS keys, 'voice' AS \"inner\"",
 )
+@query("map1_public_rows", """SELECT o_orderkey, '{"jobs":[{"id":' || o_orderkey || ',"steps":[{"name":"tts","params":{"voice":"v' || o_orderkey % 3 || '"}}]},{"id":2}],"status":"' || o_orderstatus || '"}' AS shown FROM orders""")
+def _public_rows(spark, sf_dir):
+    """Maps in structs in arrays in structs in arrays, with private keys on every level."""
+    step = F.struct(F.lit("tts").alias("name"), F.lit("x").alias("apiToken"), F.create_map(
+        F.lit("voice"), F.concat(F.lit("v"), (F.col("o_orderkey") % 3).cast("string")), F.lit("API_KEY"), F.lit("k"), F.lit("_seed"), F.lit("1")).alias("params"))
+    jobs = F.array(
+        F.struct(F.col("o_orderkey").alias("id"), F.lit("s").alias("_secret"), F.array(step).alias("steps")),
+        F.struct(F.lit(2).cast("bigint").alias("id"), F.lit("s").alias("_secret"), F.lit(None).cast("array<struct<name:string,apiToken:string,params:map<string,string>>>").alias("steps")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.struct(jobs.alias("jobs"), F.col("o_orderstatus").alias("status"), F.lit("c").alias("sessionCookie")).alias("state"), F.lit("p").alias("password"))
+    return values.public_rows(rows).select("o_orderkey", F.to_json("state").alias("shown"))
+
+
 scalar(
     "hsh1_identity_key", "conversations",
     lambda: [F.col("conv_id"), F.col("turn"), values.identity_key("text", F.lit("en"), "role", "turn").alias("cache_key"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueloom.functions.text import HAN, _col, han_count, strip, words
 
@@ -195,6 +196,31 @@ def public_view_nested(c: Column | str) -> Column:
     return F.transform_values(public_view(c), lambda _k, v: F.map_filter(v, lambda k, _x: is_public_key(k)))
 
 
+def _private(name: str) -> bool:
+    return name.startswith("_") or any(mark in name.lower() for mark in PRIVATE_MARKS)
+
+
+def public_value(c: Column, kind: T.DataType) -> Column:
+    """A value of any type without private keys: of maps, fields of structs, and those inside arrays, at every depth.
+
+    The expression follows the type, so that Spark reads no field that is dropped. NULL stays NULL.
+    """
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: public_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        kept = F.map_filter(c, lambda k, _v: is_public_key(k)) if isinstance(kind.keyType, T.StringType) else c
+        return F.transform_values(kept, lambda _k, v: public_value(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        fields = [f for f in kind.fields if not _private(f.name)]
+        return F.when(c.isNotNull(), F.struct(*[public_value(c[f.name], f.dataType).alias(f.name) for f in fields])) if fields else F.lit(None)
+    return c
+
+
+def public_rows(df: DataFrame) -> DataFrame:
+    """A table without private columns and without private keys inside the others."""
+    return df.select(*[public_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if not _private(f.name)])
+
+
 def identity_key(*parts: Column | str, length: int = 24) -> Column:
     """Content key: the first hex digits of the SHA-256 of a JSON list."""
     listed = F.to_json(F.array(*[F.coalesce(_col(p).cast("string"), F.lit("")) for p in parts]))

@@ -282,3 +282,10 @@ def test_layout_keeps_the_text_and_takes_the_largest_size(spark):
             assert r.f.overflow == (len(r.f.lines) > 4 or r.f.height > height - 8) and (not r.f.overflow or r.f.font_size == 16)
     three = spark.createDataFrame([("a\n\nb c",)], "t string").select(fit_layout("t", F.lit(900), F.lit(170), F.lit(40), F.lit(16)).alias("f")).first().f
     assert three.lines == ["a", "b c"] and three.font_size == 40
+
+
+def test_private_keys_go_at_every_depth(spark):
+    row = {"keep": [{"m": {"a": {"token": 1, "b": 2}, "_x": {"b": 3}}, "password": "p"}, None], "plain": None, "my_api_key": 5}
+    shape = "keep array<struct<m:map<string,map<string,int>>,password:string>>, plain string, my_api_key int"
+    got = values.public_rows(spark.createDataFrame([row], shape)).first().asDict(recursive=True)
+    assert got == {"keep": [{"m": {"a": {"b": 2}}}, None], "plain": None}
