@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ from cueloom.llm.common import known
 
 LENGTH = 1024
 DIMS, DEPTH = 4, 8
+CELLS = 16  # bits of the curve's place by which ranges are cut
+SAMPLE = 2000  # rows per range that are looked at to cut them
+PART = 10_000  # pieces that are handed on at once
 PARTITION_BYTES = 64 << 20  # large enough that most pieces of a task have been seen before
 _U = np.uint64
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -70,11 +74,24 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(batch.column(1)))], ["doc_id", "text", "curve"])
 
 
+def _class(c: str) -> int:
+    return _SPACE if ord(c) in WHITE else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
+
+
+_UNSEEN = 255
+KINDS = np.full(0x110000, _UNSEEN, np.uint8)
+KINDS[:128] = [_class(chr(c)) for c in range(128)]
+
+
 def _classes(points: np.ndarray) -> np.ndarray:
     """Class of each code point: white space, letter, number or other."""
-    seen, place = np.unique(points, return_inverse=True)
-    kinds = [_SPACE if c in WHITE else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _OTHER) for c in seen.tolist()]
-    return np.array(kinds, np.uint8)[place]
+    kinds = KINDS[points]
+    unseen = kinds == _UNSEEN
+    if unseen.any():
+        for c in np.unique(points[unseen]).tolist():
+            KINDS[c] = _class(chr(c))
+        kinds = KINDS[points]
+    return kinds
 
 
 def pretokens(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -86,7 +103,7 @@ def pretokens(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _classes(points) if points.max() > 127 else ASCII[points]
+    kind = _classes(points)
     first = np.zeros(n + 1, bool)
     first[edges[edges < n]] = True
     first[n] = True
@@ -113,62 +130,68 @@ def pretokens(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-ASCII = np.array([_SPACE if c in WHITE else _LETTER if chr(c).isalpha() else _NUMBER if chr(c).isdigit() else _OTHER for c in range(128)], np.uint8)
-
-
 class Encoder:
-    """Token ids of texts. The tokenizer sees each distinct piece once; ids of pieces are kept, newest first, up to ``most``."""
+    """Token ids of texts. The tokenizer sees each distinct piece once; the ids of up to ``most`` pieces are kept."""
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings that the tokenizer takes for one token wherever they stand, so that pieces don't tell a text's ids.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool, self.begin, self.used = np.zeros(1 << 20, np.uint16), [0], 0
+        self.place: dict[bytes, int] = {}
+        self.pool, self.begin = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, hashes: list[int], pieces: list[str]) -> None:
-        if len(self.place) + len(pieces) > self.most:
-            self._clear()
+    def _learn(self, pieces: list[bytes]) -> None:
         for i in range(0, len(pieces), 5000):
-            part = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False)]
-            flat = np.fromiter((x for ids in part for x in ids), np.uint16)
-            while self.used + len(flat) > len(self.pool):
+            some = pieces[i : i + 5000]
+            part = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            n = len(self.place)
+            ends = self.begin[n] + np.cumsum([len(ids) for ids in part])
+            while ends[-1] > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            for h, ids in zip(hashes[i : i + 5000], part, strict=True):
-                self.place[h] = len(self.begin) - 1
-                self.begin.append(self.begin[-1] + len(ids))
-            self.used += len(flat)
-
-    def encode(self, text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text) of texts one after the other; ``edges`` are their starts and the end, in code points."""
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        starts = pretokens(points, edges[:-1])
-        ends = np.append(starts[1:], len(points))
-        hashes, first, place = np.unique(tokens.span_hash(tokens.mix(points.astype(_U) + _U(1)), starts, ends), return_index=True, return_inverse=True)
-        names = hashes.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.place]
+            while n + len(some) >= len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+            self.pool[self.begin[n] : ends[-1]] = np.fromiter(chain.from_iterable(part), np.uint32)
+            self.begin[n + 1 : n + 1 + len(some)] = ends
+            self.place.update(zip(some, range(n, n + len(some)), strict=True))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of texts one after the other: their bytes, and where each begins and the last ends."""
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            texts = [raw[b:e].decode() for b, e in zip(offsets, offsets[1:], strict=False)]
+            each = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(ids) for ids in each], np.int64)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        starts = heads[pretokens(points, np.searchsorted(heads, offsets[:-1]))]
+        edges = np.append(starts, len(data))
+        # Pieces are told apart by their bytes.
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        names, which = pieces.dictionary.to_pylist(), pieces.indices.to_numpy(zero_copy_only=False)
+        new = [p for p in names if p not in self.place]
         if len(self.place) + len(new) > self.most:
             self._clear()
-            new = range(len(names))
-        self._learn([names[i] for i in new], [text[starts[first[i]] : ends[first[i]]] for i in new])
-        at = np.fromiter((self.place[h] for h in names), np.int64, len(names))
-        begin = np.array(self.begin, np.int64)
-        low, many = begin[at], begin[at + 1] - begin[at]
-        long = many[place]
+            new = names
+        self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        low = self.begin[at]
+        many = self.begin[at + 1] - low
+        long = many[which]
         upto = np.cumsum(long)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.pool[np.repeat(low[place] - upto + long, long) + np.arange(total)]
+        ids = self.pool[np.repeat(low[which] - upto + long, long) + np.arange(upto[-1])]
         until = np.concatenate([[0], upto])
-        return ids, np.diff(until[np.searchsorted(starts, edges)])
+        return ids, np.diff(until[np.searchsorted(starts, offsets)])
 
 
 def _packer(path: str, length: int):
@@ -179,8 +202,7 @@ def _packer(path: str, length: int):
             column = batch.column(1)
             for row, data, offsets in tokens.text_chunks(column):
                 n = len(offsets) - 1
-                heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                ids, own = encoder.encode(data.tobytes().decode(), heads[offsets])
+                ids, own = encoder.encode(data, offsets)
                 # Every text ends in id 0.
                 upto = np.cumsum(own + 1)
                 stream = np.zeros(int(upto[-1]), np.uint32)
@@ -193,13 +215,16 @@ def _packer(path: str, length: int):
                 ends = np.append(starts[1:], len(stream))
                 doc = np.searchsorted(doc_start, starts, "right") - 1
                 at = place + starts
-                # Arrow's offsets of binary values count bytes.
-                pieces = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(stream)).astype(np.int64) * 4), pa.py_buffer(stream.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, n).take(pa.array(doc)), pa.array(starts - doc_start[doc]), pa.array(ends - starts), pieces.cast(pa.binary()),
-                     pa.array(own[doc] + 1), pa.array((at // length) + (part << 40)), pa.array(at % length)],
-                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                # Arrow's offsets of binary values count bytes, in 32 bits: long texts go out in parts.
+                for low in range(0, len(starts), PART):
+                    some = slice(low, low + PART)
+                    head = starts[low]
+                    pieces = pa.BinaryArray.from_buffers(
+                        pa.binary(), len(starts[some]), [None, pa.py_buffer(((np.append(starts[some], ends[some][-1]) - head) * 4).astype(np.int32)), pa.py_buffer(stream[head : ends[some][-1]].astype("<u4"))])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(row, n).take(pa.array(doc[some])), pa.array(starts[some] - doc_start[doc[some]]), pa.array(ends[some] - starts[some]), pieces,
+                         pa.array(own[doc[some]] + 1), pa.array((at[some] // length) + (part << 40)), pa.array(at[some] % length)],
+                        ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
                 place += len(stream)
 
     return run
@@ -208,9 +233,10 @@ def _packer(path: str, length: int):
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, partition_bytes: int = PARTITION_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All texts, each ended by id 0, cut into sequences of ``length`` ids along a Hilbert curve of document vectors.
 
-    Document vectors are votes of hashed words in a few dimensions. Rows are dealt and sorted by ranges of their place
-    on the curve, ties by id, so that equal texts can go to several tasks; each task fills sequence after sequence, and
-    only its last one is padded. A task reads ``partition_bytes`` of text about.
+    Document vectors are votes of hashed words in a few dimensions. Rows are dealt by ranges of their place on the
+    curve, which hold ``partition_bytes`` of text about, and sorted by (place, id); where more text has one place, as
+    with many equal texts, it is dealt further by ids. Each task fills sequence after sequence, and only its last one is
+    padded.
 
     Returns a row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset. Null and empty texts are the one id 0; null ids and repeated rows are packed like others; an empty table
@@ -222,12 +248,25 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, pa
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), known(text).alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(n_bytes / partition_bytes))
-    placed = rows.mapInArrow(_keyed, "doc_id long, text string, curve long")
-    if parts == 1:
-        dealt = placed.coalesce(1)
-    else:
-        dealt = placed.repartitionByRange(parts, "curve", "doc_id")
+    keyed = lambda some: some.mapInArrow(_keyed, "doc_id long, text string, curve long").withColumn(
+        "cell", F.shiftright("curve", DIMS * DEPTH - CELLS).cast("int"))
+    # Ranges of about equal size in bytes; a sample tells where they end, which decides nothing but the size of tasks. A
+    # cell that is too large is split by ids.
+    n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text") + F.lit(1))).first()
+    share = min(1.0, SAMPLE * math.ceil((n_bytes or 0) / partition_bytes) / max(1, n_rows))
+    seen = keyed(rows if share == 1.0 else rows.sample(share, seed=5)).groupBy("cell").agg(F.sum(F.octet_length("text") + F.lit(1)).alias("size"))
+    sizes = {r["cell"]: r["size"] / share for r in seen.collect()}
+    cuts, part, filled = [], 0, 0.0
+    for cell in range(1 << CELLS):
+        size = sizes.get(cell, 0.0)
+        if filled and filled + size > partition_bytes:
+            part, filled = part + 1, 0.0
+        many = max(1, math.ceil(size / partition_bytes))
+        cuts.append((cell, part, many))
+        part, filled = part + many - 1, filled + size if many == 1 else float(partition_bytes)
+    placed = keyed(rows)
+    spark = docs.sparkSession
+    range_of = spark.createDataFrame(cuts, "cell int, first int, many int")
+    dealt = placed.join(F.broadcast(range_of), "cell").withColumn("part", F.expr("first + CAST(pmod(xxhash64(doc_id), many) AS INT)")).repartitionById(part + 1, "part")
     return dealt.sortWithinPartitions("curve", "doc_id").select("doc_id", "text").mapInArrow(
         _packer(tokenizer, length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
