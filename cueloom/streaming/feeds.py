@@ -17,7 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cueloom.functions.values import LEAST_BACKOFF_S, MOST_BACKOFF_S
 from cueloom.operators.cues import KEY
-from cueloom.operators.state import MAX_DELIVERY_ATTEMPTS, MAX_DELIVERY_BYTES, job_upsert, ledger_claim, ledger_mark
+from cueloom.operators.scan import null_safe_join
+from cueloom.operators.state import MAX_DELIVERY_ATTEMPTS, MAX_DELIVERY_BYTES, WORK_KEY, job_upsert, ledger_claim, ledger_mark
 from cueloom.session import shared_dir
 from cueloom.sources.readers import decode_messages
 from cueloom.sources.sinks import committed_versions
@@ -127,6 +128,59 @@ def fold_batches(
     return spark.read.schema(start.schema).parquet(_state_path(base, _last(spark, base)))
 
 
+# A full version after so many batches; those between hold what the batches changed.
+COMPACT = 10
+STATE_BUCKETS = 64
+
+
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _state_at(spark: SparkSession, base: str, shape: T.StructType, keys: list[str], version: int, compact: int, buckets: list[int] | None = None) -> DataFrame:
+    """The state after a version: of every key the row of the latest of the last full version and its changes."""
+    rows = None
+    for v in range(version - version % compact, version + 1):
+        part = spark.read.schema(T.StructType([*shape.fields, T.StructField("_bucket", T.IntegerType())])).parquet(_state_path(base, v))
+        part = (part.where(F.col("_bucket").isin(buckets)) if buckets is not None else part).withColumn("_v", F.lit(v))
+        rows = part if rows is None else rows.unionByName(part)
+    names = [f.name for f in shape.fields]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "_v").alias("_row"))
+    return latest.select(*[F.col(n) if n in keys else F.col(f"_row.{n}").alias(n) for n in names])
+
+
+def fold_keyed(
+    stream: DataFrame, name: str, start: DataFrame, keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame],
+    base: str | None = None, compact: int = COMPACT,
+) -> DataFrame:
+    """Fold micro-batches into a state of which a batch changes its own keys only: ``step(state, batch) -> state``.
+
+    ``step`` gets the rows of the batch's keys and returns theirs. A batch reads the buckets of its keys and writes the
+    rows that it made, as a version named after the batch, so that what is written follows the batch; every ``compact``
+    batches a version holds all rows. A batch run again after a failure writes the same version. With a ``base`` of the
+    caller a later start goes on where the last one stopped.
+    """
+    spark = stream.sparkSession
+    base = base or run_folder(spark, name)
+    shape = start.schema
+    if not committed_versions(spark, f"{base}/state"):
+        start.withColumn("_bucket", _bucket(keys)).write.mode("overwrite").partitionBy("_bucket").parquet(_state_path(base, 0))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        asked = batch.select(*keys).distinct()
+        touched = [r[0] for r in asked.select(_bucket(keys).alias("b")).distinct().collect()]
+        old = _state_at(session, base, shape, keys, batch_id, compact, touched)
+        new = step(null_safe_join(old, asked, keys, "left_semi"), batch).select(*start.columns)
+        if (batch_id + 1) % compact == 0:
+            rest = _state_at(session, base, shape, keys, batch_id, compact)
+            new = null_safe_join(rest, asked, keys, "left_anti").unionByName(new)
+        new.withColumn("_bucket", _bucket(keys)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(_state_path(base, batch_id + 1))
+
+    each_batch(stream, name, handle, base)
+    return _state_at(spark, base, shape, keys, _last(spark, base), compact)
+
+
 # ------------------------------------------------------------------------------ works
 
 
@@ -145,11 +199,11 @@ def monitor_stream(works: DataFrame, now: Column | int, hours: int = 72) -> Data
 
 def claim_stream(works: DataFrame, ledger: DataFrame, now: Column, base: str | None = None) -> DataFrame:
     """Claim the works of every batch in the ledger; a work is claimed once whatever is retried."""
-    return fold_batches(works, "claims", ledger, lambda state, batch, _id: ledger_claim(state, batch, now), base)
+    return fold_keyed(works, "claims", ledger, WORK_KEY, lambda state, batch: ledger_claim(state, batch, now), base)
 
 
 def mark_stream(marks: DataFrame, ledger: DataFrame, now: Column, base: str | None = None) -> DataFrame:
-    return fold_batches(marks, "marks", ledger, lambda state, batch, _id: ledger_mark(state, batch, now), base)
+    return fold_keyed(marks, "marks", ledger, WORK_KEY, lambda state, batch: ledger_mark(state, batch, now), base)
 
 
 # ---------------------------------------------------------------------------- windows
@@ -249,7 +303,7 @@ def run_confirm_stream(frames: DataFrame, frame_ms: int = 40, base: str | None =
 
 def job_state_stream(log: DataFrame, data: list[str], order: list[str], start: DataFrame, base: str | None = None) -> DataFrame:
     """Latest snapshot per job with its sticky cancel, folded batch by batch."""
-    return fold_batches(log, "jobs", start, lambda state, batch, _id: job_upsert(state, batch, data, order), base)
+    return fold_keyed(log, "jobs", start, ["job_id"], lambda state, batch: job_upsert(state, batch, data, order), base)
 
 
 def message_stream(frames: DataFrame) -> DataFrame:

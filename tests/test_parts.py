@@ -166,3 +166,29 @@ def test_a_session_ends_by_its_timer_whatever_the_batches(spark, tmp_path):
             arrivals(spark, path, part, "append")
         stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
         assert sorted(tuple(r) for r in X.chunk_arrivals(stream).collect()) == want
+
+
+def test_keyed_state_writes_what_a_batch_changes(spark, tmp_path):
+    """Keys that meet several batches, a stop, full versions between: the state of all batches, and small versions for small batches."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "state")
+    start = spark.range(5_000).select(F.col("id").alias("k"), F.lit(100).cast("bigint").alias("n"), F.lit("x" * 50).alias("pad"))
+    batches = [[1, 2, 2], [2, 7], [9_000, None, 2], [1], [9_000, None]]
+
+    def add(state, batch):
+        fresh = batch.groupBy("k").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("k", "j")
+        return state.join(fresh, F.col("k").eqNullSafe(F.col("j")), "full_outer").select(
+            F.coalesce("k", "j").alias("k"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce("pad", F.lit("new")).alias("pad"))
+
+    def run():
+        stream = spark.readStream.schema("k bigint").option("maxFilesPerTrigger", 1).parquet(path)
+        return {r.k: r.n for r in X.fold_keyed(stream, "t", start, ["k"], add, base, compact=3).collect()}
+
+    want = dict.fromkeys(range(5_000), 100)
+    for i, batch in enumerate(batches):
+        spark.createDataFrame([(k,) for k in batch], "k bigint").coalesce(1).write.mode("append").parquet(path)
+        for k in batch:
+            want[k] = want.get(k, 0) + 1
+        if i in (1, 4):
+            assert run() == want
+    rows = [spark.read.parquet(f"{base}/state/v={v:08d}").count() for v in range(6)]
+    assert rows == [5_000, 2, 2, 5_002, 1, 2]
