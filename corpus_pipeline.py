@@ -16,28 +16,48 @@ from cueloom.llm.common import load, staged
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Low-quality and toxic documents go."""
+    """Low-quality and toxic documents go (``quality.keepers``).
+
+    Rows with null or empty texts, null ids and repeated rows are scored like others; all columns stay; without labels
+    every document stays; an empty table stays empty.
+    """
     return quality.keepers(docs, load(spark, sf_dir, "labels"))
 
 
 def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one document stays."""
+    """Of every group of near copies (five-word shingles, Jaccard similarity 0.8 or more) one document stays (``jaccard.one_of_each``).
+
+    Null, empty and blank texts are nobody's copies and stay; of rows repeated whole one stays; all columns stay; an
+    empty table stays empty.
+    """
     return jaccard.one_of_each(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go (``decontaminate.without_leaks``).
+
+    Rows are judged by their texts, also those with null or shared ids; null and empty texts stay; all columns stay; an
+    empty table or benchmark changes nothing.
+    """
     return decontaminate.without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by their kind; all documents stay."""
+    """Secrets in texts are replaced by their kind; all documents stay (``secret_scan.redacted``).
+
+    ``n_chars`` is that of the new text, null where the text is null. Equal texts come out alike; all columns stay; an
+    empty table stays empty.
+    """
     clean = secret_scan.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids as pieces of sequences."""
+    """The documents' token ids as pieces of sequences (``packing.pack``).
+
+    Null and empty texts are the one id that ends a document; null ids and repeated rows are packed like others; an
+    empty table gives no rows.
+    """
     return packing.pack(docs)
 
 

@@ -341,7 +341,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radi
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose texts hold no benchmark item; rows without an id are judged by their text as well."""
+    """The rows whose texts hold no benchmark item, with all their columns, whatever their names.
+
+    Every row is judged by its own text, as ``find_leaks`` does it: rows without an id or with a shared one as well,
+    equal texts alike. Null, empty and blank texts hold nothing and stay, repeated rows stay or go together, texts of
+    any length are searched as a whole, an empty table stays empty.
+    """
     key = unused(docs, "text_key")
     keyed = docs.withColumn(key, F.xxhash64(known()))
     named = keyed.select(F.col(key).alias("doc_id"), "text")

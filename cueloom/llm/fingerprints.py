@@ -109,7 +109,12 @@ def fingerprint_texts(texts: list[str]) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """The table with a column of fingerprints: 64 values of four hexadecimal digits. Null texts count as empty."""
+    """The table with a column ``name`` of fingerprints: 64 values of four hexadecimal digits.
+
+    All rows and columns stay; a column that has this name already is replaced. Null texts count as empty, and empty
+    texts have the fingerprint of zeros; equal texts and repeated rows have equal ones; texts of any length are parsed
+    as a whole; an empty table stays empty. Ids are not read.
+    """
 
     def run(batches):
         for batch in batches:

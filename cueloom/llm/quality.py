@@ -210,6 +210,11 @@ def scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def keepers(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows whose chance of being good is ``least`` or more and whose chance of being toxic is below it."""
+    """The rows whose chance of being good is ``least`` or more and whose chance of being toxic is below it.
+
+    Chances are those of ``scored``. All columns stay, whatever their names. Rows without an id, with a null or empty
+    text, and repeated rows are judged by themselves and their site like others; without labels every row stays; texts
+    of any length are read as a whole; an empty table stays empty.
+    """
     rows, good, toxic = scored(docs, labels, **options)
     return rows.filter((F.col(good) >= least) & (F.col(toxic) < least)).select(*[F.col(f"`{c}`") for c in docs.columns])

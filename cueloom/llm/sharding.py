@@ -57,5 +57,10 @@ def shuffle_into_shards(
 
 
 def write_shards(records: DataFrame, path: str) -> None:
-    """One folder per shard; the slot column keeps the order within it."""
-    records.select("doc_id", "text", "slot", "shard").write.partitionBy("shard").parquet(path)
+    """One folder per shard, its rows written in the order of their slots, with doc_id, text and slot.
+
+    Null ids and texts, ties and repeated rows are written like others; an empty table gives no folders. A shard's rows
+    lie in as many files as tasks have some of them, each a run of the order.
+    """
+    dealt = records.select("doc_id", "text", "slot", "shard").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").parquet(path)
