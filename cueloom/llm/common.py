@@ -14,7 +14,21 @@ from cueloom.session import shared_dir
 BROADCAST_BYTES = 16 << 20
 
 
+#: Rows that go to a Python worker at once. They carry whole texts, so that Spark's 10,000 would be too much memory for
+#: long ones on both sides.
+BATCH_ROWS = 1_000
+
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _modest(spark: SparkSession) -> None:
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,18 +41,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and go on from there, so that lost executors cost only their tasks.
 
-    What led to the table isn't needed any more once it is written: its shuffle files are removed with the write.
+    What led to the table isn't needed any more once it is written: its shuffle files are removed with the write. Where
+    rows that go to Python are large, ``batch_rows`` of them go at once.
     """
     spark = df.sparkSession
+    _modest(spark)
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
+    before, rows = spark.conf.get(CLEANUP, None), spark.conf.get(ARROW_ROWS)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(ARROW_ROWS, str(batch_rows or rows))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
+        spark.conf.set(ARROW_ROWS, rows)
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -312,7 +312,9 @@ def link_components(
         "jaccard-blocks")
     wide = meet.join(bodies, ["cluster", "block"]).join(
         bodies.select("cluster", F.col("block").alias("other"), F.col("body").alias("body2")), ["cluster", "other"]).select("body", "body2")
-    more = staged(verified(wide.mapInArrow(_comparer(part, whole), "a long, b long").distinct()), "jaccard-links")
+    # A row holds two whole blocks, so only a few of them go to Python at once.
+    close = staged(wide.mapInArrow(_comparer(part, whole), "a long, b long").distinct(), "jaccard-close", batch_rows=4)
+    more = staged(verified(close), "jaccard-links")
     if not more.isEmpty():
         labels = staged(components(links.union(more)), "jaccard-labels")
     return member.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
