@@ -108,6 +108,17 @@ def _last(spark: SparkSession, base: str) -> int:
     return max(committed_versions(spark, f"{base}/state"))
 
 
+def _clock(spark: SparkSession, base: str, version: int) -> int | None:
+    """How far time had come with a version; null before the first one."""
+    if not version:
+        return None
+    return spark.read.schema("at bigint").parquet(f"{base}/clock/v={version:08d}").first()[0]
+
+
+def _set_clock(spark: SparkSession, base: str, version: int, at: int | None) -> None:
+    spark.createDataFrame([(at,)], "at bigint").coalesce(1).write.mode("overwrite").parquet(f"{base}/clock/v={version:08d}")
+
+
 def fold_batches(
     stream: DataFrame, name: str, start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], base: str | None = None,
 ) -> DataFrame:
@@ -411,79 +422,72 @@ def chunk_arrivals(chunks: DataFrame, base: str | None = None, ttl_s: int = UPLO
 JOB_STATE = "delivery_status string, delivery_path string, attempts int, next_attempt bigint"
 
 
-class Deliveries(StatefulProcessor):
-    """A delivery job with a timer for its next attempt, which is set again while attempts fail."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", f"{JOB_STATE}, size bigint, sent_from int")
-
-    def handleInitialState(self, key, initialState, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        row = [None if pd.isna(v) else v for v in initialState[["delivery_status", "delivery_path", "attempts", "next_attempt", "size", "sent_from"]].iloc[0]]
-        status, path, attempts, due, size, sent_from = row
-        attempts, due = int(attempts or 0), int(due or 0)
-        self.job.update((status, path, attempts, due, None if size is None else int(size), None if sent_from is None else int(sent_from)))
-        if status == "pending":
-            self.handle.registerTimer(due * 1000)
+def _tried(rows: DataFrame, now: int) -> DataFrame:
+    """Jobs after all attempts that are due by ``now``, each made at its own time."""
+    unfit = F.col("size").isNull() | (F.col("size") > MAX_DELIVERY_BYTES)
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        """The clock's own rows: they only carry time on."""
-        import pandas as pd
+    def attempt(job: Column, _no: Column) -> Column:
+        due = (job["status"] == "pending") & (job["due"] <= now)
+        stuck = unfit | (job["attempts"] >= MAX_DELIVERY_ATTEMPTS)
+        sent = F.coalesce(job["attempts"] >= F.col("sent_from"), F.lit(False))
+        delay = F.call_function("shiftleft", F.lit(LEAST_BACKOFF_S).cast("bigint"), F.least(job["attempts"], F.lit(10)))
+        return F.struct(
+            F.when(due & stuck, "manual_required").when(due & sent, "delivered").otherwise(job["status"]).alias("status"),
+            F.when(due & ~stuck, job["attempts"] + 1).otherwise(job["attempts"]).alias("attempts"),
+            F.when(due & ~stuck, job["due"] + F.least(F.lit(MOST_BACKOFF_S).cast("bigint"), delay)).otherwise(job["due"]).alias("due"),
+        )
 
-        for _ in rows:
-            pass
-        yield pd.DataFrame([], columns=["job_id", "delivery_status", "attempts", "at"])
+    # One step more than there are attempts left, since the last one leaves the job to a person.
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(MAX_DELIVERY_ATTEMPTS) - F.col("attempts"), F.lit(0)))
+    start = F.struct(F.col("delivery_status").alias("status"), F.col("attempts").alias("attempts"), F.col("next_attempt").alias("due"))
+    after = rows.withColumn("_job", F.aggregate(steps, start, attempt))
+    told = {"delivery_status": "status", "attempts": "attempts", "next_attempt": "due"}
+    return after.select(*[F.col(f"_job.{told[c]}").alias(c) if c in told else F.col(c) for c in rows.columns])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        import pandas as pd
 
-        status, path, attempts, due, size, sent_from = self.job.get()
-        told = []
-        # Time may have passed several attempts at once: each is made at its own time.
-        while status == "pending" and due * 1000 <= timerValues.getCurrentWatermarkInMs():
-            at = due
-            if size is None or size > MAX_DELIVERY_BYTES or attempts >= MAX_DELIVERY_ATTEMPTS:
-                status = "manual_required"
-            else:
-                if sent_from is not None and attempts >= sent_from:
-                    status = "delivered"
-                due = at + min(MOST_BACKOFF_S, LEAST_BACKOFF_S << min(attempts, 10))
-                attempts += 1
-            told.append((key[0], status, attempts, at))
-        self.job.update((status, path, attempts, due, size, sent_from))
-        if status == "pending":
-            self.handle.registerTimer(due * 1000)
-        yield pd.DataFrame(told, columns=["job_id", "delivery_status", "attempts", "at"])
+def _not_yet(now: int | None) -> Column:
+    """Rows of a version that no later one has replaced by ``now``: ended jobs, and those due later."""
+    waits = F.lit(True) if now is None else F.col("next_attempt") > now
+    return ~F.col("delivery_status").eqNullSafe("pending") | waits
 
 
 def delivery_timer(ticks: DataFrame, jobs: DataFrame, results: DataFrame, files: DataFrame, base: str | None = None) -> DataFrame:
     """Delivery jobs after the time that a clock stream (``now``, seconds) tells has passed.
 
-    ``results`` is ``(job_id, sent_from)``: how many attempts fail before one is sent, null if none is. Every job has a
-    timer: due jobs are tried, failed ones again after a back-off that doubles, and after five attempts, or where the
-    file is missing or too large, they are left to a person. A tick touches the jobs that are due by then and no others.
-    The jobs are the first state of a new ``base`` folder; a later start with it goes on where the last one stopped.
-    Times are of the stream; ticks that run back change nothing.
+    ``results`` is ``(job_id, sent_from)``: how many attempts fail before one is sent, null if none is. Due jobs are
+    tried, failed ones again after a back-off that doubles, and after five attempts, or where the file is missing or too
+    large, they are left to a person. The jobs are the first version of a new ``base`` folder; a later start with it goes
+    on where the last one stopped. A tick reads the jobs that fell due since the one before it and writes these as the
+    next version, so a pending row that is due is always the job's latest. Every ``COMPACT`` ticks a version holds all
+    jobs. Times are of the stream; ticks that run back change nothing.
     """
     spark = ticks.sparkSession
     base = base or run_folder(spark, "delivery")
-    sized = files.groupBy(F.col("path").alias("delivery_path")).agg(F.max("size").alias("size"))
-    first = jobs.join(sized, "delivery_path", "left").join(results.select("job_id", F.col("sent_from").cast("int").alias("sent_from")), "job_id", "left").select(
-        "job_id", "delivery_status", "delivery_path", F.col("attempts").cast("int").alias("attempts"), F.col("next_attempt").cast("bigint").alias("next_attempt"), "size", "sent_from")
-    clock = ticks.select(F.lit(None).cast(first.schema["job_id"].dataType).alias("job_id"), F.timestamp_seconds("now").alias("at")).withWatermark("at", "0 seconds")
-    kind = first.schema["job_id"].dataType.simpleString()
-    log = f"job_id {kind}, delivery_status string, attempts int, at bigint"
-    with state_store(spark):
-        tried = clock.groupBy("job_id").transformWithStateInPandas(
-            Deliveries(), outputStructType=log, outputMode="Append", timeMode="EventTime", initialState=first.groupBy("job_id"))
-        query = (
-            tried.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True).start(f"{base}/attempts")
-        )
-        query.awaitTermination()
-    if not _started(spark, base):
+    if not committed_versions(spark, f"{base}/state"):
+        sized = files.groupBy(F.col("path").alias("delivery_path")).agg(F.max("size").alias("size"))
+        sent = results.groupBy("job_id").agg(F.max(F.col("sent_from").cast("int")).alias("sent_from"))
+        first = jobs.dropDuplicates(["job_id"]).join(sized, "delivery_path", "left").join(sent, "job_id", "left")
+        first.select(
+            "job_id", "delivery_status", "delivery_path", F.coalesce(F.col("attempts").cast("int"), F.lit(0)).alias("attempts"),
+            F.coalesce(F.col("next_attempt").cast("bigint"), F.lit(0)).alias("next_attempt"), F.col("size").cast("bigint").alias("size"), "sent_from",
+        ).write.mode("overwrite").parquet(_state_path(base, 0))
+    shape = T.StructType([jobs.schema["job_id"], *T.StructType.fromDDL(f"{JOB_STATE}, size bigint, sent_from int").fields])
+
+    def versions(session: SparkSession, last: int) -> DataFrame:
+        return session.read.schema(shape).parquet(*[_state_path(base, v) for v in range(last - last % COMPACT, last + 1)])
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = _clock(session, base, batch_id)
+        now = max((t for t in (before, batch.agg(F.max(F.col("now").cast("bigint"))).first()[0]) if t is not None), default=None)
+        rows = versions(session, batch_id).where(_not_yet(before))
+        if (batch_id + 1) % COMPACT:
+            rows = rows.where(~_not_yet(now))
+        (rows if now is None else _tried(rows, now)).write.mode("overwrite").parquet(_state_path(base, batch_id + 1))
+        _set_clock(session, base, batch_id + 1, now)
+
+    each_batch(ticks, "delivery", handle, base)
+    last = _last(spark, base)
+    if not last:
         return jobs.select("job_id", *[f.name for f in T.StructType.fromDDL(JOB_STATE)])
-    state = spark.read.format("statestore").option("stateVarName", "job").load(f"{base}/checkpoint")
-    return state.select("key.job_id", *[F.col(f"value.{f.name}").alias(f.name) for f in T.StructType.fromDDL(JOB_STATE)])
+    return versions(spark, last).where(_not_yet(_clock(spark, base, last))).select("job_id", *[f.name for f in T.StructType.fromDDL(JOB_STATE)])

@@ -192,3 +192,20 @@ def test_keyed_state_writes_what_a_batch_changes(spark, tmp_path):
             assert run() == want
     rows = [spark.read.parquet(f"{base}/state/v={v:08d}").count() for v in range(6)]
     assert rows == [5_000, 2, 2, 5_002, 1, 2]
+
+
+def test_deliveries_need_no_call_per_job(spark, tmp_path):
+    """Many jobs, more ticks than a full version is apart and a tick without a time: each tick writes the jobs that fell due."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "state")
+    n = 20_000
+    jobs = spark.range(n).select(
+        F.col("id").alias("job_id"), F.lit("pending").alias("delivery_status"), F.lit("a").alias("delivery_path"), F.lit(0).alias("attempts"), (F.col("id") * 10).alias("next_attempt"))
+    results = spark.range(n).select(F.col("id").alias("job_id"), F.when(F.col("id") % 2 == 0, 0).alias("sent_from"))
+    files = spark.createDataFrame([("a", 10)], "path string, size int")
+    for t in (5, 25, None, *range(45, 245, 20)):
+        spark.createDataFrame([(t,)], "now bigint").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("now bigint").option("maxFilesPerTrigger", 1).parquet(path)
+    got = X.delivery_timer(stream, jobs, results, files, base)
+    assert got.count() == n and got.groupBy("delivery_status", "attempts").count().where("attempts > 0").sort("delivery_status").collect() == [("delivered", 1, 12), ("pending", 1, 11)]
+    sizes = [spark.read.parquet(f"{base}/state/v={v:08d}").count() for v in range(14)]
+    assert sizes == [n, 1, 2, 0, *[2] * 6, n, 2, 2, 2]
