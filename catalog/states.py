@@ -533,7 +533,8 @@ def _message_stream(spark, sf_dir):
     SELECT session_id, received, CASE WHEN received = 3 THEN 'complete' ELSE 'expired' END AS event FROM k, m WHERE received = 3 OR now > since + INTERVAL 45 DAY""")
 def _arrivals(spark, sf_dir):
     """Slices of time, so that most sessions have receipts in several batches."""
-    rows = X.sliced_stream(zoned(table(spark, sf_dir, "lineitem")), "l_shipdate", slices=4).select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    rows = X.sliced_stream(zoned(lines), "l_shipdate", slices=4).select(
         F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") + F.col("l_partkey") % 4 - 1).alias("chunk_index"), F.lit(3).cast("bigint").alias("total_chunks"), F.col("l_shipdate").alias("ts"))
     return X.chunk_arrivals(rows, ttl_s=45 * 86_400, mark_ttl_s=10_000 * 86_400)
 

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,7 +19,7 @@ from cueloom.functions.values import LEAST_BACKOFF_S, MOST_BACKOFF_S
 from cueloom.operators.cues import KEY
 from cueloom.operators.scan import null_safe_join
 from cueloom.operators.state import MAX_DELIVERY_ATTEMPTS, MAX_DELIVERY_BYTES, WORK_KEY, job_upsert, ledger_claim, ledger_mark
-from cueloom.session import shared_dir
+from cueloom.session import checkpointed, shared_dir
 from cueloom.sources.readers import decode_messages
 from cueloom.sources.sinks import committed_versions
 
@@ -148,12 +148,16 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(STATE_BUCKETS)).cast("int")
 
 
-def _state_at(spark: SparkSession, base: str, shape: T.StructType, keys: list[str], version: int, compact: int, buckets: list[int] | None = None) -> DataFrame:
-    """The state after a version: of every key the row of the latest of the last full version and its changes."""
+def _state_at(spark: SparkSession, base: str, shape: T.StructType, keys: list[str], version: int, compact: int, buckets: list[int] | None = None, only: Column | None = None) -> DataFrame:
+    """The state after a version: of every key the row of the latest of the last full version and its changes.
+
+    ``only`` picks rows by columns that a key's row keeps in all versions.
+    """
     rows = None
     for v in range(version - version % compact, version + 1):
         part = spark.read.schema(T.StructType([*shape.fields, T.StructField("_bucket", T.IntegerType())])).parquet(_state_path(base, v))
         part = (part.where(F.col("_bucket").isin(buckets)) if buckets is not None else part).withColumn("_v", F.lit(v))
+        part = part if only is None else part.where(only)
         rows = part if rows is None else rows.unionByName(part)
     names = [f.name for f in shape.fields]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[n for n in names if n not in keys]), "_v").alias("_row"))
@@ -331,90 +335,85 @@ def read_receipts(messages: DataFrame) -> DataFrame:
 
 
 UPLOAD_EVENTS = "session_id bigint, received bigint, event string"
+UPLOAD_STATE = "since bigint, total bigint, chunks array<bigint>, told boolean, received bigint, event string"
 UPLOAD_TTL_S = 7200
 # A session that was told keeps a mark this long, so that late receipts don't open it again.
 MARK_TTL_S = 30 * 86_400
 
 
-class Uploads(StatefulProcessor):
-    """Receipts of an upload session: a set of chunk numbers, a summary, and a timer for its end."""
-
-    def __init__(self, ttl_s: int, mark_ttl_s: int) -> None:
-        self.ttl, self.mark_ttl = ttl_s * 1000, mark_ttl_s * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getMapState("seen", "chunk_index bigint", "at bigint")
-        self.session = handle.getValueState("session", "since bigint, total bigint, received bigint, told boolean")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        receipts = pd.concat(list(rows))
-        receipts = receipts.assign(at=receipts["ts"].astype("datetime64[ms]").astype("int64")).sort_values(["at", "chunk_index"], kind="stable")
-        if self.session.exists():
-            since, total, received, told = self.session.get()
-        else:
-            since, total, received, told = int(receipts["at"].iloc[0]), 0, 0, False
-            self.handle.registerTimer(since + self.ttl + 1)
-        event = None
-        for index, expected, at in zip(receipts["chunk_index"], receipts["total_chunks"], receipts["at"]):
-            if told:
-                break
-            if at > since + self.ttl:
-                event, told = "expired", True
-                break
-            total = max(total, int(expected))
-            if not self.seen.containsKey((int(index),)):
-                self.seen.updateValue((int(index),), (int(at),))
-                received += 1
-            if received == total:
-                event, told = "complete", True
-        self.session.update((since, total, received, told))
-        yield self._told(key, received, event)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        since, total, received, told = self.session.get()
-        if expiredTimerInfo.getExpiryTimeInMs() > since + self.ttl + 1:
-            self.session.clear()
-            yield self._told(key, received, None)
-            return
-        self.handle.registerTimer(since + self.mark_ttl)
-        self.session.update((since, total, received, True))
-        yield self._told(key, received, None if told else "expired")
-
-    def _told(self, key, received, event):
-        import pandas as pd
-
-        if event is not None:
-            self.seen.clear()
-        return pd.DataFrame([(key[0], received, event)] if event is not None else [], columns=["session_id", "received", "event"])
+def _uploads_after(state: DataFrame, receipts: DataFrame, ttl: int, now: int) -> DataFrame:
+    """The sessions of a batch's receipts and what is told of them; ``state`` holds theirs, with ended marks left out."""
+    met = receipts.groupBy("session_id", "chunk_index", "total_chunks").agg(F.min("at").alias("at"))
+    rows = null_safe_join(met, state.select("session_id", "since", "total", "chunks", "told"), ["session_id"], "left").where(~F.coalesce("told", F.lit(False)))
+    of_session = Window.partitionBy("session_id")
+    so_far = of_session.orderBy("at", "chunk_index", F.desc("total_chunks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.row_number().over(Window.partitionBy("session_id", "chunk_index").orderBy("at", F.desc("total_chunks"))) == 1
+    had = F.coalesce("chunks", F.array().cast("array<bigint>"))
+    rows = rows.withColumn("since", F.coalesce("since", F.min("at").over(of_session))).withColumn("chunks", had)
+    rows = rows.withColumn("_in", F.col("at") <= F.col("since") + ttl)
+    rows = rows.withColumn("_new", F.col("_in") & first & ~F.array_contains("chunks", F.col("chunk_index")))
+    rows = rows.withColumn("_received", F.size("chunks") + F.sum(F.col("_new").cast("bigint")).over(so_far))
+    rows = rows.withColumn("_total", F.greatest(F.coalesce("total", F.lit(0)), F.max("total_chunks").over(so_far)))
+    ended = rows.groupBy("session_id").agg(
+        F.first("since").alias("since"),
+        F.min(F.when(F.col("_in") & (F.col("_received") == F.col("_total")), F.col("_received"))).alias("_full"),
+        F.max(F.when(F.col("_in"), F.col("_received"))).alias("_received"), F.max(F.when(F.col("_in"), F.col("_total"))).alias("_total"),
+        F.first("total").alias("_had_total"), F.first("chunks").alias("_had"), F.collect_list(F.when(F.col("_new"), F.col("chunk_index"))).alias("_fresh"), F.max("at").alias("_last"))
+    event = F.when(F.col("_full").isNotNull(), "complete").when(F.greatest("_last", F.lit(now)) > F.col("since") + ttl, "expired")
+    none = F.array().cast("array<bigint>")
+    return ended.select(
+        "session_id", "since", F.coalesce("_total", "_had_total").alias("total"), F.when(event.isNull(), F.concat("_had", "_fresh")).otherwise(none).alias("chunks"),
+        event.isNotNull().alias("told"), F.coalesce("_full", "_received", F.size("_had")).cast("bigint").alias("received"), event.alias("event"))
 
 
 def chunk_arrivals(chunks: DataFrame, base: str | None = None, ttl_s: int = UPLOAD_TTL_S, mark_ttl_s: int = MARK_TTL_S, late: str = "0 seconds") -> DataFrame:
     """Upload events from ``(session_id, chunk_index, total_chunks, ts)``: complete or expired, once each.
 
     A receipt counts once however often it arrives. A session expires ``ttl_s`` of event time after its first receipt,
-    by a timer, whatever the batches are; what comes later doesn't count. Receipts may come ``late`` against those of
-    earlier batches. The chunk numbers of open sessions and a mark of told ones are in the state store, of which a batch
-    writes the sessions that it meets; a mark goes ``mark_ttl_s`` after the session's first receipt.
+    whatever the batches are; what comes later doesn't count. Receipts may come ``late`` against those of earlier
+    batches. A batch writes the sessions that it meets or that end with its time as a version with their events; it reads
+    the buckets of the former and, by their first receipt, the latter. Every ``COMPACT`` batches a version holds all
+    sessions. Told ones keep a mark, which goes ``mark_ttl_s`` after the session's first receipt.
     """
     spark = chunks.sparkSession
     base = base or run_folder(spark, "uploads")
-    index = F.col("chunk_index")
-    receipts = chunks.where((index >= 0) & (index < F.col("total_chunks"))).select(
-        "session_id", index.cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), "ts").withWatermark("ts", late)
-    with state_store(spark):
-        events = receipts.groupBy("session_id").transformWithStateInPandas(
-            Uploads(ttl_s, max(mark_ttl_s, ttl_s + 1)), outputStructType=UPLOAD_EVENTS, outputMode="Append", timeMode="EventTime")
-        query = (
-            events.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True).start(f"{base}/events")
-        )
-        query.awaitTermination()
-    if not _started(spark, base):
-        return spark.createDataFrame([], UPLOAD_EVENTS)
-    return spark.read.schema(UPLOAD_EVENTS).parquet(f"{base}/events")
+    keys, index = ["session_id"], F.col("chunk_index")
+    ttl, mark_ttl = ttl_s * 1_000_000, max(mark_ttl_s, ttl_s + 1) * 1_000_000
+    shape = T.StructType([chunks.schema["session_id"], *T.StructType.fromDDL(UPLOAD_STATE).fields])
+    lag = spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {late}"))).first()[0]
+    if not committed_versions(spark, f"{base}/state"):
+        spark.createDataFrame([], shape).withColumn("_bucket", _bucket(keys)).write.mode("overwrite").partitionBy("_bucket").parquet(_state_path(base, 0))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = _clock(session, base, batch_id)
+        rows = batch.where((index >= 0) & (index < F.col("total_chunks")) & F.col("ts").isNotNull()).select(
+            "session_id", index.cast("bigint").alias("chunk_index"), F.col("total_chunks").cast("bigint").alias("total_chunks"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+        rows = rows if before is None else rows.where(F.col("at") >= before)
+        seen = rows.agg(F.max("at").alias("at"), F.collect_set(_bucket(keys)).alias("buckets")).first()
+        now = max((t for t in (before, None if seen["at"] is None else seen["at"] - lag) if t is not None), default=None)
+        if now is None:
+            new = session.createDataFrame([], shape)
+        else:
+            asked = rows.select(*keys).distinct()
+            old = null_safe_join(_state_at(session, base, shape, keys, batch_id, COMPACT, seen["buckets"]), asked, keys, "left_semi")
+            met = _uploads_after(old if before is None else old.where(F.col("since") + mark_ttl >= before), rows, ttl, now)
+            # A session keeps its first receipt, so its rows in all versions fall into the range together.
+            ends = F.col("since") < now - ttl if before is None else (F.col("since") >= before - ttl) & (F.col("since") < now - ttl)
+            ending = null_safe_join(_state_at(session, base, shape, keys, batch_id, COMPACT, only=ends).where(~F.col("told")), asked, keys, "left_anti")
+            new = met.unionByName(ending.withColumns({
+                "received": F.size("chunks").cast("bigint"), "chunks": F.array().cast("array<bigint>"), "told": F.lit(True), "event": F.lit("expired")}))
+            new = new.select(*shape.names)
+            if (batch_id + 1) % COMPACT == 0:
+                rest = _state_at(session, base, shape, keys, batch_id, COMPACT).where(F.col("since") + mark_ttl >= now)
+                new = checkpointed(new)
+                new = null_safe_join(rest, new, keys, "left_anti").withColumn("event", F.lit(None).cast("string")).unionByName(new)
+        new.withColumn("_bucket", _bucket(keys)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(_state_path(base, batch_id + 1))
+        _set_clock(session, base, batch_id + 1, now)
+
+    each_batch(chunks, "uploads", handle, base)
+    told = spark.read.schema(shape).parquet(f"{base}/state")
+    return told.where(F.col("event").isNotNull()).select(*[f.name for f in T.StructType.fromDDL(UPLOAD_EVENTS).fields])
 
 
 # --------------------------------------------------------------------------- delivery

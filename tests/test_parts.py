@@ -209,3 +209,19 @@ def test_deliveries_need_no_call_per_job(spark, tmp_path):
     assert got.count() == n and got.groupBy("delivery_status", "attempts").count().where("attempts > 0").sort("delivery_status").collect() == [("delivered", 1, 12), ("pending", 1, 11)]
     sizes = [spark.read.parquet(f"{base}/state/v={v:08d}").count() for v in range(14)]
     assert sizes == [n, 1, 2, 0, *[2] * 6, n, 2, 2, 2]
+
+
+def test_uploads_write_the_sessions_of_a_batch(spark, tmp_path, monkeypatch):
+    """Open, ending, told and forgotten sessions over full versions: each told once, and a batch writes those that it meets or ends."""
+    monkeypatch.setattr(X, "COMPACT", 2)
+    path, base = str(tmp_path / "in"), str(tmp_path / "state")
+    many = [(s, 0, 3, s % 50) for s in range(1000, 3000)]
+    batches = [[(1, 0, 2, 0), (2, 0, 2, 1), (1, 0, 2, 2), *many], [(1, 1, 3, 60), (None, 0, 1, 61), (2, 2, 2, 62)], [(1, 2, 3, 70), (2, 1, 2, 101)], [(4, 0, 1, 300)], [(4, 0, 1, 1001)], [(1, 0, 1, 1002)]]
+    for rows in batches:
+        arrivals(spark, path, rows, "append")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted((tuple(r) for r in X.chunk_arrivals(stream, base, ttl_s=100, mark_ttl_s=1000).collect()), key=str)
+    want = [(1, 3, "complete"), (1, 1, "complete"), (None, 1, "complete"), (2, 2, "complete"), (4, 1, "complete"), *[(s, 1, "expired") for s, *_ in many]]
+    assert got == sorted(want, key=str)
+    sizes = [spark.read.schema("session_id bigint").parquet(f"{base}/state/v={v:08d}").count() for v in range(1, 7)]
+    assert sizes == [2002, 2003, 42, 2004, 0, 1923]
