@@ -74,11 +74,11 @@ def _latest(spark, sf_dir):
 
 @query("ups3_job_upsert", with_(JOBS, LATEST) + "SELECT job_id, updated, status, progress, cancel FROM la")
 def _upsert(spark, sf_dir):
-    """Older half of the log first, then the rest on top."""
+    """A part of the log first, then the rest on top; a job's snapshots may lie in both in any order."""
     log = jobs_from_events(spark, sf_dir)
     args = (["status", "progress"], ["updated", "event_id"])
-    early = S.latest_job_state(log.where("event_id % 100000 < 4000"), *args).drop("snapshots")
-    return S.job_upsert(early, log.where("event_id % 100000 >= 4000"), *args)
+    early = S.latest_job_state(log.where("event_id % 100000 < 4000"), *args, marks=True).drop("snapshots")
+    return S.job_upsert(early, log.where("event_id % 100000 >= 4000"), *args).drop(*S.MARKS)
 
 
 def snapshots(spark, sf_dir):

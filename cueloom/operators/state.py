@@ -74,29 +74,45 @@ def ledger_mark(ledger: DataFrame, marks: DataFrame, now: Column) -> DataFrame:
 # --------------------------------------------------------------------------------- jobs
 
 
-def latest_job_state(log: DataFrame, data: list[str], order: list[str]) -> DataFrame:
+def latest_job_state(log: DataFrame, data: list[str], order: list[str], marks: bool = False) -> DataFrame:
     """Newest snapshot per job. A cancel sticks until a later reset snapshot.
 
     One aggregate: the job is cancelled when its last cancelling snapshot is not before its
-    last reset.
+    last reset. ``marks`` adds the places of the newest, the last cancelling and the last reset
+    snapshot, by which ``job_upsert`` can tell what is newer.
     """
     at = F.struct(*order)
     last_cancel = F.max(F.when(F.col("cancel"), at))
     last_reset = F.max(F.when(F.col("reset"), at))
     folded = log.groupBy("job_id").agg(
-        F.max_by(F.struct(*data), at).alias("_data"), F.max("updated").alias("updated"),
-        last_cancel.alias("_cancel"), last_reset.alias("_reset"), F.count(F.lit(1)).alias("snapshots"),
+        F.max_by(F.struct(*data), at).alias("_data"), F.max("updated").alias("updated"), F.max(at).alias("newest_at"),
+        last_cancel.alias("cancel_at"), last_reset.alias("reset_at"), F.count(F.lit(1)).alias("snapshots"),
     )
-    sticky = F.col("_cancel").isNotNull() & (F.col("_reset").isNull() | (F.col("_cancel") >= F.col("_reset")))
-    return folded.select("job_id", "updated", "_data.*", sticky.alias("cancel"), "snapshots")
+    return folded.select("job_id", "updated", "_data.*", _sticky("cancel_at", "reset_at").alias("cancel"), "snapshots", *(MARKS if marks else ()))
+
+
+MARKS = ("newest_at", "cancel_at", "reset_at")
+
+
+def _sticky(cancel_at: Column | str, reset_at: Column | str) -> Column:
+    cancel_at, reset_at = (F.col(c) if isinstance(c, str) else c for c in (cancel_at, reset_at))
+    return cancel_at.isNotNull() & (reset_at.isNull() | (cancel_at >= reset_at))
 
 
 def job_upsert(state: DataFrame, log: DataFrame, data: list[str], order: list[str]) -> DataFrame:
-    """State after more snapshots. The stored row counts as the oldest one and never resets."""
-    fresh = latest_job_state(log, data, order)
-    new = fresh.select("job_id", *[F.col(c).alias(f"_n_{c}") for c in ("updated", *data, "cancel")])
-    resets = log.groupBy("job_id").agg(F.bool_or("reset").alias("_was_reset"))
-    both = state.join(new.join(resets, "job_id"), "job_id", "full_outer")
+    """State after more snapshots.
+
+    A state with the ``marks`` of ``latest_job_state`` keeps them: snapshots may then come in any order. Without, the
+    stored row counts as older than all of the log and never resets.
+    """
+    fresh = latest_job_state(log, data, order, marks=True)
+    if set(MARKS) <= set(state.columns):
+        both = state.select("job_id", "updated", *data, *MARKS).unionByName(fresh.select("job_id", "updated", *data, *MARKS))
+        merged = both.groupBy("job_id").agg(
+            F.max_by(F.struct(*data), "newest_at").alias("_data"), F.max("updated").alias("updated"), *[F.max(c).alias(c) for c in MARKS])
+        return merged.select("job_id", "updated", "_data.*", _sticky("cancel_at", "reset_at").alias("cancel"), *MARKS)
+    new = fresh.select("job_id", *[F.col(c).alias(f"_n_{c}") for c in ("updated", *data, "cancel")], F.col("reset_at").isNotNull().alias("_was_reset"))
+    both = state.join(new, "job_id", "full_outer")
     kept = F.coalesce("cancel", F.lit(False)) & ~F.coalesce("_was_reset", F.lit(False))
     seen = F.col("_n_updated").isNotNull()
     return both.select(

@@ -225,3 +225,17 @@ def test_uploads_write_the_sessions_of_a_batch(spark, tmp_path, monkeypatch):
     assert got == sorted(want, key=str)
     sizes = [spark.read.schema("session_id bigint").parquet(f"{base}/state/v={v:08d}").count() for v in range(1, 7)]
     assert sizes == [2002, 2003, 42, 2004, 0, 1923]
+
+
+def test_snapshots_upserted_out_of_order(spark):
+    """A state with marks against older, newer and equal-timed snapshots: as one aggregate over the whole log."""
+    from cueloom.operators import state as S
+
+    rows = [(1, 10, 1, "a", 1, True, False), (1, 20, 2, "b", 2, False, False), (2, 5, 3, "c", 3, False, True), (2, 9, 4, "d", 4, True, False),
+            (3, 7, 5, "e", 5, True, False), (3, 7, 6, "f", 6, False, True), (None, 1, 7, "g", 7, True, False), (None, 2, 8, "h", 8, False, False), (4, 1, 9, "i", 9, False, False)]
+    log = spark.createDataFrame(rows, "job_id bigint, updated bigint, event_id bigint, status string, progress int, cancel boolean, reset boolean")
+    args = (["status", "progress"], ["updated", "event_id"])
+    want = sorted(map(str, S.latest_job_state(log, *args).drop("snapshots").collect()))
+    for first in ("event_id % 2 = 0", "event_id % 2 = 1", "event_id > 4", "event_id < 3"):
+        early = S.latest_job_state(log.where(first), *args, marks=True).drop("snapshots")
+        assert sorted(map(str, S.job_upsert(early, log.where(f"NOT ({first})"), *args).drop(*S.MARKS).collect())) == want
