@@ -111,18 +111,29 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+@F.pandas_udf(T.BooleanType())
+def alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether the similarity reaches ``least``. Signs that both have bound it, which rules most pairs out."""
+
+    def reaches(x: str, y: str, need: float) -> bool:
+        shared = sum(min(x.count(c), y.count(c)) for c in set(x))
+        return 2.0 * shared / (len(x) + len(y)) >= need and SequenceMatcher(None, x, y).ratio() >= need
+
+    return pd.Series([None if not x or not y else reaches(x, y, need) for x, y, need in zip(a, b, least)], dtype="object")
+
+
 def same_text(expected: Column | str, observed: Column | str) -> Column:
     """Fuzzy equality for recognised text; short strings must be closer.
 
     Equal strings and pairs whose lengths already rule a match out are decided natively; only
-    the others reach the similarity function.
+    the others reach the similarity function, behind a bound by the signs that both have.
     """
     a, b = norm_for_match(expected), norm_for_match(observed)
     least = F.least(F.length(a), F.length(b))
     need = F.when(least <= 4, F.lit(0.90)).otherwise(F.lit(0.84))
     possible = (a != b) & (least * 2 / (F.length(a) + F.length(b)) >= need)
-    ratio = F.coalesce(similarity(F.when(possible & (least >= 2), a), b), F.lit(0.0))
-    return (least >= 2) & ((a == b) | (ratio >= need))
+    near = F.coalesce(alike(F.when(possible & (least >= 2), a), b, need), F.lit(False))
+    return (least >= 2) & ((a == b) | near)
 
 
 def safe_stem(c: Column | str, length: int = 80, fallback: str = "video") -> Column:

@@ -241,19 +241,25 @@ def text_observed(pairs: DataFrame, keys: list[str]) -> DataFrame:
     row matches, the rows of the frame are tried as one.
     """
 
-    def accepted(text: str, score: Column) -> Column:
-        cue, read = norm_for_match("text"), norm_for_match(text)
-        exact = (score >= 0.03) & (F.length(cue) >= 4) & (cue == read)
-        return F.when(score >= 0.2, F.coalesce(same_text("text", text), F.lit(False))).otherwise(exact)
-
-    rows = pairs.where(F.col("observed").isNotNull()).withColumn("_ok", accepted("observed", F.col("confidence")))
+    # A text often stays on many frames: what is read on a frame is judged once for all frames of the cue that show it.
+    *of, at = keys
+    level = F.when(F.col("confidence") >= 0.2, 2).when(F.col("confidence") >= 0.03, 1).when(F.col("confidence").isNotNull(), 0)
+    rows = pairs.where(F.col("observed").isNotNull()).select(*keys, "text", "row_no", "observed", level.alias("level"))
+    rows = rows.repartition(*of) if of else rows
     # The few rows of one frame.
-    read = F.array_sort(F.collect_list(F.struct("row_no", "observed")))
+    read = F.array_sort(F.collect_list(F.struct("row_no", "observed", "level")))
     frames = rows.groupBy(*keys).agg(
-        F.bool_or("_ok").alias("_any"), F.first("text").alias("text"), F.min("confidence").alias("_least"),
-        F.array_join(F.transform(read, lambda e: e["observed"]), "").alias("_joined"),
-    )
-    return frames.select(*keys, (F.col("_any") | accepted("_joined", F.col("_least"))).alias("seen"))
+        F.first("text").alias("text"), F.transform(read, lambda e: F.struct(e["observed"], e["level"])).alias("_read"))
+    shows = [*of, "text", "_read"]
+    groups = frames.groupBy(*shows).agg(F.collect_list(at).alias("_at"))
+    joined = F.struct(F.array_join(F.transform("_read", lambda e: e["observed"]), "").alias("observed"), F.array_min(F.transform("_read", lambda e: e["level"])).alias("level"))
+    tried = F.when(F.size("_read") > 1, F.array_append(F.array_distinct("_read"), joined)).otherwise(F.col("_read"))
+    each = groups.withColumn("_one", F.explode(tried)).select(*shows, "_at", "_one.observed", "_one.level")
+    cue, seen_text = norm_for_match("text"), norm_for_match("observed")
+    exact = (F.col("level") >= 1) & (F.length(cue) >= 4) & (cue == seen_text)
+    accepted = F.when(F.col("level") >= 2, F.coalesce(same_text("text", "observed"), F.lit(False))).otherwise(exact)
+    judged = each.withColumn("_ok", accepted).groupBy(*shows).agg(F.bool_or("_ok").alias("seen"), F.first("_at").alias("_at"))
+    return judged.select(*of, F.explode("_at").alias(at), "seen")
 
 
 def anchors(windows: DataFrame, observations: DataFrame) -> DataFrame:

@@ -289,3 +289,33 @@ def test_private_keys_go_at_every_depth(spark):
     shape = "keep array<struct<m:map<string,map<string,int>>,password:string>>, plain string, my_api_key int"
     got = values.public_rows(spark.createDataFrame([row], shape)).first().asDict(recursive=True)
     assert got == {"keep": [{"m": {"a": {"b": 2}}}, None], "plain": None}
+
+
+def test_similarity_of_phrases_that_repeat_themselves(spark):
+    """The ratio is difflib's, block by block; ``same_text`` decides as it does, whatever its bound rules out first."""
+    from difflib import SequenceMatcher
+
+    from cueloom.functions import text as X
+
+    rows = [("le de de de", "le 7e de de"), ("erer der der der", "erer 7er der der"), ("abcdef", "fedcba"), ("abcdefgh", "abcdefgx"), ("", "a"), (None, "a"), ("ab" * 150, "ab" * 149 + "cd")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", X.similarity("a", "b").alias("r"), X.alike("a", "b", F.lit(0.84)).alias("same")).collect()
+    for row in got:
+        want = None if row.a is None else SequenceMatcher(None, row.a, row.b).ratio()
+        assert row.r == want and bool(row.same) == (want is not None and want >= 0.84)
+
+
+def test_readings_are_judged_once_for_all_frames_of_a_cue(spark, monkeypatch):
+    """500 frames that show the same two rows give three comparisons: either row, and both as one."""
+    seen = spark.sparkContext.accumulator(0)
+    near = L.same_text
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(L, "same_text", lambda a, b: near(a, counted(b)))
+    frames = spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("frame_idx"), F.lit("hello there").alias("text"))
+    pairs = frames.crossJoin(spark.createDataFrame([(1, "hello", 0.9), (2, "there", 0.9)], "row_no int, observed string, confidence double"))
+    got = L.text_observed(pairs, ["k", "frame_idx"]).collect()
+    assert len(got) == 500 and all(r.seen for r in got) and seen.value <= 30
