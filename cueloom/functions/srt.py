@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueloom.functions.text import _CUT, _col, clean_line, is_blank, squeeze, strip
+from cueloom.operators.scan import one_row_each
 
 _LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]"
 _BLOCK_BREAK = r"\r?\n\s*\r?\n+"
 NO_SUBTITLES = "NO_SUBTITLES_FOUND"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ts_to_ms(c: Column | str) -> Column:
     """Milliseconds of ``HH:MM:SS,mmm``; NULL unless minutes and seconds are below 60."""
-    pattern = r"\A(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\z"
-    text = strip(c)
-    hours, minutes, seconds, millis = (
-        F.regexp_extract(text, pattern, i).try_cast("bigint") for i in range(1, 5)
-    )
-    total = hours * 3_600_000 + minutes * 60_000 + seconds * 1000 + millis
-    return F.when((minutes < 60) & (seconds < 60), total)
+
+    def read(text: Column) -> Column:
+        hours, minutes, seconds, millis = (
+            F.substring(text, at, n).try_cast("bigint") for at, n in ((1, 2), (4, 2), (7, 2), (10, 3))
+        )
+        total = hours * 3_600_000 + minutes * 60_000 + seconds * 1000 + millis
+        return F.when(text.rlike(r"\A\d{2}:[0-5]\d:[0-5]\d[,.]\d{3}\z"), total)
+
+    return _let(strip(c), read)
 
 
 def ms_to_ts(c: Column | str) -> Column:
@@ -41,8 +49,7 @@ def blocks(content: Column | str) -> Column:
     """Array of ``struct<idx, stamp, text>`` for the well-formed blocks of a document."""
     parts = F.split(strip(F.coalesce(_col(content), F.lit(""))), _BLOCK_BREAK)
 
-    def read(block: Column) -> Column:
-        lines = F.split(block, _LINE_BREAK)
+    def read(lines: Column) -> Column:
         return F.struct(
             strip(F.get(lines, F.lit(0))).alias("idx"),
             strip(F.get(lines, F.lit(1))).alias("stamp"),
@@ -53,7 +60,7 @@ def blocks(content: Column | str) -> Column:
             ).alias("text"),
         )
 
-    entries = F.transform(parts, read)
+    entries = F.transform(parts, lambda block: _let(F.split(block, _LINE_BREAK), read))
     return F.filter(
         entries,
         lambda e: e["idx"].rlike(r"\A\d+\z") & F.coalesce(e["stamp"].contains("-->"), F.lit(False)) & (e["text"] != ""),
@@ -61,28 +68,43 @@ def blocks(content: Column | str) -> Column:
 
 
 def _timed(entry: Column) -> Column:
-    sides = F.split(entry["stamp"], "-->", 2)
-    tail = F.regexp_extract(strip(F.get(sides, F.lit(1))), r"\A(\S+)", 1)
-    return F.struct(
-        ts_to_ms(F.get(sides, F.lit(0))).alias("start_ms"), ts_to_ms(tail).alias("end_ms"),
-        entry["text"].alias("raw_text"),
-    )
+    def read(sides: Column) -> Column:
+        tail = F.regexp_extract(strip(F.get(sides, F.lit(1))), r"\A(\S+)", 1)
+        return F.struct(
+            ts_to_ms(F.get(sides, F.lit(0))).alias("start_ms"), ts_to_ms(tail).alias("end_ms"),
+            entry["text"].alias("raw_text"),
+        )
+
+    return _let(F.split(entry["stamp"], "-->", 2), read)
 
 
 def _kept_order(entries: Column) -> Column:
     return F.transform(entries, lambda e, i: F.struct((i + 1).alias("index"), _timed(e).alias("t")))
 
 
-def _over_parts(rows: DataFrame, keys: list[str], numbers: list[str], counted: DataFrame) -> DataFrame:
+def _exploded(docs: DataFrame, entries: Column) -> DataFrame:
+    """Keys, ``pos`` and ``e`` of every entry. An inner generator would compute the array again to see whether it is empty."""
+    keys = [c for c in docs.columns if c != "content"]
+    return docs.select(*keys, F.posexplode_outer(entries).alias("pos", "e")).where(F.col("pos").isNotNull())
+
+
+def _over_parts(docs: DataFrame, rows: DataFrame, numbers: dict[str, Column]) -> DataFrame:
     """Numbers of rows of documents in several parts go on from part to part.
 
-    ``counted`` has the number of rows of every part as ``_rows``: one small row per part, so
-    that the rows themselves are not moved.
+    ``numbers`` tells for every numbered column how many rows a part has: one small row per part, so that
+    the rows themselves are not moved. Only documents in several parts are counted.
     """
+    keys = [c for c in docs.columns if c != "content"]
     whole = [k for k in keys if k != "part"]
+    if whole == keys or one_row_each(docs, whole):
+        return rows
+    several = docs.groupBy(*whole).agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").drop("_parts")
     order = Window.partitionBy(*whole).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(*keys, F.coalesce(F.sum("_rows").over(order), F.lit(0)).cast("int").alias("_before"))
-    return rows.join(starts, keys).select(*[(F.col(c) + F.col("_before")).alias(c) if c in numbers else F.col(c) for c in rows.columns])
+    counted = docs.join(several, whole, "left_semi").select(*keys, *[n.alias(f"_rows_{c}") for c, n in numbers.items()])
+    starts = counted.select(*keys, *[F.sum(f"_rows_{c}").over(order).cast("int").alias(f"_before_{c}") for c in numbers])
+    return rows.join(starts, keys, "left").select(*[
+        (F.col(c) + F.coalesce(f"_before_{c}", F.lit(0))).alias(c) if c in numbers else F.col(c) for c in rows.columns
+    ])
 
 
 def parse_srt(docs: DataFrame) -> DataFrame:
@@ -91,12 +113,8 @@ def parse_srt(docs: DataFrame) -> DataFrame:
     With a column ``part`` the parts of a document are read as one, in their order.
     """
     keys = [c for c in docs.columns if c != "content"]
-    rows = docs.select(*keys, F.posexplode(blocks("content")).alias("pos", "b")).select(
-        *keys, (F.col("pos") + 1).alias("pos"), "b.idx", "b.stamp", "b.text"
-    )
-    if "part" not in keys:
-        return rows
-    return _over_parts(rows, keys, ["pos"], docs.select(*keys, F.size(blocks("content")).alias("_rows")))
+    rows = _exploded(docs, blocks("content")).select(*keys, (F.col("pos") + 1).alias("pos"), "e.idx", "e.stamp", "e.text")
+    return _over_parts(docs, rows, {"pos": F.size(blocks("content"))})
 
 
 def repair_documents(docs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -120,12 +138,8 @@ def cue_timings(docs: DataFrame) -> DataFrame:
         ),
     )
     cues = F.filter(timed, lambda t: (t["end_ms"] > t["start_ms"]) & (t["text"] != ""))
-    rows = docs.select(*keys, F.posexplode(cues).alias("pos", "c")).select(
-        *keys, (F.col("pos") + 1).alias("cue_id"), "c.start_ms", "c.end_ms", "c.text"
-    )
-    if "part" not in keys:
-        return rows
-    return _over_parts(rows, keys, ["cue_id"], docs.select(*keys, F.size(cues).alias("_rows")))
+    rows = _exploded(docs, cues).select(*keys, (F.col("pos") + 1).alias("cue_id"), "e.start_ms", "e.end_ms", "e.text")
+    return _over_parts(docs, rows, {"cue_id": F.size(cues)})
 
 
 def tts_segments(docs: DataFrame) -> DataFrame:
@@ -143,23 +157,14 @@ def tts_segments(docs: DataFrame) -> DataFrame:
         ),
     )
     ordered = F.array_sort(F.filter(made, lambda e: e["clean"]["text"] != ""))
-    rows = docs.select(*keys, F.posexplode(ordered).alias("pos", "s")).select(
+    rows = _exploded(docs, ordered).select(
         *keys,
         (F.col("pos") + 1).alias("seg_no"),
-        "s.index", "s.start_ms", "s.end_ms",
-        (F.col("s.end_ms") - F.col("s.start_ms")).alias("duration_ms"),
-        F.col("s.clean.text").alias("text"), "s.raw_text", F.col("s.clean.speaker").alias("speaker"),
+        "e.index", "e.start_ms", "e.end_ms",
+        (F.col("e.end_ms") - F.col("e.start_ms")).alias("duration_ms"),
+        F.col("e.clean.text").alias("text"), "e.raw_text", F.col("e.clean.speaker").alias("speaker"),
     )
-    if "part" not in keys:
-        return rows
-    counted = docs.select(*keys, F.size(ordered).alias("_rows"))
-    placed = _over_parts(rows, keys, ["seg_no"], counted)
-    return _over_parts(placed, keys, ["index"], docs.select(*keys, F.size(blocks("content")).alias("_rows")))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once instead of at every mention."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return _over_parts(docs, rows, {"seg_no": F.size(ordered), "index": F.size(blocks("content"))})
 
 
 def _repair_stamp(c: Column) -> Column:

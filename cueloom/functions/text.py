@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 # Whitespace as Python's str.split() sees it.
 SPACE = r"[\s\x1C-\x1F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Sentence terminals with their closing marks.
 TERMINAL = r"""[.!?。！？]+["'”’»」』)\]]*"""
 # Speakers a group may carry; anything else becomes M1.
@@ -42,7 +43,7 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def words(c: Column | str) -> Column:

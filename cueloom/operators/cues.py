@@ -10,7 +10,7 @@ from cueloom.functions.text import is_blank, strip, word_count
 from cueloom.functions.values import (
     ass_time_from_stamp, fit_layout, py_round,
 )
-from cueloom.operators.scan import Layout, fold, plan_layout, scan
+from cueloom.operators.scan import Layout, at_most, fold, plan_layout, scan
 
 KEY = "track_id"
 # Cues joined into one string; a longer track becomes several numbered parts.
@@ -157,21 +157,21 @@ def even_samples(tracks: DataFrame, count: int = 15) -> DataFrame:
 def numbered_blocks(cues: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Non-blank cues as subtitle blocks with their running number ``n``."""
     start = F.greatest(F.lit(0), F.col("start_ms"))
-    kept = cues.where(~is_blank("text"))
+    kept = at_most(cues.where(~is_blank("text")), cues)
     rows = scan(kept, layout or by_number(kept), {"n": ("number", None)})
     stamp = F.concat(ms_to_ts(start), F.lit(" --> "), ms_to_ts(F.greatest(start, F.col("end_ms"))))
-    return rows.withColumn(
+    return at_most(rows.withColumn(
         "block", F.concat_ws("\n", F.col("n").cast("string"), stamp, strip("text"), F.lit(""))
-    )
+    ), rows)
 
 
 def _parts(rows: DataFrame, number: str, value: str, separator: str, out: str, part_rows: int) -> DataFrame:
     part = F.floor((F.col(number) - 1) / part_rows).cast("int")
-    return rows.groupBy(KEY, part.alias("part")).agg(
+    return at_most(rows.groupBy(KEY, part.alias("part")).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(number, value))), lambda e: e[value]), separator
         ).alias(out)
-    )
+    ), rows, every=part_rows)
 
 
 def to_srt(cues: DataFrame, layout: Layout | None = None, part_rows: int = PART_ROWS) -> DataFrame:
@@ -188,7 +188,7 @@ def to_ass(
     width: int = 1080, height: int = 1920, layout: Layout | None = None, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Styled subtitle documents; the header opens part 0 of every track."""
-    kept = cues.where(~is_blank("text"))
+    kept = at_most(cues.where(~is_blank("text")), cues)
     rows = scan(kept, layout or by_number(kept), {"n": ("number", None)})
     x, y, w, h = region
     left, top, wide, tall = int(width * x), int(height * y), int(width * w), int(height * h)

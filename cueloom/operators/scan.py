@@ -123,17 +123,24 @@ def _cuts_not_after(cuts: Column, value: Column) -> Column:
 _COUNTED: weakref.WeakKeyDictionary[DataFrame, tuple[list[str], int]] = weakref.WeakKeyDictionary()
 
 
-def at_most(df: DataFrame, *of: DataFrame, times: int = 1) -> DataFrame:
+def at_most(df: DataFrame, *of: DataFrame, times: int = 1, every: int = 1) -> DataFrame:
     """``df``, with the note that no key has more than ``times`` the rows that it has in ``of``, all together.
 
     Where these have been counted, ``plan_layout`` can tell of ``df`` without a job that no key is hot.
+    ``every`` says that so many rows of a key, the last ones fewer, have become one.
     """
     counted = [_COUNTED.get(other) for other in of]
     if all(counted) and len({tuple(sorted(keys)) for keys, _n in counted}) == 1:
-        _COUNTED[df] = counted[0][0], times * sum(n for _keys, n in counted)
+        _COUNTED[df] = counted[0][0], -(-times * sum(n for _keys, n in counted) // every)
     return df
 
 
+def one_row_each(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether it has been counted that no key has more than one row."""
+    counted = _COUNTED.get(df)
+    return counted is not None and set(counted[0]) <= set(keys) and counted[1] <= 1
+
+
 def plan_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Layout:
     """Find keys too large for one task and where to cut them; one job at most where there are none."""
     spark = df.sparkSession

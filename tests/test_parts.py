@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cueloom.functions import srt, values
+from cueloom.functions.text import strip
 from cueloom.operators import cues as C
 from cueloom.operators import groups as G
 from cueloom.operators.scan import plan_layout, scan
@@ -31,6 +32,21 @@ def test_parts_are_one_document(spark):
     assert "\n\n".join(whole) == C.to_srt(long_track(spark)).where("track_id = 'a'").first()["content"].rstrip("\n")
 
 
+def test_documents_of_one_part_are_derived_and_read_once(spark):
+    docs = C.to_srt(long_track(spark))
+    for read in (srt.parse_srt, srt.cue_timings, srt.tts_segments):
+        plan = read(docs)._jdf.queryExecution().optimizedPlan().toString()
+        # Neither counted beside the rows nor computed once more to see whether there are any.
+        assert "Join" not in plan and "Filter ((size(" not in plan and plan.count("collect_list") == 1, plan
+
+
+def test_edges_are_all_kinds_of_space(spark):
+    spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    rows = [(f"{spaces}a {spaces}b{spaces}",), (spaces,), ("",), (None,), ("\u200bx\ufeff",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(strip("t")).collect()]
+    assert got == [None if t is None else t.strip() for (t,) in rows]
+
+
 def test_replies_count_over_parts(spark):
     rows = [(1, 10, None, "top")] + [(1, 100 + i, 10, f"r{i}") for i in range(5)]
     out = nest_replies(spark.createDataFrame(rows, "aweme_id bigint, cid bigint, parent_cid bigint, text string"), part_rows=2).collect()
