@@ -97,7 +97,8 @@ def _display(
 
 def display_to_tts(docs: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
     """Narration units of an edited display document, speakers by position."""
-    cues = cue_timings(docs).withColumn("index", F.col("cue_id")).withColumn("speaker", F.lit(None).cast("string"))
+    # What several steps count and read is written once, so the documents are parsed once.
+    cues = checkpointed(cue_timings(docs)).withColumn("index", F.col("cue_id")).withColumn("speaker", F.lit(None).cast("string"))
     if speakers is not None:
         cues = attach_speakers(cues, speakers)
     known = F.upper(F.coalesce("speaker", F.lit("M1")))
@@ -106,7 +107,7 @@ def display_to_tts(docs: DataFrame, speakers: DataFrame | None = None) -> DataFr
         F.col("text").alias("source_text"), F.col("text").alias("translation"),
         F.when(known.isin(SPEAKERS), known).otherwise("M1").alias("speaker"), "start_ms", "end_ms",
     )
-    return tts_groups(merge_fragments(split_sentences_timed(groups)))
+    return tts_groups(merge_fragments(checkpointed(split_sentences_timed(groups))))
 
 
 def review_routing(jobs: DataFrame) -> DataFrame:

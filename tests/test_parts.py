@@ -10,6 +10,7 @@ from cueloom.operators import cues as C
 from cueloom.operators import groups as G
 from cueloom.operators.scan import plan_layout, scan
 from cueloom.operators.works import nest_replies
+from cueloom.plans import jobs as P
 from cueloom.streaming import feeds as X
 
 CUE = "track_id string, cue_id bigint, start_ms bigint, end_ms bigint, text string"
@@ -40,6 +41,16 @@ def test_documents_of_one_part_are_derived_and_read_once(spark):
         assert "Join" not in plan and "Filter ((size(" not in plan and plan.count("collect_list") == 1, plan
 
 
+def test_narration_of_documents_parses_them_once(spark, monkeypatch):
+    counted, plain = [], G.plan_layout
+    monkeypatch.setattr(G, "plan_layout", lambda df, *args: counted.append(df) or plain(df, *args))
+    out = P.display_to_tts(C.to_srt(long_track(spark)))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [out, *counted]]
+    assert len(plans) == 3 and not [p for p in plans if "collect_list(struct(n" in p or "-->" in p], plans
+    # Nine lines of a second each make a unit.
+    assert out.count() == 2 * 6
+
+
 def test_edges_are_all_kinds_of_space(spark):
     spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
     rows = [(f"{spaces}a {spaces}b{spaces}",), (spaces,), ("",), (None,), ("\u200bx\ufeff",)]
