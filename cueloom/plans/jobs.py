@@ -19,6 +19,7 @@ from cueloom.operators.groups import (
 from cueloom.operators.quality import (
     attach_speakers, emit_packages, publish_packages, quality_flags, resolve_voice, tts_requests,
 )
+from cueloom.operators.scan import at_most
 from cueloom.operators.state import evict_jobs, expired_files
 from cueloom.session import checkpointed
 
@@ -54,7 +55,8 @@ def fuse_corpus(
     contract is grouped by its own cues and takes ``fallback_lines`` (``track_id, group_no,
     text``; ``group_no`` is the first cue id), or its source text.
     """
-    # Both are read several times below, so they are written once instead of derived again.
+    # All three are read several times below, so they are written once instead of derived again.
+    cues = at_most(checkpointed(cues), cues)
     parsed = checkpointed(parse_fusion(answers))
     checked = checkpointed(coverage(parsed.where(F.col("error").isNull()).drop("error"), cues))
     problems = coverage_errors(checked, cues).select(KEY, F.col("first_error").alias("_contract"))
@@ -80,7 +82,7 @@ def _display(
     fused = checked.join(good, KEY, "left_semi").withColumn("group_no", F.col("group_no").cast("bigint")).select(
         *[F.transform("source_ids", lambda v: v.cast("bigint")).alias(c) if c == "source_ids" else F.col(c) for c in shape]
     )
-    own = source_groups(cues.join(bad, KEY, "left_semi")).withColumn("speaker", F.lit("M1"))
+    own = source_groups(at_most(cues.join(bad, KEY, "left_semi"), cues)).withColumn("speaker", F.lit("M1"))
     if fallback_lines is not None:
         own = own.join(fallback_lines.select(KEY, "group_no", F.col("text").alias("_line")), [KEY, "group_no"], "left")
     else:
@@ -88,7 +90,7 @@ def _display(
     own = own.withColumn("translation", F.coalesce("_line", "source_text")).select(
         *[F.transform("source_ids", lambda v: v.cast("bigint")).alias(c) if c == "source_ids" else F.col(c) for c in shape]
     )
-    display = checkpointed(merge_fragments(split_sentences_timed(fused.unionByName(own))))
+    display = checkpointed(merge_fragments(checkpointed(split_sentences_timed(fused.unionByName(own)))))
     if segment_answers is not None:
         proposals = parse_segmentation(segment_answers).where(F.col("index").isNotNull()).select(KEY, "index", "segments")
         display = allocate_segments(display, proposals, lang)

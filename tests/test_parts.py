@@ -51,6 +51,15 @@ def test_narration_of_documents_parses_them_once(spark, monkeypatch):
     assert out.count() == 2 * 6
 
 
+def test_fusion_derives_its_cues_once(spark):
+    cues = long_track(spark).where("text != 'a mark'").withColumn("speaker", F.lit("M1"))
+    answers = spark.createDataFrame([("a", '[{"source_ids": [1], "translation": "One.", "speaker": "M1"}]')], "track_id string, raw string")
+    fused = P.fuse_corpus(cues, answers, "en")
+    for made in (fused.status, fused.display, fused.tts):
+        assert "a mark" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.track_id, r.warning) for r in fused.status.collect()) == [("a", "missing_ids"), ("b", "no_answer")]
+
+
 def test_edges_are_all_kinds_of_space(spark):
     spaces = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
     rows = [(f"{spaces}a {spaces}b{spaces}",), (spaces,), ("",), (None,), ("\u200bx\ufeff",)]
