@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from cueloom.session import hot_rows
 
 BLOCK = "_blk"
+PLACE = "_place"
 _SAMPLES_PER_BLOCK = 32
 _HOT_KEYS_PER_PARTITION = 4
 
@@ -369,12 +370,25 @@ def fold(
     part = layout.partition()
     tagged = layout.tag(df)
     entries = _settle(tagged, layout, inputs, step, summary or (lambda: Trajectories(step))) if layout.split else {}
-    together = tagged if clustered and not layout.split else tagged.repartition(*part)
-    ordered = together.sortWithinPartitions(*part, *layout.order)
+    if clustered and not layout.split:
+        ordered = tagged.sortWithinPartitions(*part, *layout.order)
+    else:
+        ordered = _in_order(tagged, part, layout.order)
     run = _row_runner(layout.keys, layout.split, inputs, step, outputs, entries)
     return ordered.mapInArrow(run, schema)
 
 
+def _in_order(rows: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """The rows of a key together in one partition and in order, with their number in ``PLACE``.
+
+    The number is there for its window: a ``repartition`` above a join on the same keys is left out of the plan, and when
+    the join then becomes a broadcast while running, its rows are read where they lie, a key's in several tasks. What a
+    window needs holds whatever becomes of the join.
+    """
+    number = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    return rows.withColumn(PLACE, number).sortWithinPartitions(*part, *order)
+
+
 def _row_runner(keys, split, inputs, step, outputs, entries):
     names = [n for n, _t in outputs]
     types = [_ARROW[t] for _n, t in outputs]
@@ -392,7 +406,7 @@ def _row_runner(keys, split, inputs, step, outputs, entries):
                 made.append(out)
             columns = [pa.array(list(c), t) for c, t in zip(zip(*made), types)] if made else [
                 pa.array([], t) for t in types]
-            kept = [i for i, n in enumerate(batch.schema.names) if n != BLOCK]
+            kept = [i for i, n in enumerate(batch.schema.names) if n not in (BLOCK, PLACE)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in kept] + columns,
                 names=[batch.schema.names[i] for i in kept] + names,
@@ -463,8 +477,7 @@ def _settle(tagged: DataFrame, layout: Layout, inputs, step, summary) -> dict[tu
     part = [*layout.keys, BLOCK]
 
     def told(rows: DataFrame, run) -> dict[tuple, object]:
-        ordered = rows.repartition(*part).sortWithinPartitions(*part, *layout.order)
-        out = ordered.mapInArrow(run, T.StructType([*part_schema.fields, T.StructField("_told", T.BinaryType())]))
+        out = _in_order(rows, part, layout.order).mapInArrow(run, T.StructType([*part_schema.fields, T.StructField("_told", T.BinaryType())]))
         return {tuple(r[:-1]): pickle.loads(r[-1]) for r in _in_one_job(out)}
 
     blocks = told(hot, _block_runner(layout.keys, inputs, lambda _ident: summary(), lambda s, row: (s.feed(row), s)[1], lambda s: s.closed()))

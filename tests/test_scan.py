@@ -180,3 +180,30 @@ def test_a_group_over_whole_blocks(spark):
     finally:
         spark.conf.unset("cueloom.hotRows")
     assert got == {i: i // 700 * 700 for i in range(1500)}
+
+
+def test_fold_above_a_join_that_becomes_a_broadcast(spark):
+    """While running, the join is found small enough to be broadcast; a track's rows still come to one task, in order."""
+    rows = [(i % 20, i, i * 40, i * 40 + 70 + i % 1000, "ab"[i % 7 // 4]) for i in range(4000)]
+    local = spark.createDataFrame(rows, "track_id bigint, cue_id bigint, start_ms bigint, end_ms bigint, text string").withColumn("window_no", F.lit(0))
+    durations = local.groupBy("track_id").agg(F.max("end_ms").alias("duration_ms"))
+    want, state = set(), {}
+    for track, cue, start, end, text in rows:
+        first, until, said = state.get(track, (None, -1, None))
+        if start < until and text == said:
+            state[track] = first, max(until, end), said
+        elif start < until and end <= until:
+            want.add((track, cue, True))
+        else:
+            state[track] = cue, end, text
+            want.add((track, cue, False))
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in confs.items():
+        spark.conf.set(name, value)
+    try:
+        got = [(r.track_id, r.cue_first, r.conflict) for r in G.stitch_windows(local, durations).collect()]
+    finally:
+        for name in confs:
+            spark.conf.unset(name)
+    assert len(got) == len(want) and set(got) == want
