@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions.text import safe_name, strip
 from cueloom.functions.values import parse_bool, parse_extensions, valid_region
-from cueloom.operators.scan import at_most, plan_layout, scan
+from cueloom.operators.scan import at_most, plan_layout, scan, spread
 
 # Item states a manifest counts; any other counts as failed.
 ITEM_STATES = ["queued", "processing", "done", "failed", "partial", "cancelled"]
@@ -322,16 +322,18 @@ def missing_chunks(chunks: DataFrame, sessions: DataFrame, listed: int = 10) ->
     Received chunks are counted, and only gaps between neighbours are expanded, so a session
     of a million chunks never becomes one array.
     """
-    got = chunks.join(sessions.select("session_id", "total_chunks"), "session_id").where(
+    # A session has no more edges than chunks and its two ends; chunks can be counted without the join.
+    rows = plan_layout(chunks, ["session_id"], ["chunk_index"]).rows
+    sessions, dealt = spread(sessions, ["session_id"], rows), spread(chunks, ["session_id"], rows)
+    got = dealt.join(sessions.select("session_id", "total_chunks"), "session_id").where(
         (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("total_chunks"))
     ).groupBy("session_id", "chunk_index").agg(F.max("bytes").alias("bytes"))
     received = got.groupBy("session_id").agg(F.count(F.lit(1)).alias("received"), F.sum("bytes").alias("_bytes"))
     edges = got.select("session_id", F.col("chunk_index").cast("bigint").alias("i")).unionByName(
         sessions.select("session_id", F.explode(F.array(F.lit(-1).cast("bigint"), F.col("total_chunks").cast("bigint"))).alias("i"))
     )
-    # A session has no more edges than chunks and its two ends; chunks can be counted without the join.
-    plan_layout(chunks, ["session_id"], ["chunk_index"])
     layout = plan_layout(at_most(edges, chunks, times=3), ["session_id"], ["i"])
+    layout.rows = rows  # dealt as the chunks are
     gaps = scan(edges, layout, {"_next": ("next", F.col("i"))}).where(F.col("_next") - F.col("i") > 1)
     upto = F.least(F.col("_next") - 1, F.col("i") + listed)
     firsts = gaps.select("session_id", F.explode(F.sequence(F.col("i") + 1, upto)).alias("i"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.session import hot_rows
+from cueloom.session import hot_rows, task_rows
 
 BLOCK = "_blk"
 PLACE = "_place"
@@ -47,6 +47,8 @@ class Layout:
     cuts: dict[tuple, list[tuple]] = field(default_factory=dict)
     key_types: list[T.DataType] = field(default_factory=list)
     order_types: list[T.DataType] = field(default_factory=list)
+    #: Rows of all keys, as far as counted.
+    rows: int = 0
 
     @property
     def split(self) -> bool:
@@ -55,7 +57,7 @@ class Layout:
     def on(self, keys: Sequence[str] | None = None, order: Sequence[str] | None = None) -> Layout:
         """Same cuts for derived rows whose columns have other names."""
         return Layout(
-            list(keys or self.keys), list(order or self.order), self.cuts, self.key_types, self.order_types
+            list(keys or self.keys), list(order or self.order), self.cuts, self.key_types, self.order_types, self.rows
         )
 
     def partition(self) -> list[str]:
@@ -120,8 +122,14 @@ def _cuts_not_after(cuts: Column, value: Column) -> Column:
     return F.when(cuts.isNotNull(), found)
 
 
-# The rows of the largest key that were counted for a table, as (keys, rows).
-_COUNTED: weakref.WeakKeyDictionary[DataFrame, tuple[list[str], int]] = weakref.WeakKeyDictionary()
+def spread(df: DataFrame, part: Sequence[str], rows: int) -> DataFrame:
+    """``df`` dealt by ``part`` to as many tasks as keep each at ``cueloom.taskRows``; as it is where the session's partitions do."""
+    tasks = -(-rows // task_rows(df.sparkSession))
+    return df.repartition(tasks, *part) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+# The rows of the largest key and of all keys that were counted for a table, as (keys, rows, rows of all).
+_COUNTED: weakref.WeakKeyDictionary[DataFrame, tuple[list[str], int, int]] = weakref.WeakKeyDictionary()
 
 
 def at_most(df: DataFrame, *of: DataFrame, times: int = 1, every: int = 1) -> DataFrame:
@@ -131,8 +139,9 @@ def at_most(df: DataFrame, *of: DataFrame, times: int = 1, every: int = 1) -> Da
     ``every`` says that so many rows of a key, the last ones fewer, have become one.
     """
     counted = [_COUNTED.get(other) for other in of]
-    if all(counted) and len({tuple(sorted(keys)) for keys, _n in counted}) == 1:
-        _COUNTED[df] = counted[0][0], -(-times * sum(n for _keys, n in counted) // every)
+    if all(counted) and len({tuple(sorted(keys)) for keys, *_n in counted}) == 1:
+        # Runs end with their key, so that all keys together may keep more than one row in ``every``.
+        _COUNTED[df] = (counted[0][0], -(-times * sum(n for _keys, n, _all in counted) // every), times * sum(n for *_keys, n in counted))
     return df
 
 
@@ -148,13 +157,17 @@ def plan_layout(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Lay
     keys, order = list(keys), list(order)
     counted = _COUNTED.get(df)
     if counted and set(counted[0]) <= set(keys) and counted[1] <= hot_rows(spark):
-        return Layout(keys, order)
+        return Layout(keys, order, rows=counted[2])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = [tuple(r) for r in _in_one_job(counts.orderBy(F.desc("_n")).limit(_HOT_KEYS_PER_PARTITION * partitions))]
-    _COUNTED[df] = keys, largest[0][-1] if largest else 0
-    hot = [r for r in largest if r[-1] > hot_rows(spark)]
-    layout = Layout(keys, order)
+    summed = counts.agg(F.coalesce(F.max("_n"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0)))
+    [(most, rows)] = _in_one_job(summed)
+    _COUNTED[df] = keys, most, rows
+    layout = Layout(keys, order, rows=rows)
+    if most <= hot_rows(spark):
+        return layout
+    largest = _in_one_job(counts.orderBy(F.desc("_n")).limit(_HOT_KEYS_PER_PARTITION * partitions))
+    hot = [tuple(r) for r in largest if r[-1] > hot_rows(spark)]
     # The blocks of all hot keys come to no more than a few per partition.
     block_rows = max(hot_rows(spark), sum(r[-1] for r in hot) // (_HOT_KEYS_PER_PARTITION * partitions))
     hot = [r for r in hot if r[-1] > block_rows]
@@ -201,11 +214,11 @@ def scan(df: DataFrame, layout: Layout, specs: dict[str, Spec]) -> DataFrame:
     """
     if not layout.split:
         plain = Window.partitionBy(*layout.keys)
-        return at_most(df.select("*", *[_local(kind, value, plain, layout.order).alias(name)
+        return at_most(spread(df, layout.keys, layout.rows).select("*", *[_local(kind, value, plain, layout.order).alias(name)
                                         for name, (kind, value) in specs.items()]), df)
     tagged = df if BLOCK in df.columns else layout.tag(df)
     block = Window.partitionBy(*layout.keys, BLOCK)
-    local = tagged.select(
+    local = spread(tagged, [*layout.keys, BLOCK], layout.rows).select(
         "*", *[_local(kind, value, block, layout.order, wrap=True).alias(f"_l_{name}")
                for name, (kind, value) in specs.items()]
     )
@@ -373,7 +386,7 @@ def fold(
     if clustered and not layout.split:
         ordered = tagged.sortWithinPartitions(*part, *layout.order)
     else:
-        ordered = _in_order(tagged, part, layout.order)
+        ordered = _in_order(spread(tagged, part, layout.rows), part, layout.order)
     run = _row_runner(layout.keys, layout.split, inputs, step, outputs, entries)
     return ordered.mapInArrow(run, schema)
 
@@ -477,7 +490,7 @@ def _settle(tagged: DataFrame, layout: Layout, inputs, step, summary) -> dict[tu
     part = [*layout.keys, BLOCK]
 
     def told(rows: DataFrame, run) -> dict[tuple, object]:
-        out = _in_order(rows, part, layout.order).mapInArrow(run, T.StructType([*part_schema.fields, T.StructField("_told", T.BinaryType())]))
+        out = _in_order(spread(rows, part, layout.rows), part, layout.order).mapInArrow(run, T.StructType([*part_schema.fields, T.StructField("_told", T.BinaryType())]))
         return {tuple(r[:-1]): pickle.loads(r[-1]) for r in _in_one_job(out)}
 
     blocks = told(hot, _block_runner(layout.keys, inputs, lambda _ident: summary(), lambda s, row: (s.feed(row), s)[1], lambda s: s.closed()))

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Rows of one key above which the key is cut into several ordered blocks.
 HOT_ROWS_CONF = "cueloom.hotRows"
 HOT_ROWS_DEFAULT = 1_000_000
+# Rows that a task of a scan holds where the keys allow; more rows make more tasks.
+TASK_ROWS_CONF = "cueloom.taskRows"
+TASK_ROWS_DEFAULT = 250_000
 
 
 def build_session(master: str = "local[8]", **conf: str) -> SparkSession:
@@ -34,6 +37,10 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def task_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(TASK_ROWS_CONF, str(TASK_ROWS_DEFAULT)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cueloom.operators import cues as C
 from cueloom.operators import groups as G
+from cueloom.operators.batches import missing_chunks
 from cueloom.operators.scan import UNKNOWN, fold, plan_layout, quantiles, scan
 from cueloom.operators.timeline import CursorMap, schedule_timeline
 
@@ -207,3 +208,18 @@ def test_fold_above_a_join_that_becomes_a_broadcast(spark):
         for name in confs:
             spark.conf.unset(name)
     assert len(got) == len(want) and set(got) == want
+
+
+def test_more_rows_make_more_tasks(spark):
+    """Sessions of 800 chunks in all, dealt to tasks of 50 rows each, are as complete as in the session's four partitions."""
+    rows = [(i // 8, i % 8, 100) for i in range(800) if i % 7 and i % 5]
+    chunks = spark.createDataFrame(rows, "session_id bigint, chunk_index bigint, bytes bigint")
+    sessions = spark.createDataFrame([(i, 8, 100, 800) for i in range(100)], "session_id bigint, total_chunks bigint, chunk_size bigint, total_size bigint")
+    plain = sorted(map(str, missing_chunks(chunks, sessions).collect()))
+    spark.conf.set("cueloom.taskRows", "50")
+    try:
+        out = missing_chunks(chunks, sessions)
+        assert out.rdd.getNumPartitions() >= len(rows) // 50
+        assert sorted(map(str, out.collect())) == plain
+    finally:
+        spark.conf.unset("cueloom.taskRows")
