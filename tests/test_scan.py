@@ -223,3 +223,18 @@ def test_more_rows_make_more_tasks(spark):
         assert sorted(map(str, out.collect())) == plain
     finally:
         spark.conf.unset("cueloom.taskRows")
+
+
+def test_more_states_make_more_tasks(spark):
+    """The rows of a fold go to as many tasks as their number asks for, and merged states stay the same."""
+    rows = [(i % 40, i, i * 300, i * 300 + 280, f"line {i % 40} {i // 200}", "dialogue") for i in range(1000)]
+    states = spark.createDataFrame(rows, "track_id bigint, state_no bigint, start_ms bigint, end_ms bigint, text string, kind string")
+    plain = sorted(map(str, G.merge_ocr_states(states).collect()))
+    spark.conf.set("cueloom.taskRows", "50")
+    try:
+        layout = plan_layout(states, ["track_id"], ["state_no"])
+        led = fold(states, layout, ["state_no"], lambda state, row: (row[0], (state,)), [("before", "bigint")])
+        assert layout.rows == 1000 and led.rdd.getNumPartitions() == 20
+        assert sorted(map(str, G.merge_ocr_states(states).collect())) == plain
+    finally:
+        spark.conf.unset("cueloom.taskRows")
