@@ -441,7 +441,7 @@ def _ocr_states(spark, sf_dir):
     states = cues.select("track_id", (F.col("cue_id") * 2).alias("state_no"), "start_ms", "end_ms", "text", kind.alias("kind"))
     again = states.select("track_id", (F.col("state_no") + 1).alias("state_no"), F.col("end_ms").alias("start_ms"), (F.col("end_ms") + 40).alias("end_ms"),
                           F.concat("text", F.lit("!")).alias("text"), "kind")
-    return G.merge_ocr_states(states.unionByName(again))
+    return G.merge_ocr_states(at_most(states.unionByName(again), cues, times=2))
 
 
 STITCH = with_(CUES, """loc AS (SELECT track_id, cue_id, start_ms // 60000 AS w, start_ms % 60000 AS s, start_ms % 60000 + (end_ms - start_ms) % 61000 + 1 AS e, text FROM cues),

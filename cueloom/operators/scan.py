@@ -123,9 +123,18 @@ def _cuts_not_after(cuts: Column, value: Column) -> Column:
 
 
 def spread(df: DataFrame, part: Sequence[str], rows: int) -> DataFrame:
-    """``df`` dealt by ``part`` to as many tasks as keep each at ``cueloom.taskRows``; as it is where the session's partitions do."""
-    tasks = -(-rows // task_rows(df.sparkSession))
-    return df.repartition(tasks, *part) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    """``df`` dealt by ``part`` to as many tasks as keep each at ``cueloom.taskRows``; as it is where one task may hold all rows.
+
+    The number is always given, however many partitions the session has: adaptive plans put those together by their bytes,
+    whatever rows that makes. It is never the session's, because a deal that equals what a join below asks for is left out
+    of the plan, and the join's is put together.
+    """
+    spark = df.sparkSession
+    needed, wave = -(-rows // task_rows(spark)), spark.sparkContext.defaultParallelism
+    if needed <= 1:
+        return df
+    tasks = max(needed, wave)
+    return df.repartition(tasks + wave if tasks == int(spark.conf.get("spark.sql.shuffle.partitions")) else tasks, *part)
 
 
 # The rows of the largest key and of all keys that were counted for a table, as (keys, rows, rows of all).

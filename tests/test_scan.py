@@ -238,3 +238,25 @@ def test_more_states_make_more_tasks(spark):
         assert sorted(map(str, G.merge_ocr_states(states).collect())) == plain
     finally:
         spark.conf.unset("cueloom.taskRows")
+
+
+@pytest.mark.parametrize("partitions", ["64", "20"])
+def test_the_sessions_partitions_are_not_put_together(spark, partitions):
+    """Rows go to tasks by their number also where the session has partitions enough, or as many as needed above a join on the same key."""
+    rows = [(i % 40, i, i * 300, i * 300 + 280, f"line {i % 40} {i // 200}", "dialogue") for i in range(1000)]
+    states = spark.createDataFrame(rows, "track_id bigint, state_no bigint, start_ms bigint, end_ms bigint, text string, kind string")
+    plain = sorted(map(str, G.merge_ocr_states(states).collect()))
+    confs = {"cueloom.taskRows": "50", "spark.sql.shuffle.partitions": partitions, "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in confs}
+    for name, value in confs.items():
+        spark.conf.set(name, value)
+    try:
+        joined = states.join(states.groupBy("track_id").agg(F.max("end_ms").alias("last")), "track_id")
+        layout = plan_layout(joined, ["track_id"], ["state_no"])
+        led = fold(joined, layout, ["state_no"], lambda state, row: (row[0], (state,)), [("before", "bigint")])
+        numbered = scan(joined, layout, {"n": ("number", None)})
+        assert led.rdd.getNumPartitions() >= 20 and numbered.rdd.getNumPartitions() >= 20
+        assert sorted(map(str, G.merge_ocr_states(states).collect())) == plain
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
