@@ -123,18 +123,29 @@ def alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([None if not x or not y else reaches(x, y, need) for x, y, need in zip(a, b, least)], dtype="object")
 
 
+def may_be_same(a: Column, b: Column) -> Column:
+    """Whether the lengths of two normalised texts allow ``same_normalised``."""
+    least = F.least(F.length(a), F.length(b))
+    return (least >= 2) & (least * 2 / (F.length(a) + F.length(b)) >= _needed(a, b))
+
+
+def _needed(a: Column, b: Column) -> Column:
+    return F.when(F.least(F.length(a), F.length(b)) <= 4, F.lit(0.90)).otherwise(F.lit(0.84))
+
+
+def same_normalised(a: Column, b: Column) -> Column:
+    """``same_text`` for texts that ``norm_for_match`` has been through."""
+    near = F.coalesce(alike(F.when((a != b) & may_be_same(a, b), a), b, _needed(a, b)), F.lit(False))
+    return may_be_same(a, b) & ((a == b) | near)
+
+
 def same_text(expected: Column | str, observed: Column | str) -> Column:
     """Fuzzy equality for recognised text; short strings must be closer.
 
     Equal strings and pairs whose lengths already rule a match out are decided natively; only
     the others reach the similarity function, behind a bound by the signs that both have.
     """
-    a, b = norm_for_match(expected), norm_for_match(observed)
-    least = F.least(F.length(a), F.length(b))
-    need = F.when(least <= 4, F.lit(0.90)).otherwise(F.lit(0.84))
-    possible = (a != b) & (least * 2 / (F.length(a) + F.length(b)) >= need)
-    near = F.coalesce(alike(F.when(possible & (least >= 2), a), b, need), F.lit(False))
-    return (least >= 2) & ((a == b) | near)
+    return same_normalised(norm_for_match(expected), norm_for_match(observed))
 
 
 def safe_stem(c: Column | str, length: int = 80, fallback: str = "video") -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueloom.functions.text import norm_for_match, same_text
+from cueloom.functions.text import may_be_same, norm_for_match, same_normalised, same_text
 from cueloom.functions.values import py_round
 from cueloom.operators.cues import KEY
-from cueloom.operators.scan import UNKNOWN, Layout, fold, plan_layout, scan
+from cueloom.operators.scan import BLOCK, UNKNOWN, Layout, fold, plan_layout, scan, spread
 
 BORROW_MS = 350
 SPEED_TOLERANCE_MS = 15
@@ -262,18 +262,98 @@ def text_observed(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return judged.select(*of, F.explode("_at").alias(at), "seen")
 
 
+# Frames are told by block: one bit for each of 64.
+_BLOCK_FRAMES = 64
+
+
+def _bit(frame: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), frame.bitwiseAND(F.lit(_BLOCK_FRAMES - 1)).cast("int"))
+
+
+def _shows(bits: Column, frame: Column) -> Column:
+    return F.getbit(bits, frame.bitwiseAND(F.lit(_BLOCK_FRAMES - 1)).cast("int")) == 1
+
+
+def _readings(observations: DataFrame) -> DataFrame:
+    """What is read in every block of frames, normalised, with its level and the frames that show it.
+
+    The rows of a frame that has several are there as one besides. A row that comes twice with the same number and text
+    counts once.
+    """
+    level = F.when(F.col("confidence") >= 0.2, 2).when(F.col("confidence") >= 0.03, 1).when(F.col("confidence").isNotNull(), 0)
+    frame = F.col("frame_idx").cast("bigint")
+    rows = observations.where(F.col("text").isNotNull()).select(
+        KEY, F.shiftright(frame, 6).alias("_block"), "row_no", F.col("text").alias("observed"), level.alias("level"), _bit(frame).alias("_bits"))
+    # The frames of a row become one number before the shuffle, so that it is not sent once per frame.
+    once = rows.groupBy(KEY, "_block", "row_no", "observed", "level").agg(F.bit_or("_bits").alias("_bits"))
+    # The rows of 64 frames.
+    blocks = once.groupBy(KEY, "_block").agg(F.array_sort(F.collect_list(F.struct("row_no", "observed", "level", "_bits"))).alias("_rows"))
+    none = F.lit(0).cast("bigint")
+    several = F.aggregate(
+        "_rows", F.struct(none.alias("one"), none.alias("more")),
+        lambda so, r: F.struct(so["one"].bitwiseOR(r["_bits"]).alias("one"), so["more"].bitwiseOR(so["one"].bitwiseAND(r["_bits"])).alias("more")),
+        lambda so: so["more"])
+
+    def as_one(frame: Column) -> Column:
+        shown = F.filter("_rows", lambda r: _shows(r["_bits"], frame))
+        return F.struct(
+            F.array_join(F.transform(shown, lambda r: r["observed"]), "").alias("observed"),
+            F.array_min(F.transform(shown, lambda r: r["level"])).alias("level"), _bit(frame).alias("_bits"))
+
+    single = F.transform("_rows", lambda r: F.struct(r["observed"].alias("observed"), r["level"].alias("level"), r["_bits"].alias("_bits")))
+    frames = F.filter(F.sequence(F.lit(0), F.lit(_BLOCK_FRAMES - 1)), lambda n: _shows(F.col("_several"), n))
+    each = blocks.withColumn("_several", several).select(KEY, "_block", F.explode(F.concat(single, F.transform(frames, as_one))).alias("_one"))
+    return each.where(F.col("_one.level") >= 1).select(
+        KEY, "_block", norm_for_match("_one.observed").alias("_seen"), F.col("_one.level").alias("level"), F.col("_one._bits").alias("_bits"),
+    ).where(F.length("_seen") >= 2).groupBy(KEY, "_block", "_seen", "level").agg(F.bit_or("_bits").alias("_bits"))
+
+
+def _sightings(windows: DataFrame, observations: DataFrame) -> DataFrame:
+    """Frames of its window on which a cue is read, as ``text_observed`` judges them: KEY, cue_id and ``_mark`` (block, bits).
+
+    A text is judged once for all frames of a block that show it; neither cues nor readings are sent once per frame.
+    """
+    start = F.col("_block") * _BLOCK_FRAMES
+    low = (F.greatest(F.col("lo"), start) - start).cast("int")
+    high = (F.least(F.col("hi"), start + (_BLOCK_FRAMES - 1)) - start).cast("int")
+    every = F.lit(-1).cast("bigint")
+    inside = F.call_function("shiftleft", every, low).bitwiseAND(
+        F.call_function("shiftrightunsigned", every, F.lit(_BLOCK_FRAMES - 1) - high))
+    wanted = windows.where((F.col("hi") > F.col("lo")) & F.col("cue_id").isNotNull()).select(
+        KEY, "cue_id", norm_for_match("text").alias("_cue"), "lo", "hi", F.explode(F.sequence(F.shiftright("lo", 6), F.shiftright("hi", 6))).alias("_block"),
+    ).where(F.length("_cue") >= 2).select(KEY, "_block", "cue_id", "_cue", inside.alias("_inside"))
+    cue, seen, shown = F.col("_cue"), F.col("_seen"), F.col("_inside").bitwiseAND(F.col("_bits"))
+    pairs = wanted.join(_readings(observations), [KEY, "_block"]).where((shown != 0) & may_be_same(cue, seen))
+    exact = (F.length(cue) >= 4) & (cue == seen)
+    judged = pairs.withColumn("_ok", F.when(F.col("level") >= 2, same_normalised(cue, seen)).otherwise(exact)).where("_ok")
+    marks = judged.groupBy(KEY, "_block", "cue_id").agg(F.bit_or(shown).alias("_bits"))
+    return marks.select(KEY, "cue_id", F.struct("_block", "_bits").alias("_mark"))
+
+
+def _frames_seen(marks: Column | str) -> Column:
+    """The frames of a window that the marks of its cue tell, in order."""
+
+    def of_block(mark: Column) -> Column:
+        start = mark["_block"] * _BLOCK_FRAMES
+        frames = F.sequence(F.greatest(F.col("lo"), start), F.least(F.col("hi"), start + (_BLOCK_FRAMES - 1)))
+        return F.filter(frames, lambda f: _shows(mark["_bits"], f))
+
+    return F.flatten(F.transform(F.array_sort(marks), of_block))
+
+
+def _anchor(seen: Column | str) -> Column:
+    """Of start, middle and end the seen frame nearest to the middle."""
+    spots = F.array_distinct(F.array("a", "middle", F.greatest(F.col("a"), F.col("b") - 1)))
+    read = F.filter(spots, lambda f: F.array_contains(seen, f))
+    return F.array_min(F.transform(read, lambda f: F.struct(F.abs(f - F.col("middle")).alias("off"), f.alias("frame"))))["frame"]
+
+
 def anchors(windows: DataFrame, observations: DataFrame) -> DataFrame:
     """Frame nearest to the middle, among start, middle and end, on which the cue is read."""
-    spots = F.array_distinct(F.array("a", "middle", F.greatest(F.col("a"), F.col("b") - 1)))
-    wanted = windows.select(KEY, "cue_id", "text", "middle", "lo", "hi", F.explode(spots).alias("frame_idx")).where(
-        (F.col("frame_idx").between(F.col("lo"), F.col("hi"))) & (F.col("hi") > F.col("lo"))
-        & (F.length(norm_for_match("text")) >= 2)
-    )
-    read = wanted.join(observations.select(KEY, "frame_idx", "row_no", F.col("text").alias("observed"), "confidence"),
-                       [KEY, "frame_idx"])
-    seen = text_observed(read, [KEY, "cue_id", "middle", "frame_idx"]).where("seen")
-    distance = F.struct(F.abs(F.col("frame_idx") - F.col("middle")), F.col("frame_idx"))
-    return seen.groupBy(KEY, "cue_id").agg(F.min_by("frame_idx", distance).alias("anchor"))
+    marks = _sightings(windows, observations).groupBy(KEY, "cue_id").agg(F.collect_list("_mark").alias("_marks"))
+    near = windows.select(KEY, "cue_id", "a", "b", "middle", "lo", "hi").join(marks, [KEY, "cue_id"])
+    found = near.withColumn("_on", _frames_seen("_marks")).select(KEY, "cue_id", _anchor("_on").alias("anchor"))
+    return found.where(F.col("anchor").isNotNull())
 
 
 def refine_boundaries(
@@ -286,30 +366,22 @@ def refine_boundaries(
     the video); text on every frame proves nothing; times never cross the neighbours.
     """
     layout = layout or plan_layout(cues, [KEY], ["cue_id"])
-    windows = cue_windows(cues, tracks, max_shift_s, layout)
-    anchored = windows.join(anchors(windows, observations), [KEY, "cue_id"], "left")
-    frames = anchored.where(F.col("anchor").isNotNull()).select(
-        KEY, "cue_id", "text", "anchor", F.explode(F.sequence("lo", "hi")).alias("frame_idx")
-    )
-    read = frames.join(
-        observations.select(KEY, "frame_idx", "row_no", F.col("text").alias("observed"), "confidence"),
-        [KEY, "frame_idx"], "left",
-    )
-    marked = frames.join(text_observed(read, [KEY, "cue_id", "frame_idx"]).where("seen"),
-                         [KEY, "cue_id", "frame_idx"], "left")
-    absent = F.when(F.col("seen").isNull(), F.col("frame_idx"))
-    edges = marked.groupBy(KEY, "cue_id").agg(
-        F.max(F.when(F.col("frame_idx") < F.col("anchor"), absent)).alias("_gone"),
-        F.min(F.when(F.col("frame_idx") > F.col("anchor"), absent)).alias("_left"),
-    )
+    windows = cue_windows(cues, tracks, max_shift_s, layout).select(
+        KEY, "cue_id", "text", "start_ms", "end_ms", "next_start", "fps", "frame_count", "a", "b", "reach", "lo", "hi", "middle")
+    # A cue and what was seen of it come together on the way to the walk over the cues of a track.
+    rows = layout.tag(windows.withColumn("_cue", F.lit(True)).unionByName(_sightings(windows, observations), allowMissingColumns=True))
+    part = layout.partition()
+    own = Window.partitionBy(*part).orderBy(*layout.order).rangeBetween(Window.currentRow, Window.currentRow)
+    marked = spread(rows, part, 2 * layout.rows).withColumn("_marks", F.collect_list("_mark").over(own)).where("_cue").drop("_cue", "_mark", BLOCK)
+    anchored = marked.withColumn("_on", _frames_seen("_marks")).withColumn("anchor", _anchor("_on"))
+    # The frames without a gap around the anchor: what is seen of a gapless run lies as far behind its place in the list.
+    place = F.col("anchor") - F.array_position("_on", F.col("anchor"))
+    bounded = anchored.withColumn("_run", F.filter("_on", lambda f, i: f - i - 1 == place))
     top = F.col("frame_count") - 1
-    first = F.when(F.col("_gone").isNotNull(), F.col("_gone") + 1).when(F.col("lo") == 0, F.lit(0))
-    first = F.when(first <= F.least(F.col("hi"), F.col("a") + F.col("reach")), first)
-    last = F.when(F.col("_left").isNotNull(), F.col("_left") - 1).when(F.col("hi") == top, top)
-    last = F.when(last >= F.greatest(F.col("lo"), F.col("b") - F.col("reach")), last)
-    bounded = anchored.join(edges, [KEY, "cue_id"], "left").withColumn(
-        "_first", F.when(F.col("anchor").isNotNull(), first)).withColumn(
-        "_last", F.when(F.col("anchor").isNotNull(), last))
+    first, last = F.array_min("_run"), F.array_max("_run")
+    first = F.when(((first > F.col("lo")) | (F.col("lo") == 0)) & (first <= F.least(F.col("hi"), F.col("a") + F.col("reach"))), first)
+    last = F.when(((last < F.col("hi")) | (F.col("hi") == top)) & (last >= F.greatest(F.col("lo"), F.col("b") - F.col("reach"))), last)
+    bounded = bounded.withColumn("_first", first).withColumn("_last", last)
     overlay = (F.col("_first") == 0) & (F.col("_last") == top) & ((F.col("a") > 0) | (F.col("b") < top))
     overlay = F.coalesce(overlay, F.lit(False))
     ms = F.lit(1000.0) / F.col("fps")
@@ -331,16 +403,16 @@ def refine_boundaries(
         return F.struct(F.when(good, finish).otherwise(until).alias("at"), good.alias("seen"))
 
     both = sided.select(
-        "*", F.when(begin < until, begin).alias("_movable"), ends(begin).alias("_moved"), ends(source).alias("_kept"),
-    ).select("*", F.col("_moved.at").alias("_moved_end"), F.col("_kept.at").alias("_kept_end"))
+        KEY, "cue_id", "text", "start_ms", "end_ms", "next_start", "anchor", "_first", "_last", "_start", "_end", F.when(begin < until, begin).alias("_movable"),
+        ends(begin)["at"].alias("_moved_end"), ends(source)["at"].alias("_kept_end"))
 
     def walk(ended, row):
         movable, moved, kept = row
         taken = movable is not None and (ended or 0) <= movable
         return (moved if taken else kept), (taken,)
 
-    walked = fold(both, layout, ["_movable", "_moved_end", "_kept_end"], walk, [("start_verified", "boolean")])
-    chosen = F.when(F.col("start_verified"), F.col("_moved")).otherwise(F.col("_kept"))
+    walked = fold(both, layout, ["_movable", "_moved_end", "_kept_end"], walk, [("start_verified", "boolean")], clustered=True)
+    chosen = F.when(F.col("start_verified"), ends(begin)).otherwise(ends(source))
     placed = walked.withColumns({"new_start_ms": F.when(F.col("start_verified"), begin).otherwise(source), "new_end_ms": chosen["at"], "end_verified": chosen["seen"]})
     same = (F.col("new_start_ms") == source) & (F.col("new_end_ms") == until)
     flags = F.concat(*[F.when(c, F.lit(yes)).otherwise(F.lit("-")) for c, yes in ((~same, "m"), (F.col("start_verified"), "s"), (F.col("end_verified"), "e"))])

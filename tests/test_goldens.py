@@ -319,3 +319,119 @@ def test_readings_are_judged_once_for_all_frames_of_a_cue(spark, monkeypatch):
     pairs = frames.crossJoin(spark.createDataFrame([(1, "hello", 0.9), (2, "there", 0.9)], "row_no int, observed string, confidence double"))
     got = L.text_observed(pairs, ["k", "frame_idx"]).collect()
     assert len(got) == 500 and all(r.seen for r in got) and seen.value <= 30
+
+
+def refined_by_hand(cues, fps, count, rows, shift):
+    """Every frame of every window judged by difflib: the times of one track's cues, and which sides are verified."""
+    from difflib import SequenceMatcher
+    import re
+
+    def norm(text):
+        return re.sub(r"[^\w]", "", text).casefold()
+
+    def same(a, b):
+        a, b = norm(a), norm(b)
+        least = min(len(a), len(b))
+        return least >= 2 and SequenceMatcher(None, a, b).ratio() >= (0.9 if least <= 4 else 0.84)
+
+    def valid(text, observed, sure):
+        if sure is None or sure < 0.03:
+            return False
+        return same(text, observed) if sure >= 0.2 else len(norm(text)) >= 4 and norm(text) == norm(observed)
+
+    def shown(text, frame):
+        read = sorted(r[1:] for r in rows if r[0] == frame and r[2] is not None)
+        return any(valid(text, o, c) for _n, o, c in read) or len(read) > 1 and valid(text, "".join(o for _n, o, _c in read), min(c for *_r, c in read))
+
+    out, ended, top = [], 0, count - 1
+    for i, (start, end, text) in enumerate(cues):
+        reach = max(1, round(fps * shift))
+        a = max(0, min(top, round(start * fps / 1000)))
+        b = max(a, min(top, round(end * fps / 1000)))
+        lo, hi = max(0, a - reach), min(top, b + reach)
+        if i:
+            lo = max(lo, round(sum(cues[i - 1][:2]) * fps / 2000))
+        if i + 1 < len(cues):
+            hi = min(hi, round(sum(cues[i + 1][:2]) * fps / 2000))
+        middle = min(hi, max(lo, round((a + b) / 2)))
+        spots = [f for f in (a, middle, max(a, b - 1)) if lo <= f <= hi and hi > lo and len(norm(text)) >= 2 and shown(text, f)]
+        first = last = None
+        if spots:
+            anchor = min(spots, key=lambda f: (abs(f - middle), f))
+            absent = [f for f in range(lo, hi + 1) if not shown(text, f)]
+            gone, left = max((f for f in absent if f < anchor), default=None), min((f for f in absent if f > anchor), default=None)
+            first = gone + 1 if gone is not None else 0 if lo == 0 else None
+            last = left - 1 if left is not None else top if hi == top else None
+            first = first if first is not None and first <= min(hi, a + reach) else None
+            last = last if last is not None and last >= max(lo, b - reach) else None
+            if first == 0 and last == top and (a > 0 or b < top):
+                first = last = None
+        begin = None if first is None else round(first * (1000.0 / fps))
+        opened = begin is not None and ended <= begin < end
+        new = begin if opened else start
+        finish = None if last is None else round((last + 1) * (1000.0 / fps))
+        closed = finish is not None and finish > new and (i + 1 == len(cues) or finish <= cues[i + 1][0])
+        ended = finish if closed else end
+        out.append((new, ended, opened, closed))
+    return out
+
+
+def test_refined_boundaries_as_by_hand(spark):
+    """Several rows on a frame, unsure and missing readings, texts that are nearly their neighbours', windows over many blocks of frames."""
+    import random
+
+    texts = ["deéellelela", "de éelle le, la", "deéelleetla", "come here now", "come here know", "go", "a", "", "今天天气很好", "今天天气", "很好"]
+    rng = random.Random(5)
+    tracks, cues, seen, want = [], [], [], {}
+    for t in range(30):
+        fps, at, own, shown = rng.choice([5.0, 25.0, 59.94]), rng.choice([0, 900]), [], []
+        for _ in range(rng.randint(1, 8)):
+            end = at + rng.choice([300, 1200, 1200, 9000])
+            own.append((at, end, rng.choice(texts)))
+            at = end + rng.choice([40, 40, 600, 3000])
+        count = int(at * fps / 1000) + 10
+        for n, (start, end, text) in enumerate(own):
+            if rng.random() < 0.85:
+                whole = rng.choice([(text,), (text[: len(text) // 2], text[len(text) // 2 :]), (text, None), ("sign", text), (rng.choice(texts),)])
+                sure = rng.choice([0.9, 0.9, 0.9, 0.1, 0.01])
+                for f in range(max(0, int(start * fps / 1000) - rng.randint(0, 3)), min(count, int(end * fps / 1000) + rng.randint(0, 3))):
+                    if rng.random() < 0.98:
+                        shown += [(f, n * 4 + k, part, sure) for k, part in enumerate(whole)]
+        tracks.append((f"t{t}", fps, count))
+        cues += [(f"t{t}", n + 1, *c) for n, c in enumerate(own)]
+        seen += [(f"t{t}", *r) for r in shown]
+        want[f"t{t}"] = refined_by_hand(own, fps, count, shown, 2.0)
+    out = L.refine_boundaries(
+        spark.createDataFrame(cues, CUE), spark.createDataFrame(tracks, "track_id string, fps double, frame_count bigint"),
+        spark.createDataFrame(seen, "track_id string, frame_idx bigint, row_no int, text string, confidence double"), 2.0).collect()
+    got = {t: [(r.start_ms, r.end_ms, r.start_verified, r.end_verified) for r in sorted(out, key=lambda r: r.cue_id) if r.track_id == t] for t in want}
+    assert got == want and sum(r.start_verified for r in out) > 10 and sum(r.end_verified for r in out) > 10
+
+
+def sent(df):
+    """Rows written to the shuffles of a query that has run."""
+
+    def of(node):
+        name = node.getClass().getSimpleName()
+        if name.startswith("Reused"):
+            return 0
+        if name == "AdaptiveSparkPlanExec":
+            return of(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return of(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+
+    df.collect()
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_frames_are_not_sent_one_by_one(spark):
+    """Two cues of 40 s that are seen on 2,000 frames; what travels is cues and blocks of frames."""
+    base = spark.createDataFrame([("t", 1, 0, 40_000, "hello there"), ("t", 2, 42_000, 82_000, "good bye now")], CUE)
+    tracks = spark.createDataFrame([("t", 25.0, 2100)], "track_id string, fps double, frame_count bigint")
+    frames = spark.range(0, 2050, 1, 1).select(F.lit("t").alias("track_id"), F.col("id").alias("frame_idx"), F.lit(0).alias("row_no"),
+                                         F.when(F.col("id") < 1010, "hello there").otherwise("good bye now").alias("text"), F.lit(0.9).alias("confidence"))
+    refined = L.refine_boundaries(base, tracks, frames)
+    assert sent(refined) < 400
+    assert [r.end_frame_exclusive for r in refined.orderBy("cue_id").collect()] == [1010, 2050]
