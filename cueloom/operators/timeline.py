@@ -326,8 +326,8 @@ def _sightings(windows: DataFrame, observations: DataFrame) -> DataFrame:
     pairs = wanted.join(_readings(observations), [KEY, "_block"]).where((shown != 0) & may_be_same(cue, seen))
     exact = (F.length(cue) >= 4) & (cue == seen)
     judged = pairs.withColumn("_ok", F.when(F.col("level") >= 2, same_normalised(cue, seen)).otherwise(exact)).where("_ok")
-    marks = judged.groupBy(KEY, "_block", "cue_id").agg(F.bit_or(shown).alias("_bits"))
-    return marks.select(KEY, "cue_id", F.struct("_block", "_bits").alias("_mark"))
+    # Few marks of a cue share a block, and they are put together where they meet the cue.
+    return judged.select(KEY, "cue_id", F.struct("_block", shown.alias("_bits")).alias("_mark"))
 
 
 def _frames_seen(marks: Column | str) -> Column:
@@ -338,7 +338,7 @@ def _frames_seen(marks: Column | str) -> Column:
         frames = F.sequence(F.greatest(F.col("lo"), start), F.least(F.col("hi"), start + (_BLOCK_FRAMES - 1)))
         return F.filter(frames, lambda f: _shows(mark["_bits"], f))
 
-    return F.flatten(F.transform(F.array_sort(marks), of_block))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(marks, of_block))))
 
 
 def _anchor(seen: Column | str) -> Column:
@@ -368,11 +368,14 @@ def refine_boundaries(
     layout = layout or plan_layout(cues, [KEY], ["cue_id"])
     windows = cue_windows(cues, tracks, max_shift_s, layout).select(
         KEY, "cue_id", "text", "start_ms", "end_ms", "next_start", "fps", "frame_count", "a", "b", "reach", "lo", "hi", "middle")
-    # A cue and what was seen of it come together on the way to the walk over the cues of a track.
-    rows = layout.tag(windows.withColumn("_cue", F.lit(True)).unionByName(_sightings(windows, observations), allowMissingColumns=True))
+    # A cue and what was seen of it come together on the way to the walk over the cues of a track. What was seen is dealt
+    # as the cues already are, so that these stay where they lie.
     part = layout.partition()
+    marks = layout.tag(_sightings(windows, observations))
+    cue_rows = layout.tag(windows.withColumn("_cue", F.lit(True)))
+    rows = spread(cue_rows, part, layout.rows).unionByName(spread(marks, part, layout.rows), allowMissingColumns=True)
     own = Window.partitionBy(*part).orderBy(*layout.order).rangeBetween(Window.currentRow, Window.currentRow)
-    marked = spread(rows, part, 2 * layout.rows).withColumn("_marks", F.collect_list("_mark").over(own)).where("_cue").drop("_cue", "_mark", BLOCK)
+    marked = rows.withColumn("_marks", F.collect_list("_mark").over(own)).where("_cue").drop("_cue", "_mark", BLOCK)
     anchored = marked.withColumn("_on", _frames_seen("_marks")).withColumn("anchor", _anchor("_on"))
     # The frames without a gap around the anchor: what is seen of a gapless run lies as far behind its place in the list.
     place = F.col("anchor") - F.array_position("_on", F.col("anchor"))
